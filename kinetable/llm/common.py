@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -86,3 +87,13 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts, with null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+#: Rows of (id, key) that may be broadcast: about 16 MB for two longs a row.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows;
+    beyond that it is joined by a shuffle. For narrow tables of ids and keys."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

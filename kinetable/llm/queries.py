@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, exact, langid, packing, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_history(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select(
@@ -34,8 +38,28 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.col("norm").cast("binary"), 256)
+    return exact.exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
+
+
+def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, ["doc_id"], langid.train(docs))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_vector_packing, op6_bpe_tree)
+    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op6_bpe_tree, op7_exact_refine, op9_ecoc_language)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_refine": """
+        with d as (select doc_id, coalesce(text, '') as t,
+                regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') as norm from documents),
+            h as (select doc_id, length(t) as points, sha256(norm) as text_sha256 from d),
+            g as (select *, count(*) over (partition by text_sha256) as group_size,
+                first_value(doc_id) over (partition by text_sha256 order by points desc, doc_id) as keep_id from h)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
+    """,
+}
