@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, packing, warc
+from . import bpe, exact, langid, packing, suffix, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,8 +49,13 @@ def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_suffix_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op6_bpe_tree, op7_exact_refine, op9_ecoc_language)
+    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op6_bpe_tree, op7_exact_refine, op9_ecoc_language, op10_suffix_refine)
 }
 
 ORACLES: dict[str, str] = {
