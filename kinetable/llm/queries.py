@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, packing, suffix, warc
+from . import bpe, exact, icws, langid, packing, suffix, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op4_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_history(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return icws.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
     return out.select(
@@ -55,7 +59,7 @@ def op10_suffix_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op6_bpe_tree, op7_exact_refine, op9_ecoc_language, op10_suffix_refine)
+    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op9_ecoc_language, op10_suffix_refine)
 }
 
 ORACLES: dict[str, str] = {
