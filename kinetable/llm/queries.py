@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, icws, langid, packing, suffix, warc
+from . import bpe, exact, icws, langid, lbl, packing, suffix, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,10 @@ def op7_exact_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), carry={"text_sha256": digest})
 
 
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"))
+
+
 def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, ["doc_id"], langid.train(docs))
@@ -59,7 +63,7 @@ def op10_suffix_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op9_ecoc_language, op10_suffix_refine)
+    f.__name__: f for f in (op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine)
 }
 
 ORACLES: dict[str, str] = {
