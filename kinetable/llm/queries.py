@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, graph, icws, langid, lbl, packing, suffix, warc
+from . import bpe, exact, graph, icws, langid, lbl, packing, passages, suffix, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"), words=50, threshold=0.8)
+
+
 def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -67,7 +71,7 @@ def op10_suffix_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pruned_graph, op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine)
+    f.__name__: f for f in (op1_compact_windows, op2_pruned_graph, op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine)
 }
 
 ORACLES: dict[str, str] = {
