@@ -67,8 +67,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BATCH_BYTES of text each."""
+def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,7 +77,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         first, held = 0, 0
         for i, n in enumerate(sizes):
             held += n
-            if held >= BATCH_BYTES:
+            if held >= limit:
                 yield batch.slice(first, i + 1 - first)
                 first, held = i + 1, 0
         if first < batch.num_rows:

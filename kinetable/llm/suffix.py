@@ -40,7 +40,9 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare, small, text_groups, texts_of
 
 #: Bytes in an anchor's gram; text that a part or bucket stands for.
-GRAM, PART_BYTES = 16, 24 << 20
+GRAM, PART_BYTES = 16, 12 << 20
+#: Bytes of text that are searched at once, and positions whose identifiers are made at once.
+BLOCK, STEP = 1 << 20, 1 << 18
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -90,17 +92,18 @@ class Block:
         self.length = length
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.r_[0, np.cumsum(sizes)]
+        self.sizes = sizes
         self.bytes = np.frombuffer(b"".join(texts) + bytes(length), np.uint8)
-        n = int(self.starts[-1])
-        self.eight = np.ndarray((n + length - 7,), "<u8", self.bytes, strides=(1,)).copy()
-        #: Starts of strings that lie inside a text, and the text of each.
-        inside = np.clip(sizes - length + 1, 0, None)
-        self.text = np.repeat(np.arange(len(texts)), inside)
-        self.window = np.arange(len(self.text)) + np.repeat(self.starts[:-1] - np.r_[0, np.cumsum(inside)[:-1]], inside)
+        #: The eight bytes at every position as one number, read in place.
+        self.eight = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each run of strings with one anchor: first string (index into window), anchor's
         place, and the 16-gram's identifier."""
+        #: Starts of strings that lie inside a text, and the text of each.
+        inside = np.clip(self.sizes - self.length + 1, 0, None)
+        self.text = np.repeat(np.arange(len(inside)), inside)
+        self.window = np.arange(len(self.text)) + np.repeat(self.starts[:-1] - np.r_[0, np.cumsum(inside)[:-1]], inside)
         if not len(self.window):
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
         n = int(self.starts[-1])
@@ -118,12 +121,15 @@ class Block:
 
     def identifiers(self) -> np.ndarray:
         """Of the ``length`` bytes at every position, by refinement from eight bytes."""
-        ids, depth = _mix(self.eight), 8
-        while depth * 2 <= self.length:
-            ids = _pair(ids[:-depth], ids[depth:])
-            depth *= 2
-        rest = self.length - depth
-        return _pair(ids[: len(ids) - rest], ids[rest:]) if rest else ids
+        out = np.empty(len(self.bytes) - self.length + 1, np.uint64)
+        for begin in range(0, len(out), STEP):
+            ids, depth = _mix(self.eight[begin : begin + STEP + self.length - 8]), 8
+            while depth * 2 <= self.length:
+                ids = _pair(ids[:-depth], ids[depth:])
+                depth *= 2
+            rest = self.length - depth
+            out[begin : begin + STEP] = _pair(ids[: len(ids) - rest], ids[rest:]) if rest else ids
+        return out
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the ``length`` bytes at positions a and b are equal, byte for byte."""
@@ -151,7 +157,7 @@ def _anchor_rows(length: int, parts: int):
     of documents, to which anchors go that are known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_groups(batches):
+        for b in text_groups(batches, limit=2 * BLOCK):
             doc = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             block = Block([t.encode() for t in texts_of(b)], length)
             first, at, gram = block.anchors()
@@ -206,7 +212,7 @@ def _context_rows(length: int, parts: int):
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order].astype(np.int64)
         out = []
-        for b in text_groups(docs.select(["doc_id", "text_hash", "text"]).to_batches()):
+        for b in text_groups(docs.select(["doc_id", "text_hash", "text"]).to_batches(), limit=BLOCK):
             doc, own_hash = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             block = Block([t.encode() for t in texts_of(b)], length)
             first, at, gram = block.anchors()
