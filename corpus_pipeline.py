@@ -18,8 +18,10 @@ from kinetable.llm.queries import tokenizer_path
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which no language is found: those without text or a letter."""
     prepare(spark)
-    known = langid.identify(docs, docs.columns, langid.train(docs))
-    return known.where(F.col("lang_pred") != "und").select(*docs.columns)
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # no clash with what is added
+    own = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])
+    known = langid.identify(own, list(names.values()), langid.train(docs))
+    return known.where(F.col("lang_pred") != "und").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
