@@ -320,14 +320,10 @@ def _cut_rows(whole_characters: bool):
     return run
 
 
-def _docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in b.column(0):
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.unique(np.frombuffer(_owners(x.as_py()), "<i8")), pa.int64())})
-
-
-def _owners(blob: bytes) -> bytes:
-    return _load(blob, "<i8")[0].tobytes()
+def _docs_of(key, group):
+    """The documents of one part that its blobs name."""
+    own = [np.unique(_load(x.as_py(), "<i8")[0]) for x in group["blob"]]
+    return pa.table({"doc_id": pa.array(np.unique(np.concatenate(own)), pa.int64())})
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, whole_characters: bool = False) -> DataFrame:
@@ -352,11 +348,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, whole_characters: bool = F
     blobs = "target int, blob binary"
     anchors = long.select("doc_id", "text").mapInArrow(_anchor_rows(length, parts), blobs)
     shared = materialize(anchors.groupBy("target").applyInArrow(_shared_rows(parts), blobs), "anchors")
-    ids = materialize(shared.select("blob").mapInArrow(_docs_of, "doc_id long").distinct(), "ids")
+    ids = materialize(shared.groupBy("target").applyInArrow(_docs_of, "doc_id long"), "ids")
     near = long.join(small(ids), "doc_id", "left_semi").select(part_column(F.col("doc_id"), parts).alias("target"), *key, "text")
     contexts = near.groupBy("target").cogroup(shared.groupBy("target")).applyInArrow(_context_rows(length, parts), blobs)
     found = materialize(contexts.groupBy("target").applyInArrow(_interval_rows(length, parts), blobs), "intervals")
-    hit = materialize(found.select("blob").mapInArrow(_docs_of, "doc_id long").distinct(), "hit")
+    hit = materialize(found.groupBy("target").applyInArrow(_docs_of, "doc_id long"), "hit")
 
     cut = (
         long.join(small(hit), "doc_id", "left_semi")
