@@ -122,9 +122,11 @@ def test_shared_passages_are_found(spark):
 
 
 def test_places_need_enough_functions():
-    assert passages.places([0, 1, 2], [0, 5, 2], [60, 70, 64], [3, 3, 3], 46) == [(0, 70, 3, 73)]
-    assert passages.places([0, 1, 1], [0, 5, 2], [60, 70, 64], [3, 3, 3], 46) == []
-    assert passages.places([0, 1, 2], [0, 50, 2], [60, 110, 64], [0, 0, 0], 46) == []
+    at = lambda *x: passages.places(*[np.array(v) for v in x], 46)
+    assert at([0, 1, 2], [0, 5, 2], [60, 70, 64], [3, 3, 3]) == [(0, 70, 3, 73)]
+    assert at([0, 1, 1], [0, 5, 2], [60, 70, 64], [3, 3, 3]) == []
+    assert at([0, 1, 2], [0, 50, 2], [60, 110, 64], [0, 0, 0]) == []
+    assert at([0, 1, 2] * 2, [0, 1, 2, 200, 200, 200], [50, 51, 52, 246, 246, 246], [0] * 3 + [7] * 3) == [(0, 52, 0, 52), (200, 246, 207, 253)]
 
 
 # -- vectors ---------------------------------------------------------------------------
