@@ -12,10 +12,11 @@ gathered and broadcast doesn't grow with the data. The frequency only scales wei
 1 to 1 + IDF, so the similarity stays close to the unweighted one.
 
 Equal texts are one document here; copies join its class at the end. In a bucket all are
-compared with the smallest id first. Those it doesn't match are compared with four times as
-many of the smallest ids among them in each further round, until every one has been a
-representative or none is left. Pairs whose samples already tell that they are far below
-the threshold (over four standard deviations) are not read again.
+compared with the smallest id first. In each further round four times as many others become
+representatives and are compared with all in the bucket that are of another class so far; then
+they leave it. This ends when what is left in each bucket is of one class, so every pair that
+shares a bucket is compared, or of one class by other links. Pairs whose samples already tell
+that they are far below the threshold (over four standard deviations) are not read again.
 
 Rows: a null, empty or blank text, and a null id, is alone in its class; rows with the same
 id are one document; further columns are not read.
@@ -171,36 +172,43 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     least = int(n * (threshold - 4.2 * (threshold * (1 - threshold) / n) ** 0.5))
     one, two = sketch.select("doc_id", F.col("sketch").alias("a")), sketch.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("b"))
     equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    links, seen, take = [], [], 1
-    pairs = member.select("doc_id", "rep").distinct()
+    pairs, seen, take = member.select("doc_id", "rep").distinct(), [], 1
+    member = member.select("key", "doc_id")  # who has not been a representative
+    classes = materialize(copies.where("false").select(F.col("doc_id").alias("node"), F.col("first").alias("component"), F.lit(0).cast("long").alias("degree")), "classes")
     while True:
         far = materialize(pairs, "far")
         pairs = one.join(small(far), "doc_id").join(two, "rep") if take == 1 else small(one.join(small(far), "doc_id")).join(two, "rep")
         pairs = materialize(pairs.where(equal >= least).select("doc_id", "rep"), "pairs")
         if not pairs.isEmpty():
-            links.append(verify(pairs).where(F.col("similarity") >= threshold).select("doc_id", "rep"))
+            good = verify(pairs).where(F.col("similarity") >= threshold).select("doc_id", "rep")
             seen.append(pairs)
-        # who has no link so far goes on, among its own kind
-        if links:
-            good = functools.reduce(DataFrame.unionByName, links)
-            linked = materialize(good.select("doc_id").union(good.select("rep")).distinct(), "linked")
-            member = member.join(small(linked), "doc_id", "left_anti")
-        member = materialize(member.select("key", "doc_id").distinct(), "member")
-        largest = member.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        if largest <= max(1, take):
+            if not good.isEmpty():
+                ends = good.select("doc_id").unionAll(good.select("rep")).toDF("node").withColumn("degree", F.lit(1).cast("long"))
+                degree = ends.unionAll(classes.select("node", "degree")).groupBy("node").agg(F.sum("degree").alias("degree"))
+                known = classes.select("node", "component").toDF("a", "b")
+                classes = materialize(components(known.unionByName(good.toDF("a", "b"))).join(degree, "node"), "classes")
+        # a bucket is done when those left in it are of one class
+        named = member.join(small(classes.select(F.col("node").alias("doc_id"), "component", "degree")), "doc_id", "left")
+        named = materialize(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("class"), F.coalesce("degree", F.lit(0)).alias("degree")), "named")
+        open_keys = named.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
+        member = materialize(named.join(small(open_keys), "key", "left_semi"), "member")
+        if member.isEmpty():
             break
+        # the next: those with most links, such as an original, and those with fewest
+        ends = []
+        for first in (F.desc("degree"), F.asc("degree")):
+            place = F.row_number().over(Window.partitionBy("key").orderBy(first, F.xxhash64("doc_id"), "doc_id"))
+            ends.append(member.withColumn("nth", place).where(F.col("nth") <= 2 * take).select("key", F.col("doc_id").alias("rep"), F.col("class").alias("rep_class")))
         take *= 4
-        place = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-        reps = materialize(member.withColumn("nth", place).where(F.col("nth") <= take).select("key", F.col("doc_id").alias("rep")), "reps")
-        pairs = member.join(small(reps), "key").where("doc_id > rep").select("doc_id", "rep").distinct()
+        reps = materialize(ends[0].union(ends[1]).distinct(), "reps")
+        pairs = member.join(small(reps), "key").where("class <> rep_class")
+        pairs = pairs.select(F.greatest("doc_id", "rep").alias("doc_id"), F.least("doc_id", "rep").alias("rep")).distinct()
         if seen:
             pairs = pairs.join(small(functools.reduce(DataFrame.unionByName, seen)), ["doc_id", "rep"], "left_anti")
+        member = member.join(small(reps.select("key", F.col("rep").alias("doc_id"))), ["key", "doc_id"], "left_anti").select("key", "doc_id")
 
     out = base.select("doc_id")
-    ties = copies.toDF("a", "b")
-    for pairs in links:
-        ties = ties.unionByName(pairs.toDF("a", "b"))
-    classes = components(ties)
+    classes = components(copies.toDF("a", "b").unionByName(classes.select("node", "component").toDF("a", "b")))
     out = out.join(classes, out["doc_id"] == classes["node"], "left")
     class_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -77,6 +77,27 @@ def test_document_frequency_is_never_too_low(spark, families):
     assert (got >= np.array(list(true.values()))).all() and (got == np.array(list(true.values()))).mean() > 0.9
 
 
+def test_originals_of_any_id_keep_their_copies(spark):
+    r, rows, want = random.Random(8), [], {}
+    for f, centre in enumerate((0, 10, 20)):  # the original's place among its copies
+        base = words(r, 200)
+        for k in range(21):
+            own = list(base)
+            if k != centre:  # J 0.85 to the original, 0.72 to each other
+                at = 9 * (k if k < centre else k - 1)
+                own[at : at + 12] = words(r, 12)
+            rows.append((100 * f + k, " ".join(own)))
+            want[100 * f + k] = 100 * f
+    base = words(r, 200)
+    for k in range(12):  # a chain: each is near to the next only
+        rows.append((1000 + k, " ".join(base)))
+        want[1000 + k] = 1000
+        at = 14 * k
+        base[at : at + 12] = words(r, 12)
+    out = icws.near_duplicates(frame(spark, rows)).toPandas()
+    assert dict(zip(out["doc_id"], out["class_id"], strict=True)) == want
+
+
 # -- passages ------------------------------------------------------------------------
 
 
