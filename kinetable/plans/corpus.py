@@ -137,6 +137,13 @@ def pad_collate(t: Tables):
     return t.embeddings.select("vec_id", packing.pad(first, 16, -1.0).alias("padded"))
 
 
+@query()
+def pad_collate_whole(t: Tables):
+    """Whole vectors, filled up to 80 items and cut to 16."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return t.embeddings.select("vec_id", packing.pad(x, 80, -1.0).alias("padded"), packing.pad(x, 16, -1.0).alias("cut"))
+
+
 @query("""with x as (select doc_id, source, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as a from documents)
     select doc_id, cast(a // 8192 as bigint) as bin, cast(a % 8192 as bigint) as "offset", row_number() over (partition by source, a // 8192 order by doc_id) - 1 as position from x""")
 def pack_segments(t: Tables):
@@ -248,6 +255,11 @@ def object_list(t: Tables):
     return t.documents.where("source = 'src5'").select("doc_id", text.object_list(F.col("text")).alias("objects"))
 
 
+@query()
+def object_list_whole(t: Tables):
+    return t.documents.select("doc_id", text.object_list(F.col("text")).alias("objects"))
+
+
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def json_props(t: Tables):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
