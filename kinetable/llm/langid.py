@@ -5,8 +5,10 @@ Every language gets a codeword; for each bit a logistic classifier on hashed byt
 the least logistic loss over the bits, each weighted by how well it was learnt. The share of
 the best codeword is the score; a text whose two best codewords are close is ambiguous.
 
-The classifiers are fitted on at most SAMPLE rows for a language (the bound is a
-parameter), drawn by a hash of the id. Everything else reads every row and whole texts.
+Every language with a labelled row gets a codeword, however many there are. The classifiers
+are fitted on at most SAMPLE rows for a language (the bound is a parameter), drawn by a hash
+of the id; their features lie in a file of the driver and are read in blocks. Everything else
+reads every row and whole texts.
 
 Rows: a null or empty text, or one without a letter, is ``und`` with score 0; so is
 every row if no labelled row is left to learn from. Rows whose id is null are held out.
@@ -16,6 +18,7 @@ Repeated rows get the same answer. Other columns may be kept as they are.
 from __future__ import annotations
 
 import itertools
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import prepare, text_groups, texts_of
+from .common import materialize, prepare, small, text_groups, texts_of
 
-#: Features, rows to learn from for each language, languages at most (the most frequent).
-FEATURES, SAMPLE, LANGUAGES = 4096, 600, 128
+#: Features, rows to learn from for each language, rows that the driver holds as 32-bit numbers.
+FEATURES, SAMPLE, HELD = 4096, 600, 8192
 LETTER = regex.compile(r"\p{L}")
 #: Upper to lower case, and digits to one digit, in ASCII.
 FOLD = bytes(ord("0") if chr(b).isdigit() else (b + 32 if 65 <= b <= 90 else b) for b in range(128)) + bytes(range(128, 256))
@@ -76,7 +80,7 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For rows of features: language's index, score, and the lead over the next."""
         margin = x @ self.weights + self.bias
-        loss = (np.logaddexp(0, -margin[:, None, :] * self.code[None]) * self.trust).sum(2)
+        loss = (np.logaddexp(0, -margin) * self.trust) @ (self.code > 0).T + (np.logaddexp(0, margin) * self.trust) @ (self.code < 0).T
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         top = -np.sort(-p, 1)
@@ -86,14 +90,24 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 300) -> Model:
     """Logistic classifiers for all bits at once, by accelerated gradient steps."""
     code = codewords(len(languages))
-    target, share = code[y], 1 / np.bincount(y, minlength=len(languages))[y][:, None]
+    share = 1 / np.bincount(y, minlength=len(languages))[y][:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb, rate, share = w.copy(), b.copy(), 40.0, share / share.sum()
+    held = np.asarray(x, np.float32) if len(x) <= HELD else None
+
+    def blocks():
+        for k in range(0, len(y), HELD):
+            own = slice(k, k + HELD)
+            yield held if held is not None else np.asarray(x[own], np.float32), code[y[own]], share[own]
+
     for _ in range(steps):
-        g = (-target * share / (1 + np.exp(target * (x @ w + b)))).astype(np.float32)
-        vw, vb = 0.9 * vw - rate * (x.T @ g + 1e-6 * w), 0.9 * vb - rate * g.sum(0)
+        gw, gb = np.zeros_like(w), np.zeros_like(b)
+        for part, target, own in blocks():
+            g = (-target * own / (1 + np.exp(target * (part @ w + b)))).astype(np.float32)
+            gw, gb = gw + part.T @ g, gb + g.sum(0)
+        vw, vb = 0.9 * vw - rate * (gw + 1e-6 * w), 0.9 * vb - rate * gb
         w, b = w + vw, b + vb
-    right = ((target * (x @ w + b) > 0) * share).sum(0)
+    right = sum(((target * (part @ w + b) > 0) * own).sum(0) for part, target, own in blocks())
     trust = np.log(np.clip(right, 0.51, 0.9999) / (1 - np.clip(right, 0.51, 0.9999)))
     return Model(languages, code, w, b, trust / trust.sum() * len(trust) if len(trust) else trust)
 
@@ -105,13 +119,11 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from text and lang of the rows that are not held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    part = F.lit(0.0)
-    for r in counts:
-        part = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 0.9 * sample / r["count"]))).otherwise(part)
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < part * (1 << 20)).select("lang", "text")
+    counts = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(0.9 * sample) / F.col("count")).alias("part"))
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20))
+    drawn = known.select("lang", "text", "doc_id").join(small(counts), "lang").where(draw < F.col("part") * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
+    drawn = drawn.withColumn("nth", place).where(F.col("nth") <= sample).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_groups(batches):
@@ -119,12 +131,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             if pick:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([p[0] for p in pick]), "x": pa.array([p[1].astype(np.float16).tobytes() for p in pick], pa.binary())})
 
-    rows = drawn.mapInArrow(run, "lang string, x binary").limit(LANGUAGES * sample).collect()
-    if not rows:
-        return None
-    languages = sorted({r["lang"] for r in rows})
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    return fit(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
+    labels = []
+    with tempfile.TemporaryFile() as f:
+        for r in materialize(drawn.mapInArrow(run, "lang string, x binary"), "drawn").toLocalIterator():
+            labels.append(r["lang"])
+            f.write(r["x"])
+        if not labels:
+            return None
+        f.flush()
+        languages = sorted(set(labels))
+        index = {lang: i for i, lang in enumerate(languages)}
+        x = np.memmap(f, np.float16, "r", shape=(len(labels), FEATURES))
+        return fit(x, np.array([index[lang] for lang in labels]), languages)
 
 
 def identify(docs: DataFrame, keep: list[str], model: Model | None, lead: float = 0.2) -> DataFrame:

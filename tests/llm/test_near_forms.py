@@ -212,6 +212,29 @@ def test_held_out_accuracy_and_undetermined(labelled):
     assert langid.identify(labelled, ["doc_id"], None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    r, rows = random.Random(9), []
+    for k in range(140):  # languages of their own letters; the last ones have the fewest rows
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(6)]
+        rows += [(len(rows) + i, " ".join("".join(r.choices(letters, k=4)) for _ in range(20)), f"l{k:03}") for i in range(24 if k < 130 else 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(df)
+    assert model.languages == [f"l{k:03}" for k in range(140)]
+    out = langid.identify(df, ["doc_id", "lang"], model).withColumn("held_out", langid.held_out()).toPandas()
+    assert set(out["lang_pred"]) == set(model.languages)
+    assert (out["lang"] == out["lang_pred"])[out["held_out"]].mean() > 0.9
+
+
+def test_blocks_of_rows_learn_the_same(monkeypatch):
+    r = np.random.default_rng(10)
+    x, y = r.random((90, 12)), r.integers(0, 7, 90)
+    x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float16)
+    one = langid.fit(x, y, list("abcdefg"), 5)
+    monkeypatch.setattr(langid, "HELD", 16)
+    many = langid.fit(x, y, list("abcdefg"), 5)
+    assert np.allclose(one.weights, many.weights, atol=1e-2) and np.allclose(one.bias, many.bias, atol=1e-2)
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 5, 6, 20):
         m = langid.codewords(k)
