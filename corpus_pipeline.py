@@ -15,13 +15,22 @@ from kinetable.llm.common import materialize, prepare, small
 from kinetable.llm.queries import tokenizer_path
 
 
+#: A text is in no language if the best of the learnt languages leads the next by less.
+LEAD = 0.05
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: those without text or a letter."""
+    """Drop documents in which no language is found: those without text or a letter, and those
+    whose two best languages share the score within LEAD. With nothing to learn from, all with
+    a letter stay."""
     prepare(spark)
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike("\\p{L}"))
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # no clash with what is added
     own = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])
-    known = langid.identify(own, list(names.values()), langid.train(docs))
-    return known.where(F.col("lang_pred") != "und").select(*[F.col(n).alias(c) for c, n in names.items()])
+    known = langid.identify(own, list(names.values()), model, LEAD)
+    return known.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:

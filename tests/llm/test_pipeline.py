@@ -55,3 +55,16 @@ def test_empty_corpus(spark, corpus, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, corpus[0]) if "text" in docs.columns else docs
     assert docs.count() == 0
+
+
+def test_language_needs_a_decision_or_letters(spark, monkeypatch):
+    r = random.Random(2)
+    rows = [(i, "".join(r.choices("abcd" if i % 2 else "wxyz", k=80)), "aa" if i % 2 else "bb") for i in range(200)]
+    rows += [(1000, "ab" * 20, None), (1001, "1 2 3", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, df, "").collect()}
+    assert kept == set(range(200)) | {1000}
+    unlabelled = df.withColumn("lang", corpus_pipeline.F.lit(None).cast("string"))
+    assert {x["doc_id"] for x in corpus_pipeline.language_id(spark, unlabelled, "").collect()} == kept
+    monkeypatch.setattr(corpus_pipeline, "LEAD", 1.1)  # no lead is enough: the model's decision counts
+    assert corpus_pipeline.language_id(spark, df, "").count() == 0
