@@ -33,22 +33,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents without those that a group of equals doesn't keep."""
-    gone = materialize(groups.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+def _named(docs: DataFrame) -> DataFrame:
+    """The documents with ``_id``: doc_id, but where rows of one id differ in text, all texts of
+    it but one get an id of their own from a hash, above those of real documents."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.select(F.col("doc_id").alias("_own"), digest.alias("_h")).where("_own is not null").groupBy("_own")
+    several = materialize(ids.agg(F.min("_h").alias("_least"), F.max("_h").alias("_most")).where("_least < _most").select("_own", "_least"), "several")
+    other = F.xxhash64("doc_id", digest).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    out = docs.join(small(several), F.col("doc_id") == F.col("_own"), "left")
+    return out.withColumn("_id", F.when(digest != F.col("_least"), other).otherwise(F.col("doc_id").cast("long"))).drop("_own", "_least")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, keep the one with the longest text."""
+    """Of documents equal but for white space, keep the one with the longest text, and one row
+    of it. Rows of one id with different texts are judged each by its text."""
     prepare(spark)
-    return _without(docs, exact.exact_groups(docs))
+    groups = exact.exact_groups(docs, carry={"_h": F.sha2(F.col("norm").cast("binary"), 256)})
+    groups = materialize(groups.where("doc_id is not null and group_size > 1").select(F.col("doc_id").alias("_own"), F.col("_h").alias("_n"), "kept"), "groups")
+    digest = F.sha2(exact.normalised(F.col("text")).cast("binary"), 256)
+    same = (F.col("doc_id") == F.col("_own")) & (digest == F.col("_n"))
+    gone = materialize(groups.where("not kept").select("_own", "_n").distinct(), "gone")
+    left = docs.join(small(gone), same, "left_anti")
+    many = materialize(groups.where("kept").groupBy("_own", "_n").count().where("count > 1").select("_own", "_n"), "many")
+    # of repeated rows the longest text, by a partial aggregation
+    row, order = F.struct(*docs.columns), F.struct(F.char_length("text"), F.xxhash64("text"))
+    one = left.join(small(many), same).groupBy("_own", "_n").agg(F.max_by(row, order).alias("_row")).select("_row.*")
+    return left.join(small(many), same, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the document with the smallest id."""
     prepare(spark)
-    return _without(docs, icws.near_duplicates(docs, threshold=0.8))
+    named = _named(docs)
+    groups = icws.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), threshold=0.8)
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return named.join(small(gone), "_id", "left_anti").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,17 @@ def test_language_needs_a_decision_or_letters(spark, monkeypatch):
     assert {x["doc_id"] for x in corpus_pipeline.language_id(spark, unlabelled, "").collect()} == kept
     monkeypatch.setattr(corpus_pipeline, "LEAD", 1.1)  # no lead is enough: the model's decision counts
     assert corpus_pipeline.language_id(spark, df, "").count() == 0
+
+
+def test_rows_of_one_id(spark):
+    r = random.Random(4)
+    a, b, c, d = (text(r) for _ in range(4))
+    near = a.split()
+    near[60] = "changed"
+    rows = [(1, a), (2, b), (2, b), (2, b + " "), (3, a), (3, c), (4, " ".join(near)), (4, d), (None, b), (5, None), (5, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    exact = corpus_pipeline.exact_dedup(spark, df, "")
+    got = [(x["doc_id"], x["text"]) for x in exact.collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b + " "), (3, c), (4, " ".join(near)), (4, d), (None, b), (5, None)], key=repr)
+    left = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, exact, "").collect()]
+    assert sorted(left, key=repr) == sorted([(1, a), (2, b + " "), (3, c), (4, d), (None, b), (5, None)], key=repr)
