@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -51,7 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -64,7 +68,41 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in written:
+        jvm = df.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def release(*caches: dict) -> None:
+    """Empty caches and give freed memory back to the system."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of batches whose worker gives its memory back at the end of the task: workers
+    serve task after task, and would else keep the most that any of them took."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -97,3 +135,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows;
     beyond that it is joined by a shuffle. For narrow tables of ids and keys."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: A group is hot if it has more than one in so many of all rows; so there are fewer than that.
+HOT_GROUPS = 1024
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with the row of their group (written ``groups``: one row a key, ``n`` rows
+    in the group). Hot groups are fewer than HOT_GROUPS, so they are broadcast, and none of
+    them meets in one task; the others are joined by a shuffle."""
+    hot = groups.where(F.col(n) * HOT_GROUPS > total)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(n) * HOT_GROUPS <= total), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)

@@ -2,6 +2,9 @@
 
 Each step is one aggregation and one join over the links, whose keys are pre-aggregated,
 and its result is written to the shared folder. Nothing goes to the driver but a count.
+
+Rows: links may repeat and come in either order; a link of a node with itself or with a null
+end is left out (a node that has no other link isn't returned); no links give no rows.
 """
 
 from __future__ import annotations
@@ -9,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of a link the smallest node it reaches."""
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()  # greatest and least skip nulls: then u = v
     e = materialize(e, "links")
     while True:
         # large star: neighbours above a node go to the smallest of its neighbourhood
@@ -27,7 +30,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).where("u > v").distinct()
         new = materialize(small, "links")
         if _mark(new) == _mark(e):
+            discard(new)
             break
+        discard(e)
         e = new
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

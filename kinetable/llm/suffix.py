@@ -9,17 +9,18 @@ compared with those in the bucket of its anchor's 16-gram.
 1. Whole texts that equal one with a smaller id need no search: they go as a whole.
 2. Anchors (one in about 18 positions) are dealt by 16-gram, 8 bytes each and packed many
    to a row; those whose 16-gram is in one document only are dropped.
-3. Around the others the text that their strings cover is dealt by 16-gram. In each bucket
-   suffixes are refined: the identifier of a suffix's first 16 bytes is made from those of
-   8 bytes at offsets 0 and 8, that of 32 from those of 16 at offsets 0 and 16, and so on up
-   to ``length``, each level computed once for all positions and used again at every later
-   offset. Sorting on the last identifier leaves equal strings side by side, smallest
-   document first; bytes are compared before anything is removed.
+3. Around the others the text that their strings cover is dealt by 16-gram. There suffixes
+   are put in buckets by their first 8 bytes, and each position points to its bucket. Then
+   the members of each bucket are sorted by the pointers at the offset up to which they are
+   known to be equal, which splits the bucket and gives its members new pointers; the next
+   step reads these, so each step doubles the depth. A bucket of one member, or of one
+   document, is settled and not sorted again. Buckets are exact: no hash decides.
 4. Intervals go back to their documents.
 
 Before each shuffle a task keeps, of equal entries, the one of its smallest document and
 decides the others at once, so a passage that a third of all documents share arrives once
-for each batch of text, not for each document.
+for each batch of text, not for each document. A text longer than a block is searched in
+pieces that overlap by ``length`` - 1 bytes, so each string lies in one piece.
 
 Rows: null text is empty; texts shorter than ``length`` stay as they are; a row with a null
 id neither removes nor loses anything; rows with the same id don't remove from each other,
@@ -37,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, small, text_groups, texts_of
+from .common import discard, frugal, materialize, prepare, release, small, text_groups, with_groups
 
-#: Bytes in an anchor's gram; text that a part or bucket stands for.
-GRAM, PART_BYTES = 16, 12 << 20
-#: Bytes of text that are searched at once, and positions whose identifiers are made at once.
-BLOCK, STEP = 1 << 20, 1 << 18
+#: Bytes in an anchor's gram, and in the first buckets' grams; text that a part or bucket stands for.
+GRAM, FIRST, PART_BYTES = 16, 8, 3 << 20
+#: Bytes of text that are searched at once, and whose anchors are dealt at once; positions whose
+#: hashes are made at once.
+BLOCK, DEAL, STEP = 1 << 20, 16 << 20, 1 << 18
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -120,7 +122,7 @@ class Block:
         return first, at[first], gram[at[first]]
 
     def identifiers(self) -> np.ndarray:
-        """Of the ``length`` bytes at every position, by refinement from eight bytes."""
+        """Hashes of the ``length`` bytes at every position, from those of eight bytes."""
         out = np.empty(len(self.bytes) - self.length + 1, np.uint64)
         for begin in range(0, len(out), STEP):
             ids, depth = _mix(self.eight[begin : begin + STEP + self.length - 8]), 8
@@ -139,6 +141,62 @@ class Block:
         return ok
 
 
+def refine(eight: np.ndarray, room: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Positions whose ``length`` bytes also start in another document, the least document that
+    has them, and how many positions were sorted in each step.
+
+    ``eight`` holds the eight bytes at each position, ``room`` the bytes up to the end of its
+    text, ``doc`` the number of its document. A pointer is the number of a position's bucket;
+    a step sorts the members of open buckets by (own pointer, pointer at the offset ``depth``).
+    """
+    room = np.asarray(room)
+    place = np.flatnonzero(room >= FIRST)
+    order = np.argsort(eight[place])
+    place, pointer, depth, used, sorted_ = place[order], np.zeros(len(eight), np.int64), FIRST, 0, []
+    key = eight[place]
+    while True:
+        sorted_.append(len(place))
+        if not len(place):
+            return place, place, sorted_
+        new = np.r_[True, key[1:] != key[:-1]]
+        begin, bucket = np.flatnonzero(new), np.cumsum(new) - 1
+        pointer[place] = bucket + used
+        used += len(begin)
+        least, most = np.minimum.reduceat(doc[place], begin), np.maximum.reduceat(doc[place], begin)
+        if depth == length:
+            shared = (least < most)[bucket]
+            return place[shared], least[bucket[shared]], sorted_
+        step = min(depth, length - depth)
+        place = place[(least < most)[bucket] & (room[place] >= depth + step)]
+        key = (pointer[place] << 32) | pointer[place + step]
+        order = np.argsort(key)
+        place, key = place[order], key[order]
+        depth += step
+
+
+def pieces(rows: Iterator[tuple], length: int, limit: int) -> Iterator[list[tuple]]:
+    """Lists of (..., where the piece begins in its text, bytes) with about ``limit`` bytes each,
+    from rows of (..., bytes). Each string of ``length`` bytes lies in one piece."""
+    held, size = [], 0
+    for *own, text in rows:
+        for base in range(0, len(text) - length + 1, limit):
+            part = text[base : base + limit + length - 1]
+            held.append((*own, base, part))
+            size += len(part)
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Rows of the named columns, then the text as bytes."""
+    for b in text_groups(batches):
+        at = [b.schema.get_field_index(n) for n in names]
+        yield from zip(*[b.column(i).to_pylist() for i in at], b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), strict=True)
+
+
 def _dealt(target: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns' rows by target."""
     order = np.argsort(target, kind="stable")
@@ -156,28 +214,35 @@ def _anchor_rows(length: int, parts: int):
     """Texts to packed anchors: a target from 0 is a bucket of 16-grams; a negative one a part
     of documents, to which anchors go that are known to be shared."""
 
+    def deal(own: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((own, gram))
+        own, pos, gram = own[order], pos[order], gram[order]
+        head = _first(gram)
+        least, ends = own[head], np.flatnonzero(np.r_[gram[1:] != gram[:-1], True])
+        shared = np.repeat(own[ends] != least[ends], np.diff(np.r_[-1, ends]))
+        out = [(-1 - p, _dump(d, x)) for p, (d, x) in _dealt(part_of(own[shared], parts), [own[shared], pos[shared]])]
+        send = ~shared | (head == np.arange(len(head)))
+        route = _mix(gram[send] + _A)
+        rest = (route & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        out += [(p, _dump(*c)) for p, c in _dealt(((route >> _S) % np.uint64(parts)).astype(np.int64), [rest, own[send], pos[send]])]
+        return _rows(out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_groups(batches, limit=2 * BLOCK):
-            doc = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            block = Block([t.encode() for t in texts_of(b)], length)
+        held, size = [], 0
+        for block_rows in pieces(_rows_of(batches, "doc_id"), length, 2 * BLOCK):
+            doc, base = (np.array([r[k] for r in block_rows], np.int64) for k in (0, 1))
+            block = Block([r[2] for r in block_rows], length)
             first, at, gram = block.anchors()
-            if not len(at):
-                continue
             text = block.text[first]
-            own, pos = doc[text], (at - block.starts[text]).astype(np.uint32)
-            order = np.lexsort((own, gram))
-            own, pos, gram = own[order], pos[order], gram[order]
-            head = _first(gram)
-            least, ends = own[head], np.flatnonzero(np.r_[gram[1:] != gram[:-1], True])
-            shared = np.repeat(own[ends] != least[ends], np.diff(np.r_[-1, ends]))
-            out = [(-1 - p, _dump(d, x)) for p, (d, x) in _dealt(part_of(own[shared], parts), [own[shared], pos[shared]])]
-            send = ~shared | (head == np.arange(len(head)))
-            route = _mix(gram[send] + _A)
-            rest = (route & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out += [(p, _dump(*c)) for p, c in _dealt(((route >> _S) % np.uint64(parts)).astype(np.int64), [rest, own[send], pos[send]])]
-            yield _rows(out)
+            held.append((doc[text], (base[text] + at - block.starts[text]).astype(np.uint32), gram))
+            size += int(block.starts[-1])
+            if size >= DEAL:
+                yield deal(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield deal(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return run
+    return frugal(run)
 
 
 def _shared_rows(parts: int):
@@ -212,17 +277,15 @@ def _context_rows(length: int, parts: int):
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order].astype(np.int64)
         out = []
-        for b in text_groups(docs.select(["doc_id", "text_hash", "text"]).to_batches(), limit=BLOCK):
-            doc, own_hash = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            block = Block([t.encode() for t in texts_of(b)], length)
+        for block_rows in pieces(_rows_of(docs.to_batches(), "doc_id", "text_hash"), length, BLOCK):
+            doc, own_hash, base = (np.array([r[k] for r in block_rows], np.int64) for k in range(3))
+            block = Block([r[3] for r in block_rows], length)
             first, at, gram = block.anchors()
-            if not len(at):
-                continue
             marked = np.zeros(int(block.starts[-1]) + 1, bool)
             for i, d in enumerate(doc.tolist()):
                 lo, hi = np.searchsorted(owner, [d, d + 1])
-                p = place[lo:hi] + block.starts[i]
-                marked[p[p < block.starts[i + 1]]] = True
+                p = place[lo:hi] - base[i]
+                marked[p[(p >= 0) & (p < block.sizes[i])] + block.starts[i]] = True
             keep = marked[at]
             count = np.diff(np.r_[first, len(block.window)])[keep]
             first, gram = first[keep], gram[keep]
@@ -234,7 +297,7 @@ def _context_rows(length: int, parts: int):
             lead = _first(whole)
             equal = (count == count[lead]) & block.same(begin, begin[lead]) & block.same(begin + count - 1, (begin + count - 1)[lead])
             done = equal & (doc[text] > doc[text[lead]])
-            pos = (begin - block.starts[text]).astype(np.uint32)
+            pos = (begin - block.starts[text] + base[text]).astype(np.uint32)
             if done.any():
                 t = text[done]
                 out.append((-1 - key[0].as_py(), _dump(doc[t], own_hash[t], pos[done], pos[done] + (count[done] + length - 1).astype(np.uint32))))
@@ -261,53 +324,53 @@ def _interval_rows(length: int, parts: int):
         doc, own_hash, pos, count, text = (np.concatenate(c) for c in zip(*each, strict=True))
         size = count.astype(np.int64) + length - 1
         starts = np.r_[0, np.cumsum(size)]
-        block = Block([text.tobytes()], length)
-        entry = np.repeat(np.arange(len(doc)), count)
-        nth = np.arange(len(entry)) - np.repeat(np.r_[0, np.cumsum(count.astype(np.int64))[:-1]], count)
-        at = starts[entry] + nth
-        ids = block.identifiers()[at]
-        order = np.lexsort((doc[entry], ids))
-        lead = _first(ids[order])
-        a, b = at[order], at[order][lead]
-        hit = doc[entry[order]] > doc[entry[order][lead]]
-        equal = block.same(a, b)
-        if not equal.all():  # two strings with one identifier: decide those buckets by their bytes
-            for g in np.unique(lead[~equal]):
-                least: dict[bytes, int] = {}
-                for i in np.flatnonzero(lead == g):
-                    s, d = block.bytes[a[i] : a[i] + length].tobytes(), int(doc[entry[order[i]]])
-                    hit[i] = d > least.setdefault(s, d)
-        found = np.zeros(len(entry), bool)
-        found[order[hit]] = True
-        edge = found & ~np.r_[False, found[:-1] & (entry[1:] == entry[:-1])]
-        last = found & ~np.r_[found[1:] & (entry[1:] == entry[:-1]), False]
-        e, begin, end = entry[edge], nth[edge], nth[last] + length
-        cols = [doc[e], own_hash[e], (pos[e] + begin).astype(np.uint32), (pos[e] + end).astype(np.uint32)]
-        return pa.Table.from_batches([_rows([(p, _dump(*c)) for p, c in _dealt(part_of(doc[e], parts), cols)])])
+        eight = Block([text.tobytes()], length).eight[: len(text)]
+        entry = np.repeat(np.arange(len(doc), dtype=np.int32), size)
+        room = (np.repeat(starts[1:], size) - np.arange(len(text))).astype(np.int32)
+        rank = np.unique(doc, return_inverse=True)[1].astype(np.int32)
+        at, least, _ = refine(eight, room, rank[entry], length)
+        hit = np.sort(at[rank[entry[at]] > least])
+        edge = np.r_[True, (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])] if len(hit) else np.zeros(0, bool)
+        e, begin = entry[hit[edge]], hit[edge]
+        end = hit[np.r_[edge[1:], True]] + length if len(hit) else hit
+        cols = [doc[e], own_hash[e], (pos[e] + begin - starts[e]).astype(np.uint32), (pos[e] + end - starts[e]).astype(np.uint32)]
+        out = pa.Table.from_batches([_rows([(p, _dump(*c)) for p, c in _dealt(part_of(doc[e], parts), cols)])])
+        release()
+        return out
 
     return run
 
 
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals that overlap or touch as one."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order].astype(np.int64), np.maximum.accumulate(end[order].astype(np.int64))
+    new = np.r_[True, begin[1:] > end[:-1]] if len(begin) else np.zeros(0, bool)
+    return begin[new], end[np.r_[new[1:], True]] if len(begin) else end
+
+
 def _cut(docs: pa.Table, intervals: pa.Table, whole_characters: bool) -> Iterator[tuple]:
     each = [_load(x.as_py(), "<i8", "<i8", "<u4", "<u4") for x in intervals["blob"]]
     owner, own_hash, begin, end = (np.concatenate(c) for c in zip(*each, strict=True)) if each else [np.zeros(0, np.int64)] * 4
     order = np.lexsort((own_hash, owner))
     owner, own_hash, begin, end = (x[order] for x in (owner, own_hash, begin, end))
-    for doc, h, text in zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist(), docs["text"].to_pylist(), strict=True):
-        b = np.frombuffer((text or "").encode(), np.uint8)
+    for doc, h, text in _rows_of(docs.to_batches(), "doc_id", "text_hash"):
         lo, hi = np.searchsorted(owner, [doc, doc + 1])
         mine = np.arange(lo, hi)[own_hash[lo:hi] == h]
-        step = np.zeros(len(b) + 1, np.int64)
-        np.add.at(step, begin[mine], 1)
-        np.add.at(step, end[mine], -1)
-        gone = np.cumsum(step[:-1]) > 0
-        if whole_characters and gone.any():  # keep a character of which a byte stays
-            char = np.cumsum((b & 0xC0) != 0x80) - 1
-            stays = np.zeros(char[-1] + 1, bool)
-            stays[char[~gone]] = True
-            gone = ~stays[char]
-        spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]]))
-        yield doc, h, int(gone.sum()), spans, b[~gone].tobytes()
+        spans = []
+        for x, y in zip(*(c.tolist() for c in merged(begin[mine], end[mine])), strict=True):
+            if whole_characters:  # keep a character of which a byte stays
+                while x < y and text[x] & 0xC0 == 0x80:
+                    x += 1
+                while x < y < len(text) and text[y] & 0xC0 == 0x80:
+                    y -= 1
+            if x < y:
+                spans.append((x, y))
+        kept, last = [], 0
+        for x, y in spans:
+            kept.append(text[last:x])
+            last = y
+        yield doc, h, sum(y - x for x, y in spans), len(spans), b"".join([*kept, text[last:]])
 
 
 def _cut_rows(whole_characters: bool):
@@ -340,8 +403,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, whole_characters: bool = F
     facts = materialize(rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length)).select("doc_id", "text_hash", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "facts")
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, math.ceil(total / PART_BYTES))
-    groups = facts.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sha", "least")
-    copies = materialize(facts.join(groups, "sha").where("doc_id > least").select("doc_id", "text_hash").distinct(), "copies")
+    groups = facts.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("sha", "least", "n")
+    groups = materialize(groups, "groups")
+    copies = materialize(with_groups(facts, groups, ["sha"], "n", facts.count()).where("doc_id > least").select("doc_id", "text_hash").distinct(), "copies")
+    discard(facts, groups)
 
     key = ["doc_id", "text_hash"]
     long = rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length)).join(small(copies), key, "left_anti")
