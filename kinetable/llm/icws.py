@@ -11,12 +11,16 @@ row; an estimate is at most a few parts in a million of all shingles too high),
 gathered and broadcast doesn't grow with the data. The frequency only scales weights from
 1 to 1 + IDF, so the similarity stays close to the unweighted one.
 
-Equal texts are one document here; copies join its class at the end. In a bucket all are
-compared with the smallest id first. In each further round four times as many others become
-representatives and are compared with all in the bucket that are of another class so far; then
-they leave it. This ends when what is left in each bucket is of one class, so every pair that
-shares a bucket is compared, or of one class by other links. Pairs whose samples already tell
-that they are far below the threshold (over four standard deviations) are not read again.
+Equal texts are one document here; copies join its class at the end. Documents that share a
+bucket meet at its smallest id, their representative, so a pair that shares several buckets
+meets once. First all are compared with their representative. Then, wherever documents of one
+representative are still in different classes, all their pairs of different classes are
+compared: the members are cut into blocks by class and bytes, and two blocks at a time are
+compared in one task, by a product of their matrices of shingles. Only links that join two
+classes come out, so what is written stays in proportion to the documents however many pairs
+are compared. So every pair that shares a bucket is compared, or of one class by other links.
+Where the samples of a document and its representative already tell that they are far below
+the threshold (over four standard deviations), their texts are not read.
 
 Rows: a null, empty or blank text, and a null id, is alone in its class; rows with the same
 id are one document; further columns are not read.
@@ -25,6 +29,7 @@ id are one document; further columns are not read.
 from __future__ import annotations
 
 import functools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,14 +38,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import materialize, prepare, small, text_groups, texts_of
+from .common import discard, frugal, materialize, prepare, release, small, text_groups, texts_of, with_groups
 from .components import components
-from .shingles import bags, mix
+from .shingles import _WORDS, bags, mix
 
 WIDTH, DEPTH, CHUNK, IDF = 1 << 18, 2, 1 << 13, 0.25
 _CHUNKS = WIDTH * DEPTH // CHUNK
+#: Members and bytes of text in a block; bytes of text that one group of blocks stands for;
+#: columns of a matrix of shingles that are multiplied at once.
+MEMBERS, BLOCK_BYTES, GROUP_BYTES, COLUMNS = 256, 1 << 20, 4 << 20, 8192
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
@@ -118,17 +125,76 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / max(float(a[1].sum() + b[1].sum()) - both, 1e-12)
 
 
+def links_within(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cls: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the classes of the sets as all pairs of different classes with a
+    weighted Jaccard similarity from the threshold up do; sets on one side > 0 aren't compared
+    with each other. A set is (hashes, counts, weights), its weight of a hash the count times
+    a factor that is the same in all sets."""
+    n, total = len(sets), np.array([float(w.sum()) for _, _, w in sets])
+    differ = np.triu(cls[:, None] != cls[None, :], 1) & ~((side[:, None] == side[None, :]) & (side[:, None] > 0))
+    i, j = np.nonzero(differ)
+    if len(i) <= 8:
+        good = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if similarity(sets[x][::2], sets[y][::2]) >= threshold]
+        return _forest(list(zip(i[good].tolist(), j[good].tolist(), strict=True)), cls)
+    # a column for each occurrence of a shingle that two sets have: products are then minima
+    h = np.concatenate([np.repeat(x, c) for x, c, _ in sets])
+    nth = np.concatenate([np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c, _ in sets])
+    factor = np.concatenate([np.repeat(w / c, c) for _, c, w in sets])
+    row = np.repeat(np.arange(n), [int(c.sum()) for _, c, _ in sets])
+    key = mix(h ^ (nth.astype(np.uint64) << np.uint64(48)))
+    order = np.argsort(key)
+    key, row, factor = key[order], row[order], np.sqrt(factor[order])
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    shared = (np.bincount(column) > 1)[column] if len(column) else new
+    row, factor, column = row[shared], factor[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        m = np.zeros((n, COLUMNS if b < len(column) else int(column[-1]) + 1 - k * COLUMNS), np.float32)
+        m[row[a:b], column[a:b] - k * COLUMNS] = factor[a:b]
+        both += m @ m.T
+    s = (both / np.maximum(total[:, None] + total[None, :] - both, 1e-12))[i, j]
+    near = np.flatnonzero(s >= threshold - 1e-3)
+    near = near[np.argsort(-s[near], kind="stable")]
+    sure = s[near] >= threshold + 1e-3
+    found = ((x, y) for x, y, ok in zip(i[near].tolist(), j[near].tolist(), sure.tolist(), strict=True) if ok or similarity(sets[x][::2], sets[y][::2]) >= threshold)
+    return _forest(found, cls)
+
+
+def _forest(links, cls: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between items those that join two classes that earlier ones haven't joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for i, j in links:
+        a, b = root(int(cls[i])), root(int(cls[j]))
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 4, words: int = 5) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (smallest id of its class), kept."""
     spark = prepare(docs.sparkSession)
     n = bands * rows
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = materialize(base.where("doc_id is not null and text rlike '\\\\S'").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "facts")
-    groups = facts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = materialize(facts.join(groups, "sha").where("doc_id > first").select("doc_id", "first").distinct(), "copies")
-    distinct = base.where("doc_id is not null and text rlike '\\\\S'").join(small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
+    own = base.where("doc_id is not null and text rlike '\\\\S'")
+    facts = materialize(own.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "facts")
+    groups = facts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    groups, total = materialize(groups.select("sha", "first", "n"), "groups"), facts.count()
+    copies = materialize(with_groups(facts, groups, ["sha"], "n", total).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
+    discard(facts, groups)
+    # a row with the id of a copy, whatever its text, is that document's; so its text counts too
+    distinct = own.join(small(copies.select("doc_id")), "doc_id", "left_anti")
 
-    weights = spark.sparkContext.broadcast(Weights(document_frequencies(distinct, words), facts.count()))
+    weights = spark.sparkContext.broadcast(Weights(document_frequencies(distinct, words), total))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_groups(batches):
@@ -137,78 +203,101 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
             if not len(h):
                 continue
             s = samples(text, h, weights.value(h, count), n)
-            own = ids[np.unique(text)]
-            keys = mix(np.arange(bands, dtype=np.uint64))[None, :] + np.zeros((len(own), 1), np.uint64)
+            one = np.unique(text)
+            keys = mix(np.arange(bands, dtype=np.uint64))[None, :] + np.zeros((len(one), 1), np.uint64)
             for k in range(rows):
                 keys = mix(keys ^ s[:, k::rows])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(own, pa.int64()),
+                "doc_id": pa.array(ids[one], pa.int64()),
+                "n_bytes": b.column(2).take(pa.array(one)),
                 "keys": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                 "sketch": pa.array(list((s & np.uint64(0x7FFF)).astype(np.int16)), pa.list_(pa.int16())),
             })
+        _WORDS.clear()
 
-    signed = materialize(distinct.mapInArrow(sign, "doc_id long, keys array<long>, sketch array<short>"), "signed")
+    signed = distinct.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    signed = materialize(signed.mapInArrow(frugal(sign), "doc_id long, n_bytes long, keys array<long>, sketch array<short>"), "signed")
     member = signed.select("doc_id", F.explode("keys").alias("key")).distinct()
-    sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1")
-    member = materialize(member.join(sizes, "key").where("doc_id > rep").select("key", "doc_id", "rep"), "member")
+    sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("key", "rep")
+    member = materialize(member.join(sizes, "key").where("doc_id > rep").select("doc_id", "rep").distinct(), "member")
     ids = materialize(member.select("doc_id").union(member.select("rep")).distinct(), "ids")
     texts = materialize(distinct.join(small(ids), "doc_id", "left_semi"), "texts")
-    sketch = materialize(signed.join(small(ids), "doc_id", "left_semi").select("doc_id", "sketch"), "sketch")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bag = functools.lru_cache(64)(lambda t: (lambda x, h, c: (h, weights.value(h, c)))(*bags([t], words)))
-            for b in batches:
-                doc, rep, t, u = (c.to_pylist() for c in b.columns)
-                s = [similarity(bag(x), bag(y)) for x, y in zip(t, u, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "rep": pa.array(rep, pa.int64()), "similarity": pa.array(s, pa.float64())})
-
-        left = texts.join(small(pairs), "doc_id").select("rep", "doc_id", "text")
-        right = texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text"))
-        both = left.join(right, "rep").select("doc_id", "rep", "text", "rep_text")
-        return materialize(both.mapInArrow(run, "doc_id long, rep long, similarity double"), "verified")
+    sketch = materialize(signed.join(small(ids), "doc_id", "left_semi").select("doc_id", "n_bytes", "sketch"), "sketch")
 
     # Far below the threshold: over four standard deviations of the share of equal samples.
     least = int(n * (threshold - 4.2 * (threshold * (1 - threshold) / n) ** 0.5))
-    one, two = sketch.select("doc_id", F.col("sketch").alias("a")), sketch.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("b"))
-    equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    pairs, seen, take = member.select("doc_id", "rep").distinct(), [], 1
-    member = member.select("key", "doc_id")  # who has not been a representative
-    classes = materialize(copies.where("false").select(F.col("doc_id").alias("node"), F.col("first").alias("component"), F.lit(0).cast("long").alias("degree")), "classes")
-    while True:
-        far = materialize(pairs, "far")
-        pairs = one.join(small(far), "doc_id").join(two, "rep") if take == 1 else small(one.join(small(far), "doc_id")).join(two, "rep")
-        pairs = materialize(pairs.where(equal >= least).select("doc_id", "rep"), "pairs")
-        if not pairs.isEmpty():
-            good = verify(pairs).where(F.col("similarity") >= threshold).select("doc_id", "rep")
-            seen.append(pairs)
-            if not good.isEmpty():
-                ends = good.select("doc_id").unionAll(good.select("rep")).toDF("node").withColumn("degree", F.lit(1).cast("long"))
-                degree = ends.unionAll(classes.select("node", "degree")).groupBy("node").agg(F.sum("degree").alias("degree"))
-                known = classes.select("node", "component").toDF("a", "b")
-                classes = materialize(components(known.unionByName(good.toDF("a", "b"))).join(degree, "node"), "classes")
-        # a bucket is done when those left in it are of one class
-        named = member.join(small(classes.select(F.col("node").alias("doc_id"), "component", "degree")), "doc_id", "left")
-        named = materialize(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("class"), F.coalesce("degree", F.lit(0)).alias("degree")), "named")
-        open_keys = named.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-        member = materialize(named.join(small(open_keys), "key", "left_semi"), "member")
-        if member.isEmpty():
-            break
-        # the next: those with most links, such as an original, and those with fewest
-        ends = []
-        for first in (F.desc("degree"), F.asc("degree")):
-            place = F.row_number().over(Window.partitionBy("key").orderBy(first, F.xxhash64("doc_id"), "doc_id"))
-            ends.append(member.withColumn("nth", place).where(F.col("nth") <= 2 * take).select("key", F.col("doc_id").alias("rep"), F.col("class").alias("rep_class")))
-        take *= 4
-        reps = materialize(ends[0].union(ends[1]).distinct(), "reps")
-        pairs = member.join(small(reps), "key").where("class <> rep_class")
-        pairs = pairs.select(F.greatest("doc_id", "rep").alias("doc_id"), F.least("doc_id", "rep").alias("rep")).distinct()
-        if seen:
-            pairs = pairs.join(small(functools.reduce(DataFrame.unionByName, seen)), ["doc_id", "rep"], "left_anti")
-        member = member.join(small(reps.select("key", F.col("rep").alias("doc_id"))), ["key", "doc_id"], "left_anti").select("key", "doc_id")
+    schema = "a long, b long"
+
+    def compare(key, group):
+        """Links of each task-sized lot of (part, doc_id, class, side, text)."""
+        part, doc, cls, side = (group[c].to_numpy() for c in ("part", "doc_id", "class", "side"))
+        order = np.lexsort((doc, side, part))
+        edge = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+        text, out = group["text"].combine_chunks(), []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            o = order[x:y]
+            at, h, count = bags(text.take(pa.array(o)).to_pylist(), words)
+            w, cut = weights.value(h, count), np.searchsorted(at, np.arange(len(o) + 1))
+            sets = [(h[p:q], count[p:q], w[p:q]) for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            out += [(int(doc[o[i]]), int(doc[o[j]])) for i, j in links_within(sets, cls[o], side[o], threshold)]
+        release(_WORDS)
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def compared(lots: DataFrame, name: str) -> DataFrame:
+        """``lots``: part (what is compared together), doc_id, class, side, n_bytes."""
+        lots = materialize(lots, "lots")
+        tasks = max(1, math.ceil((lots.agg(F.sum("n_bytes")).first()[0] or 0) / GROUP_BYTES))
+        dealt = lots.withColumn("task", F.pmod("part", F.lit(tasks))).drop("n_bytes")
+        return materialize(texts.join(small(dealt), "doc_id").groupBy("task").applyInArrow(compare, schema), name)
+
+    # 1. each with its representative; one of many is compared in parts of MEMBERS
+    one, two = sketch.select("doc_id", "n_bytes", F.col("sketch").alias("x")), sketch.select(F.col("doc_id").alias("rep"), F.col("n_bytes").alias("rep_bytes"), F.col("sketch").alias("y"))
+    equal = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    pairs = member.join(one, "doc_id").join(two, "rep").where(equal >= least).select("rep", "doc_id", "n_bytes", "rep_bytes")
+    pairs = materialize(pairs.groupBy("rep", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.max("rep_bytes").alias("rep_bytes")), "pairs")
+    fans = pairs.groupBy("rep").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n_bytes") / BLOCK_BYTES)).alias("parts"), F.max("rep_bytes").alias("n_bytes"))
+    fans = materialize(fans, "fans")
+    share = F.pmod(F.xxhash64(F.lit(3), "doc_id"), "parts")
+    zero, lot = F.lit(0), F.xxhash64("rep", "share").alias("part")
+    leads = fans.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    leads = leads.select(lot, F.col("rep").alias("doc_id"), F.col("rep").alias("class"), zero.alias("side"), "n_bytes")
+    rest = pairs.select("rep", "doc_id", "n_bytes").join(small(fans.select("rep", "parts")), "rep").withColumn("share", share)
+    rest = rest.select(lot, "doc_id", F.col("doc_id").alias("class"), F.lit(1).alias("side"), "n_bytes")
+    found = compared(leads.unionByName(rest), "near")
+
+    # 2. pairs of different classes that have one representative, which itself is done
+    named = materialize(found.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c")), "named")
+    up = small(named.select(F.col("doc_id").alias("c"), F.col("c").alias("up")))
+    named = materialize(named.join(up, "c", "left").select("doc_id", F.coalesce("up", "c").alias("c")), "named")
+    many = materialize(member.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "many")
+    left = member.join(small(many), "rep", "left_semi").join(small(named), "doc_id", "left")
+    left = left.select("rep", "doc_id", F.coalesce("c", "doc_id").alias("class"))
+    left = materialize(left.join(sketch.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes")), "doc_id"), "left")
+    still = materialize(left.groupBy("rep").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("rep"), "still")
+    left = left.join(small(still), "rep", "left_semi")
+    sizes = left.groupBy("rep", "class").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    sizes = sizes.withColumn("parts", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("bytes") / BLOCK_BYTES)))
+    large = materialize(sizes.where("parts > 1").select("rep", "class", "parts"), "large")  # classes with blocks of their own
+    others = sizes.where("parts = 1").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    others = materialize(others.select("rep", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("bytes") / BLOCK_BYTES)).alias("mixed")), "others")
+    nth = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.pmod(F.xxhash64("class"), "mixed"))
+    blocks = left.join(small(large), ["rep", "class"], "left").join(small(others), "rep", "left")
+    blocks = blocks.select("rep", "doc_id", "class", "n_bytes", F.when(F.col("parts").isNotNull(), F.col("class")).alias("of"), nth.alias("nth"))
+    # two blocks meet unless both are of one class
+    every = large.select("rep", F.col("class").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("nth"))
+    every = every.unionByName(others.select("rep", F.lit(None).cast("long").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mixed") - 1)).alias("nth")))
+    other = every.select("rep", F.col("of").alias("of2"), F.col("nth").alias("nth2"))
+    name, name2 = F.struct(F.coalesce("of", F.lit(-1)), F.col("of").isNull(), "nth"), F.struct(F.coalesce("of2", F.lit(-1)), F.col("of2").isNull(), F.col("nth2").alias("nth"))
+    meet = every.join(other, "rep").where(F.col("of").isNull() | F.col("of2").isNull() | (F.col("of") != F.col("of2")))
+    meet = meet.select("rep", "of", "nth", F.xxhash64("rep", F.least(name, name2), F.greatest(name, name2)).alias("part"), F.when(name == name2, 0).when(name < name2, 1).otherwise(2).alias("side"))
+    meet = materialize(meet, "meet")
+    same = blocks["rep"].eqNullSafe(meet["rep"]) & blocks["of"].eqNullSafe(meet["of"]) & (blocks["nth"] == meet["nth"])
+    lots = blocks.join(small(meet), same).select("part", "doc_id", "class", "side", "n_bytes")
+    more = compared(lots, "more")
 
     out = base.select("doc_id")
-    classes = components(copies.toDF("a", "b").unionByName(classes.select("node", "component").toDF("a", "b")))
+    classes = components(copies.toDF("a", "b").unionByName(found).unionByName(more))
     out = out.join(classes, out["doc_id"] == classes["node"], "left")
     class_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
