@@ -141,10 +141,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_GROUPS = 1024
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with the row of their group (written ``groups``: one row a key, ``n`` rows
     in the group). Hot groups are fewer than HOT_GROUPS, so they are broadcast, and none of
     them meets in one task; the others are joined by a shuffle."""
     hot = groups.where(F.col(n) * HOT_GROUPS > total)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(n) * HOT_GROUPS <= total), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(n) * HOT_GROUPS <= total), on, how)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
