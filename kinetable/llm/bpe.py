@@ -36,6 +36,8 @@ LEAF, CACHE_ENTRIES, CACHE_BYTES = 2048, 600_000, 64 << 20
 
 #: The tokenizer's word pattern (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Byte values that stand for themselves as letters in byte-level vocabularies (fixed values).
+PRINTED = (range(33, 127), range(161, 173), range(174, 256))
 #: Characters whose class, lower case and composition are the same in Python and in the
 #: tokenizer's libraries (tests compare each): ASCII without 1C-1F, Latin letters to 024F.
 UNSURE = regex.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]")
@@ -43,7 +45,7 @@ UNSURE = regex.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]")
 
 def _byte_letters() -> list[str]:
     """The printable letter for each byte that byte-level BPE vocabularies use."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    own = [b for r in PRINTED for b in r]
     rest = iter(range(256, 512))
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
@@ -101,6 +103,10 @@ class Codec:
         get = self.chunks.__getitem__
         return [b"".join(map(get, t.encode().split())) for t in texts]
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.chunks, self.words = Chunks(self._chunk), {}
+
     def _chunk(self, s: str) -> bytes:
         """Ids of a text without ASCII white space."""
         if UNSURE.search(s) or "<|" in s:

@@ -4,14 +4,16 @@ Limits hold at once on tokens, segments and loss-bearing tokens of a sequence. A
 filled by taking, among the pieces that fit, the one with the largest dot product of its
 size vector and the bin's free space (both in units of the limits). When none fits, or
 one segment is left, the piece that fills most of the gap is cut to fill it. Full
-sequences are cut from long documents first. What is left at the end of a partition is
-cut into sequences whose lengths are powers of two, so that nothing is padded there.
+sequences are cut from long documents first. A bin that another limit closes before it is
+full (many short documents, or the end of a partition) is cut into sequences whose lengths
+are powers of two, so that nothing is padded.
 
 Each partition of the scan packs its own documents in windows of bounded size: no shuffle,
 no driver, and a lost task gives the same pieces again, since its input is the same.
 
-Rows: null text counts as empty (one id, the end mark); a document without ids gives no
-piece; rows that repeat a document are packed as documents of their own.
+Rows: null text counts as empty (one id, the end mark), so every row has a piece; rows that
+repeat a document, or have no id, are packed as documents of their own; a document of any
+length is cut as often as it needs. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import codec
-from .common import text_groups, texts_of
+from .common import frugal, text_groups, texts_of
 
 #: Sequences' worth of tokens that a partition holds while it packs.
 WINDOW = 192
@@ -107,7 +109,7 @@ class Packer:
                     self.items[i][1] = end
                     sizes[i] = whole - end, 1, whole - end - self._bare(end, whole, prompt)
                     unit[i] = sizes[i] / self.limits
-            if free[0] and not alive.any() and not keep:
+            if free[0]:  # segments or loss are used up, or nothing is left
                 self._tail(chosen)
             else:
                 self._emit(chosen)
@@ -121,7 +123,8 @@ class Packer:
         return (i, self.items[i][1] + int(take[i])) if take[i] > 0 else (-1, 0)
 
     def _tail(self, chosen: list[tuple]) -> None:
-        """The last, partly filled sequence as sequences of powers of two."""
+        """A partly filled sequence as sequences of powers of two; each obeys all limits, as the
+        pieces did together."""
         left = sum(e - s for _, s, e, _ in chosen)
         queue = chosen[::-1]
         while left:
@@ -170,6 +173,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segmen
             yield from done()
         p.finish()
         yield from done()
+        c.forget()
 
     cols = ["doc_id", "text", *([prompt_col] if prompt_col else [])]
-    return docs.select(*cols).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long")
+    return docs.select(*cols).mapInArrow(frugal(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long")
