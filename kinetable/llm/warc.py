@@ -2,12 +2,17 @@
 
 Records are made by built-in functions and written by Spark's text writer (one gzip stream
 an archive, records parted by the two line ends that the format asks for), so the commit
-protocol and any file system that Spark knows apply. Reading parses each archive as a
-stream by Content-Length and checks every payload against its digest. The reader of an
-archive sorts its index entries: one run. Runs are dealt by ranges of (URL key, timestamp,
-page), so that even one URL's captures spread over tasks, and each task merges its parts of
-the runs with a loser tree. The order of the result is global: ``position`` increases with
-(URL key, timestamp, page) over all partitions.
+protocol and any file system that Spark knows apply. Archives hold about ARCHIVE_BYTES, by
+the mean size of a page. Reading streams each archive: Spark's text reader parts it at the
+words that begin a record, the parser puts parts together until a record has its
+Content-Length, so a task holds one record at a time, and every payload is checked against
+its digest. A task sorts its index entries in runs of at most RUN entries.
+
+Runs are dealt by ranges of (URL key, timestamp, page), so that even one URL's captures
+spread over tasks, and each task merges its parts of the runs externally: what comes in is
+laid on the task's disk run by run, and a loser tree reads the runs batch by batch, in
+several passes if they are more than FAN. The order of the result is global: ``position``
+increases with (URL key, timestamp, page) over all partitions.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest
 page id is a response and the others revisit it.
@@ -15,29 +20,36 @@ page id is a response and the others revisit it.
 Rows: null html is an empty payload; a null or odd URL is written as ``urn:page:<id>`` or
 percent-encoded; rows that repeat a page id all get a record, of the same type; a page whose
 id is null never is a first one (unless alone), and refers to the smallest id of its payload.
+A page's capture time is EPOCH and its id in seconds, modulo SECONDS, so that every id has a
+time of four digits for the year. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import itertools
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, shared_dir, small
+from .common import discard, frugal, materialize, prepare, shared_dir, small, with_groups
 
-#: Records in an archive, and the moment of page 0's capture (a page's own is so many seconds later).
-RECORDS, EPOCH = 4000, 1_704_067_200
-INDEX = "page_id long, url string, url_key string, captured_at string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, record_offset long, record_length long"
+#: Bytes of pages in an archive, the moment of page 0's capture, and seconds after which times repeat.
+ARCHIVE_BYTES, EPOCH, SECONDS = 32 << 20, 1_704_067_200, 10**9
+#: Entries in a run, in a batch of a run on disk, and runs that are merged at once.
+RUN, BATCH, FAN = 50_000, 500, 128
+#: What every record begins with.
+BEGIN = b"WARC/1.1\r\n"
+RUNS = "page_id long, url string, url_key string, captured_at string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, record_offset long, record_length long, run long"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -58,8 +70,11 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     facts = materialize(pages.select("page_id", base32_sha1(payload).alias("digest"), F.length(payload).alias("n")), "facts")
     first = facts.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    again = facts.join(first.where("copies > 1"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n") >= min_bytes))
+    first = materialize(first.where("copies > 1"), "first")
+    rows, size = facts.agg(F.count("*"), F.sum("n")).first()
+    again = with_groups(facts.where(F.col("n") >= min_bytes), first, ["digest"], "copies", rows).where(~F.col("page_id").eqNullSafe(F.col("first")))
     again = materialize(again.select(F.col("page_id").alias("again"), "first").distinct(), "again")
+    discard(facts, first)
 
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).join(small(again), F.col("page_id").eqNullSafe(F.col("again")), "left")
     revisit = F.col("first").isNotNull()
@@ -73,7 +88,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
             F.lit("WARC/1.1"),
             F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
             F.concat(F.lit("WARC-Record-ID: <urn:page:"), own, F.lit(">")),
-            F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+            F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
             F.concat(F.lit("WARC-Target-URI: "), uri),
             F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first"), F.lit(">"))),
@@ -84,29 +99,34 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
         block,
     )
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
+    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES * (rows or 1) // ((size or 0) + 500 * (rows or 1)))).text(folder)
     return folder
 
 
-def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Header, block, offset and length (uncompressed) of each record."""
-    at = 0
-    while True:
-        raw = []
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            raw.append(line)
-        if not line:
-            return
-        if not raw or not raw[0].startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in raw[1:])}
+def records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+    """Header, block, offset and length (uncompressed) of each record, from an archive's parts
+    between the words that begin a record, of which a payload may hold some as well."""
+    at, held = 0, None
+    for i, part in enumerate(parts):
+        if i == 0:  # before the first record
+            if part:
+                raise ValueError("no WARC record at byte 0")
+            continue
+        held = part if held is None else held + BEGIN + part
+        end = held.find(b"\r\n\r\n")
+        if end < 0:
+            continue
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in held[:end].split(b"\r\n"))}
         n = int(head["content-length"])
-        block = stream.read(n)
-        if len(block) != n or stream.read(4) != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
-        length = sum(map(len, raw)) + 2 + n + 4
-        yield head, block, at, length
-        at += length
+        length = end + 4 + n + 4
+        if len(held) < length:
+            continue
+        if len(held) > length or held[-4:] != b"\r\n\r\n":
+            raise ValueError(f"record at byte {at} has a wrong length")
+        yield head, held[end + 4 : end + 4 + n], at, length + len(BEGIN)
+        at, held = at + length + len(BEGIN), None
+    if held is not None:
+        raise ValueError(f"record at byte {at} is cut short")
 
 
 def url_key(url: str) -> str:
@@ -129,32 +149,42 @@ def _number(urn: str | None) -> int | None:
 
 
 def read_archives(spark, folder: str) -> DataFrame:
-    """Index entries of all archives; each archive's are one sorted run."""
+    """Index entries of all archives in sorted runs; ``run`` numbers those of a task."""
+
+    def entry(head: dict[str, str], block: bytes, archive: str, at: int, length: int) -> tuple:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        digest, n = head["warc-payload-digest"].removeprefix("sha1:"), len(payload)
+        if head["warc-type"] == "response":
+            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"payload digest of {head['warc-record-id']} in {archive} is wrong")
+        else:
+            n = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
+        url = head["warc-target-uri"]
+        return (_number(head["warc-record-id"]), url, url_key(url), head["warc-date"], head["warc-type"], n, digest, _number(head.get("warc-refers-to")), archive, at, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for head, block, at, length in records(gzip.GzipFile(fileobj=io.BytesIO(memoryview(content.as_buffer())))):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest = head["warc-payload-digest"].removeprefix("sha1:")
-                    n = len(payload)
-                    if head["warc-type"] == "response":
-                        if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                            raise ValueError(f"payload digest of {head['warc-record-id']} in {path} is wrong")
-                    else:
-                        n = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-                    url = head["warc-target-uri"]
-                    rows.append((url_key(url), head["warc-date"], _number(head["warc-record-id"]), url, head["warc-type"], n, digest, _number(head.get("warc-refers-to")), at, length))
-                rows.sort(key=_order)
-                key, ts, page, url, kind, n, digest, refers, at, length = map(list, zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(key, pa.string()), pa.array(ts, pa.string()), pa.array(kind, pa.string()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(refers, pa.int64()), pa.array([path.rpartition("/")[2]] * len(rows), pa.string()), pa.array(at, pa.int64()), pa.array(length, pa.int64())],
-                    [x.split()[0] for x in INDEX.split(", ")],
-                )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    return files.mapInArrow(run, INDEX)
+        def rows() -> Iterator[tuple[str, bytes]]:
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+
+        def sorted_run(entries: list[tuple]) -> pa.RecordBatch:
+            entries.sort(key=lambda r: _order((r[2], r[3], r[0])))
+            return _batch([(*r, number) for r in entries], arrow_schema(RUNS))
+
+        held, number, base = [], 0, TaskContext.get().partitionId() << 32
+        number = base
+        for path, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            archive = path.rpartition("/")[2]
+            for head, block, at, length in records(x[1] for x in group):
+                held.append(entry(head, block, archive, at, length))
+                if len(held) >= RUN:
+                    yield sorted_run(held)
+                    held, number = [], number + 1
+        if held:
+            yield sorted_run(held)
+
+    files = spark.read.option("lineSep", BEGIN.decode()).option("pathGlobFilter", "part-*").text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(frugal(run), RUNS)
 
 
 def _order(row: tuple) -> tuple:
@@ -162,18 +192,32 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0
 
 
+def arrow_schema(spec: str) -> pa.Schema:
+    return pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in spec.split(", "))])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 class LoserTree:
-    """Merges sorted lists: each inner node keeps the loser of its match, so the next row
-    costs one comparison a level."""
+    """Merges sorted iterators: each inner node keeps the loser of its match, so the next row
+    costs one comparison a level, and one row of each run is held."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.next = runs, [0] * len(runs)
+    def __init__(self, runs: list):
+        self.runs = [iter(r) for r in runs]
         self.k = len(runs)
         self.tree = [-1] * self.k
-        self.keys = [_order(r[0]) if r else None for r in runs]
+        self.rows: list = [None] * self.k
+        self.keys: list = [None] * self.k
         for i in range(self.k):
+            self._next(i)
             self._replay(i)
 
+    def _next(self, i: int) -> None:
+        self.rows[i] = row = next(self.runs[i], None)
+        self.keys[i] = None if row is None else _order(row)
+
     def _beats(self, a: int, b: int) -> bool:
         if self.keys[a] is None or self.keys[b] is None:
             return self.keys[a] is not None
@@ -193,42 +237,73 @@ class LoserTree:
 
     def __iter__(self) -> Iterator[tuple]:
         while self.k and self.keys[w := self.tree[0]] is not None:
-            yield self.runs[w][self.next[w]]
-            self.next[w] += 1
-            self.keys[w] = _order(self.runs[w][self.next[w]]) if self.next[w] < len(self.runs[w]) else None
+            yield self.rows[w]
+            self._next(w)
             self._replay(w)
 
 
+class Spool:
+    """Sorted runs on the disk of one task, written and read batch by batch."""
+
+    def __init__(self, file, schema: pa.Schema):
+        self.file, self.schema, self.size = file, schema, 0
+        self.runs: list[list[tuple[int, int]]] = []
+
+    def append(self, run: list[tuple[int, int]], batch: pa.RecordBatch) -> None:
+        data = memoryview(batch.serialize())
+        self.file.seek(self.size)
+        self.file.write(data)
+        run.append((self.size, len(data)))
+        self.size += len(data)
+
+    def read(self, run: list[tuple[int, int]]) -> Iterator[tuple]:
+        for at, n in run:
+            self.file.seek(at)
+            batch = pa.ipc.read_record_batch(pa.py_buffer(self.file.read(n)), self.schema)
+            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+    def add_sorted(self, rows: Iterator[tuple]) -> list[tuple[int, int]]:
+        run: list[tuple[int, int]] = []
+        while part := list(itertools.islice(rows, BATCH)):
+            self.append(run, _batch(part, self.schema))
+        return run
+
+    def merged(self) -> Iterator[tuple]:
+        """All rows in order; as many passes as leave at most FAN runs for the last."""
+        while len(self.runs) > FAN:
+            self.runs = [self.add_sorted(iter(LoserTree([self.read(r) for r in self.runs[i : i + FAN]]))) for i in range(0, len(self.runs), FAN)]
+        yield from LoserTree([self.read(r) for r in self.runs])
+
+
 def merge_index(index: DataFrame) -> DataFrame:
     """The entries in global order, with ``position``; a task merges one range of keys."""
-    names = index.columns
     lead = ["url_key", "captured_at", "page_id"]
-    order = [*lead, *[c for c in names if c not in lead]]
+    order = [*lead, *[c for c in index.columns if c not in lead]]
+    kinds = dict(x.split() for x in RUNS.split(", "))
+    came, gone = ", ".join(f"{c} {kinds[c]}" for c in order), ", ".join(f"{c} {kinds[c]}" for c in order if c != "run")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for b in batches:
-            of = b.column(order.index("archive")).to_pylist()
-            for archive, row in zip(of, zip(*[c.to_pylist() for c in b.columns], strict=True), strict=True):
-                runs.setdefault(archive, []).append(row)
-        for rows in runs.values():
-            rows.sort(key=_order)  # in order already unless the shuffle moved blocks: linear then
-        base, out = TaskContext.get().partitionId() << 40, []
-        for i, row in enumerate(LoserTree(list(runs.values()))):
-            out.append((*row, base + i))
-            if len(out) == 10_000:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
-
-    schema = index.select(*order).schema.add("position", "long")
-    arrow = pa.schema([(f.name, pa.int64() if f.dataType.typeName() == "long" else pa.string()) for f in schema])
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return index.select(*order).repartitionByRange(*lead).mapInArrow(run, schema)
+        base, schema, at = TaskContext.get().partitionId() << 40, arrow_schema(gone + ", position long"), order.index("run")
+        with tempfile.TemporaryFile() as f:
+            spool, open_runs = Spool(f, arrow_schema(came)), {}
+            for b in batches:
+                numbers = b.column(at).to_numpy()
+                edges = np.r_[0, np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, len(numbers)]
+                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    for k in range(x, y, BATCH):
+                        part = b.slice(k, min(BATCH, y - k))
+                        first, last = (_order(tuple(c[i].as_py() for c in part.columns[:3])) for i in (0, part.num_rows - 1))
+                        known = open_runs.get(int(numbers[x]))
+                        if known is None or known[1] > first:  # the shuffle moved blocks of a run: one more run
+                            known = open_runs[int(numbers[x])] = [[], last]
+                            spool.runs.append(known[0])
+                        spool.append(known[0], part)
+                        known[1] = last
+            rows = ((*r[:at], *r[at + 1 :], base + i) for i, r in enumerate(spool.merged()))
+            while part := list(itertools.islice(rows, 5000)):
+                yield _batch(part, schema)
+
+    return index.select(*order).repartitionByRange(*lead).mapInArrow(frugal(run), gone + ", position long")
 
 
 def capture_history(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
