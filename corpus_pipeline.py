@@ -1,17 +1,22 @@
 """From raw documents to packed training sequences.
 
 Each stage takes the documents that its predecessor kept and returns those it keeps (the last
-one returns packed pieces). Rows that a stage doesn't judge, such as those with a null id in
-the stages on copies, are kept.
+one returns packed pieces). Further columns, whatever their names, go through unchanged, and
+so does ``n_chars`` but where a text is cut; it may be missing.
+
+Rows: a null or empty text has no language and goes in the first stage. Rows of one id are
+judged each by its text; of repeated rows one stays. A row with a null id is compared by the
+exact stage as any other, and isn't judged by the stages on near copies and on repeats, which
+name documents by id. Empty tables give empty results; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.llm import exact, icws, langid, packing, suffix
-from kinetable.llm.common import materialize, prepare, small
+from kinetable.llm.common import discard, materialize, prepare, scratch, small
 from kinetable.llm.queries import tokenizer_path
 
 
@@ -28,46 +33,53 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # no clash with what is added
-    own = docs.select("text", *[F.col(c).alias(n) for c, n in names.items()])
+    own = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     known = langid.identify(own, list(names.values()), model, LEAD)
     return known.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """The documents with ``_id``: doc_id, but where rows of one id differ in text, all texts of
-    it but one get an id of their own from a hash, above those of real documents."""
-    digest = F.xxhash64(F.coalesce("text", F.lit("")))
-    ids = docs.select(F.col("doc_id").alias("_own"), digest.alias("_h")).where("_own is not null").groupBy("_own")
-    several = materialize(ids.agg(F.min("_h").alias("_least"), F.max("_h").alias("_most")).where("_least < _most").select("_own", "_least"), "several")
-    other = F.xxhash64("doc_id", digest).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-    out = docs.join(small(several), F.col("doc_id") == F.col("_own"), "left")
-    return out.withColumn("_id", F.when(digest != F.col("_least"), other).otherwise(F.col("doc_id").cast("long"))).drop("_own", "_least")
+def _inside(docs: DataFrame) -> DataFrame:
+    """The id, the text, and the whole row as one column, so that no other name can clash."""
+    return docs.select(F.col("doc_id").alias("own"), F.col("text").alias("own_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, keep the one with the longest text, and one row
     of it. Rows of one id with different texts are judged each by its text."""
     prepare(spark)
-    groups = exact.exact_groups(docs, carry={"_h": F.sha2(F.col("norm").cast("binary"), 256)})
-    groups = materialize(groups.where("doc_id is not null and group_size > 1").select(F.col("doc_id").alias("_own"), F.col("_h").alias("_n"), "kept"), "groups")
-    digest = F.sha2(exact.normalised(F.col("text")).cast("binary"), 256)
-    same = (F.col("doc_id") == F.col("_own")) & (digest == F.col("_n"))
-    gone = materialize(groups.where("not kept").select("_own", "_n").distinct(), "gone")
-    left = docs.join(small(gone), same, "left_anti")
-    many = materialize(groups.where("kept").groupBy("_own", "_n").count().where("count > 1").select("_own", "_n"), "many")
+    groups = exact.exact_groups(docs, carry={"norm_hash": F.sha2(F.col("norm").cast("binary"), 256)}).where("group_size > 1")
+    marks = groups.groupBy(F.col("doc_id").alias("of"), "norm_hash").agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
+    marks = materialize(marks.where("not stays or rows > 1"), "marks")
+    rows = _inside(docs).withColumn("hash", F.sha2(exact.normalised(F.col("own_text")).cast("binary"), 256))
+    marked = rows.join(small(marks), F.col("own").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("norm_hash")), "left")
     # of repeated rows the longest text, by a partial aggregation
-    row, order = F.struct(*docs.columns), F.struct(F.char_length("text"), F.xxhash64("text"))
-    one = left.join(small(many), same).groupBy("_own", "_n").agg(F.max_by(row, order).alias("_row")).select("_row.*")
-    return left.join(small(many), same, "left_anti").select(*docs.columns).unionByName(one)
+    order = F.struct(F.char_length("own_text"), F.xxhash64("own_text"))
+    one = marked.where("stays").groupBy("own", "hash").agg(F.max_by("row", order).alias("row"))
+    return marked.where("stays is null").select("row.*").unionByName(one.select("row.*"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """The documents with ``name``: their id, but where rows of one id differ in text, all texts
+    of it but one get a name of their own from a hash, above the ids of real documents."""
+    rows = _inside(docs).withColumn("hash", _digest("own_text"))
+    ids = rows.where("own is not null").groupBy("own").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    several = materialize(ids.where("least < most").select(F.col("own").alias("of"), "least"), "several")
+    other = F.xxhash64("own", "hash").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    rows = rows.join(small(several), F.col("own") == F.col("of"), "left")
+    return rows.withColumn("name", F.when(F.col("hash") != F.col("least"), other).otherwise(F.col("own").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the document with the smallest id."""
     prepare(spark)
     named = _named(docs)
-    groups = icws.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"), threshold=0.8)
-    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return named.join(small(gone), "_id", "left_anti").select(*docs.columns)
+    groups = icws.near_duplicates(named.select(F.col("name").alias("doc_id"), F.col("own_text").alias("text")), threshold=0.8)
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "gone")
+    return named.join(small(gone), "name", "left_anti").select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,15 +87,17 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     characters go; a document of which nothing stays goes. ``n_chars`` follows the text."""
     prepare(spark)
     cut = suffix.remove_repeats(docs.select("doc_id", "text"), length=50, whole_characters=True).where("n_removed > 0")
-    cut = materialize(cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept_bytes").cast("string").alias("_kept")).distinct(), "cut")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = (F.col("doc_id") == F.col("_id")) & (text_hash == F.col("_hash"))
-    rest = docs.join(small(cut.select("_id", "_hash")), same, "left_anti")
-    other = [c for c in docs.columns if c not in ("text", "n_chars")]
-    facts = materialize(docs.join(small(cut.select("_id", "_hash")), same, "left_semi").select(*other, text_hash.alias("_own")), "cut_facts")
-    new = cut.where(F.length("_kept") > 0).join(small(facts), (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    new = new.withColumns({"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast(docs.schema["n_chars"].dataType)})
-    return rest.select(*docs.columns).unionByName(new.select(*docs.columns))
+    cut = materialize(cut.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), F.col("kept_bytes").cast("string").alias("kept")).distinct(), "cut")
+    rows, keys = _inside(docs).withColumn("own_hash", _digest("own_text")), small(cut.select("of", "hash"))
+    same = (F.col("own").cast("long") == F.col("of")) & (F.col("own_hash") == F.col("hash"))
+    rest = rows.join(keys, same, "left_anti").select("row.*")
+    facts = rows.join(keys, same, "left_semi").select("own", "own_hash", F.col("row").dropFields("text").alias("row"))
+    facts = materialize(facts, "cut_facts")
+    new = cut.where(F.length("kept") > 0).join(small(facts), same)
+    parts = {c: F.col("row").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in parts:
+        parts["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return rest.unionByName(new.select(*[parts[c].alias(c) for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,8 +119,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table ``documents``."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on the table ``documents``. What a stage wrote on its way is deleted once its
+    result is written; what the last one wrote stays, since its result is read later."""
+    docs, before = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*[d for d in made if d is not docs], *([before] if before else []))
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -70,9 +71,24 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    for made in _SCRATCH:
+        made.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The list of what ``materialize`` writes inside."""
+    _SCRATCH.append(made := [])
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
     for df in written:
