@@ -71,3 +71,27 @@ def last_of_duplicates(df: DataFrame, key: list[str], order: Column) -> DataFram
     """One row for each key: the last in order, as a lookup table built row by row has."""
     w = Window.partitionBy(*key).orderBy(order.desc())
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def strict_join(left: DataFrame, right: DataFrame, on: list[str], value: str) -> DataFrame:
+    """Inner join that fails, with the key in its message, if a left row has no match."""
+    key = F.to_json(F.struct(*on))
+    hit = left.join(right.withColumn("_hit", F.lit(True)), on, "left")
+    checked = F.when(F.col("_hit"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("no match for "), key)))
+    return hit.withColumn(value, checked).drop("_hit")
+
+
+def exact_or_positional(left: DataFrame, right: DataFrame, by: list[str], exact: str, position: str, value: str) -> DataFrame:
+    """Left rows with the right ``value`` (as mask_id) of the same exact key, the least if there
+    are several, else of the same position; ``exact`` tells which."""
+    same = right.groupBy(*by, exact).agg(F.min(value).alias("_exact"))
+    nth = right.select(*by, position, F.col(value).alias("_nth"))
+    out = left.join(same, [*by, exact], "left").join(nth, [*by, position], "left")
+    return out.select(*left.columns, F.coalesce("_exact", "_nth").alias("mask_id"), F.col("_exact").isNotNull().alias("exact"))
+
+
+def sliced(spans: DataFrame, frames: DataFrame, by: list[str], begin: str, end: str, frame: str) -> DataFrame:
+    """Frames begin to end (included) of each span, counted from its begin: a span names its
+    frames, so the join is on equal keys."""
+    want = spans.withColumn(frame, F.explode(F.sequence(F.col(begin), F.col(end))))
+    return want.join(frames, [*by, frame]).withColumn(frame, F.col(frame) - F.col(begin))

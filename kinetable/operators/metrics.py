@@ -149,3 +149,50 @@ def matched_f1(pairs: DataFrame, by: list[str], true_id: str, said_id: str, dist
     return pairs.groupBy(*by).applyInPandas(solve, f"{kinds}, hits long, precision double, recall double, f1 double")
 
 
+
+
+def record_then_macro(df: DataFrame, record: str, values: list[str]) -> DataFrame:
+    """Means of each record, and a row with a null record: the mean of the records' means, those
+    that aren't numbers left out."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    r = df.groupBy(record).agg(*[F.avg(c).alias(c) for c in values], F.count("*").alias("n"))
+    whole = r.agg(*[F.avg(number(c)).alias(c) for c in values], F.count("*").alias("n"))
+    return r.unionByName(whole.withColumn(record, F.lit(None).cast(r.schema[record].dataType)))
+
+
+def video_score(frames: DataFrame, by: list[str], hit: str, said: str, true: str) -> DataFrame:
+    """Means over frames of precision, recall and F1, and how many frames have what."""
+    has_said, has_true = F.col(said) > 0, F.col(true) > 0
+    p = F.when(has_said, F.try_divide(F.col(hit).cast("double"), F.col(said))).otherwise((~has_true).cast("double"))
+    r = F.when(has_true, F.try_divide(F.col(hit).cast("double"), F.col(true))).otherwise((~has_said).cast("double"))
+    f = frames.withColumn("_p", p).withColumn("_r", r)
+    return f.groupBy(*by).agg(
+        F.avg("_p").alias("precision"), F.avg("_r").alias("recall"), F.avg(2 * F.col("_p") * F.col("_r") / (F.col("_p") + F.col("_r") + 1e-10)).alias("f1"),
+        F.count("*").alias("num_frames"), F.count_if(has_said).alias("frames_with_pred"), F.count_if(has_true).alias("frames_with_gt"), F.count_if(has_said & has_true).alias("frames_with_both"),
+        F.count_if(has_said & ~has_true).alias("frames_pred_only"), F.count_if(has_true & ~has_said).alias("frames_gt_only"),
+    )
+
+
+def checked(value: Column, name: str) -> Column:
+    """An aggregate that must be a number: NaN is an error."""
+    return F.when(F.isnan(value), F.raise_error(F.lit(f"{name} is not a number")).cast("double")).otherwise(value)
+
+
+def largest_shapes(df: DataFrame, key: str, shape: str, rank: int) -> DataFrame:
+    """For each key the largest size in every dimension; all shapes must have the rank."""
+    ok = F.when(F.size(shape) == rank, F.col(shape)).otherwise(F.raise_error(F.lit(f"a shape doesn't have {rank} dimensions")))
+    rows = df.select(key, ok.alias("_s"))
+    return rows.groupBy(key).agg(F.array(*[F.max(F.get("_s", F.lit(i))) for i in range(rank)]).alias(shape))
+
+
+def evaluated_frames(df: DataFrame, by: list[str], frame: str, visible: Column, mode: str, stride: int = 5) -> DataFrame:
+    """(by, query, frame): frames that count for a query frame. ``first``: those after the first
+    visible frame; ``strided``: all but the query, of every stride-th frame that is visible."""
+    rows = df.select(*by, F.col(frame).alias("frame"), visible.alias("_v"))
+    if mode == "first":
+        q = rows.where("_v").groupBy(*by).agg(F.min("frame").alias("query"))
+        return rows.join(q, by).where("frame > query").drop("_v")
+    if mode != "strided":
+        raise ValueError(f"no mode {mode}")
+    q = rows.where(F.col("_v") & (F.col("frame") % stride == 0)).select(*by, F.col("frame").alias("query"))
+    return rows.join(q, by).where("frame <> query").drop("_v")

@@ -47,8 +47,10 @@ class BufferedPacker:
         self.limits, self.buffer, self.step, self.held = limits, buffer, step, []
 
     def add(self, key, a: int, b: int) -> list | None:
-        a = min(a, self.limits[0] // self.step * self.step)
-        self.held.append((key, a, min(b, self.limits[1])))
+        """A bin, if one is due; an item beyond the limits is a bin of its own."""
+        if -(-a // self.step) > self.limits[0] // self.step or b > self.limits[1]:
+            return [(key, a, b)]
+        self.held.append((key, a, b))
         return self.take() if len(self.held) >= self.buffer else None
 
     def take(self) -> list:
@@ -104,3 +106,39 @@ def zigzag_chunk(position: Column, length: int, ranks: int) -> Column:
     either end."""
     chunk = F.floor(position * (2 * ranks) / length).cast("long")
     return F.least(chunk, (2 * ranks - 1) - chunk)
+
+
+#: Distance between the segment numbers of two examples of a pack (fixed value).
+SEGMENT = 100_000
+
+
+def concatenated(df: DataFrame, by: list[str], nth: str, tokens: str) -> DataFrame:
+    """Examples of a pack laid end to end: tokens, segment_ids (SEGMENT times the example's number
+    plus the place) and position_ids (the place in the example)."""
+    place = F.transform(tokens, lambda v, i: i.cast("long"))
+    x = df.select(*by, nth, tokens, place.alias("_p"), F.transform(place, lambda i: F.col(nth) * SEGMENT + i).alias("_s"))
+    x = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(nth, tokens, "_s", "_p"))).alias("_x"))
+    flat = lambda c: F.flatten(F.transform("_x", lambda v: v[c]))
+    return x.select(*by, flat(tokens).alias("tokens"), flat("_s").alias("segment_ids"), flat("_p").alias("position_ids"))
+
+
+def offset_ids(df: DataFrame, by: list[str], nth: str, ids: str, size: str) -> DataFrame:
+    """Arrays of indices laid end to end, each moved by the sizes before it; -1 stays."""
+    w = Window.partitionBy(*by).orderBy(nth).rowsBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("_at", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    moved = F.transform(ids, lambda i: F.when(i < 0, F.lit(-1)).otherwise(i + F.col("_at")))
+    x = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(nth, moved.alias("m")))).alias("_x"))
+    return x.select(*by, F.flatten(F.transform("_x", lambda v: v["m"])).alias(ids))
+
+
+def balanced_split(items: DataFrame, order: str, count: str, ranks: int) -> DataFrame:
+    """(rank, n_items): contiguous runs of items whose counts are as even as they can be. Items
+    are sources or shards, so few that one task may order them."""
+    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    cum = items.select((F.sum(count).over(w)).alias("cum"), F.row_number().over(w).cast("long").alias("k"))
+    total = cum.agg(F.max("cum").alias("total"), F.max("k").alias("items"))
+    r = items.sparkSession.range(1, ranks + 1).withColumnRenamed("id", "r")
+    j = r.crossJoin(F.broadcast(total)).join(F.broadcast(cum), F.col("cum") >= F.col("total") * F.col("r") / float(ranks) - 1e-9, "left")
+    last = j.groupBy("r").agg(F.when(F.col("r") == ranks, F.max("items")).otherwise(F.coalesce(F.min("k"), F.lit(0))).alias("last"))
+    w = Window.partitionBy(F.lit(0)).orderBy("r")
+    return last.select((F.col("r") - 1).alias("rank"), (F.col("last") - F.coalesce(F.lag("last").over(w), F.lit(0))).cast("long").alias("n_items"))

@@ -5,24 +5,41 @@ others without talking to them, and a restart goes on at any position."""
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir
+from .ordering import global_position
+from .sampling import key_hash, uniform
+
 
 def epoch_order(df: DataFrame, key: str, epochs: int, seed: int) -> DataFrame:
     """Every row once in each epoch, in an order drawn for the epoch (``place`` from 0)."""
-    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    w = Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", key), key)
-    return e.withColumn("place", F.row_number().over(w).cast("long") - 1)
+    n = df.count()
+    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    e = e.withColumn("_h", key_hash(F.col(key) * 31 + F.col("epoch") * 7919, seed))
+    placed = global_position(e, ["epoch", "_h", key], "place")
+    return placed.withColumn("place", F.col("place") - F.col("epoch") * n).drop("_h")
+
+
+def endless_place(position: Column, n: int, step: int, shift: int) -> tuple[Column, Column]:
+    """Epoch and row of any position of an endless stream over n rows: in each epoch an affine
+    permutation, so that no order is kept anywhere (``step`` must be prime to n)."""
+    if math.gcd(step, n) != 1:
+        raise ValueError(f"{step} and {n} have a common divisor")
+    epoch = F.floor(position / n).cast("long")
+    return epoch, F.pmod((position % n) * step + (epoch + 1) * shift, F.lit(n))
 
 
 def multinomial_draws(spark: SparkSession, rates: dict[str, float], n: int, seed: int) -> DataFrame:
     """Draw i of n is of source s with the source's rate; no draw depends on another."""
     total, run, pick = sum(rates.values()), 0.0, F.lit(None).cast("string")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "position"), F.lit(1 << 52)) / float(1 << 52)) * total
+    u = uniform(F.col("position"), seed) * total
     edges = []
     for s, r in sorted(rates.items()):
         run += r
@@ -75,16 +92,28 @@ def rollout(start: DataFrame, step, rounds: int, keep: int, history: int) -> Dat
     return state.select("key", "kept")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, node) for every node below a root of a tree given as (parent, child)."""
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) for every node at or below a root of a tree given as (parent, child). Each
+    round follows paths twice as long as the last, so rounds grow with the logarithm of the
+    depth, and no depth is too great; an edge that closes a ring ends nothing and adds nothing."""
     spark = edges.sparkSession
-    return spark.sql(
-        """with recursive walk(root, node, d) as (
-             select root, root, 0 from {roots} union all
-             select w.root, e.child, w.d + 1 from walk w join {edges} e on e.parent = w.node where w.d < {depth})
-           select distinct root, node from walk""",
-        roots=roots, edges=edges, depth=depth,
-    )
+    keep = lambda df: _written(spark, df)
+    paths = keep(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).distinct())
+    found = keep(roots.select("root", F.col("root").alias("node")).distinct())
+    while True:
+        n = found.count()
+        more = found.join(paths, found["node"] == paths["a"]).select("root", F.col("b").alias("node"))
+        found = keep(found.union(more).distinct())
+        if found.count() == n:
+            return found
+        twice = paths.join(paths.toDF("b", "c"), "b").select("a", F.col("c").alias("b"))
+        paths = keep(paths.union(twice).distinct())
+
+
+def _written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    path = f"{scratch_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def resample(df: DataFrame, by: list[str], at: str, value: str, grid: DataFrame, target: str) -> DataFrame:

@@ -23,14 +23,15 @@ def islands(df: DataFrame, by: list[str], frame: str, active: Column, min_gap: i
     return runs.groupBy(*by, "_m").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("_m").where(F.col("end") - F.col("begin") + 1 >= min_length)
 
 
-def history_and_future(df: DataFrame, by: list[str], frame: str, value: str, history: int, future: int) -> DataFrame:
+def history_and_future(df: DataFrame, by: list[str], frame: str, value: str, history: int, future: int, stride: int = 1) -> DataFrame:
     """Each row with the values of the last ``history`` frames, the first repeated on the left
-    edge, and of the next ``future`` frames, the last repeated on the right edge."""
+    edge, and of the next ``future`` frames, the last repeated on the right edge; of every
+    ``stride``-th frame only."""
     w = Window.partitionBy(*by).orderBy(frame)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first(value).over(whole), F.last(value).over(whole)
-    past = [F.coalesce(F.lag(value, k).over(w), first) for k in range(history - 1, -1, -1)]
-    ahead = [F.coalesce(F.lead(value, k).over(w), last) for k in range(1, future + 1)]
+    past = [F.coalesce(F.lag(value, k * stride).over(w), first) for k in range(history - 1, -1, -1)]
+    ahead = [F.coalesce(F.lead(value, k * stride).over(w), last) for k in range(1, future + 1)]
     return df.withColumn("history", F.array(*past)).withColumn("future", F.array(*ahead))
 
 
@@ -72,3 +73,34 @@ def from_anchor(df: DataFrame, by: list[str], order: list[str], value: str, name
 def strided_frames(step: Column, length: int, stride: int, last: Column) -> Column:
     """Frames step-(length-1)*stride .. step, kept within 0 and last."""
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.greatest(F.lit(0), F.least(last, step - (length - 1 - i) * stride)))
+
+
+def visible_throughout(df: DataFrame, by: list[str], point: str, frame: str, visible: Column, begin: int, end: int) -> DataFrame:
+    """Points that are visible in all frames from begin to end; in a group that has none, those
+    visible in the last frame. ``fits`` tells whether the group has points of the first kind."""
+    rows = df.where(F.col(frame).between(begin, end))
+    p = rows.groupBy(*by, point).agg(F.bool_and(visible).alias("_all"), F.bool_or((F.col(frame) == end) & visible).alias("_last"))
+    p = p.withColumn("fits", F.bool_or("_all").over(Window.partitionBy(*by)))
+    return p.where(F.when(F.col("fits"), F.col("_all")).otherwise(F.col("_last"))).drop("_all", "_last")
+
+
+def visible_difference(df: DataFrame, by: list[str], order: list[str], value: str, visible: Column, name: str) -> DataFrame:
+    """Step from the row before, where both are visible."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    out = df.withColumn("_seen", visible).withColumn(name, F.col(value) - F.lag(value).over(w)).withColumn("_both", F.col("_seen") & F.lag("_seen").over(w))
+    return out.where("_both").drop("_seen", "_both")
+
+
+def merged_on_points(df: DataFrame, by: list[str], group: str, point: str, name: str) -> DataFrame:
+    """Points of all groups numbered in one sequence: a group's points follow those of the groups
+    before it. Offsets are a running sum over sizes of groups, not over rows."""
+    sizes = df.groupBy(*by, group).agg((F.max(point) + 1).alias("_n"))
+    w = Window.partitionBy(*by).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    return df.join(starts, [*by, group]).withColumn(name, (F.col("_at") + F.col(point)).cast("long")).drop("_at")
+
+
+def gathered(df: DataFrame, by: list[str], grid: str, width: int, rows: list[int], columns: list[int]) -> DataFrame:
+    """Values of a flat grid at every pair of two index lists, as (frame, point, v)."""
+    pick = [F.struct(F.lit(f).alias("frame"), F.lit(p).alias("point"), F.get(grid, F.lit(f * width + p)).alias("v")) for f in rows for p in columns]
+    return df.select(*by, F.inline(F.array(*pick)))

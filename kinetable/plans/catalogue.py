@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, custom, prompts, trajectories, vectors  # noqa: F401  (they register queries)
+from . import corpus, custom, drawing, prompts, scoring, trajectories, vectors  # noqa: F401  (they register queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -213,14 +213,16 @@ def _tap(t: Tables):
     return metrics.tapvid(e.where("err is not null"), "err", "true", "said", F.col("frame") > 1, ["user_id"])
 
 
-_TAP = ", ".join(f"""round(count(*) filter (not tr and err < {k}) / nullif(cast(count(*) filter (not tr) as double), 0), 6) as within_{k},
-      round(count(*) filter (not tr and not sd and err < {k}) / nullif(cast(count(*) filter (not tr) + count(*) filter (not sd and (tr or err >= {k})) as double), 0), 6) as jaccard_{k}""" for k in (1, 2, 4, 8, 16))
+_RAW = ", ".join(f"""count(*) filter (not tr and err < {k}) / nullif(cast(count(*) filter (not tr) as double), 0) as w{k},
+      count(*) filter (not tr and not sd and err < {k}) / nullif(cast(count(*) filter (not tr) + count(*) filter (not sd and (tr or err >= {k})) as double), 0) as j{k}""" for k in (1, 2, 4, 8, 16))
+_ROUNDED = ", ".join(f"round(w{k}, 6) as within_{k}, round(j{k}, 6) as jaccard_{k}" for k in (1, 2, 4, 8, 16))
 
 
 @query(f"""with {_E}, x as (select user_id, err, value > 60 as sd, event_type = 'purchase' as tr from e where err is not null and frame > 1)
-    select user_id, round(avg(cast(tr = sd as double)), 6) as occlusion_accuracy, {_TAP} from x group by user_id""")
+    , k as (select user_id, avg(cast(tr = sd as double)) as oa, {_RAW} from x group by user_id)
+    select user_id, round(oa, 6) as occlusion_accuracy, {_ROUNDED}, round((w1 + w2 + w4 + w8 + w16) / 5, 6) as within_average, round((j1 + j2 + j4 + j8 + j16) / 5, 6) as jaccard_average from k""")
 def tapvid(t: Tables):
-    r = _tap(t).drop("within_average", "jaccard_average")
+    r = _tap(t)
     return r.select("user_id", *[F.round(c, 6).alias(c) for c in r.columns if c != "user_id"])
 
 
