@@ -30,7 +30,6 @@ and each gets its own answer; further columns are not read.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +42,8 @@ from .common import discard, frugal, materialize, prepare, release, small, text_
 #: Bytes in an anchor's gram, and in the first buckets' grams; text that a part or bucket stands for.
 GRAM, FIRST, PART_BYTES = 16, 8, 3 << 20
 #: Bytes of text that are searched at once, and whose anchors are dealt at once; positions whose
-#: hashes are made at once.
-BLOCK, DEAL, STEP = 1 << 20, 16 << 20, 1 << 18
+#: hashes are made at once (so few that they stay in a core's cache).
+BLOCK, DEAL, STEP = 1 << 20, 16 << 20, 1 << 15
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -66,11 +65,13 @@ def _first(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.array([len(a)], "<u4").tobytes() + a.tobytes() for a in arrays), 1)
+    raw = b"".join(np.array([len(a)], "<u4").tobytes() + a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 def _load(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw, at, out = zlib.decompress(blob), 0, []
+    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
+    at, out = 0, []
     for k in kinds:
         n = int(np.frombuffer(raw, "<u4", 1, at)[0])
         out.append(np.frombuffer(raw, k, n, at + 4))
@@ -99,38 +100,40 @@ class Block:
         #: The eight bytes at every position as one number, read in place.
         self.eight = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each run of strings with one anchor: first string (index into window), anchor's
-        place, and the 16-gram's identifier."""
-        #: Starts of strings that lie inside a text, and the text of each.
-        inside = np.clip(self.sizes - self.length + 1, 0, None)
-        self.text = np.repeat(np.arange(len(inside)), inside)
-        self.window = np.arange(len(self.text)) + np.repeat(self.starts[:-1] - np.r_[0, np.cumsum(inside)[:-1]], inside)
-        if not len(self.window):
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-        n = int(self.starts[-1])
-        gram = _pair(self.eight[: n + 1], self.eight[8 : n + 9])
-        low = (gram >> _S << _S) | np.arange(len(gram), dtype=np.uint64)
-        width, have = self.length - GRAM + 1, 1
-        while have * 2 <= width:
-            low = np.minimum(low[:-have], low[have:])
-            have *= 2
-        if have < width:
-            low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-        at = (low[self.window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (self.text[1:] != self.text[:-1])])
-        return first, at[first], gram[at[first]]
-
-    def identifiers(self) -> np.ndarray:
-        """Hashes of the ``length`` bytes at every position, from those of eight bytes."""
-        out = np.empty(len(self.bytes) - self.length + 1, np.uint64)
-        for begin in range(0, len(out), STEP):
-            ids, depth = _mix(self.eight[begin : begin + STEP + self.length - 8]), 8
-            while depth * 2 <= self.length:
-                ids = _pair(ids[:-depth], ids[depth:])
-                depth *= 2
-            rest = self.length - depth
-            out[begin : begin + STEP] = _pair(ids[: len(ids) - rest], ids[rest:]) if rest else ids
+    def anchors(self) -> tuple[np.ndarray, ...]:
+        """Runs of strings with one anchor: where the first begins, how many there are, the
+        anchor's place, its 16-gram's identifier, and the text they lie in."""
+        n, width, low_bits = int(self.starts[-1]), self.length - GRAM + 1, np.uint64(2 * STEP - 1)
+        inside = np.zeros(n + 1, bool)  # a string starts here
+        edge = np.clip(self.starts[1:] - self.length + 1, self.starts[:-1], None)
+        inside[:-1] = np.repeat(np.tile([True, False], len(self.sizes)), np.stack([edge - self.starts[:-1], self.starts[1:] - edge], 1).ravel())
+        found = []
+        for begin in range(0, n, STEP):
+            end = min(n, begin + STEP)
+            gram = _pair(self.eight[begin : end + width - 1], self.eight[begin + 8 : end + width + 7])
+            low, have = (gram & ~low_bits) | np.arange(len(gram), dtype=np.uint64), 1
+            while have * 2 <= width:
+                low = np.minimum(low[:-have], low[have:])
+                have *= 2
+            if have < width:
+                low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
+            at, ok = (low & low_bits).astype(np.int32), inside[begin:end]
+            first = ok.copy()
+            first[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
+            stop = ok.copy()
+            stop[:-1] &= first[1:] | ~ok[1:]
+            first, stop = np.flatnonzero(first), np.flatnonzero(stop)
+            found.append((first + begin, stop - first + 1, at[first] + np.int64(begin), gram[at[first]]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        first, count, at, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+        return first, count, at, gram, np.searchsorted(self.starts, first, "right") - 1
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the ``length`` bytes at some positions."""
+        out = _mix(self.eight[at])
+        for k in [*range(8, self.length - 7, 8), self.length - 8]:
+            out = _pair(out, self.eight[at + k])
         return out
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,32 +148,33 @@ def refine(eight: np.ndarray, room: np.ndarray, doc: np.ndarray, length: int) ->
     """Positions whose ``length`` bytes also start in another document, the least document that
     has them, and how many positions were sorted in each step.
 
-    ``eight`` holds the eight bytes at each position, ``room`` the bytes up to the end of its
-    text, ``doc`` the number of its document. A pointer is the number of a position's bucket;
+    ``eight`` holds the eight bytes at each position (of less than 2 GB), ``room`` the bytes up to
+    the end of its text, ``doc`` the number of its document. A pointer is the number of a position's bucket;
     a step sorts the members of open buckets by (own pointer, pointer at the offset ``depth``).
     """
-    room = np.asarray(room)
-    place = np.flatnonzero(room >= FIRST)
-    order = np.argsort(eight[place])
-    place, pointer, depth, used, sorted_ = place[order], np.zeros(len(eight), np.int64), FIRST, 0, []
+    place = np.flatnonzero(room >= FIRST).astype(np.int32)
     key = eight[place]
+    pointer, depth, used, steps = np.zeros(len(eight), np.int32), FIRST, 0, []
     while True:
-        sorted_.append(len(place))
+        steps.append(len(place))
         if not len(place):
-            return place, place, sorted_
-        new = np.r_[True, key[1:] != key[:-1]]
-        begin, bucket = np.flatnonzero(new), np.cumsum(new) - 1
-        pointer[place] = bucket + used
-        used += len(begin)
-        least, most = np.minimum.reduceat(doc[place], begin), np.maximum.reduceat(doc[place], begin)
-        if depth == length:
-            shared = (least < most)[bucket]
-            return place[shared], least[bucket[shared]], sorted_
-        step = min(depth, length - depth)
-        place = place[(least < most)[bucket] & (room[place] >= depth + step)]
-        key = (pointer[place] << 32) | pointer[place + step]
+            return place, place, steps
         order = np.argsort(key)
         place, key = place[order], key[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size, own = np.diff(np.r_[begin, len(place)]), doc[place]
+        least, most = np.minimum.reduceat(own, begin), np.maximum.reduceat(own, begin)
+        shared = least < most
+        there = np.repeat(shared, size)
+        if depth == length:
+            return place[there], np.repeat(least[shared], size[shared]), steps
+        pointer[place] = np.repeat(np.arange(used, used + len(begin), dtype=np.int32), size)
+        used += len(begin)
+        step = min(depth, length - depth)
+        bucket, place = np.repeat(np.arange(int(shared.sum())), size[shared]), place[there]
+        room_left = room[place] >= depth + step
+        bucket, place = bucket[room_left], place[room_left]
+        key = (bucket << 32) | pointer[place + step]
         depth += step
 
 
@@ -232,8 +236,7 @@ def _anchor_rows(length: int, parts: int):
         for block_rows in pieces(_rows_of(batches, "doc_id"), length, 2 * BLOCK):
             doc, base = (np.array([r[k] for r in block_rows], np.int64) for k in (0, 1))
             block = Block([r[2] for r in block_rows], length)
-            first, at, gram = block.anchors()
-            text = block.text[first]
+            _, _, at, gram, text = block.anchors()
             held.append((doc[text], (base[text] + at - block.starts[text]).astype(np.uint32), gram))
             size += int(block.starts[-1])
             if size >= DEAL:
@@ -280,18 +283,15 @@ def _context_rows(length: int, parts: int):
         for block_rows in pieces(_rows_of(docs.to_batches(), "doc_id", "text_hash"), length, BLOCK):
             doc, own_hash, base = (np.array([r[k] for r in block_rows], np.int64) for k in range(3))
             block = Block([r[3] for r in block_rows], length)
-            first, at, gram = block.anchors()
+            begin, count, at, gram, text = block.anchors()
             marked = np.zeros(int(block.starts[-1]) + 1, bool)
             for i, d in enumerate(doc.tolist()):
                 lo, hi = np.searchsorted(owner, [d, d + 1])
                 p = place[lo:hi] - base[i]
                 marked[p[(p >= 0) & (p < block.sizes[i])] + block.starts[i]] = True
             keep = marked[at]
-            count = np.diff(np.r_[first, len(block.window)])[keep]
-            first, gram = first[keep], gram[keep]
-            begin, text = block.window[first], block.text[first]
-            ids = block.identifiers()
-            whole = _pair(ids[begin], ids[begin + count - 1] + count.astype(np.uint64))
+            begin, count, gram, text = (x[keep] for x in (begin, count, gram, text))
+            whole = _pair(block.hashes(begin), block.hashes(begin + count - 1) + count.astype(np.uint64))
             order = np.lexsort((doc[text], whole))
             begin, count, text, gram, whole = (x[order] for x in (begin, count, text, gram, whole))
             lead = _first(whole)

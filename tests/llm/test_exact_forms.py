@@ -246,15 +246,19 @@ def test_whole_characters_stay():
     assert n == 17 and kept == b[:2] + b[9:20] + b[30:]
 
 
-def test_identifiers_depend_on_all_bytes():
+def test_anchors_cover_every_string_once():
     r = random.Random(5)
-    t = bytes(r.choices(b"ab", k=3000))
-    block = suffix.Block([t], 50)
-    ids = block.identifiers()[: len(t) - 49]
-    of: dict = {}
-    for k, x in enumerate(ids.tolist()):
-        assert of.setdefault(x, t[k : k + 50]) == t[k : k + 50]
-    assert len(of) == len({t[k : k + 50] for k in range(len(t) - 49)})
+    texts = [bytes(r.choices(b"ab c", k=n)) for n in (3000, 50, 51, 120, 70_000)]
+    block = suffix.Block(texts, 50)
+    begin, count, at, gram, text = block.anchors()
+    starts = np.concatenate([np.arange(b, b + c) for b, c in zip(begin.tolist(), count.tolist(), strict=True)])
+    want = [p for i, t in enumerate(texts) for p in range(int(block.starts[i]), int(block.starts[i]) + len(t) - 49)]
+    assert starts.tolist() == want and ((at >= begin + count - 1) & (at + 16 <= begin + 50)).all()
+    all_bytes, of = b"".join(texts), {}
+    for p, a in zip(starts.tolist(), np.repeat(at, count).tolist(), strict=True):  # equal strings, equal anchors
+        assert of.setdefault(all_bytes[p : p + 50], a - p) == a - p
+    h = block.hashes(starts)
+    assert len(set(h.tolist())) == len(of)
 
 
 # -- WARC ---------------------------------------------------------------------------
