@@ -26,26 +26,32 @@ def decode_tracks(df: DataFrame, by: list[str], text: str) -> DataFrame:
     rows = df.select(*by, F.posexplode(blocks).alias("block", "_b"))
     rows = rows.select(*by, "block", F.posexplode(F.split("_b", ";")).alias("_n", "_f"))
     tokens = F.filter(F.split(F.trim("_f"), "\\s+"), lambda t: t != "")
-    rows = rows.select(*by, "block", "_n", F.try_element_at(tokens, F.lit(1)).try_cast("double").alias("time"), F.slice(tokens, 2, 1 << 20).alias("_t")).where("time is not null")
+    rows = rows.select(*by, "block", "_n", F.try_element_at(tokens, F.lit(1)).try_cast("double").alias("time"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("_t")).where("time is not null")
     rows = rows.withColumn("points", _quads(F.transform("_t", lambda t: t.try_cast("long"))))
     last = rows.groupBy(*by, "time").agg(F.max_by("points", F.struct("block", "_n")).alias("points"))
     return last.select(*by, "time", F.inline("points"))
 
 
 def _quads(numbers: Column) -> Column:
-    """Groups of four numbers from left to right; a null where one should be shifts by one."""
-    kind = "array<struct<point:bigint,x:bigint,y:bigint,z:bigint>>"
-    zero = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast(kind).alias("out"))
+    """Groups of four numbers from left to right; a null where one should be shifts by one.
 
-    def step(acc: Column, n: Column) -> Column:
-        held = F.concat(acc["held"], F.array(n))
-        full = F.size(held) == 4
-        ok = full & ~F.exists(held, lambda v: v.isNull())
-        quad = F.array(F.struct(F.get(held, F.lit(0)).alias("point"), F.get(held, F.lit(1)).alias("x"), F.get(held, F.lit(2)).alias("y"), F.get(held, F.lit(3)).alias("z")))
-        keep = F.when(ok, F.array().cast("array<bigint>")).when(full, F.slice(held, 2, 3)).otherwise(held)
-        return F.struct(keep.alias("held"), F.when(ok, F.concat(acc["out"], quad)).otherwise(acc["out"]).alias("out"))
+    A group begins at every fourth place of a stretch, and a null at place k of a group makes
+    the next group begin one place after the group's begin; so the begins are found by one
+    pass that keeps numbers only, and the groups are then read by their places."""
+    n = F.size(numbers)
 
-    return F.aggregate(numbers, zero, step, lambda a: a["out"])
+    def step(acc: Column, i: Column) -> Column:
+        whole = ~F.exists(F.slice(numbers, i, 4), lambda v: v.isNull())
+        ok = (i >= acc["next"]) & whole
+        return F.struct(F.when(ok, i + 4).otherwise(acc["next"]).alias("next"), F.when(ok, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"))
+
+    at = lambda i: F.struct(*[F.get(numbers, i - 1 + k).alias(c) for k, c in enumerate(("point", "x", "y", "z"))])
+    # no null: every fourth place, without a pass
+    straight = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i % 4 == 1) & (i + 3 <= n))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i + 3 <= n)
+    searched = F.aggregate(places, start, step, lambda a: a["at"])
+    return F.transform(F.when(F.exists(numbers, lambda v: v.isNull()), searched).otherwise(straight), at)
 
 
 def decode_points(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import at_least
+
 
 def scale(value: Column, size: Column, to: int = 1000) -> Column:
     """Pixels to thousandths, kept inside the picture."""
@@ -24,7 +26,7 @@ def encode_points(df: DataFrame, by: list[str], frame: str, point: str, x: str,
     first = df.groupBy(*by, point).agg(F.min(frame).alias("_f0"))
     ids = first.withColumn("_id", F.row_number().over(w)).drop("_f0")
     own = df.join(ids, [*by, point])
-    three = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
+    three = lambda c: at_least(F.col(c).cast("string"), 3)
     one = F.concat_ws(" ", F.col("_id").cast("string"), three(x), three(y))
     frames = own.groupBy(*by, frame).agg(F.array_sort(F.collect_list(F.struct(F.col("_id").alias("i"), one.alias("s")))).alias("v"))
     line = F.concat_ws(" ", F.col(frame).cast("string"), F.array_join(F.transform("v", lambda v: v["s"]), " "))
@@ -87,3 +89,16 @@ def frame_prefix(mode: str, number: Column, seconds: Column) -> Column:
         n = F.rint(seconds * 10**k).cast("long")
         return F.concat(F.lit("time "), F.floor(n / 10**k).cast("string"), F.lit("."), F.lpad((n % 10**k).cast("string"), k, "0"))
     return F.lit("")
+
+
+def frame_time(frame: Column, fps: Column) -> Column:
+    """Seconds of a frame; a frame before the first or a rate of nothing is an error."""
+    bad = F.raise_error(F.lit("frames and rates must be positive")).cast("double")
+    return F.when((frame >= 0) & (fps > 0), frame / fps).otherwise(bad)
+
+
+def clip_frames(begin: Column, end: Column, fps: Column) -> tuple[Column, Column]:
+    """First and last frame of a clip in seconds; an end before the begin is an error."""
+    bad = F.raise_error(F.lit("a clip must end after its begin")).cast("long")
+    ok = (begin >= 0) & (end > begin)
+    return F.when(ok, F.floor(begin * fps).cast("long")).otherwise(bad), F.when(ok, F.ceil(end * fps).cast("long")).otherwise(bad)

@@ -20,10 +20,15 @@ def parse_time(text: Column) -> Column:
     return F.when(n == 1, at(0)).when(n == 2, at(0) * 60 + at(1)).when(n == 3, at(0) * 3600 + at(1) * 60 + at(2))
 
 
+def at_least(digits: Column, n: int) -> Column:
+    """Filled with zeros from the left to n digits; longer ones stay (lpad would cut them)."""
+    return F.when(F.length(digits) < n, F.lpad(digits, n, "0")).otherwise(digits)
+
+
 def format_time(seconds: Column) -> Column:
     """``HH:MM:SS.ss`` from hundredths, halves to even."""
     h = F.rint(seconds * 100).cast("long")
-    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    two = lambda v: at_least(v.cast("string"), 2)
     return F.concat(two(F.floor(h / 360000)), F.lit(":"), two(F.floor(h / 6000) % 60), F.lit(":"), two(F.floor(h / 100) % 60), F.lit("."), two(h % 100))
 
 
@@ -67,3 +72,66 @@ def shift_targets(ids: Column, end_id: int) -> Column:
 
 def numbered_turns(texts: Column, mark: str = "Q") -> Column:
     return F.transform(texts, lambda t, i: F.concat(F.lit(mark), (i + 1).cast("string"), F.lit(": "), t))
+
+
+def plain_question(points: Column, times: Column, history: Column, action: Column, tracks: Column) -> Column:
+    """The first form of the question, to the byte."""
+    part = lambda s: F.lit(s)
+    n = lambda c: c.cast("string")
+    return F.concat(
+        part("Predict the future 3D trajectories of "), n(points), part(" points over "), n(times), part(" timestamps, given action: "), action, part(", and "), n(history), part(" history frames:\n"), tracks
+    )
+
+
+def field_question(points: Column, times: Column, action: Column, fields: dict[str, Column], endpoint: Column) -> Column:
+    """The question with its fields that are there, the last of several after an "and"."""
+    named = [F.concat(F.lit(f'{k}: "'), v, F.lit('"')) for k, v in {"given action": action, **fields}.items()]
+    there = F.filter(F.array(*named), lambda s: s.isNotNull())
+    listed = F.transform(there, lambda s, i: F.when((i > 0) & (i == F.size(there) - 1), F.concat(F.lit("and "), s)).otherwise(s))
+    head = F.concat(F.lit("Predict the future 3D point coordinates of "), points.cast("string"), F.lit(" points over "), times.cast("string"), F.lit(" timestamps, "))
+    return F.concat(head, F.array_join(listed, ", "), F.lit("."), F.when(endpoint, " predict the endpoint 3d coordinate first.").otherwise(""))
+
+
+def elapsed(seconds: Column) -> Column:
+    """Whole seconds as ``1 day, 2:03:04``."""
+    two = lambda v: F.lpad(v.cast("string"), 2, "0")
+    days = F.floor(seconds / 86400)
+    named = F.when(days > 1, F.concat(days.cast("string"), F.lit(" days, "))).when(days == 1, "1 day, ").otherwise("")
+    return F.concat(named, F.floor(seconds % 86400 / 3600).cast("string"), F.lit(":"), two(F.floor(seconds % 3600 / 60)), F.lit(":"), two((seconds % 60).cast("long")))
+
+
+def flattened(df: DataFrame, mark: str = ".") -> DataFrame:
+    """Every field of nested columns as a column named by its path."""
+    from pyspark.sql.types import StructType
+
+    def paths(schema: StructType, path: tuple[str, ...] = ()):
+        for f in schema:
+            if isinstance(f.dataType, StructType):
+                yield from paths(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    quoted = lambda p: ".".join(f"`{n}`" for n in p)
+    return df.select(*[F.col(quoted(p)).alias(mark.join(p)) for p in paths(df.schema)])
+
+
+def nested(df: DataFrame, mark: str = ".") -> DataFrame:
+    """Columns named by paths as nested columns."""
+    tree: dict = {}
+    for c in df.columns:
+        *path, last = c.split(mark)
+        at = tree
+        for p in path:
+            at = at.setdefault(p, {})
+        at[last] = c
+
+    def built(node):
+        return F.col(f"`{node}`") if isinstance(node, str) else F.struct(*[built(v).alias(k) for k, v in node.items()])
+
+    return df.select(*[built(v).alias(k) for k, v in tree.items()])
+
+
+def release_name(name: Column) -> Column:
+    """House, batch and kind of ``house_<n>__trajectories_batch_<k>.<kind>``; null for other names."""
+    part = lambda i: F.regexp_extract(name, "^(house_\\d+)__trajectories_batch_(\\d+)\\.(\\w+)$", i)
+    return F.when(part(1) != "", F.struct(part(1).alias("house"), part(2).try_cast("int").alias("batch"), part(3).alias("kind")))

@@ -131,10 +131,12 @@ def top_p(t: Tables):
     return sampling.top_p(c, 0.9, "p", "source").select("source", "n")
 
 
-@query("select vec_id, list_concat(list_transform(embedding[1:12], lambda x: cast(x as double)), [cast(-1 as double), -1, -1, -1]) as padded from embeddings")
+@query("""select vec_id, list_concat(list_transform(embedding, lambda x: cast(x as double)), list_transform(range(16), lambda i: cast(-1 as double))) as padded,
+    list_transform(embedding[1:16], lambda x: cast(x as double)) as cut from embeddings""")
 def pad_collate(t: Tables):
-    first = F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double"))
-    return t.embeddings.select("vec_id", packing.pad(first, 16, -1.0).alias("padded"))
+    """Whole vectors, filled up to 80 items and cut to 16."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return t.embeddings.select("vec_id", packing.pad(x, 80, -1.0).alias("padded"), packing.pad(x, 16, -1.0).alias("cut"))
 
 
 @query()
@@ -250,9 +252,9 @@ def name_split(t: Tables):
     return t.part.select("p_partkey", F.lower(part("p_name", 1)).alias("category"), part("p_name", 2).alias("uuid"), part("p_type", -1).alias("receptacle"))
 
 
-@query("""select doc_id, list_filter(list_transform(string_split(text, '|'), lambda s: trim(s, ' ')), lambda s: s <> '') as objects from documents where source = 'src5'""")
+@query("""select doc_id, list_filter(list_transform(string_split(text, '|'), lambda s: trim(s, ' ')), lambda s: s <> '') as objects from documents""")
 def object_list(t: Tables):
-    return t.documents.where("source = 'src5'").select("doc_id", text.object_list(F.col("text")).alias("objects"))
+    return t.documents.select("doc_id", text.object_list(F.col("text")).alias("objects"))
 
 
 @query()

@@ -35,10 +35,10 @@ def template_choice(t: Tables):
     return t.conversations.select("conv_id", "turn", F.element_at(templates, (h % 3 + 1).cast("int")).alias("template"))
 
 
-@query("""with o as (select p_brand, list(distinct p_type order by p_type)[1:4] as x from part group by p_brand)
+@query("""with o as (select p_brand, list(distinct p_type order by p_type) as x from part group by p_brand)
     select p_brand, array_to_string(list_transform(x, lambda s, i: chr(cast(64 + i as int)) || '. ' || s), chr(10)) as options from o""")
 def choice_options(t: Tables):
-    o = t.part.groupBy("p_brand").agg(F.slice(F.array_sort(F.collect_set("p_type")), 1, 4).alias("x"))
+    o = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("x"))
     line = F.transform("x", lambda s, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), s))
     return o.select("p_brand", F.array_join(line, "\n").alias("options"))
 

@@ -158,35 +158,40 @@ def forward_fill(t: Tables):
 
 
 _TRACKS = """q as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as f, cast(round_even(value * 10, 0) as bigint) as x from events),
-      s as (select user_id, f, concat(f, '.0 1 ', x, ' 0 0') as s from q where f < 5),
+      s as (select user_id, f, concat(f, '.0 1 ', x, ' 0 0') as s from q),
       k as (select user_id, concat('<tracks coords="', string_agg(s, ';' order by f), '">object points</tracks>') as tracks from s group by user_id)"""
 
 
-def encoded(t: Tables, first: int | None = None):
-    """Tracks as text; with ``first`` only so many frames of each, as the SQL has it."""
+def encoded(t: Tables):
+    """Tracks as text."""
     q = sequences.frame_index(t.events, ["user_id"], ORDER, "f")
-    q = q if first is None else q.where(F.col("f") < first)
     zero = F.lit(0).cast("long")
     q = q.select("user_id", "f", F.lit(1).alias("p"), F.rint(F.col("value") * 10).cast("long").alias("x"), zero.alias("y"), zero.alias("z"))
     return codec.encode_tracks(q, ["user_id"], "f", "p", ["x", "y", "z"], "object points")
 
 
+def filled_grid(t: Tables):
+    """Every track on one grid, to one frame after the end of the longest."""
+    parsed = codec.decode_tracks(encoded(t), ["user_id"], "tracks").select("user_id", F.col("time").cast("long").alias("f"), "x")
+    longest = t.events.groupBy("user_id").count().agg(F.max("count").alias("n"))
+    grid = t.events.select("user_id").distinct().crossJoin(F.broadcast(longest)).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("f"))
+    return grid.join(parsed, ["user_id", "f"], "left").select("user_id", "f", F.coalesce(F.col("x") / 10.0, F.lit(0.0)).alias("x"))
+
+
 @query(f"with {_TRACKS} select * from k")
 def encode_tracks(t: Tables):
-    return encoded(t, 5)
+    return encoded(t)
 
 
-@query(f"with {_TRACKS} select user_id, cast(f as double) as time, cast(1 as bigint) as point, x, cast(0 as bigint) as y, cast(0 as bigint) as z from q where f < 5")
+@query(f"with {_TRACKS} select user_id, cast(f as double) as time, cast(1 as bigint) as point, x, cast(0 as bigint) as y, cast(0 as bigint) as z from q")
 def decode_tracks(t: Tables):
-    return codec.decode_tracks(encoded(t, 5), ["user_id"], "tracks")
+    return codec.decode_tracks(encoded(t), ["user_id"], "tracks")
 
 
-@query(f"""with {_TRACKS}, g as (select user_id, f from (select distinct user_id from events) cross join (select unnest(range(6)) as f))
-    select g.user_id, cast(g.f as bigint) as f, coalesce(q.x / cast(10 as double), 0) as x from g left join (select * from q where f < 5) q on g.user_id = q.user_id and g.f = q.f""")
+@query(f"""with {_TRACKS}, g as (select user_id, f from (select distinct user_id from events) cross join (select unnest(range((select max(f) + 2 from q))) as f))
+    select g.user_id, cast(g.f as bigint) as f, coalesce(q.x / cast(10 as double), 0) as x from g left join q on g.user_id = q.user_id and g.f = q.f""")
 def grid_fill(t: Tables):
-    parsed = codec.decode_tracks(encoded(t, 5), ["user_id"], "tracks").select("user_id", F.col("time").cast("long").alias("f"), "x")
-    grid = t.events.select("user_id").distinct().withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("f", F.col("f").cast("long"))
-    return grid.join(parsed, ["user_id", "f"], "left").select("user_id", "f", F.coalesce(F.col("x") / 10.0, F.lit(0.0)).alias("x"))
+    return filled_grid(t)
 
 
 @query()
@@ -201,11 +206,7 @@ def decode_whole_tracks(t: Tables):
 
 @query()
 def grid_fill_whole(t: Tables):
-    """Every track on one grid, to one frame after the end of the longest."""
-    parsed = codec.decode_tracks(encoded(t), ["user_id"], "tracks").select("user_id", F.col("time").cast("long").alias("f"), "x")
-    longest = t.events.groupBy("user_id").count().agg(F.max("count").alias("n"))
-    grid = t.events.select("user_id").distinct().crossJoin(F.broadcast(longest)).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("f"))
-    return grid.join(parsed, ["user_id", "f"], "left").select("user_id", "f", F.coalesce(F.col("x") / 10.0, F.lit(0.0)).alias("x"))
+    return filled_grid(t)
 
 
 def _tap(t: Tables):
