@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +102,91 @@ def clip01(v: Column, fill: float = 0.5) -> Column:
 
 def ceil_to(v: Column, n: int) -> Column:
     return (F.ceil(v / n) * n).cast("long")
+
+
+def picture_share(pixel: Column, size: Column) -> Column:
+    """A pixel's place as a share of the picture's side, kept within 0 and 1; what isn't a number
+    is the middle."""
+    share = F.when(pixel.isNotNull() & ~F.isnan(pixel), pixel / size).otherwise(0.5)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), share))
+
+
+def inverse4(m: Vector) -> Vector:
+    """Inverse of a 4 by 4 matrix (sixteen columns by rows) by cofactors; null if it has none."""
+
+    def minor(r: int, c: int) -> Column:
+        rows, cols = [i for i in range(4) if i != r], [j for j in range(4) if j != c]
+        a = [[m[4 * i + j] for j in cols] for i in rows]
+        return a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
+
+    cofactor = [[minor(r, c) * (1 if (r + c) % 2 == 0 else -1) for c in range(4)] for r in range(4)]
+    det = sum((m[c] * cofactor[0][c] for c in range(1, 4)), m[0] * cofactor[0][0])
+    return [F.try_divide(cofactor[c][r], det) for r in range(4) for c in range(4)]
+
+
+def product4(a: Vector, b: Vector) -> Vector:
+    return [dot([a[4 * i + k] for k in range(4)], [b[4 * k + j] for k in range(4)]) for i in range(4) for j in range(4)]
+
+
+def bilinear(grid: Column, height: int, width: int, x: Column, y: Column) -> Column:
+    """Value of a flat grid at a place between its cells' centres, the edge's beyond them."""
+    cx, cy = F.least(F.lit(width - 1.0), F.greatest(F.lit(0.0), x)), F.least(F.lit(height - 1.0), F.greatest(F.lit(0.0), y))
+    x0, y0 = F.floor(cx).cast("int"), F.floor(cy).cast("int")
+    x1, y1 = F.least(F.lit(width - 1), x0 + 1), F.least(F.lit(height - 1), y0 + 1)
+    at = lambda r, c: F.get(grid, r * width + c).cast("double")
+    fx, fy = cx - x0, cy - y0
+    return (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
+
+
+def resized(grid: Column, height: int, width: int, new_height: int, new_width: int) -> Column:
+    """A flat grid in another size, by straight lines between cells' centres."""
+    place = F.sequence(F.lit(0), F.lit(new_height * new_width - 1))
+    x = lambda k: (k % new_width + 0.5) * width / float(new_width) - 0.5
+    y = lambda k: (F.floor(k / new_width) + 0.5) * height / float(new_height) - 0.5
+    return F.transform(place, lambda k: bilinear(grid, height, width, x(k), y(k)))
+
+
+def surface_point(kind: Column, size: Vector, u: Column, v: Column, w: Column) -> Vector:
+    """A point on a body's surface from three uniform numbers, uniform by area (but on an
+    ellipsoid, which is a stretched sphere). Sizes: radius of a sphere; half sides of a box;
+    radius and half height of a cylinder or capsule (its cylinder's); half axes of an ellipsoid."""
+    turn, up = 2 * math.pi * u, 2 * v - 1
+    ring = F.sqrt(F.greatest(F.lit(0.0), 1 - up * up))
+    ball = [ring * F.cos(turn), ring * F.sin(turn), up]
+    a, b, c = size
+    # box: one of three pairs of faces by area, then a place on it
+    xy, yz, xz = a * b, b * c, a * c
+    face = w * (xy + yz + xz)
+    side = F.when((w * 1024) % 2 < 1, 1.0).otherwise(-1.0)
+    p, q = 2 * u - 1, 2 * v - 1
+    pick = lambda one, two, three: F.when(face < xy, one).when(face < xy + yz, two).otherwise(three)
+    box = [pick(p * a, side * a, p * a), pick(q * b, p * b, side * b), pick(side * c, q * c, q * c)]
+    # cylinder: side or one of two ends, by area
+    wall, end = 2 * b, a / 2
+    on = w * (wall + 2 * end)
+    out = F.when(on < wall, 1.0).otherwise(F.sqrt(v))
+    tube = [a * out * F.cos(turn), a * out * F.sin(turn), F.when(on < wall, q * b).when(on < wall + end, b).otherwise(-b)]
+    # capsule: side, or a ball whose halves are moved apart
+    on2 = w * (2 * b + 2 * a)
+    moved = a * up + F.when(up >= 0, b).otherwise(-b)
+    capsule = [F.when(on2 < 2 * b, a * F.cos(turn)).otherwise(a * ball[0]), F.when(on2 < 2 * b, a * F.sin(turn)).otherwise(a * ball[1]), F.when(on2 < 2 * b, q * b).otherwise(moved)]
+    by = lambda k: F.when(kind == "sphere", a * ball[k]).when(kind == "box", box[k]).when(kind == "cylinder", tube[k]).when(kind == "capsule", capsule[k]).otherwise(size[k] * ball[k])
+    return [by(k) for k in range(3)]
+
+
+def triangle_point(corners: list[Vector], u: Column, v: Column) -> Vector:
+    """A point of a triangle, uniform by area."""
+    s = F.sqrt(u)
+    share = [1 - s, s * (1 - v), s * v]
+    return [sum((share[i] * corners[i][k] for i in range(1, 3)), share[0] * corners[0][k]) for k in range(3)]
+
+
+def triangle_area(corners: list[Vector]) -> Column:
+    a, b = ([q - p for p, q in zip(corners[0], corners[i], strict=True)] for i in (1, 2))
+    return norm(cross(a, b)) / 2
+
+
+def to_480p(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column, Column]:
+    """A pixel's place, halves to even, and the width in a picture of 480 lines and even width."""
+    new = (F.rint(width * 480.0 / height / 2) * 2).cast("long")
+    return F.rint(x * new / width).cast("long"), F.rint(y * 480.0 / height).cast("long"), new

@@ -1,12 +1,10 @@
-"""Run-length masks: decoding and tests of points, in Arrow batches."""
+"""Masks of runs and of polygons: decoding and tests of points, as expressions."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 
 def decode_rle(counts: list[int], height: int, width: int) -> np.ndarray:
@@ -15,15 +13,31 @@ def decode_rle(counts: list[int], height: int, width: int) -> np.ndarray:
     return flat[: height * width].reshape(width, height).T
 
 
-@F.pandas_udf(BooleanType())
-def point_in_mask(counts: pd.Series, height: pd.Series, width: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    """Whether the pixel nearest to a point is set; a point outside the picture isn't."""
-    out = []
-    for c, h, w, px, py in zip(counts, height, width, x, y, strict=True):
-        i, j = int(np.rint(py)), int(np.rint(px))
-        ends = np.cumsum(c)
-        out.append(0 <= i < h and 0 <= j < w and int(np.searchsorted(ends, j * h + i, "right")) % 2 == 1)
-    return pd.Series(out)
+def point_in_mask(counts: Column, height: Column, width: Column, x: Column, y: Column) -> Column:
+    """Whether the pixel nearest to a point is set in a mask of runs down the columns; a point
+    outside the picture isn't. The run that holds the pixel is the first whose end is beyond it."""
+    i, j = F.rint(y).cast("int"), F.rint(x).cast("int")
+    ends = F.transform(counts, lambda c, k: F.aggregate(F.slice(counts, 1, k + 1), F.lit(0), lambda a, v: a + v))
+    run = F.size(F.filter(ends, lambda e: e <= j * height + i))
+    return (i >= 0) & (i < height) & (j >= 0) & (j < width) & (run % 2 == 1) & (run < F.size(counts))
+
+
+def point_in_polygon(x: Column, y: Column, corners: Column) -> Column:
+    """Whether a point lies in a polygon (flat list of x and y), by the even-odd rule."""
+    n = F.floor(F.size(corners) / 2).cast("int")
+    at = lambda k, d: F.get(corners, ((k % n) * 2 + d).cast("int"))
+
+    def crosses(k: Column) -> Column:
+        x1, y1, x2, y2 = at(k, 0), at(k, 1), at(k + 1, 0), at(k + 1, 1)
+        return ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * F.try_divide(x2 - x1, y2 - y1))
+
+    return F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1
+
+
+def polygon_mask(corners: Column, height: int, width: int) -> Column:
+    """The mask of a polygon, row by row: pixels whose centres lie inside."""
+    place = F.sequence(F.lit(0), F.lit(height * width - 1))
+    return F.transform(place, lambda k: point_in_polygon(k % width + 0.5, F.floor(k / width) + 0.5, corners).cast("int"))
 
 
 def point_in_box(x: Column, y: Column, box: Column) -> Column:

@@ -127,12 +127,12 @@ def hota(pairs: DataFrame, video: str, frame: str, true_id: str, said_id: str, s
                         match[ti[i], pi[j]] += 1
             det = hits / max(n_t.sum() + n_p.sum() - hits, 1)
             ass = float((match * match / np.maximum(n_t[:, None] + n_p[None] - match, 1)).sum() / max(hits, 1))
-            rows.append((np.sqrt(det * ass), det, ass, loc / hits if hits else 1.0))
+            rows.append((np.sqrt(det * ass), det, ass, loc / hits if hits else 1.0, hits / max(n_t.sum(), 1), hits / max(n_p.sum(), 1)))
         m = np.mean(rows, axis=0)
-        return pd.DataFrame([(key[0], *m)], columns=[video, "hota", "det_a", "ass_a", "loc_a"])
+        return pd.DataFrame([(key[0], *m)], columns=[video, "hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr"])
 
     kind = pairs.schema[video].dataType.simpleString()
-    return pairs.select(*names).groupBy(video).applyInPandas(score, f"{video} {kind}, hota double, det_a double, ass_a double, loc_a double")
+    return pairs.select(*names).groupBy(video).applyInPandas(score, f"{video} {kind}, hota double, det_a double, ass_a double, loc_a double, det_re double, det_pr double")
 
 
 def matched_f1(pairs: DataFrame, by: list[str], true_id: str, said_id: str, distance: str, within: float) -> DataFrame:

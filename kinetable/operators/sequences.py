@@ -104,3 +104,8 @@ def gathered(df: DataFrame, by: list[str], grid: str, width: int, rows: list[int
     """Values of a flat grid at every pair of two index lists, as (frame, point, v)."""
     pick = [F.struct(F.lit(f).alias("frame"), F.lit(p).alias("point"), F.get(grid, F.lit(f * width + p)).alias("v")) for f in rows for p in columns]
     return df.select(*by, F.inline(F.array(*pick)))
+
+
+def exported(track: Column, start: Column, with_start: Column) -> Column:
+    """A forecast as it is handed on, where asked for with the start before it."""
+    return F.when(with_start, F.concat(F.array(start), track)).otherwise(track)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import ship
 from ..tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +17,7 @@ class Tables:
     """Tables of one folder by attribute, loaded when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:

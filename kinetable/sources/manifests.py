@@ -67,7 +67,48 @@ def explode_predictions(results: DataFrame) -> DataFrame:
 
 
 def valid_length_index(rows: DataFrame) -> DataFrame:
-    """One JSON text {house: {file: {trajectory: length}}} for each house (house, file, traj, length)."""
-    files = rows.groupBy("house", "file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("traj", "length")))).alias("m"))
-    houses = files.groupBy("house").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", F.to_json("m").alias("m"))))).alias("m"))
-    return houses.select("house", F.to_json("m").alias("index"))
+    """One JSON text {house: {file: {trajectory: length}}} for each house (house, file, traj, length);
+    keys in order of their text."""
+    text = lambda c: F.col(c).cast("string")
+    files = rows.groupBy("house", "file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(text("traj").alias("traj"), F.col("length"))))).alias("m"))
+    houses = files.groupBy("house").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(text("file").alias("file"), F.to_json("m").alias("m"))), lambda a, b: F.when(a["file"] < b["file"], -1).otherwise(1))).alias("m"))
+    # the inner maps are JSON already: they are put in by their text
+    inner = F.transform(F.map_entries("m"), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
+    return houses.select("house", F.concat(F.lit("{"), F.to_json(F.array(text("house"))).substr(F.lit(2), F.length(F.to_json(F.array(text("house")))) - 2), F.lit(":{"), F.array_join(inner, ","), F.lit("}}")).alias("index"))
+
+
+def write_manifest(entries: DataFrame, folder: str) -> str:
+    """Entries (dataset, split, file, ...) as one manifest a dataset: {"train": [...], "test": [...]}."""
+    fields = [c for c in entries.columns if c not in ("dataset", "split")]
+    part = lambda s: F.array_sort(F.collect_list(F.when(F.col("split") == s, F.struct(*fields))), lambda a, b: F.when(a["file"] < b["file"], -1).otherwise(1)).alias(s)
+    m = entries.groupBy("dataset").agg(part("train"), part("test"))
+    m.write.mode("append").partitionBy("dataset").json(folder)
+    return folder
+
+
+def read_manifests(spark: SparkSession, folder: str, train: bool, schema: str) -> DataFrame:
+    """Entries of all datasets' manifests: those of the test split to evaluate, of both to train."""
+    kinds = ", ".join(f"{s} array<struct<{schema}>>" for s in ("train", "test"))
+    raw = spark.read.schema(f"{kinds}, dataset string").json(folder)
+    out = raw.select("dataset", F.inline("test")).withColumn("split", F.lit("test"))
+    return raw.select("dataset", F.inline("train")).withColumn("split", F.lit("train")).unionByName(out) if train else out
+
+
+def flat_messages(rows: DataFrame, messages: str) -> DataFrame:
+    """A row for each nested message, with the columns ``metadata/...`` gathered in one struct."""
+    meta = [c for c in rows.columns if c.startswith("metadata/")]
+    inside = F.struct(*[F.col(f"`{c}`").alias(c.removeprefix("metadata/")) for c in meta]).alias("metadata")
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in (*meta, messages)]
+    return rows.select(*rest, inside, F.inline(F.flatten(messages)))
+
+
+def task_list(spark: SparkSession, path: str) -> DataFrame:
+    """(task, action): the action has had two names."""
+    raw = spark.read.schema("task long, action string, language_instruction string").json(path)
+    return raw.select("task", F.coalesce("action", "language_instruction").alias("action"))
+
+
+def hub_scan(spark: SparkSession, path: str, in_memory: bool = False) -> DataFrame:
+    """A columnar dataset; kept in executors' memory if asked for."""
+    df = spark.read.parquet(path)
+    return df.cache() if in_memory else df
