@@ -20,7 +20,7 @@ class _WordHash(dict):
     """Hash of a word; kept for the words met before, within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -44,6 +44,8 @@ GRAM, FIRST, PART_BYTES = 16, 8, 3 << 20
 #: Bytes of text that are searched at once, and whose anchors are dealt at once; positions whose
 #: hashes are made at once (so few that they stay in a core's cache).
 BLOCK, DEAL, STEP = 1 << 20, 16 << 20, 1 << 15
+#: Bytes of contexts that are refined at once (more only if one 16-gram's are more).
+SEARCH = 2 << 20
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -201,6 +203,11 @@ def _rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*[b.column(i).to_pylist() for i in at], b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist(), strict=True)
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _dealt(target: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns' rows by target."""
     order = np.argsort(target, kind="stable")
@@ -303,11 +310,10 @@ def _context_rows(length: int, parts: int):
                 out.append((-1 - key[0].as_py(), _dump(doc[t], own_hash[t], pos[done], pos[done] + (count[done] + length - 1).astype(np.uint32))))
             send = ~done
             begin, count, text, gram, pos = begin[send], count[send], text[send], gram[send], pos[send]
-            route = ((_mix(gram + _B) >> _S) % np.uint64(parts)).astype(np.int64)
-            for p, (s, c, t, x) in _dealt(route, [begin, count, text, pos]):
-                size = c + length - 1
-                take = np.repeat(s - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                out.append((p, _dump(doc[t], own_hash[t], x, c.astype(np.uint8), block.bytes[take])))
+            spread = _mix(gram + _B)
+            route, sub = ((spread >> _S) % np.uint64(parts)).astype(np.int64), (spread & np.uint64(255)).astype(np.uint8)
+            for p, (s, c, t, x, u) in _dealt(route, [begin, count, text, pos, sub]):
+                out.append((p, _dump(doc[t], own_hash[t], x, c.astype(np.uint8), u, block.bytes[_ranges(s, c + length - 1)])))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -320,20 +326,30 @@ def _interval_rows(length: int, parts: int):
         target = key[0].as_py()
         if target < 0:
             return pa.Table.from_batches([_rows([(-1 - target, x.as_py()) for x in group["blob"]])])
-        each = [_load(x.as_py(), "<i8", "<i8", "<u4", "u1", "u1") for x in group["blob"]]
-        doc, own_hash, pos, count, text = (np.concatenate(c) for c in zip(*each, strict=True))
+        each = [_load(x.as_py(), "<i8", "<i8", "<u4", "u1", "u1", "u1") for x in group["blob"]]
+        doc, own_hash, pos, count, sub, text = (np.concatenate(c) for c in zip(*each, strict=True))
+        del each
         size = count.astype(np.int64) + length - 1
-        starts = np.r_[0, np.cumsum(size)]
-        eight = Block([text.tobytes()], length).eight[: len(text)]
-        entry = np.repeat(np.arange(len(doc), dtype=np.int32), size)
-        room = (np.repeat(starts[1:], size) - np.arange(len(text))).astype(np.int32)
+        starts = np.cumsum(size) - size
         rank = np.unique(doc, return_inverse=True)[1].astype(np.int32)
-        at, least, _ = refine(eight, room, rank[entry], length)
-        hit = np.sort(at[rank[entry[at]] > least])
-        edge = np.r_[True, (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])] if len(hit) else np.zeros(0, bool)
-        e, begin = entry[hit[edge]], hit[edge]
-        end = hit[np.r_[edge[1:], True]] + length if len(hit) else hit
-        cols = [doc[e], own_hash[e], (pos[e] + begin - starts[e]).astype(np.uint32), (pos[e] + end - starts[e]).astype(np.uint32)]
+        # one 16-gram's contexts are in one share
+        shares = max(1, math.ceil(len(text) / SEARCH))
+        share, found = sub.astype(np.int32) * shares >> 8, []
+        for k in range(shares):
+            mine = np.flatnonzero(share == k)
+            begin = np.cumsum(size[mine]) - size[mine]
+            block = Block([text[_ranges(starts[mine], size[mine])].tobytes()], length)
+            n = int(block.starts[-1])
+            entry = np.repeat(np.arange(len(mine), dtype=np.int32), size[mine])
+            room = (np.repeat(begin + size[mine], size[mine]) - np.arange(n)).astype(np.int32)
+            at, least, _ = refine(block.eight[:n], room, rank[mine][entry], length)
+            hit = np.sort(at[rank[mine][entry[at]] > least])
+            edge = np.r_[True, (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])] if len(hit) else np.zeros(0, bool)
+            e = entry[hit[edge]]
+            last = hit[np.r_[edge[1:], True]] if len(hit) else hit
+            found.append((mine[e], hit[edge] - begin[e], last + length - begin[e]))
+        e, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
+        cols = [doc[e], own_hash[e], (pos[e] + begin).astype(np.uint32), (pos[e] + end).astype(np.uint32)]
         out = pa.Table.from_batches([_rows([(p, _dump(*c)) for p, c in _dealt(part_of(doc[e], parts), cols)])])
         release()
         return out
