@@ -325,7 +325,7 @@ def test_url_keys():
 
 
 def test_base_scores_and_counts(docs):
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"], round(r["base_score"], 6)) for r in lbl.score(docs, steps=20).collect())
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"], round(r["base_score"], 6)) for r in lbl.score(docs).collect())
     toks = [(r["doc_id"], [*(r["text"] or "").encode().lower().split(), b"\n"]) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t in toks if i is not None and not held(i) for w in t)
@@ -336,20 +336,53 @@ def test_base_scores_and_counts(docs):
 
 
 def test_probabilities_add_up(docs):
-    m, counts = lbl.train(docs, steps=200)
-    p = 10.0 ** m.log_class.astype(float)
-    assert p.shape == (lbl.CLASSES**2, lbl.CLASSES) and np.allclose(p.sum(1), 1, atol=1e-4)
+    m, counts = lbl.train(docs)
     n = {r["word"].encode(): r["n"] for r in counts.collect()}
-    for k in range(lbl._OWN, lbl.CLASSES):
-        own = [c for w, c in n.items() if w not in m.classes and lbl.tail_class(w) == k]
+    every = np.arange(len(m.words) + m.tails)
+    for one, two in ((0, 0), (0, 3), (m.own, 1), (m.own + m.tails - 1, m.own)):
+        p = 10.0 ** m.log_probability(np.full(len(every), one), np.full(len(every), two), every)
+        assert abs(p.sum() - 1) < 1e-4
+    for k in range(m.tails):
+        own = [c for w, c in n.items() if w not in m.words and lbl.tail_of(w, m.tails) == k]
         assert m.tail_total[k] == sum(own) + len(own)
 
 
+def test_score_like_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(lbl, "sizes", lambda distinct: (12, 8, 3))  # most words are in tails
+    monkeypatch.setattr(lbl, "HEAD", 20)  # and some of those meet their texts in the join
+    model, counts = lbl.train(docs)
+    monkeypatch.setattr(lbl, "train", lambda _: (model, counts))
+    n = {r["word"].encode(): r["n"] for r in counts.collect()}
+    p = model.params
+
+    def brute(text):
+        toks, total = [*(text or "").encode().lower().split(), b"\n"], 0.0
+        entry = [model.words.index(w) if w in model.words else len(model.words) + lbl.tail_of(w, model.tails) for w in toks]
+        cls = [0, 0, *[e if e < model.own else model.own + (lbl.tail_of(w, model.tails)) for e, w in zip(entry, toks, strict=True)]]
+        for k, (e, w) in enumerate(zip(entry, toks, strict=True)):
+            h = p["context"][cls[k]].astype(float) @ p["positions"][: lbl.DIM] + p["context"][cls[k + 1]].astype(float) @ p["positions"][lbl.DIM :]
+            s = p["target"] @ h + p["bias"][:, 0]
+            total += (s[e] - np.log(np.exp(s).sum())) / math.log(10)
+            if e >= len(model.words):
+                total += math.log10((n.get(w, 0) + 1) / (model.tail_total[e - len(model.words)] + 1))
+        return total
+
+    got = sorted((str(r["doc_id"]), round(r["score"], 2)) for r in lbl.score(docs).collect())
+    want = sorted((str(r["doc_id"]), brute(r["text"])) for r in docs.collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 0.02 + 1e-4 * abs(b) for (_, a), (_, b) in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_vocabulary_grows_with_the_words():
+    small, large = lbl.sizes(10_000), lbl.sizes(1_000_000)
+    assert large[0] == 10 * small[0] == 8000 and large[1] > 2 * small[1] and large[2] > small[2]
+    assert lbl.sizes(3) == (3, 3, 4)
+
+
 def test_model_beats_its_base_on_order(spark):
     r = random.Random(7)
     words = [chr(97 + i) * 3 for i in range(20)]
     rows = [(i, " ".join(words[(s + k) % 20] for k in range(60))) for i, s in enumerate(r.choices(range(20), k=200))]
-    out = lbl.score(spark.createDataFrame(rows, "doc_id long, text string"), steps=600).where("held_out").toPandas()
+    out = lbl.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").toPandas()
     assert len(out) and (out["score"] > 0.5 * out["base_score"]).all()
 
 
