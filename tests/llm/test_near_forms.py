@@ -139,9 +139,46 @@ def test_shared_passages_are_found(spark):
     assert (out["other_id"] < out["doc_id"]).all() and (out["similarity"] >= 0.8).all() and (out["n_words"] >= 50).all()
     one = out[out["doc_id"] == 12].iloc[0]
     assert 68 <= one["start_word"] <= 72 and one["other_id"] % 10 == 2
+    for group in range(5):  # documents of one passage are of one class
+        own = [i for i in range(0, 60, 2) if i % 5 == group]
+        assert set(out[out["doc_id"].isin(own)]["class_id"]) == {min(own)}
     assert passages.near_passages(frame(spark, rows).where("false")).count() == 0
 
 
+def test_passages_around_a_frequent_line(spark):
+    """Pairs share passages that all hold one line, which also stands alone in smaller documents."""
+    r, line, rows, want = random.Random(13), None, [], {}
+    line = words(r, 14)
+    for i in range(60):
+        rows.append((i, " ".join(words(r, 60) + line + words(r, 60))))
+    for k in range(40):
+        p = words(r, 18) + line + words(r, 18)
+        for i in (100 + 2 * k, 101 + 2 * k):
+            rows.append((i, " ".join(words(r, 70) + p + words(r, 70))))
+        want[101 + 2 * k] = 100 + 2 * k
+    out = passages.near_passages(frame(spark, rows)).toPandas()
+    got = set(zip(out["doc_id"], out["other_id"], strict=True))
+    assert {(a, b) for a, b in want.items()} <= got
+    assert set(out["doc_id"]) == set(want) and (out["class_id"] == out["doc_id"] - 1).all()
+
+
+def test_pair_recall_of_edited_passages(spark):
+    """Two documents of each pair share 100 words with two edits (similarity about 0.8): nearly all
+    are found; and a document of 40,000 words is searched whole."""
+    r, rows, want = random.Random(14), [], set()
+    for k in range(100):
+        p = words(r, 100)
+        q = list(p)
+        q[33], q[66] = "edit", "more"
+        rows += [(2 * k, " ".join(words(r, 80) + p + words(r, 80))), (2 * k + 1, " ".join(words(r, 80) + q + words(r, 80)))]
+        want.add((2 * k + 1, 2 * k))
+    long = words(r, 40_000)
+    rows += [(500, " ".join(long)), (501, " ".join(words(r, 50) + long[39_900:39_980]))]
+    out = passages.near_passages(frame(spark, rows)).toPandas()
+    got = set(zip(out["doc_id"], out["other_id"], strict=True))
+    assert len(got & want) >= 98 and got <= want | {(501, 500)} and (501, 500) in got
+
+
 def test_places_need_enough_functions():
     at = lambda *x: passages.places(*[np.array(v) for v in x], 46)
     assert at([0, 1, 2], [0, 5, 2], [60, 70, 64], [3, 3, 3]) == [(0, 70, 3, 73)]
