@@ -8,14 +8,16 @@ The adjacency lists of all shards are united for each node. Then each node searc
 shards it is in: greedily from the shard's medoid and its own neighbours, always expanding
 the most similar node met; the range of what is expanded widens from the best few to all
 nodes within the link range, so a search ends only when the whole cluster is expanded. What
-is found is verified by the cosine in double precision.
+is found is verified, where it is found, by the cosine in double precision.
 
 A hash draws nodes whose links are also found by comparing them with all nodes in blocks;
-if too few were found by the graph (``audit``), the overlap is doubled and all is done again.
+if too few were found by the graph (``audit``), the overlap is doubled and all is done again,
+until each node is in every shard. The share that was found is kept in ``AUDITED`` for each
+application; a last one below the recall asked for is an error.
 
-Centres are at most CENTRES; the number of nodes drawn for the audit is at most AUDIT. Shards
-hold about SHARD nodes; one that holds more is searched in several tasks, each with a share
-of the queries.
+Centres grow with the nodes, up to CENTRE_BYTES of them (131,072 of 64 numbers: shards stay at
+about SHARD nodes up to 200 million); the number of nodes drawn for the audit is at most
+AUDIT. A shard that holds more is searched in several tasks, each with a share of the queries.
 
 Rows: a vector that is null, empty, zero or holds a null or non-finite component, or has a
 null id, has no links; rows with the same id are one vector's (its links are those of any of
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 from .common import materialize, prepare, small
 from .components import components
 
-SHARD, CENTRES, AUDIT, OVERLAP = 1500, 4096, 200, 3
+SHARD, CENTRE_BYTES, AUDIT, OVERLAP = 1500, 64 << 20, 200, 3
 DEGREE, NEAR, SLACK, QUERIES = 24, 96, 1.2, 4000
+#: Links of drawn nodes that there are and that were found, by application.
+AUDITED: dict[str, tuple[int, int]] = {}
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,7 +127,8 @@ def _search_shard(least: float):
         medoid = int(np.argmax(x @ x.mean(0)))
         a, b = [], []
         for q in np.flatnonzero(mine).tolist():
-            f = search(x, links, q, medoid, least - 1e-9)
+            f = np.array(search(x, links, q, medoid, least - 1e-9), np.int64)
+            f = f[(x[f] * x[q]).sum(1) >= least]
             a += [int(node[q])] * len(f)
             b += node[f].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -139,10 +144,16 @@ def _build_shard(key, group):
     return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array([node[a].tolist() for a in near], pa.list_(pa.int64()))})
 
 
+def shards(nodes: DataFrame, n: int) -> int:
+    """How many centres there are."""
+    longest = nodes.agg(F.max("d")).first()[0] or 1
+    return max(1, min(math.ceil(n / SHARD), CENTRE_BYTES // (8 * longest)))
+
+
 def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     """Pairs (a, b), a < b, of nodes (node, d, v) found by the graph and verified."""
     spark = nodes.sparkSession
-    k = max(1, min(CENTRES, math.ceil(n / SHARD)))
+    k = shards(nodes, n)
     drawn = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(k).collect()
     centres = spark.sparkContext.broadcast({d: np.array([np.frombuffer(r["v"], "<f8") for r in drawn if r["d"] == d]) for d in {r["d"] for r in drawn}})
 
@@ -165,20 +176,7 @@ def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     spread = dealt.join(lists, "node").join(shares, "shard").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
     found = spread.select("shard", "share", "node", "v", "links", "mine").groupBy("shard", "share").applyInArrow(_search_shard(least), "a long, b long")
-    return materialize(verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, least), "links")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = _matrix(b.column(2)), _matrix(b.column(3))
-                ok = (x * y).sum(1) >= least
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
-
-    left = nodes.select(F.col("node").alias("a"), F.col("v").alias("va"))
-    right = nodes.select(F.col("node").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
 
 def audit(nodes: DataFrame, found: DataFrame, n: int, least: float) -> tuple[int, int]:
@@ -195,13 +193,15 @@ def audit(nodes: DataFrame, found: DataFrame, n: int, least: float) -> tuple[int
             for size in np.unique(d).tolist():
                 own, q = np.flatnonzero(d == size), [x for x in shared.value if x[1] == size]
                 if q:
-                    s = np.stack([x[2] for x in q]) @ _matrix(b.column(2).take(pa.array(own))).T
-                    i, j = np.nonzero(s >= least)
+                    x, y = np.stack([x[2] for x in q]), _matrix(b.column(2).take(pa.array(own)))
+                    i, j = np.nonzero(x @ y.T >= least - 1e-9)
+                    ok = (x[i] * y[j]).sum(1) >= least
+                    i, j = i[ok], j[ok]
                     one, two = np.array([x[0] for x in q], np.int64)[i], node[own][j]
                     yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(one, two)), "b": pa.array(np.maximum(one, two))})
 
     true = nodes.select("node", "d", "v").mapInArrow(run, "a long, b long").where("a < b").distinct()
-    true = materialize(verified(true, nodes, least), "audit")
+    true = materialize(true, "audit")
     return true.count(), true.join(found, ["a", "b"], "left_semi").count()
 
 
@@ -237,9 +237,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.98,
     while True:
         found = links(nodes, n, least, overlap)
         there, met = audit(nodes, found, n, least)
-        if met >= recall * there or overlap >= max(1, min(CENTRES, math.ceil(n / SHARD))):
+        if met >= recall * there or overlap >= shards(nodes, n):
             break
         overlap *= 2
+    AUDITED[vectors.sparkSession.sparkContext.applicationId] = there, met
+    if met < recall * there:
+        raise RuntimeError(f"only {met} of {there} links of drawn nodes were found")
 
     size = members.select("node", "copies").distinct()
     both = found.union(found.select("b", "a")).toDF("node", "other")

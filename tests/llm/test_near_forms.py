@@ -211,9 +211,22 @@ def test_links_like_brute_force(spark):
     assert [out[i]["component_id"] for i in range(n)] == least
     assert all(out[i]["kept"] == (least[i] == i) for i in range(n))
     assert all(out[n + k]["n_links"] == 0 and out[n + k]["kept"] for k in range(7)) and out[None]["n_links"] == 0
+    there, met = graph.AUDITED[spark.sparkContext.applicationId]
+    assert there and met >= 0.98 * there
     assert graph.near_vectors(df.where("false")).count() == 0
 
 
+def test_many_shards_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD", 60)  # a dense cluster and its border are in many shards
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(size=(500, 16)), 3 * np.ones((150, 16)) + 0.35 * r.normal(size=(150, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    out = {row["vec_id"]: row["n_links"] for row in graph.near_vectors(df).collect()}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = (u @ u.T >= 0.95).sum(1) - 1
+    assert sum(out.values()) >= 0.995 * near.sum() and all(out[i] <= near[i] for i in range(len(x)))
+
+
 def test_search_ends_only_when_the_cluster_is_expanded():
     r = np.random.default_rng(5)
     x = np.concatenate([r.normal(size=(400, 24)), np.ones((200, 24)) + 0.05 * r.normal(size=(200, 24))])
