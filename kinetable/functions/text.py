@@ -46,7 +46,7 @@ def caption(text: Column, stem: Column) -> Column:
 
 def clean_caption(text: Column) -> Column:
     """Without trailing punctuation and outer space."""
-    return F.trim(F.regexp_replace(F.trim(text), "[.,;:]+$", ""))
+    return F.trim(F.regexp_replace(F.trim(text), "[.,;:]+\\z", ""))
 
 
 def escape_html(text: Column) -> Column:

@@ -19,14 +19,17 @@ def threshold_rate(err: Column, thresholds: list[float]) -> Column:
 
 def trajectory_scores(err: DataFrame, point: list[str], frame: str, error: str, clip: list[str], thresholds: list[float], by: list[str] = ()) -> DataFrame:
     """Mean error over all rows (ADE), over each point's last row (FDE), the threshold rate
-    (PWT), and the number of clips. Rows without an error don't count; nothing at all gives 0."""
-    w = Window.partitionBy(*point).orderBy(F.desc(frame))
-    rows = err.where(F.col(error).isNotNull()).withColumn("_last", F.row_number().over(w) == 1)
-    zero = F.lit(0.0)
-    return rows.groupBy(*by).agg(
-        F.coalesce(F.avg(error), zero).alias("ade"),
-        F.coalesce(F.avg(F.when(F.col("_last"), F.col(error))), zero).alias("fde"),
-        F.coalesce(F.avg(threshold_rate(F.col(error), thresholds)), zero).alias("pwt"),
+    (PWT), and the number of clips. Rows without an error don't count; nothing at all gives 0.
+    A point is summed up where its rows lie, so no rows are sorted and one row a point moves."""
+    key = list(dict.fromkeys([*by, *clip, *point]))
+    points = err.where(F.col(error).isNotNull()).groupBy(*key).agg(
+        F.sum(error).alias("_sum"), F.count("*").alias("_n"), F.max_by(error, frame).alias("_last"), F.sum(threshold_rate(F.col(error), thresholds)).alias("_rate")
+    )
+    zero, n = F.lit(0.0), F.sum("_n")
+    return points.groupBy(*by).agg(
+        F.coalesce(F.try_divide(F.sum("_sum"), n), zero).alias("ade"),
+        F.coalesce(F.avg("_last"), zero).alias("fde"),
+        F.coalesce(F.try_divide(F.sum("_rate"), n), zero).alias("pwt"),
         F.count_distinct(*clip).alias("n_clips"),
     )
 

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a shard.
+SHARD_ROWS = 50_000
+
+
 def pad(items: Column, length: int, value) -> Column:
     """The first ``length`` items, filled up with a value."""
     head = F.slice(items, 1, length)
@@ -61,10 +65,11 @@ class BufferedPacker:
         return out
 
 
-def knapsack_pack(df: DataFrame, key: str, first: str, second: str, limits: tuple[int, int], buffer: int = 48, shards: int = 8) -> DataFrame:
+def knapsack_pack(df: DataFrame, key: str, first: str, second: str, limits: tuple[int, int], buffer: int = 48, shards: int | None = None) -> DataFrame:
     """Bins of rows under two limits. Rows are dealt to shards by their key and packed there
     in key order, streaming through a bounded buffer, so that the result is the same each
-    time and no task holds more than the buffer."""
+    time and no task holds more than the buffer. Shards grow with the rows."""
+    shards = shards or max(8, -(-df.count() // SHARD_ROWS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packers: dict[int, tuple[BufferedPacker, list[int]]] = {}

@@ -43,9 +43,10 @@ def kmeans_points(t: Tables):
     return KMeans(k=8, seed=0, maxIter=10).fit(x).transform(x).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""select time_bucket(interval '1 hour', ts) as "start", event_type, count(*) as n from events group by 1, 2""")
 def stream_tumbling(t: Tables):
-    return events.table_of(events.tumbling_counts(events.read_stream(t.spark, f"{t.folder}/events*"), "1 hour"), "complete")
+    n = events.table_of(events.tumbling_counts(events.read_stream(t.spark, f"{t.folder}/events*"), "1 hour"), "complete")
+    return n.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("select event_id, user_id, event_type from events")
@@ -57,4 +58,4 @@ def stream_dedup(t: Tables):
 @query()
 def stream_pack(t: Tables):
     s = events.read_stream(t.spark, f"{t.folder}/documents*", "documents")
-    return events.table_of(events.packed(s.withColumn("one", F.lit(1)), "doc_id", "n_chars", "one", (8192, 16)))
+    return events.packed_table(s.withColumn("one", F.lit(1)), "doc_id", "n_chars", "one", (8192, 16))

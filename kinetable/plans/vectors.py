@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import metrics
+from ..operators import metrics, neighbours
 from .registry import Tables, query
 
 
@@ -92,9 +92,4 @@ def look_at(t: Tables):
       p as (select q, vec_id, row_number() over (partition by q order by list_distance(cast(v as double[]), cast(embedding as double[])), vec_id) as n from q join embeddings on vec_id <> q)
     select q, vec_id, n from p where n <= 5""")
 def nearest_vectors(t: Tables):
-    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    d = t.embeddings.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "vec_id", g.l2(F.col("v"), F.col("embedding")).alias("d"))
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))
-    return d.withColumn("n", n).where("n <= 5").select("q", "vec_id", F.col("n").cast("long").alias("n"))
+    return neighbours.nearest_rows(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding", 5).select("q", "vec_id", "n")

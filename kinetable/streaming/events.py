@@ -9,8 +9,6 @@ checkpoint folder it goes on where it stopped.
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.packing import BufferedPacker
+from ..sources.files import exists, listed
+from ..storage import new_folder
 from ..tables import SCHEMAS
 
 
@@ -32,11 +32,21 @@ def read_stream(spark: SparkSession, folder: str, name: str = "events", files_pe
 
 
 def table_of(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its result."""
-    name = f"stream_{uuid.uuid4().hex}"
-    place = checkpoint or tempfile.mkdtemp()
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream over what is there and return its result: a Parquet folder a batch, which a
+    batch that runs again writes again. In mode ``complete`` the last batch is the result."""
+    spark = df.sparkSession
+    out = new_folder(spark, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or new_folder(spark, "marks")).trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    numbers = sorted(int(p.rpartition("=")[2]) for p in listed(spark, f"{out}/batch=*"))
+    if not numbers:
+        return spark.createDataFrame([], df.schema)
+    wanted = numbers[-1:] if mode == "complete" else numbers
+    return spark.read.schema(df.schema).parquet(*[f"{out}/batch={n}" for n in wanted])
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str) -> None:
@@ -73,3 +83,28 @@ def packed(rows: DataFrame, key: str, first: str, second: str, limits: tuple[int
 
     dealt = rows.select(F.col(key).cast("long").alias("key"), F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b")).withColumn("shard", F.pmod("key", F.lit(shards)))
     return dealt.groupBy("shard").applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def packed_table(rows: DataFrame, key: str, first: str, second: str, limits: tuple[int, int], buffer: int = 16, shards: int = 4, checkpoint: str | None = None) -> DataFrame:
+    """All bins of a stream that has ended: those that it emitted, and what waits in its state,
+    packed too, so that no row is missing."""
+    spark = rows.sparkSession
+    place = checkpoint or new_folder(spark, "marks")
+    emitted = table_of(packed(rows, key, first, second, limits, buffer, shards), checkpoint=place)
+    if not exists(spark, f"{place}/state"):
+        return emitted
+
+    def drain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for shard, held in f.itertuples(index=False):
+                p = BufferedPacker(limits, buffer)
+                p.held, n = pickle.loads(held)
+                while p.held:
+                    out += [(shard, n, i, *x) for i, x in enumerate(p.take())]
+                    n += 1
+            yield pd.DataFrame(out, columns=["shard", "bin", "place", "key", "a", "b"])
+
+    state = spark.read.format("statestore").load(place)
+    waiting = state.select(F.col("key.shard").alias("shard"), F.col("value.groupState.held").alias("held")).where("held is not null")
+    return emitted.unionByName(waiting.mapInPandas(drain, "shard long, bin long, place long, key long, a long, b long"))
