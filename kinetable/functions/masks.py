@@ -16,6 +16,7 @@ def decode_rle(counts: list[int], height: int, width: int) -> np.ndarray:
 def point_in_mask(counts: Column, height: Column, width: Column, x: Column, y: Column) -> Column:
     """Whether the pixel nearest to a point is set in a mask of runs down the columns; a point
     outside the picture isn't. The run that holds the pixel is the first whose end is beyond it."""
+    counts, height, width, x, y = (F.col(c) if isinstance(c, str) else c for c in (counts, height, width, x, y))
     i, j = F.rint(y).cast("int"), F.rint(x).cast("int")
     ends = F.transform(counts, lambda c, k: F.aggregate(F.slice(counts, 1, k + 1), F.lit(0), lambda a, v: a + v))
     run = F.size(F.filter(ends, lambda e: e <= j * height + i))

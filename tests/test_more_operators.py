@@ -3,6 +3,8 @@
 import io
 import tarfile
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -99,7 +101,9 @@ def test_tar_members(spark, tmp_path):
                 info.size = 2
                 t.addfile(info, io.BytesIO(b"xy"))
     (tmp_path / "c.tar").write_bytes(b"broken")
-    m = archives.tar_members(spark, str(tmp_path))
+    with pytest.raises(Exception, match="c.tar"):  # a broken archive is an error unless it may be skipped
+        archives.tar_members(spark, str(tmp_path)).collect()
+    m = archives.tar_members(spark, str(tmp_path), broken="skip")
     assert sorted(map(tuple, archives.number_of_frames(m).collect())) == [("a.tar", 3), ("b.tar", 1)]
 
 
