@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, with_groups
+from .common import discard, materialize, small, with_groups
 
 #: Characters of the normalised text in the prefix hash; bits of the bitmap, and of one row of it.
 PREFIX, SLOTS, CHUNK = 128, 1 << 27, 1 << 15
@@ -56,10 +56,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     narrow = materialize(base.select("n", "prefix"), "narrow")
     # lengths are few (no more than the longest text has bytes), so their table is too
-    lengths = narrow.groupBy("n").count().where("count > 1").select("n")
-    keys = narrow.join(lengths, "n", "left_semi").groupBy("n", "prefix").count().where("count > 1").select("n", "prefix")
+    lengths = materialize(narrow.groupBy("n").count().where("count > 1").select("n"), "lengths")
+    keys = narrow.join(small(lengths), "n", "left_semi").groupBy("n", "prefix").count().where("count > 1").select("n", "prefix")
     bitmap = materialize(_bitmap(keys), "bitmap")
-    discard(narrow)
+    discard(narrow, lengths)
 
     carry = dict(carry or {})
     slot = _slot(F.col("n"), F.col("prefix"))

@@ -98,6 +98,49 @@ def test_originals_of_any_id_keep_their_copies(spark):
     assert dict(zip(out["doc_id"], out["class_id"], strict=True)) == want
 
 
+def test_chains_lose_no_links(spark):
+    """A-B-C with B near A and C near B: what is at least 0.8 alike by the operator's own
+    similarity is of one class (samples miss a pair at 0.8 with a probability of 0.2 %)."""
+    r, rows = random.Random(21), []
+    for k in range(150):
+        a = words(r, 150)
+        b, c = list(a), None
+        b[40:46] = words(r, 6)
+        c = list(b)
+        c[100:106] = words(r, 6)
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate(r.sample([a, b, c], 3))]
+    df = frame(spark, rows)
+    out = icws.near_duplicates(df).toPandas().set_index("doc_id")["class_id"]
+    weights = icws.Weights(icws.document_frequencies(df.select("text")), len(rows))
+    sets = []
+    for _, t in rows:
+        _, h, n = shingles.bags([t])
+        sets.append((h, weights(h, n)))
+    links = [(i, j) for k in range(150) for i, j in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 2)) if icws.similarity(sets[i], sets[j]) >= 0.8]
+    assert len(links) >= 300 and sum(out[i] != out[j] for i, j in links) <= 2
+
+
+def test_blocks_find_the_links_of_all_pairs():
+    r = np.random.default_rng(11)
+    sets, base = [], r.choice(1 << 40, 80, replace=False).astype(np.uint64)
+    for k in range(60):
+        h = np.sort(np.unique(np.r_[r.choice(base, 60 + k % 15, replace=False), r.integers(1 << 41, 1 << 42, k % 9).astype(np.uint64)]))
+        n = r.integers(1, 4, len(h))
+        sets.append((h, n, n * (1 + (h % np.uint64(7)).astype(float) / 30)))
+    cls, side = np.arange(60), np.where(np.arange(60) % 3 == 0, 1, 2)
+    got = icws.links_within(sets, cls, side, 0.6)
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if side[i] != side[j] and icws.similarity(sets[i][::2], sets[j][::2]) >= 0.6]
+
+    def classes(links):
+        c = list(range(60))
+        for _ in range(60):
+            for i, j in links:
+                c[i] = c[j] = min(c[i], c[j])
+        return c
+
+    assert set(got) <= set(want) and len(got) < 60 and classes(got) == classes(want) and len(want) > 60
+
+
 # -- passages ------------------------------------------------------------------------
 
 
@@ -262,6 +305,15 @@ def test_held_out_accuracy_and_undetermined(labelled):
     assert langid.identify(labelled, ["doc_id"], None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_very_long_and_repeated_texts(labelled, spark):
+    model = langid.train(labelled)
+    one = labelled.where("doc_id = 7").first()["text"]
+    df = spark.createDataFrame([(1, one * 30_000, None), (2, one, None), (2, one, None), (3, "ж", None)], "doc_id long, text string, lang string")
+    out = langid.identify(df, ["doc_id"], model).toPandas()
+    assert out[out["doc_id"].lt(3)]["lang_pred"].nunique() == 1 and len(out[out["doc_id"] == 2].drop_duplicates()) == 1
+    assert out[out["doc_id"] == 3]["lang_pred"].isin(model.languages).all()
+
+
 def test_every_language_is_learnt(spark):
     r, rows = random.Random(9), []
     for k in range(140):  # languages of their own letters; the last ones have the fewest rows
