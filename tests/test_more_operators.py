@@ -3,9 +3,8 @@
 import io
 import tarfile
 
-import pytest
-
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinetable.functions import masks, points
