@@ -55,9 +55,30 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: Quantities that are measured rather than counted, as patterns (fixed values).
+MEASURED = (
+    "years", "months", "weeks", "days", "hours", "minutes", "[a-z]*seconds",
+    "(tera|giga|mega|deci|kilo||micro|centi|milli|nano|pico|deca)meters", "meters", "metres", "acres", "leagues", "fathoms", "nautical miles", "hectares",
+    "(square |SQ )?inches", "(square |SQ )feet", "(square |SQ )?ft", "(square |SQ )?miles", "(square | SQ)?yards", "passing yards",
+    "dollars", "cents", "pounds", "euros", "seed", "mph", "kph", "more", "fewer", "less", "likes",
+    "cubic", "gallons", "quarts", "pints", "fluid ounces", "[a-z]*liters", "weight", "[a-z]*grams", "pounds", "tons", "ounces", "ways", "different ways",
+    "degrees", "calories", "hertz", "horsepower", "[a-z]*bytes", "psi", "atmospheres", "[a-z]*watts",
+)
+#: What else isn't counted after "the number of" and the like, and the words that ask for a number (fixed values).
+NOT_AFTER = ("money", "the")
+ASKED = (
+    r"how ?many (?!{measured})",
+    r"(?<!do not )(count|tally) (all|every|each|the) ",
+    r"(there are|a total of) _{{3,4}}",
+    r"(what|(what's|what (is|was|were)|states?|indicates?) the( exact| precise)?) (total count|count|total|total number|number|num|total amount|amount) of (?!{after})",
+)
+
+
 def counting_question(text: Column) -> Column:
-    """Whether a question asks for a number of things."""
-    return F.lower(text).rlike("\\b(how many|count|number of)\\b(?!down)")
+    """Whether a question asks for a number of things that can be pointed at."""
+    known = {"measured": "|".join(MEASURED), "after": "|".join((*MEASURED, *NOT_AFTER))}
+    asked = "|".join(p.format(**known) for p in ASKED)
+    return text.rlike(f"(?is)\\A(?!approximately).*(\\b|\\n)({asked})\\b")
 
 
 def loss_mask(roles: Column) -> Column:
@@ -135,3 +156,12 @@ def release_name(name: Column) -> Column:
     """House, batch and kind of ``house_<n>__trajectories_batch_<k>.<kind>``; null for other names."""
     part = lambda i: F.regexp_extract(name, "^(house_\\d+)__trajectories_batch_(\\d+)\\.(\\w+)$", i)
     return F.when(part(1) != "", F.struct(part(1).alias("house"), part(2).try_cast("int").alias("batch"), part(3).alias("kind")))
+
+
+def subtitle_block(lines: Column, most: int) -> Column:
+    """Lines (structs in order, with ``line``) under a heading, the last ones left out that would
+    make the block longer than ``most`` characters."""
+    text = F.transform(lines, lambda v: v["line"])
+    ends = F.transform(text, lambda s, i: F.aggregate(F.slice(text, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    kept = F.filter(text, lambda s, i: F.get(ends, i) <= most)
+    return F.when(F.size(kept) > 0, F.concat(F.lit("Subtitles:\n"), F.array_join(kept, "\n"))).otherwise("")

@@ -95,3 +95,9 @@ def sliced(spans: DataFrame, frames: DataFrame, by: list[str], begin: str, end:
     frames, so the join is on equal keys."""
     want = spans.withColumn(frame, F.explode(F.sequence(F.col(begin), F.col(end))))
     return want.join(frames, [*by, frame]).withColumn(frame, F.col(frame) - F.col(begin))
+
+
+def lines_in_view(lines: DataFrame, times: DataFrame, by: list[str], begin: str, end: str, at: str, slack: float) -> DataFrame:
+    """Lines (spans in seconds) during which, give or take ``slack``, a time falls."""
+    wide = lines.withColumn("_a", F.col(begin) - slack).withColumn("_b", F.col(end) + slack)
+    return overlapping(wide, times, by, "_a", "_b", at).select(*lines.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, points, pointtext, text
+from ..operators import joins
 from .registry import Tables, query
 
 #: Orders as points of a customer's picture, in tenths of a percent.
@@ -320,3 +321,16 @@ def release_layout(t: Tables):
     rows = t.supplier.select("s_suppkey", text.release_name(name).alias("p")).where("p is not null").select("s_suppkey", "p.*")
     houses = t.part.select(F.concat(F.lit("house_"), F.col("p_size").cast("string")).alias("house")).distinct()
     return rows.join(houses, "house", "left_semi").select("s_suppkey", "house", "batch", "kind")
+
+
+@query("""with l as (select user_id, event_id, epoch(ts) as a, epoch(ts) + 1800 as b, concat('line ', event_id, ' ', props) as line from events where event_type = 'click'),
+      v as (select user_id, epoch(ts) as t from events where event_type = 'view'), k as (select * from l where exists (select 1 from v where v.user_id = l.user_id and v.t between l.a - 600 and l.b + 600)),
+      c as (select *, sum(length(line) + 1) over (partition by user_id order by a, event_id rows between unbounded preceding and current row) as total from k)
+    select user_id, concat('Subtitles:', chr(10), string_agg(line, chr(10) order by a, event_id)) as block from c where total <= 200 group by user_id""")
+def subtitles(t: Tables):
+    """Lines that are on screen at a frame's time, in order of their start, as a block of bounded length."""
+    s = t.events.withColumn("a", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    lines = s.where("event_type = 'click'").select("user_id", "event_id", "a", (F.col("a") + 1800).alias("b"), F.concat(F.lit("line "), F.col("event_id").cast("string"), F.lit(" "), "props").alias("line"))
+    seen = joins.lines_in_view(lines, s.where("event_type = 'view'").select("user_id", F.col("a").alias("t")), ["user_id"], "a", "b", "t", 600.0)
+    block = seen.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("a", "event_id", "line"))).alias("x"))
+    return block.select("user_id", text.subtitle_block(F.col("x"), 200).alias("block")).where("block <> ''")
