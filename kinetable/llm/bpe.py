@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from .common import text_groups, texts_of
+from .common import cached, frugal, text_groups, texts_of
 
 #: Bytes of a word that is merged without cutting, and bounds of the cache.
 LEAF, CACHE_ENTRIES, CACHE_BYTES = 2048, 600_000, 64 << 20
@@ -103,10 +103,6 @@ class Codec:
         get = self.chunks.__getitem__
         return [b"".join(map(get, t.encode().split())) for t in texts]
 
-    def forget(self) -> None:
-        """Empty the caches."""
-        self.chunks, self.words = Chunks(self._chunk), {}
-
     def _chunk(self, s: str) -> bytes:
         """Ids of a text without ASCII white space."""
         if UNSURE.search(s) or "<|" in s:
@@ -172,7 +168,7 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One codec for a worker process, whose caches serve all its tasks."""
+    """One codec for a worker process, whose caches serve all tasks of the operators that use it."""
     return Codec(path)
 
 
@@ -182,6 +178,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        cached("bpe", codec.cache_clear)
         for b in text_groups(batches, text_col):
             ids = c.encode(texts_of(b, text_col))
             cols = {id_col: b.column(0), "ids": pa.array(ids, pa.binary())}
@@ -190,4 +187,4 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_pydict(cols)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary" + (", decoded string" if decode else ""))
+    return docs.select(id_col, text_col).mapInArrow(frugal(run, "bpe"), f"`{id_col}` {kind}, ids binary" + (", decoded string" if decode else ""))

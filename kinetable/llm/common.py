@@ -97,10 +97,19 @@ def discard(*written: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-def release(*caches: dict) -> None:
-    """Empty caches and give freed memory back to the system."""
-    for c in caches:
-        c.clear()
+#: How to empty the caches that this process holds, by name.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cached(name: str, clear: Callable[[], None]) -> None:
+    """Say that this process now holds a cache; tasks that don't use it empty it."""
+    _CACHES[name] = clear
+
+
+def release(keep: str = "") -> None:
+    """Empty the caches but one, and give freed memory back to the system."""
+    for name in [n for n in _CACHES if n != keep]:
+        _CACHES.pop(name)()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -108,15 +117,17 @@ def release(*caches: dict) -> None:
         pass
 
 
-def frugal(run: Callable) -> Callable:
-    """A function of batches whose worker gives its memory back at the end of the task: workers
-    serve task after task, and would else keep the most that any of them took."""
+def frugal(run: Callable, keep: str = "") -> Callable:
+    """A function of batches whose worker gives memory back at the end of the task, and at its
+    begin empties the caches of other operators (all but ``keep``): workers serve task after
+    task, of one operator after the other, and would else keep the most that any of them took."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keep)
 
     return wrapped
 

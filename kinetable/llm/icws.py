@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, frugal, materialize, prepare, release, small, text_groups, texts_of, with_groups
 from .components import components
-from .shingles import _WORDS, bags, mix
+from .shingles import bags, mix
 
 WIDTH, DEPTH, CHUNK, IDF = 1 << 18, 2, 1 << 13, 0.25
 _CHUNKS = WIDTH * DEPTH // CHUNK
@@ -72,7 +72,7 @@ def document_frequencies(texts: DataFrame, words: int = 5) -> np.ndarray:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     out = "chunk int, counts binary"
-    parts = texts.select("text").mapInArrow(run, "chunk int, salt int, counts binary")
+    parts = texts.select("text").mapInArrow(frugal(run, "words"), "chunk int, salt int, counts binary")
     sums = parts.groupBy("chunk", "salt").applyInArrow(lambda key, g: add(key, g), out).groupBy("chunk").applyInArrow(add, out)
     total = np.zeros((_CHUNKS, CHUNK), np.int64)
     for r in sums.collect():
@@ -213,10 +213,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
                 "keys": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                 "sketch": pa.array(list((s & np.uint64(0x7FFF)).astype(np.int16)), pa.list_(pa.int16())),
             })
-        _WORDS.clear()
 
     signed = distinct.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
-    signed = materialize(signed.mapInArrow(frugal(sign), "doc_id long, n_bytes long, keys array<long>, sketch array<short>"), "signed")
+    signed = materialize(signed.mapInArrow(frugal(sign, "words"), "doc_id long, n_bytes long, keys array<long>, sketch array<short>"), "signed")
     member = signed.select("doc_id", F.explode("keys").alias("key")).distinct()
     sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("key", "rep")
     member = materialize(member.join(sizes, "key").where("doc_id > rep").select("doc_id", "rep").distinct(), "member")
@@ -240,7 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
             w, cut = weights.value(h, count), np.searchsorted(at, np.arange(len(o) + 1))
             sets = [(h[p:q], count[p:q], w[p:q]) for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             out += [(int(doc[o[i]]), int(doc[o[j]])) for i, j in links_within(sets, cls[o], side[o], threshold)]
-        release(_WORDS)
+        release("words")
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

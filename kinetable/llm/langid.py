@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, prepare, small, text_groups, texts_of
+from .common import frugal, materialize, prepare, small, text_groups, texts_of
 
 #: Features, rows to learn from for each language, rows that the driver holds as 32-bit numbers.
 FEATURES, SAMPLE, HELD = 4096, 600, 8192
@@ -133,7 +133,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     labels = []
     with tempfile.TemporaryFile() as f:
-        for r in materialize(drawn.mapInArrow(run, "lang string, x binary"), "drawn").toLocalIterator():
+        for r in materialize(drawn.mapInArrow(frugal(run), "lang string, x binary"), "drawn").toLocalIterator():
             labels.append(r["lang"])
             f.write(r["x"])
         if not labels:
@@ -166,4 +166,4 @@ def identify(docs: DataFrame, keep: list[str], model: Model | None, lead: float
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred), pa.array(score, pa.float64()), pa.array(unsure)], [*keep, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return first.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return first.mapInArrow(frugal(run), f"{schema}, lang_pred string, score double, ambiguous boolean")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import codec
-from .common import frugal, text_groups, texts_of
+from .common import cached, frugal, text_groups, texts_of
 
 #: Sequences' worth of tokens that a partition holds while it packs.
 WINDOW = 192
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segmen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, p = codec(path), Packer(tokens, segments, loss)
+        cached("bpe", codec.cache_clear)
         base, mark = TaskContext.get().partitionId() << 32, np.array([end_id], "<u4").tobytes()
         held: dict[int, tuple] = {}
 
@@ -173,7 +174,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segmen
             yield from done()
         p.finish()
         yield from done()
-        c.forget()
 
     cols = ["doc_id", "text", *([prompt_col] if prompt_col else [])]
-    return docs.select(*cols).mapInArrow(frugal(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long")
+    return docs.select(*cols).mapInArrow(frugal(run, "bpe"), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import cached
+
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 #: Bits of a shingle's hash; the rest of a 64-bit key holds the text's number in its batch.
 BITS = 48
@@ -20,7 +22,7 @@ class _WordHash(dict):
     """Hash of a word; kept for the words met before, within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 500_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -31,6 +33,7 @@ _WORDS = _WordHash()
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (lower case, parted by white space) and each text's first word."""
+    cached("words", _WORDS.clear)
     split = [t.lower().encode().split() for t in texts]
     ends = np.cumsum([len(s) for s in split])
     get = _WORDS.__getitem__
