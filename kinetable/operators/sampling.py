@@ -17,6 +17,15 @@ def uniform(key: Column, seed: int = 0) -> Column:
     return key_hash(key, seed) / F.lit(float(1 << 32))
 
 
+def mixed(key: Column, seed: int = 0) -> Column:
+    """A number from 0 (included) to 1 for each key; unlike ``uniform`` those of keys at a fixed
+    distance are as good as independent, as noise for several candidates has to be."""
+    h = key_hash(key, seed)
+    for k in (1, 2):
+        h = key_hash(h.bitwiseXOR(F.shiftright(h, 15)), seed + k)
+    return h / F.lit(float(1 << 32))
+
+
 def split(key: Column, share: float, names: tuple[str, str] = ("val", "train"), seed: int = 0) -> Column:
     return F.when(key_hash(key, seed) < int(share * (1 << 32)), names[0]).otherwise(names[1])
 

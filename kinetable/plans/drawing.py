@@ -93,13 +93,17 @@ def top_k_top_p_tokens(t: Tables):
     return out.select("token", "next", F.round("logp", 6).alias("logp"))
 
 
-@query(f"""with {_STEPS}, k as (select c_custkey, s.p, s.q, s.l - ln(-ln(greatest(((c_custkey * 13 + length(s.q) * 101 + ascii(s.q) * 7 + 1) % 2147483648) * 2654435761 % 4294967296 / 4294967296.0, 1e-12))) as g
-      from customer join s on s.p = case c_custkey % 2 when 0 then '1-URGENT' else '5-LOW' end), r as (select *, row_number() over (partition by c_custkey order by g desc, q desc) as n from k)
+_MIX = lambda x, seed: f"(({x} + {seed}) % 2147483648) * 2654435761 % 4294967296"
+
+
+@query(f"""with {_STEPS}, j as (select c_custkey, s.q, s.l, {_MIX("c_custkey * 13 + length(s.q) * 101 + ascii(s.q) * 7", 1)} as h0 from customer join s on s.p = case c_custkey % 2 when 0 then '1-URGENT' else '5-LOW' end),
+      a as (select *, {_MIX("xor(h0, h0 >> 15)", 2)} as h1 from j), b as (select *, {_MIX("xor(h1, h1 >> 15)", 3)} / 4294967296.0::double as u from a),
+      r as (select *, row_number() over (partition by c_custkey order by l - ln(-ln(greatest(u, 1e-12))) desc, q desc) as n from b)
     select c_custkey, q as "next" from r where n = 1""")
 def gumbel_tokens(t: Tables):
     start = F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW")
     j = t.customer.select("c_custkey", start.alias("token")).join(F.broadcast(transitions(t)), "token")
-    u = sampling.uniform(F.col("c_custkey") * 13 + F.length("next") * 101 + F.ascii("next") * 7, 1)
+    u = sampling.mixed(F.col("c_custkey") * 13 + F.length("next") * 101 + F.ascii("next") * 7, 1)
     return decoding.gumbel_pick(j, ["c_custkey"], "next", "logp", u)
 
 
