@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,51 +91,65 @@ ALPHAS = [round(0.05 * k, 2) for k in range(1, 20)]
 
 
 def hota(pairs: DataFrame, video: str, frame: str, true_id: str, said_id: str, similarity: str) -> DataFrame:
-    """HOTA, DetA, AssA and LocA of each video. ``pairs`` holds, for each frame, the similarity of
-    each true and said object; an object without a partner has null on the other side.
-
-    Two passes: the alignment of each pair of ids over the whole video is an aggregation;
-    then each video's frames are assigned, favouring ids that align, by a solver on the
-    frame's own few objects."""
-    names = [video, frame, true_id, said_id, similarity]
-
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, true_id, said_id])
-        t_ids, p_ids = (sorted(pdf[c].dropna().unique()) for c in (true_id, said_id))
-        t_at, p_at = ({v: i for i, v in enumerate(x)} for x in (t_ids, p_ids))
-        n_t, n_p, align = np.zeros(len(t_ids)), np.zeros(len(p_ids)), np.zeros((len(t_ids), len(p_ids)))
-        frames = []
-        for _, f in pdf.groupby(frame, sort=True):
-            t, p = sorted(f[true_id].dropna().unique()), sorted(f[said_id].dropna().unique())
-            s = np.zeros((len(t), len(p)))
-            for a, b, v in f[[true_id, said_id, similarity]].dropna().itertuples(index=False):
-                s[t.index(a), p.index(b)] = v
-            ti, pi = [t_at[v] for v in t], [p_at[v] for v in p]
-            n_t[ti] += 1
-            n_p[pi] += 1
-            if len(t) and len(p):
-                whole = s.sum(0)[None] + s.sum(1)[:, None] - s
-                align[np.ix_(ti, pi)] += np.where(whole > 1e-12, s / np.where(whole > 1e-12, whole, 1), 0)
-            frames.append((ti, pi, s))
-        glob = align / np.maximum(n_t[:, None] + n_p[None] - align, 1e-12)
-        rows = []
-        for a in ALPHAS:
-            hits, loc, match = 0, 0.0, np.zeros_like(align)
-            for ti, pi, s in frames:
-                if not s.size:
-                    continue
-                for i, j in best_assignment(-(glob[np.ix_(ti, pi)] * s)):
-                    if s[i, j] >= a - 1e-12:
-                        hits, loc = hits + 1, loc + s[i, j]
-                        match[ti[i], pi[j]] += 1
-            det = hits / max(n_t.sum() + n_p.sum() - hits, 1)
-            ass = float((match * match / np.maximum(n_t[:, None] + n_p[None] - match, 1)).sum() / max(hits, 1))
-            rows.append((np.sqrt(det * ass), det, ass, loc / hits if hits else 1.0, hits / max(n_t.sum(), 1), hits / max(n_p.sum(), 1)))
-        m = np.mean(rows, axis=0)
-        return pd.DataFrame([(key[0], *m)], columns=[video, "hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr"])
-
-    kind = pairs.schema[video].dataType.simpleString()
-    return pairs.select(*names).groupBy(video).applyInPandas(score, f"{video} {kind}, hota double, det_a double, ass_a double, loc_a double, det_re double, det_pr double")
+    """HOTA, DetA, AssA, LocA, DetRe and DetPr of each video, means over ALPHAS. ``pairs`` holds,
+    for each frame, the similarity of each true and said object; an object without a partner has
+    null on the other side.
+
+    How well two ids align over the whole video is an aggregation. Frames are then assigned,
+    favouring ids that align, by a solver on the frame's own few objects; frames are dealt to
+    tasks one by one. What the matches amount to at each threshold is an aggregation again."""
+    p = pairs.select(F.col(video).alias("v"), F.col(frame).alias("f"), F.col(true_id).alias("t"), F.col(said_id).alias("s"), F.col(similarity).cast("double").alias("x"))
+    n_t = p.where("t is not null").select("v", "f", "t").distinct().groupBy("v", "t").agg(F.count("*").alias("nt"))
+    n_s = p.where("s is not null").select("v", "f", "s").distinct().groupBy("v", "s").agg(F.count("*").alias("ns"))
+    both = p.where("t is not null and s is not null and x is not null").groupBy("v", "f", "t", "s").agg(F.max("x").alias("x"))
+    whole = F.sum("x").over(Window.partitionBy("v", "f", "t")) + F.sum("x").over(Window.partitionBy("v", "f", "s")) - F.col("x")
+    shares = both.withColumn("w", whole).withColumn("share", F.when(F.col("w") > 1e-12, F.col("x") / F.col("w")).otherwise(0.0)).drop("w")
+    align = shares.groupBy("v", "t", "s").agg(F.sum("share").alias("a")).join(n_t, ["v", "t"]).join(n_s, ["v", "s"])
+    align = align.withColumn("g", F.col("a") / F.greatest(F.col("nt") + F.col("ns") - F.col("a"), F.lit(1e-12))).drop("a")
+    scored = both.join(align, ["v", "t", "s"]).select("v", "f", "t", "s", "x", (F.col("g") * F.col("x")).alias("gain"), "nt", "ns")
+
+    def assigned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in frames:
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            new = np.flatnonzero(((part["v"] != part["v"].shift()) | (part["f"] != part["f"].shift())).to_numpy())
+            if len(new):
+                yield _assigned(part.iloc[: new[-1]], new[:-1])
+                held = part.iloc[new[-1] :]  # the last frame may go on in the next batch
+        if held is not None and len(held):
+            yield _assigned(held, np.zeros(1, np.int64))
+
+    dealt = scored.repartition("v", "f").sortWithinPartitions("v", "f", "t", "s")
+    matches = dealt.mapInPandas(assigned, scored.schema).select("v", "t", "s", "x", "nt", "ns")
+    found = matches.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in ALPHAS]))).where(F.col("x") >= F.col("alpha") - 1e-12)
+    links = found.groupBy("v", "alpha", "t", "s").agg(F.count("*").alias("m"), F.sum("x").alias("loc"), F.first("nt").alias("nt"), F.first("ns").alias("ns"))
+    m = F.col("m")
+    sums = links.groupBy("v", "alpha").agg(F.sum("m").alias("hits"), F.sum("loc").alias("loc"), F.sum(m * m / F.greatest(F.col("nt") + F.col("ns") - m, F.lit(1))).alias("ass"))
+    totals = n_t.groupBy("v").agg(F.sum("nt").alias("nt")).join(n_s.groupBy("v").agg(F.sum("ns").alias("ns")), "v", "full").na.fill(0, ["nt", "ns"])
+    every = totals.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in ALPHAS]))).join(sums, ["v", "alpha"], "left").na.fill(0, ["hits", "loc", "ass"])
+    h, one = F.col("hits"), F.lit(1)
+    det, ass = h / F.greatest(F.col("nt") + F.col("ns") - h, one), F.col("ass") / F.greatest(h, one)
+    out = every.groupBy("v").agg(
+        F.avg(F.sqrt(det * ass)).alias("hota"), F.avg(det).alias("det_a"), F.avg(ass).alias("ass_a"), F.avg(F.when(h > 0, F.col("loc") / h).otherwise(1.0)).alias("loc_a"),
+        F.avg(h / F.greatest(F.col("nt"), one)).alias("det_re"), F.avg(h / F.greatest(F.col("ns"), one)).alias("det_pr"),
+    )
+    return out.withColumnRenamed("v", video)
+
+
+def _assigned(rows: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
+    """Rows that the best matching of their frame takes; frames start at ``begin``."""
+    gain, keep = rows["gain"].to_numpy(), []
+    t, s = (pd.factorize(rows[c])[0] for c in ("t", "s"))
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True):
+        if b - a == 1:
+            keep.append(a)
+        elif b > a:
+            ti, i = np.unique(t[a:b], return_inverse=True)
+            si, j = np.unique(s[a:b], return_inverse=True)
+            cost, at = np.zeros((len(ti), len(si))), np.full((len(ti), len(si)), -1)
+            cost[i, j], at[i, j] = -gain[a:b], np.arange(a, b)
+            keep += [int(at[x, y]) for x, y in best_assignment(cost) if at[x, y] >= 0]
+    return rows.iloc[keep]
 
 
 def matched_f1(pairs: DataFrame, by: list[str], true_id: str, said_id: str, distance: str, within: float) -> DataFrame:
@@ -199,3 +213,14 @@ def evaluated_frames(df: DataFrame, by: list[str], frame: str, visible: Column,
         raise ValueError(f"no mode {mode}")
     q = rows.where(F.col("_v") & (F.col("frame") % stride == 0)).select(*by, F.col("frame").alias("query"))
     return rows.join(q, by).where("frame <> query").drop("_v")
+
+
+def least_cost(pairs: DataFrame, by: list[str], true_id: str, said_id: str, cost: str) -> DataFrame:
+    """The cost of each group's best one-to-one matching."""
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.pivot_table(index=said_id, columns=true_id, values=cost, aggfunc="min").to_numpy()
+        return pd.DataFrame([(*key, float(sum(c[i, j] for i, j in best_assignment(np.nan_to_num(c, nan=1e9)))))])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
+    return pairs.groupBy(*by).applyInPandas(solve, f"{kinds}, cost double")

@@ -147,3 +147,19 @@ def balanced_split(items: DataFrame, order: str, count: str, ranks: int) -> Data
     last = j.groupBy("r").agg(F.when(F.col("r") == ranks, F.max("items")).otherwise(F.coalesce(F.min("k"), F.lit(0))).alias("last"))
     w = Window.partitionBy(F.lit(0)).orderBy("r")
     return last.select((F.col("r") - 1).alias("rank"), (F.col("last") - F.coalesce(F.lag("last").over(w), F.lit(0))).cast("long").alias("n_items"))
+
+
+def fullest(df: DataFrame, by: str, key: str, size: str, limits: tuple[int, int]) -> DataFrame:
+    """(by, best): the most that a choice of each group's rows fills under a limit on the sum and
+    one on the number of rows. Groups are small by their key."""
+
+    def solve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(int(a), 1) for a in pdf.sort_values(key)[size] if a <= limits[0]]
+        best: dict[int, set[int]] = {0: {0}}  # sums by number of rows
+        for a, _ in own:
+            for n in sorted(best, reverse=True):
+                if n < limits[1]:
+                    best.setdefault(n + 1, set()).update(t + a for t in best[n] if t + a <= limits[0])
+        return pd.DataFrame([(group[0], max(max(s) for s in best.values() if s))])
+
+    return df.select(by, key, size).groupBy(by).applyInPandas(solve, f"{by} long, best long")

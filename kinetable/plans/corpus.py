@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import joins, metrics, packing, sampling, sequences
-from .registry import Tables, query
+from .registry import ORACLES, Tables, query
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size <= 10)")
@@ -139,11 +139,7 @@ def pad_collate(t: Tables):
     return t.embeddings.select("vec_id", packing.pad(x, 80, -1.0).alias("padded"), packing.pad(x, 16, -1.0).alias("cut"))
 
 
-@query()
-def pad_collate_whole(t: Tables):
-    """Whole vectors, filled up to 80 items and cut to 16."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    return t.embeddings.select("vec_id", packing.pad(x, 80, -1.0).alias("padded"), packing.pad(x, 16, -1.0).alias("cut"))
+query(ORACLES["pad_collate"], name="pad_collate_whole")(pad_collate)
 
 
 @query("""with x as (select doc_id, source, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as a from documents)
@@ -257,9 +253,7 @@ def object_list(t: Tables):
     return t.documents.select("doc_id", text.object_list(F.col("text")).alias("objects"))
 
 
-@query()
-def object_list_whole(t: Tables):
-    return t.documents.select("doc_id", text.object_list(F.col("text")).alias("objects"))
+query(ORACLES["object_list"], name="object_list_whole")(object_list)
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")

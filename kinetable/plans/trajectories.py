@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import joins, metrics, sequences
-from .registry import Tables, query
+from .registry import ORACLES, Tables, query
 
 ORDER = ["ts", "event_id"]
 _E = """e as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as frame,
@@ -194,19 +194,9 @@ def grid_fill(t: Tables):
     return filled_grid(t)
 
 
-@query()
-def encode_whole_tracks(t: Tables):
-    return encoded(t)
-
-
-@query()
-def decode_whole_tracks(t: Tables):
-    return codec.decode_tracks(encoded(t), ["user_id"], "tracks")
-
-
-@query()
-def grid_fill_whole(t: Tables):
-    return filled_grid(t)
+# the names under which the queries over whole tables were known
+for _name, _whole in ((encode_tracks, "encode_whole_tracks"), (decode_tracks, "decode_whole_tracks"), (grid_fill, "grid_fill_whole")):
+    query(ORACLES[_name.__name__], name=_whole)(_name)
 
 
 def _tap(t: Tables):
