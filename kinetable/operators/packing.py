@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_sum
+
 
 #: Rows of a shard.
 SHARD_ROWS = 50_000
@@ -23,8 +25,7 @@ def pad(items: Column, length: int, value) -> Column:
 def segments(df: DataFrame, by: list[str], order: list[str], size: str, capacity: int) -> DataFrame:
     """Rows laid end to end and cut into bins of ``capacity``: bin, offset of the row's start in
     its bin, position in the bin."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("_at", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    out = running_sum(df, by, order, F.col(size), "_at")
     out = out.withColumn("bin", F.floor(F.col("_at") / capacity).cast("long")).withColumn("offset", (F.col("_at") % capacity).cast("long"))
     return out.withColumn("position", (F.row_number().over(Window.partitionBy(*by, "bin").orderBy(*order)) - 1).cast("long")).drop("_at")
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import global_position, group_position
+
 
 def key_hash(key: Column, seed: int = 0) -> Column:
     """Multiplicative hash of an integer key to 32 bits, in plain integer arithmetic."""
@@ -60,10 +62,9 @@ def strided_pick(items: Column, n: int) -> Column:
 
 def full_chunks(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Rows in chunks of ``size`` by order; the last, incomplete chunk goes."""
-    w = Window.partitionBy(by)
-    rank = F.row_number().over(w.orderBy(order)) - 1
-    out = df.withColumn("chunk", F.floor(rank / size).cast("long")).withColumn("_n", F.floor(F.count("*").over(w) / size))
-    return out.where(F.col("chunk") < F.col("_n")).drop("_n")
+    out = group_position(df, [by], [order], "_p").withColumn("chunk", F.floor(F.col("_p") / size).cast("long")).drop("_p")
+    whole = df.groupBy(by).agg(F.floor(F.count("*") / size).alias("_n"))  # one row a group
+    return out.join(whole, by).where(F.col("chunk") < F.col("_n")).drop("_n")
 
 
 def sqrt_mixture(df: DataFrame, source: str) -> DataFrame:
@@ -84,9 +85,30 @@ def nested_mixture(df: DataFrame, group: str, source: str, rates: dict[str, floa
 
 
 def shard(df: DataFrame, order: list[str], shards: int, by: list[str] = ()) -> DataFrame:
-    """Every shards-th row in order is of one shard; ``by`` bounds the sorted groups."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("shard", (rank % shards).cast("long"))
+    """Every shards-th row in order is of one shard; ``by`` parts the order."""
+    if not by:
+        return global_position(df, order, "_p").withColumn("shard", (F.col("_p") % shards).cast("long")).drop("_p")
+    return group_position(df, list(by), order, "_p").withColumn("shard", (F.col("_p") % shards).cast("long")).drop("_p")
+
+
+def strided_rows(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """(by, i, key): n rows of each group at even steps of its order; a group of fewer rows is
+    repeated in turn. Rows are found by their place, so no group is held as a list."""
+    rows = group_position(df.select(by, key), [by], [key], "_p")
+    sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    want = sizes.withColumn("i", i).withColumn("_p", F.when(F.col("_n") >= n, F.floor(F.col("i") * F.col("_n") / n).cast("long")).otherwise(F.col("i") % F.col("_n")))
+    return want.join(rows, [by, "_p"]).select(by, "i", key)
+
+
+def equal_parts(df: DataFrame, by: str, order: str, parts: int, name: str) -> DataFrame:
+    """Each group's rows in so many parts by order (from 1), the first ones larger by one row where
+    they can't be equal."""
+    rows = group_position(df, [by], [order], "_p").join(df.groupBy(by).agg(F.count("*").alias("_n")), by)
+    small, more = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    edge = more * (small + 1)
+    part = F.when(F.col("_p") < edge, F.floor(F.col("_p") / (small + 1))).otherwise(more + F.floor((F.col("_p") - edge) / F.greatest(small, F.lit(1))))
+    return rows.withColumn(name, part.cast("long") + 1).drop("_p", "_n")
 
 
 def cdf_pick(df: DataFrame, by: str, order: str, weight: str, share: float) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import scratch_dir
-from .ordering import global_position
+from .ordering import global_position, group_position
 from .sampling import key_hash, uniform
 
 
@@ -47,8 +47,7 @@ def multinomial_draws(spark: SparkSession, rates: dict[str, float], n: int, seed
     for edge, s in reversed(edges):
         pick = F.when(u < edge, s).otherwise(pick)
     df = spark.range(n).withColumnRenamed("id", "position").withColumn("source", F.coalesce(pick, F.lit(edges[-1][1])))
-    w = Window.partitionBy("source").orderBy("position")
-    return df.withColumn("nth", F.row_number().over(w).cast("long") - 1)
+    return group_position(df, ["source"], ["position"], "nth")
 
 
 def stratified_draws(spark: SparkSession, rates: dict[str, float], n: int) -> DataFrame:
@@ -58,8 +57,7 @@ def stratified_draws(spark: SparkSession, rates: dict[str, float], n: int) -> Da
     rows = [(s, r / total) for s, r in sorted(rates.items()) if r > 0]
     src = spark.createDataFrame(rows, "source string, rate double")
     src = src.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.lit(n) * F.col("rate")).cast("long"))))
-    w = Window.partitionBy().orderBy((F.col("nth") + 0.5) / F.col("rate"), "source")
-    due = src.withColumn("position", F.row_number().over(w).cast("long") - 1)
+    due = global_position(src.withColumn("due", (F.col("nth") + 0.5) / F.col("rate")), ["due", "source"], "position")
     return due.where(F.col("position") < n).select("position", "source", "nth")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_sum
+
 
 def frame_index(df: DataFrame, by: list[str], order: list[str], name: str = "frame") -> DataFrame:
     """Number rows of a track from 0."""
@@ -60,8 +62,7 @@ def trailing_mean(df: DataFrame, by: list[str], order: list[str], value: str, n:
 
 def prefix_offset(df: DataFrame, by: list[str], order: list[str], size: str, name: str) -> DataFrame:
     """Where a row's items begin when rows are laid end to end."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long"))
+    return running_sum(df, by, order, F.col(size), name)
 
 
 def from_anchor(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -70,8 +70,7 @@ def cap_groups(t: Tables):
 @query("""with g as (select label, list(vec_id order by vec_id) as ids from embeddings group by label), i as (select unnest(range(8)) as i)
     select label, cast(i as bigint) as i, case when len(ids) >= 8 then ids[cast(floor(i * len(ids) / cast(8 as double)) as int) + 1] else ids[i % len(ids) + 1] end as vec_id from g cross join i""")
 def uniform_stride(t: Tables):
-    g = t.embeddings.groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return g.select("label", F.posexplode(sampling.strided_pick(F.col("ids"), 8)).alias("i", "vec_id")).withColumn("i", F.col("i").cast("long"))
+    return sampling.strided_rows(t.embeddings, "label", "vec_id", 8)
 
 
 @query("""with x as (select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as r, count(*) over (partition by label) as n from embeddings)
@@ -228,7 +227,7 @@ def except_ids(t: Tables):
 
 @query("select source, ntile(4) over (partition by lang order by doc_id) as part, doc_id from documents")
 def equal_groups(t: Tables):
-    return t.documents.select("source", F.ntile(4).over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("part"), "doc_id")
+    return sampling.equal_parts(t.documents.select("source", "lang", "doc_id"), "lang", "doc_id", 4, "part").select("source", "part", "doc_id")
 
 
 @query("select c_custkey from customer where not (c_acctbal < 0) and c_nationkey in (select n_nationkey from nation where n_regionkey = 1)")

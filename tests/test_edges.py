@@ -90,6 +90,22 @@ def test_places_in_a_global_order(spark):
     assert ordering.global_position(df.drop("_at").where("false"), ["k"], "place").count() == 0
 
 
+def test_ranges_give_what_windows_give(spark, monkeypatch):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 500).alias("k"), (F.col("id") % 11).alias("n")).repartition(3)
+    calls = {
+        "sum": lambda: ordering.running_sum(df, ["g"], ["k"], F.col("n"), "at"),
+        "chunks": lambda: sampling.full_chunks(df, "g", "k", 8),
+        "shard": lambda: sampling.shard(df, ["k"], 4, ["g"]),
+        "strided": lambda: sampling.strided_rows(df, "g", "k", 8),
+        "parts": lambda: sampling.equal_parts(df, "g", "k", 7, "part"),
+        "segments": lambda: packing.segments(df, ["g"], ["k"], "n", 64),
+    }
+    rows = lambda c: sorted(str(sorted(r.asDict().items())) for r in c().collect())
+    want = {n: rows(c) for n, c in calls.items()}
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", 10)
+    assert {n: rows(c) for n, c in calls.items()} == want
+
+
 def test_descendants_of_a_deep_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(50, 1000), (200, 150)], "parent long, child long")
     got = schedule.descendants(edges, spark.createDataFrame([(0,), (199,)], "root long")).groupBy("root").count().collect()
