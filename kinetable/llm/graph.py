@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, small
+from .common import frugal, materialize, prepare, small, with_groups
 from .components import components
 
 SHARD, CENTRE_BYTES, AUDIT, OVERLAP = 1500, 64 << 20, 200, 3
@@ -125,13 +125,15 @@ def _search_shard(least: float):
         place = {n: i for i, n in enumerate(node.tolist())}
         links = [np.array([place[a] for a in (near or ()) if a in place and place[a] != i], np.int64) for i, near in enumerate(group["links"].take(pa.array(order)).to_pylist())]
         medoid = int(np.argmax(x @ x.mean(0)))
-        a, b = [], []
+        copies, a, b, wa, wb = group["copies"].to_numpy()[order], [], [], [], []
         for q in np.flatnonzero(mine).tolist():
             f = np.array(search(x, links, q, medoid, least - 1e-9), np.int64)
             f = f[(x[f] * x[q]).sum(1) >= least]
-            a += [int(node[q])] * len(f)
-            b += node[f].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a.append(np.minimum(node[q], node[f]))
+            b.append(np.maximum(node[q], node[f]))
+            wa.append(np.where(node[f] > node[q], copies[q], copies[f]))
+            wb.append(np.where(node[f] > node[q], copies[f], copies[q]))
+        return pa.table({n: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for n, x in (("a", a), ("b", b), ("wa", wa), ("wb", wb))})
 
     return run
 
@@ -151,7 +153,8 @@ def shards(nodes: DataFrame, n: int) -> int:
 
 
 def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (node, d, v) found by the graph and verified."""
+    """Pairs (a, b), a < b, of nodes (node, d, v, copies) found by the graph and verified, with the
+    copies of both."""
     spark = nodes.sparkSession
     k = shards(nodes, n)
     drawn = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(k).collect()
@@ -159,24 +162,24 @@ def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, d, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            node, d, v, copies = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3).to_numpy()
             for size in np.unique(d).tolist():
                 own = np.flatnonzero(d == size)
                 c = centres.value.get(size)
                 vs = v.take(pa.array(own))
                 near = nearest(_matrix(vs), c, overlap) if c is not None else np.zeros((len(own), 1), np.int64)
                 times = near.shape[1]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([f"{size}-{x}" for x in near.ravel()]), "node": pa.array(np.repeat(node[own], times), pa.int64()), "v": vs.take(pa.array(np.repeat(np.arange(len(own)), times)))})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([f"{size}-{x}" for x in near.ravel()]), "node": pa.array(np.repeat(node[own], times), pa.int64()), "copies": pa.array(np.repeat(copies[own], times), pa.int64()), "v": vs.take(pa.array(np.repeat(np.arange(len(own)), times)))})
 
-    dealt = materialize(nodes.select("node", "d", "v").mapInArrow(deal, "shard string, node long, v binary"), "dealt")
-    lists = dealt.groupBy("shard").applyInArrow(_build_shard, "node long, links array<long>")
+    dealt = materialize(nodes.select("node", "d", "v", "copies").mapInArrow(frugal(deal), "shard string, node long, copies long, v binary"), "dealt")
+    lists = dealt.drop("copies").groupBy("shard").applyInArrow(_build_shard, "node long, links array<long>")
     lists = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")), "lists")
     # a large shard goes to several tasks, each with a share of its queries
     shares = dealt.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
     spread = dealt.join(lists, "node").join(shares, "shard").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
-    found = spread.select("shard", "share", "node", "v", "links", "mine").groupBy("shard", "share").applyInArrow(_search_shard(least), "a long, b long")
-    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    found = spread.select("shard", "share", "node", "copies", "v", "links", "mine").groupBy("shard", "share").applyInArrow(_search_shard(least), "a long, b long, wa long, wb long")
+    return materialize(found.groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb")), "links")
 
 
 def audit(nodes: DataFrame, found: DataFrame, n: int, least: float) -> tuple[int, int]:
@@ -228,9 +231,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.98,
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "d": pa.array(size, pa.int32()), "v": pa.array(out, pa.binary())})
 
     unit = materialize(rows.mapInArrow(scale, "id long, d int, v binary").distinct().withColumn("key", F.sha2("v", 256)), "unit")
-    groups = unit.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    members = materialize(unit.select("id", "key").join(groups, "key").select("id", "node", "copies"), "members")
-    nodes = materialize(unit.join(members.where("id = node").select("id", "copies"), "id", "left_semi").select(F.col("id").alias("node"), "d", "v").dropDuplicates(["node"]), "nodes")
+    groups = materialize(unit.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "groups")
+    members = materialize(with_groups(unit.select("id", "key"), groups, ["key"], "copies", unit.count()).select("id", "key", "node", "copies"), "members")
+    nodes = materialize(unit.join(members.where("id = node").select("id", "copies", "key"), ["id", "key"]).select(F.col("id").alias("node"), "d", "v", "copies").dropDuplicates(["node"]), "nodes")
     n = nodes.count()
 
     overlap = OVERLAP
@@ -244,10 +247,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.98,
     if met < recall * there:
         raise RuntimeError(f"only {met} of {there} links of drawn nodes were found")
 
-    size = members.select("node", "copies").distinct()
-    both = found.union(found.select("b", "a")).toDF("node", "other")
-    reached = both.join(size.toDF("other", "n"), "other").groupBy("node").agg(F.sum("n").alias("others"))
-    classes = components(found)
+    both = found.select("a", "wb").union(found.select("b", "wa")).toDF("node", "n")
+    reached = both.groupBy("node").agg(F.sum("n").alias("others"))
+    classes = components(found.select("a", "b"))
     counted = members.join(reached, "node", "left").select("id", "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     counted = counted.join(classes.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "n_links", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("id").join(counted.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")), "id", "left")
