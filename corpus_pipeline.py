@@ -53,7 +53,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     groups = exact.exact_groups(docs, carry={"norm_hash": F.sha2(F.col("norm").cast("binary"), 256)}).where("group_size > 1")
     marks = groups.groupBy(F.col("doc_id").alias("of"), "norm_hash").agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
-    marks = materialize(marks.where("not stays or rows > 1"), "marks")
+    marks = materialize(marks.where("not stays or rows > 1"), "marks", few=True)
     rows = _inside(docs).withColumn("hash", F.sha2(exact.normalised(F.col("own_text")).cast("binary"), 256))
     marked = rows.join(small(marks), F.col("own").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("norm_hash")), "left")
     # of repeated rows the longest text, by a partial aggregation
@@ -67,7 +67,7 @@ def _named(docs: DataFrame) -> DataFrame:
     of it but one get a name of their own from a hash, above the ids of real documents."""
     rows = _inside(docs).withColumn("hash", _digest("own_text"))
     ids = rows.where("own is not null").groupBy("own").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
-    several = materialize(ids.where("least < most").select(F.col("own").alias("of"), "least"), "several")
+    several = materialize(ids.where("least < most").select(F.col("own").alias("of"), "least"), "several", few=True)
     other = F.xxhash64("own", "hash").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
     rows = rows.join(small(several), F.col("own") == F.col("of"), "left")
     return rows.withColumn("name", F.when(F.col("hash") != F.col("least"), other).otherwise(F.col("own").cast("long")))
@@ -78,7 +78,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     named = _named(docs)
     groups = icws.near_duplicates(named.select(F.col("name").alias("doc_id"), F.col("own_text").alias("text")), threshold=0.8)
-    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "gone")
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "gone", few=True)
     return named.join(small(gone), "name", "left_anti").select("row.*")
 
 

@@ -18,7 +18,7 @@ from .common import discard, materialize
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each node of a link the smallest node it reaches."""
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()  # greatest and least skip nulls: then u = v
-    e = materialize(e, "links")
+    e = materialize(e, "links", few=True)
     while True:
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = e.union(e.select("v", "u")).toDF("u", "v")
@@ -28,7 +28,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v")).where("u > v").distinct()
-        new = materialize(small, "links")
+        new = materialize(small, "links", few=True)
         if _mark(new) == _mark(e):
             discard(new)
             break

@@ -56,9 +56,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     narrow = materialize(base.select("n", "prefix"), "narrow")
     # lengths are few (no more than the longest text has bytes), so their table is too
-    lengths = materialize(narrow.groupBy("n").count().where("count > 1").select("n"), "lengths")
+    lengths = materialize(narrow.groupBy("n").count().where("count > 1").select("n"), "lengths", few=True)
     keys = narrow.join(small(lengths), "n", "left_semi").groupBy("n", "prefix").count().where("count > 1").select("n", "prefix")
-    bitmap = materialize(_bitmap(keys), "bitmap")
+    bitmap = materialize(_bitmap(keys), "bitmap", few=True)
     discard(narrow, lengths)
 
     carry = dict(carry or {})
@@ -70,7 +70,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     best = F.min(F.struct(-F.col("points"), F.col("id").isNull(), F.col("id")))
     groups = rows.where("full is not null").groupBy("full", "n").agg(F.count("*").alias("group_size"), best.getField("id").alias("keep_id"))
-    groups = materialize(groups.where("group_size > 1"), "groups")
+    groups = materialize(groups.where("group_size > 1"), "groups", few=True)
     known = with_groups(rows.where("full is not null"), groups.withColumn("found", F.lit(True)), ["full", "n"], "group_size", rows.count(), "left")
     known = known.withColumns({"group_size": F.coalesce("group_size", F.lit(1)), "keep_id": F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("id"))}).drop("found")
     alone = rows.where("full is null").withColumns({"group_size": F.lit(1).cast("long"), "keep_id": F.col("id")})

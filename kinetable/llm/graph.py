@@ -204,7 +204,7 @@ def audit(nodes: DataFrame, found: DataFrame, n: int, least: float) -> tuple[int
                     yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(one, two)), "b": pa.array(np.maximum(one, two))})
 
     true = nodes.select("node", "d", "v").mapInArrow(run, "a long, b long").where("a < b").distinct()
-    true = materialize(true, "audit")
+    true = materialize(true, "audit", few=True)
     return true.count(), true.join(found, ["a", "b"], "left_semi").count()
 
 
@@ -231,7 +231,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.98,
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "d": pa.array(size, pa.int32()), "v": pa.array(out, pa.binary())})
 
     unit = materialize(rows.mapInArrow(scale, "id long, d int, v binary").distinct().withColumn("key", F.sha2("v", 256)), "unit")
-    groups = materialize(unit.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "groups")
+    groups = materialize(unit.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "groups", few=True)
     members = materialize(with_groups(unit.select("id", "key"), groups, ["key"], "copies", unit.count()).select("id", "key", "node", "copies"), "members")
     nodes = materialize(unit.join(members.where("id = node").select("id", "copies", "key"), ["id", "key"]).select(F.col("id").alias("node"), "d", "v", "copies").dropDuplicates(["node"]), "nodes")
     n = nodes.count()

@@ -48,6 +48,8 @@ _CHUNKS = WIDTH * DEPTH // CHUNK
 #: Members and bytes of text in a block; bytes of text that one group of blocks stands for;
 #: columns of a matrix of shingles that are multiplied at once.
 MEMBERS, BLOCK_BYTES, GROUP_BYTES, COLUMNS = 256, 1 << 20, 4 << 20, 8192
+#: Text whose samples are drawn at once (so little that it stays in a core's cache).
+SIGN_BYTES = 1 << 19
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
@@ -188,8 +190,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     own = base.where("doc_id is not null and text rlike '\\\\S'")
     facts = materialize(own.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "facts")
     groups = facts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
-    groups, total = materialize(groups.select("sha", "first", "n"), "groups"), facts.count()
-    copies = materialize(with_groups(facts, groups, ["sha"], "n", total).where("doc_id > first").select("doc_id", "first").distinct(), "copies")
+    groups, total = materialize(groups.select("sha", "first", "n"), "groups", few=True), facts.count()
+    copies = materialize(with_groups(facts, groups, ["sha"], "n", total).where("doc_id > first").select("doc_id", "first").distinct(), "copies", few=True)
     discard(facts, groups)
     # a row with the id of a copy, whatever its text, is that document's; so its text counts too
     distinct = own.join(small(copies.select("doc_id")), "doc_id", "left_anti")
@@ -197,7 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     weights = spark.sparkContext.broadcast(Weights(document_frequencies(distinct, words), total))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_groups(batches):
+        for b in text_groups(batches, limit=SIGN_BYTES):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             text, h, count = bags(texts_of(b), words)
             if not len(h):
@@ -218,8 +220,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     signed = materialize(signed.mapInArrow(frugal(sign, "words"), "doc_id long, n_bytes long, keys array<long>, sketch array<short>"), "signed")
     member = signed.select("doc_id", F.explode("keys").alias("key")).distinct()
     sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("key", "rep")
-    member = materialize(member.join(sizes, "key").where("doc_id > rep").select("doc_id", "rep").distinct(), "member")
-    ids = materialize(member.select("doc_id").union(member.select("rep")).distinct(), "ids")
+    member = materialize(member.join(sizes, "key").where("doc_id > rep").select("doc_id", "rep").distinct(), "member", few=True)
+    ids = materialize(member.select("doc_id").union(member.select("rep")).distinct(), "ids", few=True)
     texts = materialize(distinct.join(small(ids), "doc_id", "left_semi"), "texts")
     sketch = materialize(signed.join(small(ids), "doc_id", "left_semi").select("doc_id", "n_bytes", "sketch"), "sketch")
 
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
 
     def compared(lots: DataFrame, name: str) -> DataFrame:
         """``lots``: part (what is compared together), doc_id, class, side, n_bytes."""
-        lots = materialize(lots, "lots")
+        lots = materialize(lots, "lots", few=True)
         tasks = max(1, math.ceil((lots.agg(F.sum("n_bytes")).first()[0] or 0) / GROUP_BYTES))
         dealt = lots.withColumn("task", F.pmod("part", F.lit(tasks))).drop("n_bytes")
         return materialize(texts.join(small(dealt), "doc_id").groupBy("task").applyInArrow(compare, schema), name)
@@ -254,9 +256,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     one, two = sketch.select("doc_id", "n_bytes", F.col("sketch").alias("x")), sketch.select(F.col("doc_id").alias("rep"), F.col("n_bytes").alias("rep_bytes"), F.col("sketch").alias("y"))
     equal = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     pairs = member.join(one, "doc_id").join(two, "rep").where(equal >= least).select("rep", "doc_id", "n_bytes", "rep_bytes")
-    pairs = materialize(pairs.groupBy("rep", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.max("rep_bytes").alias("rep_bytes")), "pairs")
+    pairs = materialize(pairs.groupBy("rep", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.max("rep_bytes").alias("rep_bytes")), "pairs", few=True)
     fans = pairs.groupBy("rep").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n_bytes") / BLOCK_BYTES)).alias("parts"), F.max("rep_bytes").alias("n_bytes"))
-    fans = materialize(fans, "fans")
+    fans = materialize(fans, "fans", few=True)
     share = F.pmod(F.xxhash64(F.lit(3), "doc_id"), "parts")
     zero, lot = F.lit(0), F.xxhash64("rep", "share").alias("part")
     leads = fans.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -266,20 +268,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     found = compared(leads.unionByName(rest), "near")
 
     # 2. pairs of different classes that have one representative, which itself is done
-    named = materialize(found.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c")), "named")
+    named = materialize(found.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c")), "named", few=True)
     up = small(named.select(F.col("doc_id").alias("c"), F.col("c").alias("up")))
-    named = materialize(named.join(up, "c", "left").select("doc_id", F.coalesce("up", "c").alias("c")), "named")
-    many = materialize(member.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "many")
+    named = materialize(named.join(up, "c", "left").select("doc_id", F.coalesce("up", "c").alias("c")), "named", few=True)
+    many = materialize(member.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep"), "many", few=True)
     left = member.join(small(many), "rep", "left_semi").join(small(named), "doc_id", "left")
     left = left.select("rep", "doc_id", F.coalesce("c", "doc_id").alias("class"))
-    left = materialize(left.join(sketch.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes")), "doc_id"), "left")
-    still = materialize(left.groupBy("rep").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("rep"), "still")
+    left = materialize(left.join(sketch.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes")), "doc_id"), "left", few=True)
+    still = materialize(left.groupBy("rep").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("rep"), "still", few=True)
     left = left.join(small(still), "rep", "left_semi")
     sizes = left.groupBy("rep", "class").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     sizes = sizes.withColumn("parts", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("bytes") / BLOCK_BYTES)))
-    large = materialize(sizes.where("parts > 1").select("rep", "class", "parts"), "large")  # classes with blocks of their own
+    large = materialize(sizes.where("parts > 1").select("rep", "class", "parts"), "large", few=True)  # classes with blocks of their own
     others = sizes.where("parts = 1").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    others = materialize(others.select("rep", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("bytes") / BLOCK_BYTES)).alias("mixed")), "others")
+    others = materialize(others.select("rep", F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("bytes") / BLOCK_BYTES)).alias("mixed")), "others", few=True)
     nth = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(F.pmod(F.xxhash64("class"), "mixed"))
     blocks = left.join(small(large), ["rep", "class"], "left").join(small(others), "rep", "left")
     blocks = blocks.select("rep", "doc_id", "class", "n_bytes", F.when(F.col("parts").isNotNull(), F.col("class")).alias("of"), nth.alias("nth"))
@@ -290,7 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 12, ro
     name, name2 = F.struct(F.coalesce("of", F.lit(-1)), F.col("of").isNull(), "nth"), F.struct(F.coalesce("of2", F.lit(-1)), F.col("of2").isNull(), F.col("nth2").alias("nth"))
     meet = every.join(other, "rep").where(F.col("of").isNull() | F.col("of2").isNull() | (F.col("of") != F.col("of2")))
     meet = meet.select("rep", "of", "nth", F.xxhash64("rep", F.least(name, name2), F.greatest(name, name2)).alias("part"), F.when(name == name2, 0).when(name < name2, 1).otherwise(2).alias("side"))
-    meet = materialize(meet, "meet")
+    meet = materialize(meet, "meet", few=True)
     same = blocks["rep"].eqNullSafe(meet["rep"]) & blocks["of"].eqNullSafe(meet["of"]) & (blocks["nth"] == meet["nth"])
     lots = blocks.join(small(meet), same).select("part", "doc_id", "class", "side", "n_bytes")
     more = compared(lots, "more")

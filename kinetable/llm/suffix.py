@@ -420,8 +420,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, whole_characters: bool = F
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, math.ceil(total / PART_BYTES))
     groups = facts.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("sha", "least", "n")
-    groups = materialize(groups, "groups")
-    copies = materialize(with_groups(facts, groups, ["sha"], "n", facts.count()).where("doc_id > least").select("doc_id", "text_hash").distinct(), "copies")
+    groups = materialize(groups, "groups", few=True)
+    copies = materialize(with_groups(facts, groups, ["sha"], "n", facts.count()).where("doc_id > least").select("doc_id", "text_hash").distinct(), "copies", few=True)
     discard(facts, groups)
 
     key = ["doc_id", "text_hash"]
@@ -429,11 +429,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, whole_characters: bool = F
     blobs = "target int, blob binary"
     anchors = long.select("doc_id", "text").mapInArrow(_anchor_rows(length, parts), blobs)
     shared = materialize(anchors.groupBy("target").applyInArrow(_shared_rows(parts), blobs), "anchors")
-    ids = materialize(shared.groupBy("target").applyInArrow(_docs_of, "doc_id long"), "ids")
+    ids = materialize(shared.groupBy("target").applyInArrow(_docs_of, "doc_id long"), "ids", few=True)
     near = long.join(small(ids), "doc_id", "left_semi").select(part_column(F.col("doc_id"), parts).alias("target"), *key, "text")
     contexts = near.groupBy("target").cogroup(shared.groupBy("target")).applyInArrow(_context_rows(length, parts), blobs)
     found = materialize(contexts.groupBy("target").applyInArrow(_interval_rows(length, parts), blobs), "intervals")
-    hit = materialize(found.groupBy("target").applyInArrow(_docs_of, "doc_id long"), "hit")
+    hit = materialize(found.groupBy("target").applyInArrow(_docs_of, "doc_id long"), "hit", few=True)
 
     cut = (
         long.join(small(hit), "doc_id", "left_semi")

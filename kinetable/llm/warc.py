@@ -70,10 +70,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     facts = materialize(pages.select("page_id", base32_sha1(payload).alias("digest"), F.length(payload).alias("n")), "facts")
     first = facts.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    first = materialize(first.where("copies > 1"), "first")
+    first = materialize(first.where("copies > 1"), "first", few=True)
     rows, size = facts.agg(F.count("*"), F.sum("n")).first()
     again = with_groups(facts.where(F.col("n") >= min_bytes), first, ["digest"], "copies", rows).where(~F.col("page_id").eqNullSafe(F.col("first")))
-    again = materialize(again.select(F.col("page_id").alias("again"), "first").distinct(), "again")
+    again = materialize(again.select(F.col("page_id").alias("again"), "first").distinct(), "again", few=True)
     discard(facts, first)
 
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).join(small(again), F.col("page_id").eqNullSafe(F.col("again")), "left")
