@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, prepare, small, with_groups
+from .common import frugal, materialize, prepare, with_groups
 from .components import components
 
 SHARD, CENTRE_BYTES, AUDIT, OVERLAP = 1500, 64 << 20, 200, 3
