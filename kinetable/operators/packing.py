@@ -32,17 +32,21 @@ def segments(df: DataFrame, by: list[str], order: list[str], size: str, capacity
 
 def best_subset(sizes: list[tuple[int, int]], limits: tuple[int, int], step: int = 1) -> list[int]:
     """Indices of the items that fill two limits best at once (0/1 knapsack on the first
-    size; the second must fit). Sizes are rounded up to ``step`` to keep the table small."""
-    cap, other = limits[0] // step, limits[1]
-    best: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}
+    size; the second must fit). Sizes are rounded up to ``step`` to keep the table small: for
+    each sum the least second size that reaches it, and a bit for each item of it."""
+    cap, none = limits[0] // step, np.iinfo(np.int64).max // 2
+    second = np.full(cap + 1, none, np.int64)
+    second[0] = 0
+    chosen = np.zeros(cap + 1, np.uint64) if len(sizes) <= 64 else np.zeros(cap + 1, object)
     for i, (a, b) in enumerate(sizes):
-        a = -(-a // step)
-        new = dict(best)
-        for used, (second, chosen) in best.items():
-            if used + a <= cap and second + b <= other and (used + a not in new or new[used + a][0] > second + b):
-                new[used + a] = second + b, (*chosen, i)
-        best = new
-    return list(best[max(best)][1])
+        a, bit = -(-a // step), np.uint64(1 << i) if len(sizes) <= 64 else 1 << i
+        if a > cap:
+            continue
+        reach = second[: cap + 1 - a] + b
+        at = np.flatnonzero((reach <= limits[1]) & (reach < second[a:]))
+        second[at + a], chosen[at + a] = reach[at], chosen[at] | bit
+    best = int(chosen[np.flatnonzero(second < none)[-1]])
+    return [i for i in range(len(sizes)) if best >> i & 1]
 
 
 class BufferedPacker:
