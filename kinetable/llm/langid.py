@@ -120,6 +120,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from text and lang of the rows that are not held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(0.9 * sample) / F.col("count")).alias("part"))
+    counts = materialize(counts, "counts", few=True)
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20))
     drawn = known.select("lang", "text", "doc_id").join(small(counts), "lang").where(draw < F.col("part") * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
