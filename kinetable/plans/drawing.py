@@ -211,7 +211,7 @@ def clip_slices(t: Tables):
 
 
 @query("""with x as (select conv_id, row_number() over (partition by conv_id order by turn) as ix, [length(text) % 5, -1, length(role)] as ids from conversations),
-      o as (select *, coalesce(sum(4) over (partition by conv_id order by ix rows between unbounded preceding and 1 preceding), 0) as a from x)
+      o as (select *, cast(coalesce(sum(4) over (partition by conv_id order by ix rows between unbounded preceding and 1 preceding), 0) as bigint) as a from x)
     select conv_id, flatten(list(list_transform(ids, lambda i: case when i < 0 then -1 else i + a end) order by ix)) as ids from o group by conv_id""")
 def token_offsets(t: Tables):
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -248,9 +248,9 @@ def fps_from_text(t: Tables):
 def interleaved_tokens(t: Tables):
     """Word lengths as tokens: a picture's mark (-1) before each user turn, an end (0) after each
     answer, a loss on answers only, and what each token should predict."""
-    ids = F.transform(F.split("text", " "), lambda s: F.length(s))
+    ids = F.transform(F.split("text", " "), lambda s: F.length(s).cast("long"))
     user = F.col("role") == "user"
-    x = t.conversations.withColumn("ids", F.when(user, F.concat(F.array(F.lit(-1)), ids)).otherwise(F.concat(ids, F.array(F.lit(0)))))
+    x = t.conversations.withColumn("ids", F.when(user, F.concat(F.array(F.lit(-1).cast("long")), ids)).otherwise(F.concat(ids, F.array(F.lit(0).cast("long")))))
     x = x.withColumn("mask", F.transform("ids", lambda i: F.when(user, 0).otherwise(1)))
     x = x.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids", "mask"))).alias("v"))
     flat = lambda c: F.flatten(F.transform("v", lambda r: r[c]))

@@ -10,7 +10,7 @@ import pytest
 from kinetable.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+TYPES = {"array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]", "array<double>": "DOUBLE[]", "array<string>": "VARCHAR[]", "array<boolean>": "BOOLEAN[]", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
