@@ -125,15 +125,29 @@ def _search_shard(least: float):
         place = {n: i for i, n in enumerate(node.tolist())}
         links = [np.array([place[a] for a in (near or ()) if a in place and place[a] != i], np.int64) for i, near in enumerate(group["links"].take(pa.array(order)).to_pylist())]
         medoid = int(np.argmax(x @ x.mean(0)))
-        copies, a, b, wa, wb = group["copies"].to_numpy()[order], [], [], [], []
+        copies, a, b, wa, wb, joins = group["copies"].to_numpy()[order], [], [], [], [], []
+        parent = list(range(len(node)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
         for q in np.flatnonzero(mine).tolist():
             f = np.array(search(x, links, q, medoid, least - 1e-9), np.int64)
             f = f[(x[f] * x[q]).sum(1) >= least]
+            tree = np.zeros(len(f), bool)  # links that join two parts of what this task has found
+            top = root(q)
+            for k, i in enumerate(f.tolist()):
+                if (other := root(i)) != top:
+                    parent[other], tree[k] = top, True
+            joins.append(tree)
             a.append(np.minimum(node[q], node[f]))
             b.append(np.maximum(node[q], node[f]))
             wa.append(np.where(node[f] > node[q], copies[q], copies[f]))
             wb.append(np.where(node[f] > node[q], copies[f], copies[q]))
-        return pa.table({n: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for n, x in (("a", a), ("b", b), ("wa", wa), ("wb", wb))})
+        cols = {n: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for n, x in (("a", a), ("b", b), ("wa", wa), ("wb", wb))}
+        return pa.table(cols | {"tree": pa.array(np.concatenate([np.zeros(0, bool), *joins]))})
 
     return run
 
@@ -154,7 +168,7 @@ def shards(nodes: DataFrame, n: int) -> int:
 
 def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     """Pairs (a, b), a < b, of nodes (node, d, v, copies) found by the graph and verified, with the
-    copies of both."""
+    copies of both; those with ``tree`` connect what all connect."""
     spark = nodes.sparkSession
     k = shards(nodes, n)
     drawn = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(k).collect()
@@ -178,8 +192,8 @@ def links(nodes: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     shares = dealt.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
     spread = dealt.join(lists, "node").join(shares, "shard").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     spread = spread.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")) == F.col("share"))
-    found = spread.select("shard", "share", "node", "copies", "v", "links", "mine").groupBy("shard", "share").applyInArrow(_search_shard(least), "a long, b long, wa long, wb long")
-    return materialize(found.groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb")), "links")
+    found = spread.select("shard", "share", "node", "copies", "v", "links", "mine").groupBy("shard", "share").applyInArrow(_search_shard(least), "a long, b long, wa long, wb long, tree boolean")
+    return materialize(found.groupBy("a", "b").agg(F.first("wa").alias("wa"), F.first("wb").alias("wb"), F.max("tree").alias("tree")), "links")
 
 
 def audit(nodes: DataFrame, found: DataFrame, n: int, least: float) -> tuple[int, int]:
@@ -249,7 +263,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, recall: float = 0.98,
 
     both = found.select("a", "wb").union(found.select("b", "wa")).toDF("node", "n")
     reached = both.groupBy("node").agg(F.sum("n").alias("others"))
-    classes = components(found.select("a", "b"))
+    classes = components(found.where("tree").select("a", "b"))
     counted = members.join(reached, "node", "left").select("id", "node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     counted = counted.join(classes.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "n_links", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("id").join(counted.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")), "id", "left")
