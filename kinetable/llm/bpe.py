@@ -32,7 +32,7 @@ from tokenizers.models import BPE
 from .common import cached, frugal, text_groups, texts_of
 
 #: Bytes of a word that is merged without cutting, and bounds of the cache.
-LEAF, CACHE_ENTRIES, CACHE_BYTES = 2048, 600_000, 64 << 20
+LEAF, CACHE_ENTRIES, CACHE_BYTES = 2048, 300_000, 32 << 20
 
 #: The tokenizer's word pattern (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
