@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, graph, icws, langid, lbl, packing, passages, suffix, warc
+from . import bpe, bytebpe, exact, graph, icws, langid, lbl, packing, passages, suffix, warc
 from .common import table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,18 @@ def op10_suffix_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op12_byte_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytebpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), offsets=False)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compact_windows, op2_pruned_graph, op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine)
+    f.__name__: f for f in (op1_compact_windows, op2_pruned_graph, op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine, op12_byte_slices)
 }
 
 ORACLES: dict[str, str] = {

@@ -163,4 +163,4 @@ def test_op10(spark, tables, texts):
 
 
 def test_names_and_numbers():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
