@@ -60,16 +60,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str = "step", few: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", few: bool = False, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; ``few``: in at most four
-    files for each core of the cluster, for tables of ids and counts.
+    files for each core of the cluster, for tables of ids and counts; ``by``: the last columns, a
+    folder for each of their few values.
 
     It cuts the lineage as checkpoint() does, but the files are columnar and
     compressed, and a lost executor costs no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.partitionBy(*by or []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     for made in _SCRATCH:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytebpe, exact, graph, icws, langid, lbl, packing, passages, suffix, warc
+from . import bpe, bytebpe, exact, graph, icws, langid, lbl, packing, passages, resample, suffix, trie, warc
 from .common import table
 
 TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -70,6 +70,11 @@ def op10_suffix_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op11_position_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resample.importance(docs, target, buckets=10_000, orders=3, percent=5, least_words=20, seed=42)
+
+
 def op12_byte_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bytebpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), offsets=False)
     return out.select(
@@ -80,8 +85,12 @@ def op12_byte_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_heavy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compact_windows, op2_pruned_graph, op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine, op12_byte_slices)
+    f.__name__: f for f in (op1_compact_windows, op2_pruned_graph, op3_vector_packing, op4_warc_merge, op5_weighted_sampling, op6_bpe_tree, op7_exact_refine, op8_log_bilinear, op9_ecoc_language, op10_suffix_refine, op11_position_ngrams, op12_byte_slices, op13_heavy_paths)
 }
 
 ORACLES: dict[str, str] = {
