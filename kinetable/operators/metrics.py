@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .assignment import best_assignment
+from .assignment import assigned, best_assignment
 
 
 def threshold_rate(err: Column, thresholds: list[float]) -> Column:
@@ -154,18 +154,11 @@ def _assigned(rows: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
 
 def matched_f1(pairs: DataFrame, by: list[str], true_id: str, said_id: str, distance: str, within: float) -> DataFrame:
     """F1 of each frame's best one-to-one matching of said to true points by distance."""
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cost = pdf.pivot_table(index=said_id, columns=true_id, values=distance, aggfunc="min")
-        c = cost.to_numpy()
-        hits = sum(1 for i, j in best_assignment(np.nan_to_num(c, nan=1e9)) if c[i, j] <= within)
-        p, r = hits / c.shape[0], hits / c.shape[1]
-        return pd.DataFrame([(*key, hits, p, r, 2 * p * r / (p + r + 1e-10))])
-
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
-    return pairs.groupBy(*by).applyInPandas(solve, f"{kinds}, hits long, precision double, recall double, f1 double")
-
-
+    rows = assigned(pairs, by, true_id, said_id, distance)
+    out = rows.groupBy(*by).agg(F.count_if(F.col("taken") & (F.col("cost") <= within)).alias("hits"), F.count_distinct("said_id").alias("n_said"), F.count_distinct("true_id").alias("n_true"))
+    out = out.withColumn("precision", F.col("hits") / F.col("n_said")).withColumn("recall", F.col("hits") / F.col("n_true"))
+    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-10)
+    return out.select(*by, "hits", "precision", "recall", f1.alias("f1"))
 
 
 def record_then_macro(df: DataFrame, record: str, values: list[str]) -> DataFrame:
@@ -217,10 +210,5 @@ def evaluated_frames(df: DataFrame, by: list[str], frame: str, visible: Column,
 
 def least_cost(pairs: DataFrame, by: list[str], true_id: str, said_id: str, cost: str) -> DataFrame:
     """The cost of each group's best one-to-one matching."""
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf.pivot_table(index=said_id, columns=true_id, values=cost, aggfunc="min").to_numpy()
-        return pd.DataFrame([(*key, float(sum(c[i, j] for i, j in best_assignment(np.nan_to_num(c, nan=1e9)))))])
-
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
-    return pairs.groupBy(*by).applyInPandas(solve, f"{kinds}, cost double")
+    rows = assigned(pairs, by, true_id, said_id, cost)
+    return rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("taken"), F.col("cost"))), F.lit(0.0)).alias("cost"))

@@ -5,24 +5,65 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import metrics, packing
+from ..operators import assignment, metrics, packing
+from ..storage import new_folder
 from ..streaming import events
 from .registry import Tables, query
 
 
-@query()
+def _policy(rows: str, shards: str, then: str) -> str:
+    """The buffered packer as a recursion over each shard's rows in order: all choices of the six
+    rows held are tried, the fullest leaves (of equals the one without later rows). ``r`` has
+    what is held after each row, ``gone`` what left."""
+    over = "(x.a + 63) // 64 > 128 or x.b > 4"
+    of = lambda v: f"list_sum([{v} * ((m >> (i - 1)) & 1) for i in range(1, len(x.held) + 1)])"
+    return f"""with recursive d as ({rows}), s as (select {shards} as shards), e as (select key, a, b, key % shards as shard, row_number() over (partition by key % shards order by key) as n from d cross join s),
+      l as (select shard, max(n) as m from e group by 1),
+      r as (select shard, 0::bigint as n, []::struct(key bigint, a bigint, b bigint)[] as held, 0::bigint as bins, []::struct(key bigint, a bigint, b bigint)[] as gone from l union all
+        select shard, n, case when due then [held[i] for i in range(1, len(held) + 1) if (mask >> (i - 1)) & 1 = 0] else held end || case when stays then [row] else [] end, bins + (due or alone)::int,
+            case when alone then [row] when due then [held[i] for i in range(1, len(held) + 1) if (mask >> (i - 1)) & 1 = 1] else [] end
+        from (select *, case when best % 4096 = 0 then 1 else 4096 - best % 4096 end as mask from (select x.*, {{'key': x.key, 'a': x.a, 'b': x.b}} as row, x.key is not null and ({over}) as alone, x.key is not null and not ({over}) as stays,
+            len(x.held) > 0 and (x.key is null or not ({over}) and len(x.held) >= 6) as due,
+            list_max([case when {of("((x.held[i].a + 63) // 64)")} <= 128 and {of("x.held[i].b")} <= 4 then {of("x.held[i].a")} * 4096 - m else -1 end for m in range(1, 1 << len(x.held))]) as best
+          from (select r.shard, r.n + 1 as n, r.held, r.bins, e.key, e.a, e.b from r left join e on e.shard = r.shard and e.n = r.n + 1 where e.key is not null or len(r.held) > 0) as x)))
+    {then}"""
+
+
+_GONE = "select shard, bins - 1 as bin, cast(place as bigint) as place, x.key as key, x.a as a, x.b as b from (select shard, bins, unnest(gone) as x, unnest(range(len(gone))) as place from r)"
+_SIZES = "select doc_id as key, n_chars as a, 1::bigint as b from documents"
+#: The limits of these queries: 8192 characters, four documents.
+LIMITS = (8192, 4)
+
+
+@query(_policy(_SIZES, "(select greatest(8, (count(*) + 49999) // 50000) from documents)", _GONE))
 def knapsack_pack(t: Tables):
-    return packing.knapsack_pack(t.documents.withColumn("one", F.lit(1)), "doc_id", "n_chars", "one", (8192, 16))
+    return packing.knapsack_pack(t.documents.withColumn("one", F.lit(1)), "doc_id", "n_chars", "one", LIMITS, buffer=6)
 
 
 def _pairs(t: Tables):
-    """True and said points of a frame: vectors of one label, in groups of twelve."""
-    p = t.embeddings.select("label", F.floor(F.col("vec_id") / 120).cast("long").alias("frame"), "vec_id", F.slice("embedding", 1, 3).alias("p"))
+    """True and said points of a frame: vectors of one label, all components, of 120 each."""
+    p = t.embeddings.select("label", F.floor(F.col("vec_id") / 120).cast("long").alias("frame"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
     a, b = p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1")
     j = a.select("label", "frame", F.col("vec_id").alias("true_id"), F.col("p").alias("q")).join(b.withColumnRenamed("vec_id", "said_id"), ["label", "frame"])
     return j.withColumn("d", g.l2(F.col("p"), F.col("q"))).drop("p", "q")
 
 
+#: Pairs of each frame, and their least cost over all matchings: rows of the smaller side are matched one
+#: by one (i), a state is the set of columns taken (mask), and of equal sets the cheapest is kept.
+_FRAMES = """p as (select label, vec_id // 120 as frame, vec_id, cast(embedding as double[]) as v from embeddings),
+    d as (select a.label, a.frame, a.vec_id as t, b.vec_id as s, list_distance(a.v, b.v) as d from p a join p b on a.label = b.label and a.frame = b.frame and a.vec_id % 2 = 0 and b.vec_id % 2 = 1),
+    n as (select label, frame, count(distinct t) as nt, count(distinct s) as ns from d group by 1, 2),
+    c as (select d.*, dense_rank() over (partition by label, frame order by if(nt <= ns, t, s)) as i, dense_rank() over (partition by label, frame order by if(nt <= ns, s, t)) - 1 as j from d join n using (label, frame))"""
+
+
+def _matchings(cost: str, carried: str, first: str) -> str:
+    """The states, with what is carried along by the best way into each."""
+    return f"""r as (select label, frame, 0::bigint as i, 0::bigint as mask, 0::double as cost, {first} as held from n union all
+    select label, frame, i, mask, min(cost), arg_min(held, cost) from (select r.label, r.frame, c.i, r.mask | (1::bigint << c.j) as mask, r.cost + {cost} as cost, {carried} as held
+      from r join c on c.label = r.label and c.frame = r.frame and c.i = r.i + 1 and (r.mask >> c.j) & 1 = 0) group by 1, 2, 3, 4),
+    best as (select label, frame, nt, ns, min(r.cost) as cost, arg_min(r.held, r.cost) as held from r join n using (label, frame) where r.i = least(nt, ns) group by 1, 2, 3, 4)"""
+
+
 @query("""with e as (select doc_id // 8 as grp, row_number() over (partition by doc_id // 8 order by doc_id) - 1 as k, n_chars as a from documents), g as (select distinct grp from e), m as (select grp, mask from g cross join (select unnest(range(256)) as mask)),
       s as (select m.grp, m.mask, coalesce(sum(a), 0) as total, count(a) as n from m left join e on e.grp = m.grp and (m.mask >> e.k) & 1 = 1 group by 1, 2)
     select grp, cast(max(total) as bigint) as best from s where total <= 8192 and n <= 3 group by grp""")
@@ -64,15 +105,46 @@ def hota_single(t: Tables):
     return r.select("user_id", *[F.round(c, 5).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
 
 
-@query()
+@query(f"""with recursive {_FRAMES}, {_matchings("c.d", "r.held + (c.d <= 1.3)::int", "0")},
+      f as (select label, frame, cast(held as bigint) as hits, held / cast(ns as double) as precision, held / cast(nt as double) as recall from best)
+    select label, frame, hits, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / (precision + recall + 1e-10), 6) as f1 from f""")
 def hungarian_f1(t: Tables):
-    return metrics.matched_f1(_pairs(t), ["label", "frame"], "true_id", "said_id", "d", 0.25)
-
-
-@query()
+    f = metrics.matched_f1(_pairs(t), ["label", "frame"], "true_id", "said_id", "d", 1.3)
+    return f.select("label", "frame", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""with recursive {_FRAMES}, {_matchings("c.d", "0", "0")}
+    select label, frame, nt as n_true, ns as n_said, least(nt, ns) as n_pairs, round(cost, 6) as cost, round(cost, 6) as price, true as feasible, true as tight from best""")
+def assignment_certificate(t: Tables):
+    """The least cost of matching each frame's points, with the prices that prove it: the other
+    engine tries all matchings and has to find the same cost, and prices that add up to it."""
+    by = ["label", "frame"]
+    c = assignment.certificate(assignment.assigned(_pairs(t), by, "true_id", "said_id", "d"), by)
+    return c.withColumns({x: F.round(x, 6) for x in ("cost", "price")})
+
+
+@query(f"""with recursive {_FRAMES}, x as (select label, frame, i, j, t % 120 as t, s % 120 as s, 1 - d / 2 as x from c),
+      sh as (select *, sum(x) over (partition by label, frame, t) + sum(x) over (partition by label, frame, s) - x as w from x),
+      nt as (select label, t, count(distinct frame) as ct from x group by 1, 2), ns as (select label, s, count(distinct frame) as cs from x group by 1, 2),
+      al as (select label, t, s, sum(x / w) as a from sh group by 1, 2, 3), gl as (select al.label, al.t, al.s, a / (ct + cs - a) as g, ct, cs from al join nt using (label, t) join ns using (label, s)),
+      k as (select x.*, g * x as gain from x join gl using (label, t, s)),
+      r as (select label, frame, 0::bigint as i, 0::bigint as mask, 0::double as gain, []::bigint[] as held from n union all
+        select label, frame, i, mask, max(gain), arg_max(held, gain) from (select r.label, r.frame, k.i, r.mask | (1::bigint << k.j) as mask, r.gain + k.gain as gain, list_append(r.held, k.t * 1000 + k.s) as held
+          from r join k on k.label = r.label and k.frame = r.frame and k.i = r.i + 1 and (r.mask >> k.j) & 1 = 0) group by 1, 2, 3, 4),
+      best as (select label, frame, unnest(arg_max(r.held, r.gain)) as pair from r join n using (label, frame) where r.i = least(nt, ns) group by 1, 2),
+      m as (select x.label, x.t, x.s, x.x from best join x on x.label = best.label and x.frame = best.frame and x.t * 1000 + x.s = best.pair),
+      th as (select i / 20.0::double as a from (select unnest(range(1, 20)) as i)),
+      ln as (select label, a, t, s, count(*) as m, sum(x) as loc from m cross join th where x >= a - 1e-12 group by 1, 2, 3, 4),
+      sm as (select ln.label, a, sum(m) as hits, sum(loc) as loc, sum(m * m / cast(greatest(ct + cs - m, 1) as double)) as ass from ln join gl using (label, t, s) group by 1, 2),
+      tot as (select label, st, ss from (select label, sum(ct) as st from nt group by 1) join (select label, sum(cs) as ss from ns group by 1) using (label)),
+      e as (select tot.label, coalesce(hits, 0) as h, coalesce(loc, 0) as loc, coalesce(ass, 0) as ass, st, ss from tot cross join th left join sm on sm.label = tot.label and sm.a = th.a)
+    select label, round(avg(sqrt(h / greatest(st + ss - h, 1) * ass / greatest(h, 1))), 6) as hota, round(avg(h / greatest(st + ss - h, 1)), 6) as det_a, round(avg(ass / greatest(h, 1)), 6) as ass_a, round(avg(case when h > 0 then loc / h else 1 end), 6) as loc_a,
+      round(avg(h / greatest(st, 1)), 6) as det_re, round(avg(h / greatest(ss, 1)), 6) as det_pr from e group by label""")
 def hota(t: Tables):
-    near = _pairs(t).withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("d")))
-    return metrics.hota(near.withColumn("true_id", F.col("true_id") % 120).withColumn("said_id", F.col("said_id") % 120), "label", "frame", "true_id", "said_id", "similarity")
+    """HOTA of frames with several true and said objects."""
+    near = _pairs(t).withColumn("similarity", 1 - F.col("d") / 2)
+    h = metrics.hota(near.withColumn("true_id", F.col("true_id") % 120).withColumn("said_id", F.col("said_id") % 120), "label", "frame", "true_id", "said_id", "similarity")
+    return h.select("label", *[F.round(c, 6).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
 
 
 @query()
@@ -96,14 +168,43 @@ def stream_dedup(t: Tables):
     return events.table_of(events.deduplicated(s, ["event_id"])).select("event_id", "user_id", "event_type")
 
 
-@query()
+def _sizes(t: Tables, path: str):
+    return events.read_stream(t.spark, path, "documents", files_per_trigger=1_000_000).withColumn("one", F.lit(1))
+
+
+@query(_policy(_SIZES, "4", _GONE))
 def stream_pack(t: Tables):
-    s = events.read_stream(t.spark, f"{t.folder}/documents*", "documents")
-    return events.packed_table(s.withColumn("one", F.lit(1)), "doc_id", "n_chars", "one", (8192, 16))
+    return events.packed_table(_sizes(t, f"{t.folder}/documents*"), "doc_id", "n_chars", "one", LIMITS, buffer=6)
 
 
 @query("select doc_id as key, n_chars as a from documents")
 def stream_pack_rows(t: Tables):
     """Every row of the stream is in one bin, those that waited at its end included."""
-    s = events.read_stream(t.spark, f"{t.folder}/documents*", "documents")
-    return events.packed_table(s.withColumn("one", F.lit(1)), "doc_id", "n_chars", "one", (8192, 16)).select("key", "a")
+    return events.packed_table(_sizes(t, f"{t.folder}/documents*"), "doc_id", "n_chars", "one", (8192, 16)).select("key", "a")
+
+
+def _stopped_and_resumed(t: Tables):
+    """A stream of the first half of the ids, stopped; then one that begins again with all ids and
+    the same checkpoint: what each emitted, and the checkpoint."""
+    folder, marks = new_folder(t.spark, "waves"), new_folder(t.spark, "marks")
+    half, emitted = F.col("doc_id") <= (t.documents.agg(F.max("doc_id")).first()[0] or 0) // 2, []
+    for k, wave in enumerate((t.documents.where(half), t.documents)):
+        wave.write.parquet(f"{folder}/wave{k}")
+        emitted.append(events.table_of(events.packed(_sizes(t, f"{folder}/wave*"), "doc_id", "n_chars", "one", LIMITS, buffer=6, growing=True), checkpoint=marks))
+    return emitted, marks
+
+
+@query(_policy("with w as (select * from documents where doc_id <= (select max(doc_id) // 2 from documents) union all select * from documents) select doc_id as key, any_value(n_chars) as a, 1::bigint as b from w group by 1", "4", _GONE))
+def stream_pack_replayed(t: Tables):
+    """The packer is stopped half-way and begins again at the beginning of its input: rows that it
+    has seen are left out, and the bins are those of one pass."""
+    (one, two), marks = _stopped_and_resumed(t)
+    return one.unionByName(two).unionByName(events.drained(t.spark, marks, LIMITS, 6))
+
+
+@query(_policy(_SIZES, "4", "select r.shard, (select max(key) from e where e.shard = r.shard) as last, r.bins as bins, [h.key for h in r.held] as waiting from r join l on l.shard = r.shard and l.m = r.n"))
+def packer_state(t: Tables):
+    """What a checkpoint of the packer says: the last id, the bins so far, and the ids that wait."""
+    _, marks = _stopped_and_resumed(t)
+    held, bins, last = (events.state_of(t.spark, marks, n) for n in ("held", "bins", "last"))
+    return last.join(bins, "shard", "left").join(held, "shard", "left").select("shard", "last", F.coalesce("bins", F.lit(0)).alias("bins"), F.transform(F.coalesce("held", F.array()), lambda x: x["key"]).alias("waiting"))

@@ -179,11 +179,20 @@ def pack_arrays(t: Tables):
     return packing.concatenated(x, ["conv_id"], "ix", "tokens")
 
 
-@query("""with c as (select source, count(*) as n from documents group by source), o as (select source, n, sum(n) over (order by source) as cum, sum(n) over () as total, row_number() over (order by source) as k from c),
-      r as (select unnest(range(1, 5)) as r), e as (select r, case when r = 4 then (select count(*) from c) else coalesce(min(k) filter (cum >= total * r / 4.0 - 1e-9), 0) end as last from r cross join o group by r)
-    select r - 1 as rank, last - coalesce(lag(last) over (order by r), 0) as n_items from e""")
+@query("""with recursive x as (select conv_id, length(text) as n, row_number() over (partition by conv_id order by turn) as k from conversations),
+      c as (select *, sum(n) over (partition by conv_id order by k) as cum, sum(n) over (partition by conv_id) as total, count(*) over (partition by conv_id) as m from x),
+      g as (select conv_id, r, case when r = 4 then any_value(m) else min(k) filter (cum >= total * r / 4.0 - 1e-9) end as ends from c cross join (select unnest(range(1, 5)) as r) group by 1, 2),
+      n as (select conv_id, list(n order by r) as n from (select conv_id, r, ends - coalesce(lag(ends) over (partition by conv_id order by r), 0) as n from g) group by 1),
+      s as (select conv_id, 1 as k, n from n union all
+        select conv_id, k + 1, case when n[k] > 0 or donor is null then n else [n[i] + (i = k)::bigint - (i = donor)::bigint for i in range(1, 5)] end
+        from (select *, case when k < 4 and n[k + 1] > 1 then k + 1 else coalesce([d for d in range(k - 1, 0, -1) if n[d] > 1][1], [d for d in range(k + 1, 5) if n[d] > 1][1]) end as donor from s where k <= 4)),
+      e as (select conv_id, unnest(n) as n_items, unnest(range(4)) as rank from s where k = 5), f as (select *, sum(n_items) over (partition by conv_id order by rank) - n_items as first from e)
+    select f.conv_id, rank, cast(first as bigint) as first, n_items, cast(coalesce(sum(x.n), 0) as bigint) as n_counted from f left join x on x.conv_id = f.conv_id and x.k > first and x.k <= first + n_items group by 1, 2, 3, 4""")
 def balanced_split(t: Tables):
-    return packing.balanced_split(t.documents.groupBy("source").agg(F.count("*").alias("n")), "source", "n", 4)
+    """Turns of each conversation dealt to four ranks by their length; long turns leave ranks empty
+    that then take a turn from their neighbours."""
+    x = t.conversations.select("conv_id", "turn", F.char_length("text").alias("n"))
+    return packing.balanced_split(x, ["conv_id"], "turn", "n", 4)
 
 
 @query("""with x as (select user_id, event_type, event_id, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as p from events),
