@@ -6,8 +6,8 @@ vocabulary grows with the corpus, as the root of the number of its distinct word
 number of words with a context vector of their own. All other words share tails by their last
 two bytes: a tail is an entry of the vocabulary, and a word's part of it its smoothed count.
 
-Training is spread over the tasks that hold the text: each runs over its share of the training
-documents (one in SHARE, by a hash of the text, another in each of ROUNDS rounds) with
+Training is spread over the tasks that hold the text: each runs over its training documents (all
+are learnt from once, by a hash of the text in one of ROUNDS rounds, whatever the size) with
 mini-batches, in which each true word is told from noise words drawn by frequency. After a
 round the tasks' vectors are averaged, each row by how often a task met it. So what is learnt
 from grows in proportion to the corpus, and what is gathered are the rows that tasks have met.
@@ -42,10 +42,10 @@ from .common import frugal, materialize, prepare, text_groups, texts_of
 from .suffix import _dump, _load
 
 HEAD, DIM = 100_000, 32
-#: Documents for one that is learnt from in a round, rounds, mini-batches that a task runs at least
-#: (over its text again if it has less), tokens of a mini-batch, its noise words, and for how many
-#: noise words a token these stand.
-SHARE, ROUNDS, LEAST_STEPS, BATCH, NOISE, ODDS = 12, 2, 60, 1024, 512, 20
+#: Rounds (each learns from as large a part of the training text, together from all of it), mini-batches
+#: that a task runs at least (over its text again if it has less), tokens of a mini-batch, its noise
+#: words, and for how many noise words a token these stand.
+ROUNDS, LEAST_STEPS, BATCH, NOISE, ODDS = 2, 60, 1024, 192, 20
 #: The end of a text as a token; no word holds white space.
 END = "\n"
 
@@ -180,7 +180,7 @@ class Learner:
 
     def _move(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
         """One step of the rows, which may repeat, against their gradients."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if len(self.met[name]) <= 1 << 16 else rows, kind="stable")  # of 16 bits by radix
         r = rows[order]
         edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         own, g = r[edge], np.add.reduceat(grad[order], edge, axis=0)
@@ -323,11 +323,9 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
 
 
 def learn_round(known: DataFrame, m: Model, k: int, rate: float) -> None:
-    """One round over another share of the training texts; the model takes the averages."""
+    """One round over another part of the training texts; the model takes the averages."""
     shared = known.sparkSession.sparkContext.broadcast(m)
-    # of few texts all are taken: the share holds only where it leaves many
-    part = SHARE if m.total > 100_000 * SHARE else 1
-    mine = known.where(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(part)) == k % part)
+    mine = known.where(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(ROUNDS)) == k)
     learnt = mine.mapInArrow(_learn(shared, k, rate), "name string, chunk int, salt int, blob binary")
     kind = "name string, chunk int, blob binary"
     first = learnt.groupBy("name", "chunk", "salt").applyInArrow(lambda key, g: _merge(key, g), kind)
