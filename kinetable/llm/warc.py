@@ -33,6 +33,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -83,12 +84,15 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> str:
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     own = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     uri = F.coalesce(F.regexp_replace(F.col("url"), "[\\x00-\\x20\\x7F]", "%20"), F.concat(F.lit("urn:page:"), own))
+    # without a zone, so that the session's has no say
+    begin = F.lit(datetime.fromtimestamp(EPOCH, UTC).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    moment = F.timestamp_add("SECOND", F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SECONDS)), begin)
     record = F.concat(
         _head([
             F.lit("WARC/1.1"),
             F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
             F.concat(F.lit("WARC-Record-ID: <urn:page:"), own, F.lit(">")),
-            F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+            F.concat(F.lit("WARC-Date: "), F.translate(moment.cast("string"), " ", "T"), F.lit("Z")),
             F.concat(F.lit("WARC-Target-URI: "), uri),
             F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
             F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first"), F.lit(">"))),

@@ -296,6 +296,18 @@ def test_huge_ids_and_long_pages(spark):
     assert out["captured_at"].map(len).eq(20).all() and out.sort_values("position")["captured_at"].is_monotonic_increasing
 
 
+def test_capture_times_are_those_of_any_session(spark):
+    pages = spark.createDataFrame([(0, "http://a.example/", "x"), (5_972_400, "http://a.example/", "y")], "page_id long, url string, html string")
+    seen = set()
+    for zone in ("America/New_York", "Asia/Kolkata", "UTC"):  # page 5972400 is dated within an hour that New York skips
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            seen.add(tuple(warc.capture_history(pages).toPandas().sort_values("page_id")["captured_at"]))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen == {("2024-01-01T00:00:00Z", "2024-03-10T03:00:00Z")}
+
+
 def test_merge_is_external(monkeypatch, tmp_path):
     r, schema = random.Random(9), warc.arrow_schema("url_key string, captured_at string, page_id long")
     monkeypatch.setattr(warc, "BATCH", 7)
