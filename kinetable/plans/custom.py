@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import assignment, metrics, packing
+from ..operators import assignment, clusters, metrics, packing
+from ..sources.files import write_files
 from ..storage import new_folder
-from ..streaming import events
+from ..streaming import events, polling
 from .registry import Tables, query
 
 
@@ -147,13 +148,31 @@ def hota(t: Tables):
     return h.select("label", *[F.round(c, 6).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
 
 
-@query()
+def _clusters(k: int, rounds: int, passes: int, share: float) -> str:
+    """The same steps of k-means as tables, each made of the one before."""
+    u = lambda r: f"((('0x' || substr(sha256(cast(id as varchar) || ':{r}'), 1, 8))::bigint) + 0.5) / 4294967296.0"
+    near = lambda points, centres: f"select p.id, arg_min(c.o, [list_distance(p.v, c.v), c.o::double]) as o, min(list_distance(p.v, c.v)) as d from {points} p cross join {centres} c group by p.id"
+    ctes = ["p as materialized (select vec_id as id, cast(embedding as double[]) as v from embeddings)", f"s0 as materialized (select 0::bigint as o, v from (select v, row_number() over (order by {u(0)}, id) as n from p) where n = 1)"]
+    for r in range(1, rounds + 1):
+        ctes += [f"n{r} as materialized ({near('p', f's{r - 1}')})",
+            f"s{r} as materialized (select * from s{r - 1} union all select (select count(*) from s{r - 1}) + row_number() over (order by id) - 1, v from p join n{r} using (id) where {u(r)} < {share} / (select sum(d * d) from n{r}) * d * d)"]
+    ctes += [f"w as materialized ({near('p', f's{rounds}')})", f"c0 as materialized (select row_number() over (order by n desc, o) - 1 as o, v from (select s.o, s.v, count(w.id) as n from s{rounds} s left join w using (o) group by all) qualify row_number() over (order by n desc, o) <= {k})"]
+    for i in range(passes):
+        ctes += [f"a{i} as materialized ({near('p', f'c{i}')})",
+            f"m{i} as materialized (select o, list(m order by k) as v from (select o, k, avg(x) as m from (select a{i}.o, unnest(p.v) as x, unnest(range(len(p.v))) as k from a{i} join p using (id)) group by 1, 2) group by 1)",
+            f"c{i + 1} as materialized (select c{i}.o, coalesce(m{i}.v, c{i}.v) as v from c{i} left join m{i} using (o))"]
+    ctes += [f"f as materialized ({near('p', f'c{passes}')})", "g as (select o, count(*) as n, arg_min(id, [d, id::double]) as point_id from f group by 1)"]
+    return f"with {', '.join(ctes)} select g.o as cluster, n, point_id, axis, round(x, 5) as centre from (select o, unnest(v) as x, unnest(range(len(v))) as axis from c{passes}) join g using (o)"
+
+
+@query(_clusters(100, 3, 5, 200.0))
 def kmeans_points(t: Tables):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    x = t.embeddings.select("vec_id", array_to_vector("embedding").alias("features"))
-    return KMeans(k=8, seed=0, maxIter=10).fit(x).transform(x).groupBy("prediction").agg(F.count("*").alias("n"))
+    """A hundred clusters of the vectors: centres, sizes and the vector nearest to each centre."""
+    centres, points = clusters.kmeans(t.embeddings, "vec_id", "embedding", 100, passes=5, rounds=3)
+    rows = [(k, axis, float(x)) for k, c in enumerate(centres) for axis, x in enumerate(c)]  # a hundred times the vector's length
+    own = t.spark.createDataFrame(rows, "cluster long, axis long, centre double")
+    near = clusters.representatives(points).withColumnRenamed("id", "point_id")
+    return own.join(near, "cluster").select("cluster", "n", "point_id", "axis", F.round("centre", 5).alias("centre"))
 
 
 @query("""select time_bucket(interval '1 hour', ts) as "start", event_type, count(*) as n from events group by 1, 2""")
@@ -208,3 +227,22 @@ def packer_state(t: Tables):
     _, marks = _stopped_and_resumed(t)
     held, bins, last = (events.state_of(t.spark, marks, n) for n in ("held", "bins", "last"))
     return last.join(bins, "shard", "left").join(held, "shard", "left").select("shard", "last", F.coalesce("bins", F.lit(0)).alias("bins"), F.transform(F.coalesce("held", F.array()), lambda x: x["key"]).alias("waiting"))
+
+
+@query("select 'n' || cast(s_nationkey as varchar) as unit, count(*) as n_files, cast(sum(strlen(s_name)) as bigint) as bytes from supplier group by 1")
+def polled_folder(t: Tables):
+    """A file for each supplier, in a folder of its nation; nations arrive in two waves, the second
+    while the first is taken up. Folders come out once they have been left alone."""
+    folder, log, marks = (new_folder(t.spark, n) for n in ("inbox", "log", "marks"))
+    files = t.supplier.select(F.format_string("n%d/s%d.txt", "s_nationkey", "s_suppkey").alias("path"), F.col("s_name").cast("binary").alias("content"), (F.col("s_nationkey") % 2).alias("wave"), "s_nationkey")
+    write_files(files.where("wave = 0"), folder)
+    query, wanted = polling.poll(t.spark, folder, log, marks, 1500, pattern="*.txt", depth=1), 0
+    try:
+        for wave in (0, 1):
+            if wave:
+                write_files(files.where("wave = 1"), folder)
+            wanted += files.where(F.col("wave") == wave).select("s_nationkey").distinct().count()
+            polling.wait(query, log, wanted)
+    finally:
+        polling.stop(query)
+    return polling.done(t.spark, log).select("unit", "n_files", "bytes")

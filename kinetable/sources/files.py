@@ -6,7 +6,6 @@ ranges, marks) goes through Hadoop's file systems, so every store that Spark kno
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,26 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .stores import inside, put, store
+
 
 class Done(WriterCommitMessage):
     pass
 
 
 class BlobWriter(DataSourceWriter):
-    """Writes each row (path, content) as a file below the folder, beside its place first and
-    then moved there, so that a file is whole or not there and a task may run again."""
+    """Writes each row (path, content) as a file below the folder, in whatever store it is: beside
+    its place first and then moved there, so that a file is whole or not there and a task may run
+    again."""
 
     def __init__(self, options: dict):
-        self.root = options["path"].removeprefix("file://").removeprefix("file:")
+        self.root = options["path"]
+        store(self.root)  # an unknown store is an error before any row is made
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         for r in rows:
-            target = os.path.join(self.root, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(r["content"]))
-            os.replace(part, target)
+            put(inside(self.root, r["path"]), bytes(r["content"]))
         return Done()
 
 
@@ -104,15 +102,23 @@ def byte_range(spark: SparkSession, path: str, begin: int, n: int) -> bytes:
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """One JSON file, written beside its place and then renamed."""
+    """One JSON file, written beside its place and then renamed over what was there, so that a reader
+    sees the old file or the new one."""
     fs, p = _place(spark, path)
     _, part = _place(spark, path + ".part")
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"{path} can't be written")
+    # a rename that takes the old file's place: local ones do, others are asked to
+    jvm = spark.sparkContext._jvm
+    if fs.getUri().getScheme() == "file":
+        if not fs.rename(part, p):
+            raise OSError(f"{path} can't be written")
+        return
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(part), fs.makeQualified(p), kinds)
 
 
 def write_summary(spark: SparkSession, folder: str, summary: dict, complete: bool) -> None:
