@@ -105,16 +105,16 @@ def write_json(spark: SparkSession, path: str, value) -> None:
     """One JSON file, written beside its place and then renamed over what was there, so that a reader
     sees the old file or the new one."""
     fs, p = _place(spark, path)
+    content = json.dumps(value, sort_keys=True).encode()
+    if fs.getUri().getScheme() == "file":
+        fs.delete(fs.getChecksumFile(p), False)  # of an older writer
+        put(fs.makeQualified(p).toUri().getPath(), content)
+        return
     _, part = _place(spark, path + ".part")
     out = fs.create(part, True)
-    out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    out.write(bytearray(content))
     out.close()
-    # a rename that takes the old file's place: local ones do, others are asked to
     jvm = spark.sparkContext._jvm
-    if fs.getUri().getScheme() == "file":
-        if not fs.rename(part, p):
-            raise OSError(f"{path} can't be written")
-        return
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
     kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
