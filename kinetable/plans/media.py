@@ -1,12 +1,20 @@
-"""Queries on video files: tables of frames, plans of seeks, cuts without encoding."""
+"""Queries on video files (tables of frames, plans of seeks, cuts without encoding) and on depth and
+texts in EXR and HDF5 files. Files are made from the tables, a task a file, and read again."""
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins
-from ..sources import video
+from ..sources import exr, hdf5, video
+from ..sources.files import write_files
 from ..storage import new_folder
 from .registry import Tables, query
 
@@ -69,3 +77,64 @@ def video_trims(t: Tables):
     name = F.format_string("u%d.mp4", "user_id")
     cut = video.trim_videos(t.spark, folder, n.select(name.alias("file"), F.lit(2).alias("first"), (F.col("count") - 3).alias("last"), name.alias("path")), new_folder(t.spark, "trims"))
     return video.read_videos(t.spark, cut).select("file", "frame", F.round("begin", 6).alias("begin"), F.round("end", 6).alias("end"), "size")
+
+
+@query("""select 'label' || cast(label as varchar) || '.zip' as file, vec_id as frame, 8 as height, 8 as width, round(list_sum([x::double for x in embedding]), 4) as total, round(embedding[9]::double, 6) as second_line from embeddings where vec_id % 3 = 0""")
+def exr_depth(t: Tables):
+    """Depth pictures in archives, one for each label: wanted frames alone, others aren't read."""
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i, e in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                d = np.asarray(e, np.float32).reshape(8, 8)
+                z.writestr(f"{i:05d}.exr", exr.encode({"Z": d, "A": d.astype(np.float16), "id": np.full((8, 8), i, np.uint32)}, int(i) % 2 + 2))
+        return pd.DataFrame({"path": [f"label{key[0]}.zip"], "content": [out.getvalue()]})
+
+    folder = new_folder(t.spark, "exr")
+    write_files(t.embeddings.select("label", "vec_id", "embedding").groupBy("label").applyInPandas(build, "path string, content binary"), folder)
+    wanted = t.embeddings.where("vec_id % 3 = 0").select(F.format_string("label%d.zip", "label").alias("file"), F.explode(F.array("vec_id", F.col("vec_id") + 40_000_000)).alias("frame"))
+    d = exr.read_depth(t.spark, folder, wanted)
+    total = F.aggregate("depth", F.lit(0.0), lambda a, x: a + x)
+    return d.select("file", "frame", "height", "width", F.round(total, 4).alias("total"), F.round(F.get("depth", F.lit(8)).cast("double"), 6).alias("second_line"))
+
+
+@query("""with r as (select label, vec_id, embedding, vec_id % 2 as cam, row_number() over (partition by label, vec_id % 2 order by vec_id) - 1 as row from embeddings)
+    select 'ep' || cast(label as varchar) || '.h5' as file, 'cam' || cast(cam as varchar) || '+ext/depth' as key, row, 8 as height, 8 as width, cast(list_sum([round(abs(x::double) * 1000)::bigint for x in embedding]) as bigint) as mm from r where row % 4 <> 1""")
+def hdf5_depth(t: Tables):
+    """Depth in millimetres from chunked arrays of HDF5 files, wanted rows alone, as metres."""
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w, cams = hdf5.Writer(), {}
+        for cam, g in pdf.sort_values("vec_id").groupby("cam"):
+            mm = np.round(np.abs(np.stack(g["embedding"].to_numpy()).astype(float)) * 1000).astype(np.uint16).reshape(-1, 8, 8)
+            cams[f"cam{cam}+ext"] = w.group({"depth": w.array(mm, (3, 5, 8), bool(cam))})
+        return pd.DataFrame({"path": [f"ep{key[0]}.h5"], "content": [w.finish(w.group(cams))]})
+
+    folder = new_folder(t.spark, "hdf5")
+    e = t.embeddings.select("label", "vec_id", "embedding", (F.col("vec_id") % 2).alias("cam"))
+    write_files(e.groupBy("label").applyInPandas(build, "path string, content binary"), folder)
+    row = F.row_number().over(Window.partitionBy("label", "cam").orderBy("vec_id")) - 1
+    wanted = e.select(F.format_string("ep%d.h5", "label").alias("file"), F.format_string("cam%d+ext/depth", "cam").alias("key"), row.cast("long").alias("row"), F.lit(1000.0).alias("unit")).where("row % 4 <> 1")
+    d = hdf5.read_depth(t.spark, folder, wanted.unionByName(wanted.withColumn("key", F.lit("no/depth"))))
+    return d.select("file", "key", "row", "height", "width", F.round(F.aggregate("depth", F.lit(0.0), lambda a, x: a + F.round(x.cast("double") * 1000))).cast("long").alias("mm"))
+
+
+@query("""select 'part' || cast(conv_id % 10 as varchar) || '.h5' as file, 'traj_' || cast(conv_id as varchar) as name, role as object, text as said from conversations where turn = 0 and conv_id % 7 <> 0""")
+def hdf5_scenes(t: Tables):
+    """JSON texts in groups of HDF5 files; groups without one, or with a broken one, are left out."""
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w, groups = hdf5.Writer(), {}
+        for i, role, said in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
+            scene = json.dumps({"object": role, "said": said}, ensure_ascii=bool(i % 2))
+            other = {"none": w.text("x")} if i % 14 == 0 else {"obs_scene": w.text("{broken")}
+            groups[f"traj_{i}"] = w.group({"obs_scene": w.text(scene)} if i % 7 else other)
+        groups["other"] = w.group({})
+        return pd.DataFrame({"path": [f"part{key[0]}.h5"], "content": [w.finish(w.group(groups))]})
+
+    folder = new_folder(t.spark, "scenes")
+    c = t.conversations.where("turn = 0").withColumn("part", F.col("conv_id") % 10)
+    write_files(c.groupBy("part").applyInPandas(build, "path string, content binary"), folder)
+    x = hdf5.read_texts(t.spark, folder, "traj_", "obs_scene").withColumn("j", F.from_json("text", "object string, said string"))
+    return x.where("j.object is not null").select("file", "name", F.col("j.object").alias("object"), F.col("j.said").alias("said"))
