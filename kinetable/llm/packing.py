@@ -18,6 +18,7 @@ length is cut as often as it needs. Further columns are not read.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ class Packer:
         if self.limits.min() < 1:
             raise ValueError("limits must be positive")
         self.window = window
-        self.items: list[list] = []  # document, start, end, prompt
+        self.waiting: dict[tuple[int, int], deque] = {}  # (ids, ids with loss) to document, start, end, prompt
         self.total = 0
         self.sequence = 0
         self.out: list[tuple] = []
@@ -55,7 +56,7 @@ class Packer:
             self._emit([(doc, start, start + most, prompt)])
             start += most
         if n > start:
-            self.items.append([doc, start, n, prompt])
+            self._wait(doc, start, n, prompt)
             self.total += n - start
         if self.total >= self.window * most:
             self._fill(self.window * most // 4)
@@ -79,48 +80,61 @@ class Packer:
             offset += end - start
         self.sequence += 1
 
-    def _sizes(self) -> np.ndarray:
-        a = np.array([x[1:] for x in self.items], np.int64).reshape(-1, 3)
-        n = a[:, 1] - a[:, 0]
-        return np.stack([n, np.ones_like(n), n - np.clip(np.minimum(a[:, 1], a[:, 2]) - a[:, 0], 0, None)], 1)
+    def _wait(self, doc, start: int, end: int, prompt: int, first: bool = False) -> tuple[int, int]:
+        key = end - start, end - start - self._bare(start, end, prompt)
+        queue = self.waiting.setdefault(key, deque())
+        queue.appendleft((doc, start, end, prompt)) if first else queue.append((doc, start, end, prompt))
+        return key
+
+    def documents(self) -> set:
+        """Those with pieces that wait."""
+        return {x[0] for queue in self.waiting.values() for x in queue}
 
     def _fill(self, keep: int) -> None:
         """Close sequences while more than ``keep`` ids wait."""
-        sizes, alive = self._sizes(), np.ones(len(self.items), bool)
-        unit = sizes / self.limits
+        keys = list(self.waiting)
+        at = {k: i for i, k in enumerate(keys)}
+        sizes = np.array([(n, 1, loss) for n, loss in keys], np.int64).reshape(-1, 3)
+        alive, unit = np.ones(len(keys), bool), sizes / self.limits
         while self.total > keep:
             free, chosen = self.limits.copy(), []
             while free[0] and free[1] and alive.any():
                 fit = alive & (sizes <= free).all(1) if free[1] > 1 else alive & (sizes[:, 0] == free[0]) & (sizes[:, 2] <= free[2])
                 if fit.any():
                     i = int(np.argmax(np.where(fit, unit @ (free / self.limits), -1.0)))
-                    end = self.items[i][2]
+                    take = keys[i][0]
                 else:
-                    i, end = self._cut(free, sizes, alive)
+                    i, take = self._cut(free, sizes, alive)
                     if i < 0:
                         break
-                doc, start, whole, prompt = self.items[i]
+                doc, start, whole, prompt = self.waiting[keys[i]].popleft()
+                end = start + take
                 chosen.append((doc, start, end, prompt))
-                free -= (end - start, 1, end - start - self._bare(start, end, prompt))
-                self.total -= end - start
-                if end == whole:
-                    alive[i] = False
-                else:
-                    self.items[i][1] = end
-                    sizes[i] = whole - end, 1, whole - end - self._bare(end, whole, prompt)
-                    unit[i] = sizes[i] / self.limits
+                free -= (take, 1, take - self._bare(start, end, prompt))
+                self.total -= take
+                alive[i] = bool(self.waiting[keys[i]])
+                if end < whole:
+                    key = self._wait(doc, end, whole, prompt, True)
+                    if key not in at:
+                        at[key] = len(keys)
+                        keys.append(key)
+                        sizes = np.vstack([sizes, (key[0], 1, key[1])])
+                        unit, alive = np.vstack([unit, sizes[-1] / self.limits]), np.r_[alive, True]
+                    alive[at[key]] = True
             if free[0]:  # segments or loss are used up, or nothing is left
                 self._tail(chosen)
             else:
                 self._emit(chosen)
-        self.items = [x for x, a in zip(self.items, alive, strict=True) if a]
+        self.waiting = {k: q for k, q in self.waiting.items() if q}
 
-    def _cut(self, free: np.ndarray, sizes: np.ndarray, alive: np.ndarray) -> tuple[int, int]:
-        """The piece that fills most of the gap when cut, and where to cut it."""
+    @staticmethod
+    def _cut(free: np.ndarray, sizes: np.ndarray, alive: np.ndarray) -> tuple[int, int]:
+        """The pieces that fill most of the gap when cut, and how many ids to take. Ids without loss
+        come first in a piece."""
         bare = sizes[:, 0] - sizes[:, 2]
         take = np.where(alive, np.minimum(np.minimum(sizes[:, 0], free[0]), bare + free[2]), 0)
         i = int(np.argmax(take))
-        return (i, self.items[i][1] + int(take[i])) if take[i] > 0 else (-1, 0)
+        return (i, int(take[i])) if take[i] > 0 else (-1, 0)
 
     def _tail(self, chosen: list[tuple]) -> None:
         """A partly filled sequence as sequences of powers of two; each obeys all limits, as the
@@ -160,7 +174,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = 4096, segmen
                 [pa.array([held[k][0] for k, *_ in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(ids, pa.binary()), pa.array([len(held[k][1]) // 4 for k, *_ in rows], pa.int64()), pa.array([base + r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.int64())],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"],
             )
-            waiting = {x[0] for x in p.items}
+            waiting = p.documents()
             for k in [k for k in held if k not in waiting]:
                 del held[k]
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -119,6 +120,19 @@ def test_limits_hold_and_every_id_is_in_one_piece(segments, loss):
 
 
 @pytest.mark.parametrize("n", [1, 3, 5, 10, 20, 40])
+def test_many_short_documents_take_time_in_proportion():
+    for size in (3, 20):
+        p, begin = packing.Packer(4096, 64), time.perf_counter()
+        for i in range(40_000):
+            p.add(i, size)
+        p.finish()
+        out, filled = p.pieces(), Counter()
+        for x in out:
+            filled[x[3]] += x[2]
+        assert sum(x[2] for x in out) == 40_000 * size and all(n & (n - 1) == 0 for n in filled.values())
+        assert time.perf_counter() - begin < 12  # all waiting pieces looked at each time: 65 s
+
+
 def test_short_documents_leave_no_padding(n):
     p, sizes = packing.Packer(4096, 64), {}
     for k in range(20_000):
