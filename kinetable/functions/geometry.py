@@ -192,9 +192,14 @@ def to_480p(x: Column, y: Column, width: Column, height: Column) -> tuple[Column
     return F.rint(x * new / width).cast("long"), F.rint(y * 480.0 / height).cast("long"), new
 
 
+def warped(x: Column, y: Column, f: float, cx: float, cy: float, k: list[float]) -> tuple[Column, Column]:
+    """A pixel of a plain picture through the pinhole to a ray, and through the fisheye to a pixel;
+    both cameras share f, cx and cy."""
+    return fisheye([(x - cx) / f, (y - cy) / f, F.lit(1.0)], f, cx, cy, k)
+
+
 def warp_map(spark, width: int, height: int, f: float, cx: float, cy: float, k: list[float]):
-    """(x, y, map_x, map_y): each pixel of a plain picture through the pinhole to a ray, and through
-    the fisheye to a pixel; both cameras share f, cx and cy."""
+    """(x, y, map_x, map_y) of each pixel of a plain picture."""
     p = spark.range(width * height).select((F.col("id") % width).alias("x"), F.floor(F.col("id") / width).cast("long").alias("y"))
-    u, v = fisheye([(F.col("x") - cx) / f, (F.col("y") - cy) / f, F.lit(1.0)], f, cx, cy, k)
+    u, v = warped(F.col("x"), F.col("y"), f, cx, cy, k)
     return p.select("x", "y", u.alias("map_x"), v.alias("map_y"))

@@ -165,3 +165,11 @@ def subtitle_block(lines: Column, most: int) -> Column:
     ends = F.transform(text, lambda s, i: F.aggregate(F.slice(text, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x) + 1))
     kept = F.filter(text, lambda s, i: F.get(ends, i) <= most)
     return F.when(F.size(kept) > 0, F.concat(F.lit("Subtitles:\n"), F.array_join(kept, "\n"))).otherwise("")
+
+
+def checkpoint_name(path: Column) -> tuple[Column, Column]:
+    """Step and whether it is in one piece, from the name of a checkpoint's folder; other names
+    have no step."""
+    pattern = "/step([0-9]+)(-unsharded)?"
+    found = F.regexp_extract(path, pattern, 1)
+    return F.when(found != "", found.cast("long")), F.regexp_extract(path, pattern, 2) != ""

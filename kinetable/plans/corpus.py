@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import joins, metrics, packing, sampling, sequences
-from .registry import ORACLES, Tables, query
+from .registry import Tables, query
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size <= 10)")
@@ -138,7 +138,6 @@ def pad_collate(t: Tables):
     return t.embeddings.select("vec_id", packing.pad(x, 80, -1.0).alias("padded"), packing.pad(x, 16, -1.0).alias("cut"))
 
 
-query(ORACLES["pad_collate"], name="pad_collate_whole")(pad_collate)
 
 
 @query("""with x as (select doc_id, source, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as a from documents)
@@ -152,6 +151,18 @@ def zigzag_shard(t: Tables):
     return t.documents.select("doc_id", packing.zigzag_chunk(F.col("n_chars") % 64, 64, 4).alias("rank"))
 
 
+@query("""with n as (select o_custkey, case o_orderkey % 3 when 0 then 'run/step' || cast(o_orderkey as varchar) when 1 then 'run/step' || cast(o_orderkey - 1 as varchar) || '-unsharded' else 'run/latest' end as path, case o_orderkey % 3 when 1 then o_orderkey - 1 when 0 then o_orderkey end as step, o_orderkey % 3 = 1 as whole from orders)
+    select o_custkey, arg_max(path, struct_pack(s := step, w := not whole)) as sharded, arg_max(path, struct_pack(s := step, w := whole)) as unsharded, max(step) as step from n where step is not null group by 1""")
+def selected_checkpoint(t: Tables):
+    """Of folders' names the one of the latest step; of equal steps the kind that is preferred."""
+    k = F.col("o_orderkey")
+    path = F.when(k % 3 == 0, F.concat(F.lit("run/step"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("run/step"), (k - 1).cast("string"), F.lit("-unsharded"))).otherwise("run/latest")
+    step, whole = text.checkpoint_name(F.col("path"))
+    n = t.orders.select("o_custkey", path.alias("path")).withColumns({"step": step, "whole": whole}).where("step is not null")
+    best = lambda w: F.max_by("path", F.struct("step", w.alias("w")))
+    return n.groupBy("o_custkey").agg(best(~F.col("whole")).alias("sharded"), best(F.col("whole")).alias("unsharded"), F.max("step").alias("step"))
+
+
 @query("select o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as latest from orders group by o_custkey")
 def latest_step(t: Tables):
     return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
@@ -174,10 +185,15 @@ def threshold_with_fallback(t: Tables):
     return c.withColumn("top", F.max("n").over(Window.partitionBy("source"))).where("n >= 10 or top < 10").select("source", "lang", "n")
 
 
-@query("""select conv_id, role from (select conv_id, role, row_number() over (partition by conv_id order by count(*) desc, role) as n from conversations group by 1, 2) where n = 1""")
+@query("""with c as (select conv_id, role, count(*) as n from conversations group by 1, 2), m as (select conv_id, list(role order by role) as ties from c where n = (select max(n) from c as o where o.conv_id = c.conv_id) group by 1),
+      a as (select conv_id, min(role) as least_role from c group by 1)
+    select conv_id, ties[cast(floor(((conv_id + 5) % 2147483648) * 2654435761 % 4294967296 / 4294967296.0 * len(ties)) as bigint) + 1] as role, least_role from m join a using (conv_id)""")
 def mode_answer(t: Tables):
-    c = t.conversations.groupBy("conv_id", "role").agg(F.count("*").alias("n"))
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("n"), "role"))).where("r = 1").select("conv_id", "role")
+    """The most frequent answer, drawn from those that are as frequent, and the first by name."""
+    c = metrics.extremes(t.conversations, "conv_id", "role").groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("ties"))
+    nth = F.floor(sampling.uniform(F.col("conv_id"), 5) * F.size("ties")).cast("int")
+    least = t.conversations.groupBy("conv_id").agg(F.min("role").alias("least_role"))
+    return c.join(least, "conv_id").select("conv_id", F.get("ties", nth).alias("role"), "least_role")
 
 
 @query("""select o_orderkey, least(cast(5 as bigint), coalesce(count(l_linenumber), 0)) as valid_length from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey""")
@@ -252,7 +268,6 @@ def object_list(t: Tables):
     return t.documents.select("doc_id", text.object_list(F.col("text")).alias("objects"))
 
 
-query(ORACLES["object_list"], name="object_list_whole")(object_list)
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")

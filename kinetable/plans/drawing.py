@@ -47,19 +47,27 @@ def permuted_shards(t: Tables):
     return e.select("doc_id", (F.col("place") % 4).alias("shard"), rank.alias("rank"), worker.alias("worker"))
 
 
-@query("""with d as (select i as position, ((i + 9) % 2147483648) * 2654435761 % 4294967296 / 4294967296.0 * 4.0 as u from (select unnest(range(2000)) as i)),
-      s as (select position, case when u < 1.0 then 'de' when u < 3.0 then 'en' when u < 3.5 then 'es' else 'fr' end as source from d)
+def _rates(t: Tables) -> dict[str, float]:
+    """A rate for each language, as many as there are."""
+    return {r["lang"]: float(r["n"]) for r in t.documents.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+
+
+_RATES = "c as (select lang as source, count(*) as n from documents where lang is not null group by 1), e as (select source, n, sum(n) over (order by source) as run, sum(n) over () as total from c)"
+
+
+@query(f"""with {_RATES}, d as (select i as position, ((i + 9) % 2147483648) * 2654435761 % 4294967296 / 4294967296.0 as u from (select unnest(range((select count(*) from documents))) as i)),
+      s as (select position, arg_min(source, run) as source from d join e on u * total < run group by 1)
     select position, source, row_number() over (partition by source order by position) - 1 as nth from s""")
 def multinomial_schedule(t: Tables):
-    return schedule.multinomial_draws(t.spark, {"en": 2.0, "de": 1.0, "es": 0.5, "fr": 0.5}, 2000, 9)
+    """As many draws as there are documents, of a language with its share of them."""
+    return schedule.multinomial_draws(t.spark, _rates(t), t.documents.count(), 9)
 
 
-@query("""with s as (select * from (values ('de', 0.25::double), ('en', 0.5::double), ('fr', 0.25::double)) as x(source, rate)),
-      d as (select source, k as nth, (k + 0.5) / rate as due from s cross join (select unnest(range(600)) as k)),
-      r as (select source, nth, row_number() over (order by due, source) - 1 as position from d)
-    select position, source, nth from r where position < 1000""")
+@query(f"""with {_RATES}, s as (select source, n / total::double as rate from e), d as (select source, rate, unnest(range(cast(ceil((select count(*) from documents) * rate) as bigint) + 1)) as nth from s),
+      r as (select source, nth, row_number() over (order by (nth + 0.5::double) / rate, source) - 1 as position from d)
+    select position, source, nth from r where position < (select count(*) from documents)""")
 def stratified_schedule(t: Tables):
-    return schedule.stratified_draws(t.spark, {"en": 2.0, "de": 1.0, "fr": 1.0}, 1000)
+    return schedule.stratified_draws(t.spark, _rates(t), t.documents.count())
 
 
 @query("""with c as (select user_id, event_type, count(*) as n from events group by 1, 2),

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins
-from ..sources import exr, hdf5, video
+from ..sources import exr, hdf5, pictures, video
 from ..sources.files import write_files
 from ..storage import new_folder
 from .registry import Tables, query
@@ -138,3 +138,27 @@ def hdf5_scenes(t: Tables):
     write_files(c.groupBy("part").applyInPandas(build, "path string, content binary"), folder)
     x = hdf5.read_texts(t.spark, folder, "traj_", "obs_scene").withColumn("j", F.from_json("text", "object string, said string"))
     return x.where("j.object is not null").select("file", "name", F.col("j.object").alias("object"), F.col("j.said").alias("said"))
+
+
+@query("""with p as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as f, (event_id * 13) % 50 - 5 as x, (event_id * 29) % 40 - 4 as y from events), q as (select * from p where f < 6),
+      l as (select user_id, f, x, y, lead(x) over w as x2, lead(y) over w as y2 from q window w as (partition by user_id order by f)), m as (select *, greatest(abs(x2 - x), abs(y2 - y)) as n from l where x2 is not null),
+      s as (select user_id, cast(floor(x + (x2 - x) * k / greatest(n, 1)::double + 0.5) as bigint) as px, cast(floor(y + (y2 - y) * k / greatest(n, 1)::double + 0.5) as bigint) as py from (select *, unnest(range(n + 1)) as k from m)),
+      o as (select user_id, x as px, y as py from q where f = 0 and user_id not in (select user_id from m)),
+      d as (select user_id, x + i as px, y + j as py from q cross join (select unnest(range(-2, 3)) as i) cross join (select unnest(range(-2, 3)) as j) where f > 0 and i * i + j * j <= 4 and x between 0 and 39 and y between 0 and 29),
+      a as (select distinct user_id, px, py from (select * from s union all select * from o union all select * from d) where px between 0 and 39 and py between 0 and 29)
+    select u.user_id, count(px) as lit, cast(coalesce(sum(py * 40 + px), 0) as bigint) as places, cast(count(px) * 230 + (1200 - count(px)) * 9 as bigint) as red from (select distinct user_id from events) u left join a using (user_id) group by 1""")
+def overlaid_pictures(t: Tables):
+    """A line through each user's first six points, with dots, drawn into a dark picture that is
+    written as a colour PNG and read again: which pixels are lit, and the sum of their red."""
+    f = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = t.events.select("user_id", f.alias("f"), (F.col("event_id") * 13 % 50 - 5).alias("x"), (F.col("event_id") * 29 % 40 - 4).alias("y")).where("f < 6")
+    points = F.array_sort(F.collect_list(F.struct("f", "x", "y")))
+    rows = e.groupBy("user_id").agg(points.alias("p")).select("user_id", F.array(F.flatten(F.transform("p", lambda v: F.array(v["x"].cast("double"), v["y"].cast("double"))))).alias("lines"), F.array_repeat(F.lit(9), 40 * 30 * 3).alias("dark"))
+    drawn = pictures.overlay(rows, "user_id", "dark", 40, "lines", thick=1, dot=2)
+    folder = pictures.write_pictures(drawn.withColumn("name", F.format_string("u%d.png", "user_id")), new_folder(t.spark, "drawn"), "name", "pixels", 40, 3)
+    back = pictures.read_pictures(t.spark, folder)
+    red = F.transform(F.sequence(F.lit(0), F.lit(1199)), lambda k: F.get("pixels", k * 3))
+    back = back.select(F.regexp_extract("file", "[0-9]+", 0).cast("long").alias("user_id"), red.alias("red"))
+    lit = F.filter(F.transform("red", lambda v, i: F.when(v != 9, i)), lambda i: i.isNotNull())
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return back.select("user_id", F.size(lit).cast("long").alias("lit"), total(lit).alias("places"), total("red").alias("red"))

@@ -347,6 +347,15 @@ def exported_tracks(t: Tables):
     return back.select("vec_id", F.transform(F.array(*[F.get("track", F.lit(i)) for i in (0, 2, 4)]), lambda x: F.round(x, 4)).alias("track"))
 
 
+@query("""select 'p' || cast(vec_id as varchar) || '.npy' as file, [case when vec_id % 4 = 0 then 16 else 15 end, 4] as shape, round(list_sum([x::double for x in embedding]) - case when vec_id % 4 = 0 then 0 else list_sum([x::double for x in embedding[:4]]) end, 4) as total from embeddings""")
+def exported_arrays(t: Tables):
+    """Forecasts as arrays of four numbers a step, some with the start before them, and back."""
+    v, start = F.transform("embedding", lambda x: x.cast("double")), F.col("vec_id") % 4 == 0
+    out = t.embeddings.select(F.format_string("p%d.npy", "vec_id").alias("name"), F.when(start, v).otherwise(F.slice(v, 5, 60)).alias("v"))
+    back = tracks.read_arrays(t.spark, tracks.write_arrays(out, new_folder(t.spark, "npy"), "name", "v", 4))
+    return back.select("file", F.transform("shape", lambda n: n.cast("int")).alias("shape"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 @query("""with n as (select n_name, n_regionkey, n_nationkey / 3.0::double as share from nation), w as (select max(length(n_name)) as a, greatest(max(length(cast(n_regionkey as varchar))), length('n_regionkey')) as b from n)
     select rtrim(concat(rpad(n_name, cast(greatest(a, 6) as int), ' '), '  ', rpad(cast(n_regionkey as varchar), cast(b as int), ' '))) as line, concat(n_name, ' & ', n_regionkey, ' \\\\') as latex, concat('<tr><td>', n_name, '</td><td>', n_regionkey, '</td></tr>') as html from n cross join w""")
 def report_rows(t: Tables):

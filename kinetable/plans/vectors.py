@@ -70,12 +70,14 @@ def fisheye(t: Tables):
     return t.embeddings.select("vec_id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
 
 
-@query("""with p as (select i % 64 as x, i // 64 as y, (i % 64 - 32.0::double) / 40 as e0, (i // 64 - 24.0::double) / 40 as e1 from (select unnest(range(64 * 48)) as i)), a as (select *, sqrt(e0*e0+e1*e1) as r, atan2(sqrt(e0*e0+e1*e1), 1) as th from p),
+@query("""with p as (select vec_id, i % 64 as x, i // 64 % 48 as y, (i % 64 - 32.0::double) / 40 as e0, (i // 64 % 48 - 24.0::double) / 40 as e1 from (select vec_id, vec_id * 37 as i from embeddings)), a as (select *, sqrt(e0*e0+e1*e1) as r, atan2(sqrt(e0*e0+e1*e1), 1) as th from p),
       s as (select *, case when r > 1e-12 then th * (1 + (0.1 + (-0.02 + 0.003*th*th)*th*th)*th*th) / r else 1.0 end as s from a)
-    select x, y, round(40*s*e0+32, 4) as map_x, round(40*s*e1+24, 4) as map_y from s""")
+    select vec_id, x, y, round(40*s*e0+32, 4) as map_x, round(40*s*e1+24, 4) as map_y from s""")
 def fisheye_warp(t: Tables):
-    """Where each pixel of a plain picture lies in the fisheye one."""
-    return g.warp_map(t.spark, 64, 48, 40.0, 32.0, 24.0, [0.1, -0.02, 0.003]).select("x", "y", F.round("map_x", 4).alias("map_x"), F.round("map_y", 4).alias("map_y"))
+    """Where a pixel of a plain picture, for each vector one, lies in the fisheye one."""
+    p = t.embeddings.select("vec_id", (F.col("vec_id") * 37 % 64).alias("x"), (F.floor(F.col("vec_id") * 37 / 64) % 48).cast("long").alias("y"))
+    u, v = g.warped(F.col("x"), F.col("y"), 40.0, 32.0, 24.0, [0.1, -0.02, 0.003])
+    return p.select("vec_id", "x", "y", F.round(u, 4).alias("map_x"), F.round(v, 4).alias("map_y"))
 
 
 @query("select vec_id, cast(vec_id % 4 * 160 as bigint) as x, cast(vec_id // 4 * 120 as bigint) as y from embeddings")

@@ -218,3 +218,31 @@ class TrackSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(TrackSource)
+
+
+def write_arrays(df: DataFrame, folder: str, name: str, values: str, width: int) -> str:
+    """An NPY file a row, from a flat array of numbers in rows of ``width``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v in b.column(1).to_pylist():
+                held = io.BytesIO()
+                np.save(held, np.asarray(v, float).reshape(-1, width), allow_pickle=False)
+                out.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    return write_files(df.select(name, values).mapInArrow(run, "path string, content binary"), folder)
+
+
+def read_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, shape, values) of NPY files of numbers; pickled ones are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = [np.load(io.BytesIO(c), allow_pickle=False) for c in b.column(1).to_pylist()]
+            names = [x.rpartition("/")[2] for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([list(a.shape) for a in every], pa.list_(pa.int64())), pa.array([a.ravel().astype(float) for a in every], pa.list_(pa.float64()))], ["file", "shape", "values"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "content").mapInArrow(run, "file string, shape array<long>, values array<double>")
