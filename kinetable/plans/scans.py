@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import joins, sequences
-from ..sources import archives, files, manifests, pictures, tracks
+from ..sources import archives, files, manifests, pictured, pictures, tracks
 from ..sources.catalogue import Catalogue, Source
 from ..storage import new_folder
 from .registry import Tables, query
@@ -121,6 +121,37 @@ def npz_pictures(t: Tables):
     return j.select("user_id", F.round(share("px", 100.0), 4).alias("x"), F.round(share("py", 100.0), 4).alias("y"))
 
 
+@query(f"""with {_FLAT}, n as (select user_id, count(*) as t from e group by 1), r as (select user_id, t, user_id % 7 as kind, p from n cross join (select unnest(range(2)) as p)),
+      a as (select *, case kind when 2 then 4 when 6 then p else 2 end as f, case kind when 6 then 2 else p end as q, case when kind in (1, 3, 6) then 0 else 50 end as moved, case kind when 3 then 512 when 5 then 854 else 640 end as w, case kind when 3 then 512 else 480 end as h,
+        t > case kind when 2 then 4 when 6 then 1 else 2 end as there from r),
+      v as (select a.*, case when e.value <= 80 then cast(cast(e.value * 3 + 100 * q + moved as float) as double) end as x, e.event_id % 100 + 7 * q as y from a left join e on e.user_id = a.user_id and e.frame = a.f)
+    select user_id, kind, cast(p as bigint) as point_id, case when there then round(least(1, greatest(0, coalesce(x, w / 2.0::double) / w)), 4) end as x, case when there then round(least(1, greatest(0, y / h::double)), 4) end as y from v""")
+def picture_forms(t: Tables):
+    """Points of pictures from archives of seven forms, one for each user: objects or one array,
+    frames or points first, strided, sizes named or fixed, blocks, and axes read in the wrong order."""
+    base = sequences.frame_index(t.events, ["user_id"], ORDER).select("user_id", F.col("frame").cast("int").alias("frame"), "value", "event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("stem"))
+    point = lambda obj, k, moved: F.struct(F.lit(obj).alias("obj"), F.lit(k).alias("point_id"), F.lit(k % 10).alias("q"), F.lit(moved).alias("moved"))
+    named = F.array(*[point("a", k, 0) for k in range(3)], *[point("b", k, 50) for k in range(2)])
+    flat = F.array(*[point(tracks.FLAT, k, 0) for k in range(3)])
+    block = F.array(*[point(tracks.FLAT, k, 0) for k in range(3)], *[F.struct(F.lit(tracks.FLAT).alias("obj"), F.lit(3 + k).alias("point_id"), F.lit(k).alias("q"), F.lit(50).alias("moved")) for k in range(2)])
+
+    def rows(kind: int, points, suffix: str):
+        x = base.where(F.col("user_id") % 7 == kind).select("stem", "frame", "value", "event_id", F.explode(points).alias("c"))
+        x = x.select(F.concat("stem", F.lit(suffix)).alias("file"), F.col("c.obj").alias("obj"), F.col("c.point_id").alias("point_id"), "frame", F.when(F.col("value") <= 80, F.col("value") * 3 + 100 * F.col("c.q") + F.col("c.moved")).alias("x"), (F.col("event_id") % 100 + 7 * F.col("c.q")).cast("double").alias("y"), F.lit(True).alias("visible"))
+        return x.withColumn("z", F.lit(0.0)) if suffix == "_3d.npz" else x
+
+    out, dim = None, {"dim": [480, 640]}
+    for kind, (name, points, array, layout, extra) in enumerate([("frames", named, "tracks", "tnc", dim), ("named_size", flat, "tracks_2d", "tnc", {"ds_dim": [480, 640]}), ("strided", named, "tracks", "tnc", dim), ("inside", flat, "pixel_coords", "ntc", None), ("blocks", block, "tracks", "tnc", dim), ("fixed", named, "tracks", "tnc", None), ("swapped", named, "tracks", "tnc", dim)]):
+        form, folder = pictured.FORMS[name], new_folder(t.spark, f"form_{name}")
+        tracks.write_tracks(rows(kind, points, form.suffix), folder, points=array, visible=None, layout=layout, dims=2, extra=extra)
+        if form.blocks:
+            tracks.write_tracks(rows(kind, named, form.blocks), folder)
+        asked = base.where(F.col("user_id") % 7 == kind).select("stem", "user_id").distinct().select("stem", F.lit("a" if name == "swapped" else "b").alias("obj"), F.explode(F.array(F.lit(0), F.lit(1))).alias("point_id"), F.lit(2).alias("frame"))
+        got = pictured.picture_points(t.spark, folder, form, asked).withColumn("kind", F.lit(kind).cast("long"))
+        out = got if out is None else out.unionByName(got)
+    return out.select(F.regexp_extract("stem", "[0-9]+", 0).cast("long").alias("user_id"), "kind", "point_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query("""select vec_id, round(least(1, greatest(0, (500 * e0 / greatest(e2, 1e-6) + 320) / 640)), 6) as u, round(least(1, greatest(0, (500 * e1 / greatest(e2, 1e-6) + 240) / 480)), 6) as v
     from (select vec_id, cast(embedding[1] as double) as e0, cast(embedding[2] as double) as e1, cast(embedding[3] as double) as e2 from embeddings)""")
 def bench_projection(t: Tables):

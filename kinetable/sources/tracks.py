@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .files import BlobWriter, write_files
+from .stores import store
 
 SCHEMA = "file string, obj string, point_id int, frame int, x float, y float, z float, visible boolean, object_id int"
 _KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float32(), pa.float32(), pa.float32(), pa.bool_(), pa.int32()]
@@ -116,8 +118,9 @@ def archive_shapes(spark: SparkSession, folder: str, points: str = "points_3d")
     return files.select("path", "content").mapInArrow(run, "file string, n_points long, n_frames long")
 
 
-def archive_bytes(objects: dict[str, dict[str, np.ndarray]], points: str, visible: str | None, layout: str, dims: int) -> bytes:
-    """An archive of arrays by object: columns point_id, frame, x, y, z, visible."""
+def archive_bytes(objects: dict[str, dict[str, np.ndarray]], points: str, visible: str | None, layout: str, dims: int, extra: dict | None = None) -> bytes:
+    """An archive of arrays by object: columns point_id, frame, x, y, z, visible; ``extra``: further
+    arrays by name."""
     p, seen = {}, {}
     for obj, c in objects.items():
         i, j = c["point_id"], c["frame"]
@@ -128,7 +131,7 @@ def archive_bytes(objects: dict[str, dict[str, np.ndarray]], points: str, visibl
         if layout == "tnc":
             p[obj], seen[obj] = p[obj].transpose(1, 0, 2), seen[obj].T
     flat = list(p) == [FLAT]
-    arrays = {points: p[FLAT] if flat else np.array(p, object)}
+    arrays = {k: np.asarray(v) for k, v in (extra or {}).items()} | {points: p[FLAT] if flat else np.array(p, object)}
     if visible:
         arrays[visible] = seen[FLAT] if flat else np.array(seen, object)
     first = next(iter(objects.values()))
@@ -141,8 +144,9 @@ def archive_bytes(objects: dict[str, dict[str, np.ndarray]], points: str, visibl
     return out.getvalue()
 
 
-def write_tracks(df: DataFrame, folder: str, points: str = "points_3d", visible: str | None = "visibility", layout: str = "ntc", dims: int = 3, extra: dict[str, str] | None = None) -> str:
-    """Long rows (file, obj, point_id, frame, x, y[, z], visible[, object_id]) as an archive a file."""
+def write_tracks(df: DataFrame, folder: str, points: str = "points_3d", visible: str | None = "visibility", layout: str = "ntc", dims: int = 3, extra: dict | None = None) -> str:
+    """Long rows (file, obj, point_id, frame, x, y[, z], visible[, object_id]) as an archive a file;
+    ``extra``: further arrays, the same in each."""
     names = [c for c in (*_NAMES,) if c in df.columns]
 
     def build(key, group):
@@ -152,7 +156,7 @@ def write_tracks(df: DataFrame, folder: str, points: str = "points_3d", visible:
                 cols[c] = cols[c].astype(float)
         obj = np.array(group["obj"].to_pylist(), object)
         objects = {o: {c: v[obj == o] for c, v in cols.items()} for o in sorted(set(obj.tolist()))}
-        content = archive_bytes(objects, points, visible, layout, dims)
+        content = archive_bytes(objects, points, visible, layout, dims, extra)
         return pa.table({"path": pa.array([key[0].as_py()]), "content": pa.array([content], pa.binary())})
 
     return write_files(df.select(*names).groupBy("file").applyInArrow(build, "path string, content binary"), folder)
@@ -164,7 +168,7 @@ class Archive(InputPartition):
 
 
 class TrackReader(DataSourceReader):
-    """``spark.read.format("tracks").load(folder)``: archives of a folder on a shared disk, one a
+    """``spark.read.format("tracks").load(folder)``: archives of a folder of any known store, one a
     partition. Options: ``layout``, ``stride``, ``points``, ``visible``."""
 
     def __init__(self, options: dict):
@@ -172,13 +176,11 @@ class TrackReader(DataSourceReader):
         self.options = {"layout": options.get("layout", "ntc"), "stride": int(options.get("stride", "1")), "points": options.get("points", "points_3d"), "visible": options.get("visible", "visibility")}
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
-        found = [os.path.join(d, f) for d, _, names in os.walk(self.root) for f in names if f.endswith(".npz")]
-        return [Archive(p) for p in sorted(found)]
+        files, root = store(self.root)
+        return [Archive(i.path) for i in sorted(files.get_file_info(FileSelector(root, recursive=True)), key=lambda i: i.path) if i.path.endswith(".npz")]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        with store(self.root)[0].open_input_file(partition.path) as f:
             yield from archive_batches(partition.path.rpartition("/")[2], f.read(), **self.options)
 
 
