@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytebpe, exact, graph, icws, langid, lbl, packing, passages, resample, suffix, trie, warc
+from . import bpe, bytebpe, exact, graph, icws, langid, lbl, oracles, packing, passages, resample, suffix, trie, warc
 from .common import table
 
 TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -102,4 +102,6 @@ ORACLES: dict[str, str] = {
                 first_value(doc_id) over (partition by text_sha256 order by points desc, doc_id) as keep_id from h)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
     """,
+    "op11_position_ngrams": oracles.POSITION_NGRAMS,
+    "op13_heavy_paths": oracles.HEAVY_PATHS,
 }
