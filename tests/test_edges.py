@@ -233,15 +233,31 @@ def test_masks_of_polygons(spark):
 
 
 def test_neighbours_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 200)  # four queries
     r = np.random.default_rng(3)
-    x = r.normal(size=(60, 5))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    x = np.round(r.normal(size=(60, 5)), 1)
+    x[40:50] = x[0]  # equal rows: the smaller key comes first
+    df = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (None, [0.0] * 5), (99, None)], "id long, v array<double>").repartition(3)
     got = {(r["q"], r["n"]): r["id"] for r in neighbours.nearest_rows(df.where("id % 5 = 0"), df, "id", "v", 3).collect()}
     for q in range(0, 60, 5):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
-        assert [got[q, n] for n in (1, 2, 3)] == np.argsort(d)[:3].tolist()
+        assert [got[q, n] for n in (1, 2, 3)] == np.argsort(d, kind="stable")[:3].tolist()
+    assert neighbours.nearest_rows(df.where("false"), df, "id", "v", 3).count() == 0
+
+
+def test_nearest_over_many_batches(monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    r = np.random.default_rng(5)
+    x, ids = r.integers(-2, 3, (500, 3)).astype(float), r.permutation(500)  # many ties
+    best = neighbours.Nearest(ids[:40], x[:40], 6)
+    for a in range(0, 500, 33):
+        best.add(ids[a : a + 33], x[a : a + 33])
+    q, d, found = best.found
+    for i in range(40):
+        own = np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, own)) if j != i][:6]
+        assert found[q == i].tolist() == ids[order].tolist() and np.allclose(d[q == i], own[order])
 
 
 def test_nested_names_and_alias(spark, tmp_path):
