@@ -107,8 +107,9 @@ def wait(query, log: str, units: int, seconds: float = 300.0) -> None:
         time.sleep(0.5)
 
 
-def stop(query) -> None:
-    """Stop between two batches, so that none is cut off in its middle."""
-    while query.isActive and query.status["isTriggerActive"]:
-        time.sleep(0.05)
+def stop(query, seconds: float = 5.0) -> None:
+    """Stop, between two batches if one ends in time; a batch that is cut off runs again later."""
+    end = time.time() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.time() < end:
+        time.sleep(0.02)
     query.stop()

@@ -1,5 +1,6 @@
 """Folders are taken up once, when they are left alone; k-means against the same steps in NumPy."""
 
+import contextlib
 import hashlib
 import os
 import time
@@ -17,7 +18,22 @@ def put(folder, name, size=3):
         f.write(b"x" * size)
 
 
-def test_units_come_out_once_when_they_rest(spark, tmp_path):
+def one_partition(inner):
+    @contextlib.contextmanager
+    def inside(spark):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        try:
+            with inner(spark):
+                yield
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    return inside
+
+
+def test_units_come_out_once_when_they_rest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(polling, "keeping_lists", one_partition(polling.keeping_lists))  # a store for each partition takes its time
     folder, log = str(tmp_path / "in"), str(tmp_path / "log")
     put(folder, "step1/a.bin"), put(folder, "step1/b.bin", 5), put(folder, "step2/a.bin")
     handled = []
