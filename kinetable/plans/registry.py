@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import ship
 from ..tables import load
@@ -24,6 +25,13 @@ class Tables:
         return load(self.spark, self.folder, name)
 
 
+def rounded(x: Column | str, n: int) -> Column:
+    """A double to ``n`` places as SQL has it: what rounds to zero keeps its sign, which Spark's ``round`` drops."""
+    x = F.col(x) if isinstance(x, str) else x
+    r = F.round(x, n)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a function of Tables; ``sql`` is its oracle."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, points, pointtext, text
 from ..operators import joins
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 #: Orders as points of a customer's picture, in tenths of a percent.
 _P = """p as (select *, o_orderkey * 37 % 1001 as xi, o_orderkey * 53 % 1001 as yi from orders)"""
@@ -295,7 +295,7 @@ def elapsed_text(t: Tables):
     list_transform(range(8), lambda i: round(cast(embedding[i % 2 * 4 + i // 2 + 1] as double), 6)) as transposed, list_transform(range(6), lambda i: round(cast(embedding[i % 3 + 1] as double), 6)) as tiled, list_transform(range(6), lambda i: round(cast(embedding[i // 2 + 1] as double), 6)) as repeated from embeddings""")
 def array_shapes(t: Tables):
     """Gather, stride, transpose (2 by 4), tile and repeat as array expressions."""
-    at = lambda i: F.round(F.get("embedding", i).cast("double"), 6)
+    at = lambda i: rounded(F.get("embedding", i).cast("double"), 6)
     seq = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
     return t.embeddings.select(
         "vec_id", F.array(*[at(F.lit(i)) for i in (4, 0, 8)]).alias("gathered"), F.transform(F.sequence(F.lit(0), F.lit(63), F.lit(16)), at).alias("strided"),
