@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import decoding, joins, ordering, packing, recovery, sampling, schedule, sequences
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 ORDER = ["ts", "event_id"]
 
@@ -30,7 +30,7 @@ def sample_with_extras(t: Tables):
 def score_points(t: Tables):
     f = sequences.frame_index(t.events, ["user_id", "event_type"], ORDER)
     s = sampling.best_seen_points(f, ["user_id"], "event_type", F.col("frame") < 3, F.col("value") <= 60, 2)
-    return s.select("user_id", "event_type", F.round("score", 6).alias("score"))
+    return s.select("user_id", "event_type", rounded("score", 6).alias("score"))
 
 
 @query("""with e as (select doc_id, ep as epoch, ((doc_id * 31 + ep * 7919 + 4) % 2147483648) * 2654435761 % 4294967296 as h from documents cross join (select unnest(range(3)) as ep))
@@ -98,7 +98,7 @@ def transitions(t: Tables):
     select p as token, q as "next", round(l, 6) as logp from y""")
 def top_k_top_p_tokens(t: Tables):
     out = decoding.top_k_top_p(transitions(t), ["token"], "next", "logp", 3, 0.6)
-    return out.select("token", "next", F.round("logp", 6).alias("logp"))
+    return out.select("token", "next", rounded("logp", 6).alias("logp"))
 
 
 _MIX = lambda x, seed: f"(({x} + {seed}) % 2147483648) * 2654435761 % 4294967296"
@@ -134,7 +134,7 @@ def _beam_sql(score: str) -> str:
 def _beams(t: Tables, *rules: decoding.Rule):
     steps = transitions(t)
     start = steps.select(F.col("token").alias("id"), "token").distinct()
-    return decoding.beam_search(start, steps, 4, 3, rules).select("id", "beam", F.round("score", 6).alias("score"))
+    return decoding.beam_search(start, steps, 4, 3, rules).select("id", "beam", rounded("score", 6).alias("score"))
 
 
 @query(_beam_sql("s.l"))
@@ -167,7 +167,7 @@ def fps_grid(t: Tables):
     grid = ends.select("user_id", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / 43200.0).cast("long"))).alias("k"))
     grid = grid.select("user_id", "k", (F.col("a") + F.col("k") * 43200.0).alias("s"), F.concat_ws("-", "user_id", "k").alias("key"))
     near = joins.nearest_join(grid, s.select("user_id", "s", "event_id"), ["user_id"], "s", "key", "event_id", 21600.0)
-    return near.select("user_id", "k", F.col("near_event_id").alias("near_event"), F.round("gap", 3).alias("gap"))
+    return near.select("user_id", "k", F.col("near_event_id").alias("near_event"), rounded("gap", 3).alias("gap"))
 
 
 @query("""select 'train' as split, doc_id from documents where doc_id % 5 <> 0 union all select 'test', doc_id from documents where doc_id % 5 = 0 union all select 'bench', item_id from benchmark""")
@@ -213,7 +213,7 @@ def merge_groups(t: Tables):
 
 @query("""select vec_id, f as frame, p as point, round(cast(embedding[f * 8 + p + 1] as double), 6) as v from embeddings cross join (select unnest([0, 2, 5]) as f) cross join (select unnest([1, 6]) as p)""")
 def gather_grid(t: Tables):
-    return sequences.gathered(t.embeddings, ["vec_id"], "embedding", 8, [0, 2, 5], [1, 6]).select("vec_id", "frame", "point", F.round(F.col("v").cast("double"), 6).alias("v"))
+    return sequences.gathered(t.embeddings, ["vec_id"], "embedding", 8, [0, 2, 5], [1, 6]).select("vec_id", "frame", "point", rounded(F.col("v").cast("double"), 6).alias("v"))
 
 
 _CLIPS = """f as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import sampling
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 _HASH = "({key} + {seed}) % 2147483648 * 2654435761 % 4294967296"
 
@@ -85,7 +85,7 @@ def camera_slots(t: Tables):
 def depth_dropout(t: Tables):
     u = sampling.uniform(F.col("event_id"), 3)
     kind = F.when(u < 0.3, "all").when(u < 0.6, "none").otherwise("some")
-    return t.events.select("event_id", kind.alias("dropped"), F.round(F.col("value") * 255 / 1000, 6).alias("scaled"))
+    return t.events.select("event_id", kind.alias("dropped"), rounded(F.col("value") * 255 / 1000, 6).alias("scaled"))
 
 
 @query("""with p as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as f, value from events),
@@ -98,7 +98,7 @@ def pose_clamp(t: Tables):
     n = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
     w = n.withColumn("t", F.explode(F.array(*[F.lit(v).cast("long") for v in (-2, 0, 7, 10000)])))
     w = w.withColumn("f", F.least(F.greatest("t", F.lit(0)), F.col("n") - 1))
-    return w.join(p, ["user_id", "f"]).select("user_id", "t", F.round("value", 6).alias("value"))
+    return w.join(p, ["user_id", "f"]).select("user_id", "t", rounded("value", 6).alias("value"))
 
 
 @query("""with m as (select user_id, max(ts) as last, count(*) filter (event_type = 'purchase') as c from events group by user_id)
@@ -121,7 +121,7 @@ def poll_every(t: Tables):
 def patch_sums(t: Tables):
     p = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v"))
     p = p.select("vec_id", F.floor(F.col("i") / 16).cast("long").alias("patch_row"), F.floor(F.col("i") % 8 / 2).cast("long").alias("patch_column"), F.col("v").cast("double").alias("v"))
-    return p.groupBy("vec_id", "patch_row", "patch_column").agg(F.round(F.sum("v"), 5).alias("total"))
+    return p.groupBy("vec_id", "patch_row", "patch_column").agg(rounded(F.sum("v"), 5).alias("total"))
 
 
 @query("""select conv_id, list(mark || ': ' || text order by turn) as numbered from (select conv_id, turn, text, case role when 'user' then 'Q' else 'A' end || row_number() over (partition by conv_id, role order by turn) as mark from conversations) group by conv_id""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import masks, points
 from ..operators import plugins, sampling, schedule
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 
 def _e(n: int, start: int = 0):
@@ -23,8 +23,8 @@ _U = lambda key, seed: f"((({key}) + {seed}) % 2147483648) * 2654435761 % 429496
     select vec_id, round(coalesce(a, 0), 6) as zero, round(coalesce(a, -1), 6) as const, round(least(1, greatest(0, coalesce(a, 0))), 6) as clipped from y""")
 def clean_coordinates(t: Tables):
     x = F.when(F.col("vec_id") % 5 == 0, F.lit(float("nan"))).otherwise(_e(1)[0])
-    clean = lambda v: F.round(F.nanvl(x, F.lit(v)), 6)
-    return t.embeddings.select("vec_id", clean(0.0).alias("zero"), clean(-1.0).alias("const"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(x, F.lit(0.0)))), 6).alias("clipped"))
+    clean = lambda v: rounded(F.nanvl(x, F.lit(v)), 6)
+    return t.embeddings.select("vec_id", clean(0.0).alias("zero"), clean(-1.0).alias("const"), rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.nanvl(x, F.lit(0.0)))), 6).alias("clipped"))
 
 
 @query("""with p as (select o_orderkey, o_orderkey * 37 % 641 as x, o_orderkey * 53 % 481 as y from orders)
@@ -32,7 +32,7 @@ def clean_coordinates(t: Tables):
 def pixel_round_trip(t: Tables):
     x, y = (F.col("o_orderkey") * 37) % 641, (F.col("o_orderkey") * 53) % 481
     xs, ys = points.scale(x, F.lit(640.0)), points.scale(y, F.lit(480.0))
-    return t.orders.select("o_orderkey", xs.alias("xs"), ys.alias("ys"), F.round(points.unscale(xs, F.lit(640.0)), 6).alias("back"))
+    return t.orders.select("o_orderkey", xs.alias("xs"), ys.alias("ys"), rounded(points.unscale(xs, F.lit(640.0)), 6).alias("back"))
 
 
 @query("""with p as (select o_orderkey, 640 + o_orderkey % 1281 as w, 360 + o_orderkey % 721 as h, o_orderkey % 640 as x, o_orderkey % 360 as y from orders), n as (select *, cast(round_even(w * 480.0::double / h / 2, 0) * 2 as bigint) as nw from p)
@@ -46,7 +46,7 @@ def rescale_480(t: Tables):
 @query("""select vec_id, list_transform(range(16), lambda k: round((cast(embedding[k // 4 * 16 + k % 4 * 2 + 1] as double) + cast(embedding[k // 4 * 16 + k % 4 * 2 + 2] as double) + cast(embedding[k // 4 * 16 + k % 4 * 2 + 9] as double) + cast(embedding[k // 4 * 16 + k % 4 * 2 + 10] as double)) / 4, 6)) as half from embeddings""")
 def depth_resize(t: Tables):
     """Maps of 8 by 8 as 4 by 4, by straight lines between centres."""
-    return t.embeddings.select("vec_id", F.transform(g.resized(F.col("embedding"), 8, 8, 4, 4), lambda x: F.round(x, 6)).alias("half"))
+    return t.embeddings.select("vec_id", F.transform(g.resized(F.col("embedding"), 8, 8, 4, 4), lambda x: rounded(x, 6)).alias("half"))
 
 
 @query(f"""with x as (select vec_id, {_X(2)}, vec_id % 60 as k from embeddings), p as (select *, e0 * 40 + 4 as x, e1 * 40 + 4 as y from x), q as (select *, cast(round_even(y, 0) as bigint) as i, cast(round_even(x, 0) as bigint) as j from p)
@@ -91,7 +91,7 @@ def surface_points(t: Tables):
     size = [1.0 + F.col("p_size") % 3, 0.5 + F.col("p_size") % 4, F.lit(2.0)]
     u, v, w = (sampling.uniform(F.col("p_partkey") * k, s) for k, s in ((3, 1), (5, 2), (7, 3)))
     x, y, z = g.surface_point(kind, size, u, v, w)
-    return t.part.select("p_partkey", kind.alias("kind"), *[F.round(c, 6).alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))])
+    return t.part.select("p_partkey", kind.alias("kind"), *[rounded(c, 6).alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))])
 
 
 @query(f"""with x as (select label, vec_id, {_X(9)}, {_U("label * 3", 1)} as u, {_U("label * 5", 2)} as v, {_U("label * 7", 3)} as w from embeddings),
@@ -106,7 +106,7 @@ def mesh_points(t: Tables):
     u, v, w = (sampling.uniform(F.col("label") * k, s) for k, s in ((3, 1), (5, 2), (7, 3)))
     x = g.triangle_point(corners, u, v)[0]
     rows = t.embeddings.select("label", "vec_id", g.triangle_area(corners).alias("area"), x.alias("x"))
-    return schedule.weighted_choice(rows, ["label"], "vec_id", "area", w).select("label", "vec_id", F.round("x", 6).alias("x"))
+    return schedule.weighted_choice(rows, ["label"], "vec_id", "area", w).select("label", "vec_id", rounded("x", 6).alias("x"))
 
 
 @query("""with recursive e as (select p_partkey as child, (p_partkey - 1) // 3 as parent from part where p_partkey > 0), w(root, node) as (select r, r from (values (cast(1 as bigint)), (cast(4 as bigint)), (cast(40 as bigint))) as x(r) union all select w.root, e.child from w join e on e.parent = w.node)
@@ -121,7 +121,7 @@ def tree_closure(t: Tables):
     select vec_id, round((cast(m[y0 * 8 + x0 + 1] as double) * (1 - fx) + cast(m[y0 * 8 + x1 + 1] as double) * fx) * (1 - fy) + (cast(m[y1 * 8 + x0 + 1] as double) * (1 - fx) + cast(m[y1 * 8 + x1 + 1] as double) * fx) * fy, 6) as v from k""")
 def grid_samples(t: Tables):
     x, y = (((F.col("vec_id") * k) % 71) / 10.0 for k in (7, 11))
-    return t.embeddings.select("vec_id", F.round(g.bilinear(F.col("embedding"), 8, 8, x, y), 6).alias("v"))
+    return t.embeddings.select("vec_id", rounded(g.bilinear(F.col("embedding"), 8, 8, x, y), 6).alias("v"))
 
 
 @query(f"""with x as (select vec_id, {_X(4)} from embeddings) select vec_id, 0.0::double as error, round(1 / (2 + e0), 6) as first, round(-e1 / ((2 + e0) * 3), 6) as second from x""")
@@ -133,7 +133,7 @@ def matrix_inverse(t: Tables):
     m = [2 + e0, e1, zero, e2, zero, F.lit(3.0), zero, e3, zero, zero, F.lit(0.5), zero, zero, zero, zero, one]
     inv = g.inverse4(m)
     off = [F.abs(p - (1.0 if i % 5 == 0 else 0.0)) for i, p in enumerate(g.product4(m, inv))]
-    return t.embeddings.select("vec_id", F.round(F.greatest(*off), 6).alias("error"), F.round(inv[0], 6).alias("first"), F.round(inv[1], 6).alias("second"))
+    return t.embeddings.select("vec_id", rounded(F.greatest(*off), 6).alias("error"), rounded(inv[0], 6).alias("first"), rounded(inv[1], 6).alias("second"))
 
 
 REGISTRY = plugins.Registry()
@@ -146,7 +146,7 @@ def evaluator_merge(t: Tables):
     """A registered evaluator, run on three parts of a table apart and merged."""
     e, by = REGISTRY.get("evaluator", "mean_price"), ["l_returnflag"]
     parts = [e.partial(t.lineitem.where(F.col("l_orderkey") % 3 == k), by) for k in range(3)]
-    return e.finish(e.merge(*parts, by=by), by, "mean_price").withColumn("mean_price", F.round("mean_price", 4))
+    return e.finish(e.merge(*parts, by=by), by, "mean_price").withColumn("mean_price", rounded("mean_price", 4))
 
 
 @query("""with n as (select count(*) as n from supplier), w as (select n, (n + 7) // 8 * 8 as want from n), p as (select n, want, i // want as epoch, i % want as place from w cross join (select unnest(range(100000)) as i) where i < 2 * want),

@@ -29,6 +29,8 @@ def folder(tmp_path_factory):
 
 NAMES = [
     "array_shapes",
+    "depth_resize",
+    "clean_coordinates",
 ]
 
 
