@@ -11,7 +11,7 @@ from ..operators import joins, sequences
 from ..sources import archives, files, manifests, pictured, pictures, tracks
 from ..sources.catalogue import Catalogue, Source
 from ..storage import new_folder
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 ORDER = ["ts", "event_id"]
 _K = """k as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as frame from events)"""
@@ -27,7 +27,7 @@ def track_rows(t: Tables, key: list[str] = ("user_id", "event_type")):
 
 
 def _x():
-    return F.round(F.col("x").cast("double"), 2).alias("x")
+    return rounded(F.col("x").cast("double"), 2).alias("x")
 
 
 @query(f"with {_K} select concat('user_', user_id, '.npz') as file, event_type as obj, cast(frame as int) as frame, round(value, 2) as x, value <= 60 as visible from k")
@@ -92,7 +92,7 @@ _BLOCKS = """b as (select *, row_number() over (order by vec_id) - 1 as place fr
 @query("""select label as object_id, count(*) as n_points, round(sum(round(cast(embedding[1] as double), 4)), 3) as total from embeddings group by label""")
 def npz_object_ids(t: Tables):
     """One archive of all points with an id of the object for each: a mask by id."""
-    return _vectors(t).where("x is not null").groupBy("object_id").agg(F.count("*").alias("n_points"), F.round(F.sum(F.round(F.col("x").cast("double"), 4)), 3).alias("total"))
+    return _vectors(t).where("x is not null").groupBy("object_id").agg(F.count("*").alias("n_points"), rounded(F.sum(rounded(F.col("x").cast("double"), 4)), 3).alias("total"))
 
 
 def _vectors(t: Tables):
@@ -103,7 +103,7 @@ def _vectors(t: Tables):
 @query("""select cast(vec_id % 1000 // 100 as bigint) as block, count(*) as n_points, round(min(round(cast(embedding[2] as double), 4)), 4) as least from embeddings group by 1""")
 def npz_blocks(t: Tables):
     """Points in blocks of a hundred, one for each object."""
-    return _vectors(t).where("x is not null").groupBy(F.floor(F.col("point_id") / 100).cast("long").alias("block")).agg(F.count("*").alias("n_points"), F.round(F.min(F.round(F.col("y").cast("double"), 4)), 4).alias("least"))
+    return _vectors(t).where("x is not null").groupBy(F.floor(F.col("point_id") / 100).cast("long").alias("block")).agg(F.count("*").alias("n_points"), rounded(F.min(rounded(F.col("y").cast("double"), 4)), 4).alias("least"))
 
 
 @query(f"""with {_FLAT}, u as (select user_id, max(frame) as last from e group by user_id)
@@ -118,7 +118,7 @@ def npz_pictures(t: Tables):
     p = tracks.read_tracks(t.spark, folder, points="points_2d").select("file", "frame", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.lit(True).alias("there"))
     j = users.withColumn("frame", F.least("last", F.lit(5))).join(p, ["file", "frame"], "left")
     share = lambda c, size: F.when(F.col("there"), g.picture_share(F.when(F.col("px").isNotNull(), F.col(c)), F.lit(size)))
-    return j.select("user_id", F.round(share("px", 100.0), 4).alias("x"), F.round(share("py", 100.0), 4).alias("y"))
+    return j.select("user_id", rounded(share("px", 100.0), 4).alias("x"), rounded(share("py", 100.0), 4).alias("y"))
 
 
 @query(f"""with {_FLAT}, n as (select user_id, count(*) as t from e group by 1), r as (select user_id, t, user_id % 7 as kind, p from n cross join (select unnest(range(2)) as p)),
@@ -149,7 +149,7 @@ def picture_forms(t: Tables):
         asked = base.where(F.col("user_id") % 7 == kind).select("stem", "user_id").distinct().select("stem", F.lit("a" if name == "swapped" else "b").alias("obj"), F.explode(F.array(F.lit(0), F.lit(1))).alias("point_id"), F.lit(2).alias("frame"))
         got = pictured.picture_points(t.spark, folder, form, asked).withColumn("kind", F.lit(kind).cast("long"))
         out = got if out is None else out.unionByName(got)
-    return out.select(F.regexp_extract("stem", "[0-9]+", 0).cast("long").alias("user_id"), "kind", "point_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return out.select(F.regexp_extract("stem", "[0-9]+", 0).cast("long").alias("user_id"), "kind", "point_id", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"))
 
 
 @query("""select vec_id, round(least(1, greatest(0, (500 * e0 / greatest(e2, 1e-6) + 320) / 640)), 6) as u, round(least(1, greatest(0, (500 * e1 / greatest(e2, 1e-6) + 240) / 480)), 6) as v
@@ -158,7 +158,7 @@ def bench_projection(t: Tables):
     """Points of a picture from points of the space, clipped to the picture."""
     e = [F.get("embedding", F.lit(i)).cast("double") for i in range(3)]
     u, v = g.pinhole(e, 500.0, 500.0, 320.0, 240.0)
-    return t.embeddings.select("vec_id", F.round(g.picture_share(u, F.lit(640.0)), 6).alias("u"), F.round(g.picture_share(v, F.lit(480.0)), 6).alias("v"))
+    return t.embeddings.select("vec_id", rounded(g.picture_share(u, F.lit(640.0)), 6).alias("u"), rounded(g.picture_share(v, F.lit(480.0)), 6).alias("v"))
 
 
 @query("""with x as (select vec_id, label % 3 as kind, """ + ", ".join(f"cast(embedding[{i + 1}] as double) as e{i}" for i in range(10)) + """ from embeddings), q as (select *, e3*e3 + e4*e4 + e5*e5 + e6*e6 as n from x),
@@ -173,7 +173,7 @@ def camera_by_source(t: Tables):
     back, undo = g.rigid_inverse(rot, shift)
     kinds = {0: ("inverse", g.transform_point(back, undo, p)), 1: ("identity", p), 2: ("given", g.transform_point(rot, shift, p))}
     by = lambda f: F.when(F.col("label") % 3 == 0, f(kinds[0])).when(F.col("label") % 3 == 1, f(kinds[1])).otherwise(f(kinds[2]))
-    return t.embeddings.select("vec_id", by(lambda k: F.lit(k[0])).alias("kind"), F.round(by(lambda k: k[1][0]), 5).alias("x"), F.round(by(lambda k: k[1][1]), 5).alias("y"))
+    return t.embeddings.select("vec_id", by(lambda k: F.lit(k[0])).alias("kind"), rounded(by(lambda k: k[1][0]), 5).alias("x"), rounded(by(lambda k: k[1][1]), 5).alias("y"))
 
 
 @query("""with d as (select vec_id, label, list_transform(embedding, lambda v: cast(round_even(abs(cast(v as double)) * 1000, 0) as bigint)) as mm, row_number() over (partition by label order by vec_id) - 1 as k from embeddings)
@@ -189,7 +189,7 @@ def depth_scan(t: Tables):
     folder = depth.write_depth(rows.select(F.concat(F.lit("label_"), F.col("label").cast("string"), F.lit(".npz")).alias("file"), "place", "frame", mm.alias("mm")), new_folder(t.spark, "depth"), 8)
     back = depth.read_depth(t.spark, folder)
     metres = F.aggregate("mm", F.lit(0).cast("long"), lambda a, x: a + x) / 64000.0
-    return back.select(F.regexp_extract("file", "_(\\d+)", 1).cast("int").alias("label"), "frame", F.round(metres, 6).alias("mean_depth"))
+    return back.select(F.regexp_extract("file", "_(\\d+)", 1).cast("int").alias("label"), "frame", rounded(metres, 6).alias("mean_depth"))
 
 
 @query(f"""with {_FLAT} select concat('user_', user_id, '.npz') as file, cast(max({_POINT}) + 1 as bigint) as n_points, max(frame) + 1 as n_frames, case when user_id % 2 = 0 then concat('caption of ', user_id) else '' end as caption from e group by user_id""")
@@ -340,7 +340,7 @@ def summary_mark(t: Tables):
     import json
 
     folder = new_folder(t.spark, "summary")
-    r = t.orders.agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("m")).first()
+    r = t.orders.agg(F.count("*").alias("n"), rounded(F.avg("o_totalprice"), 4).alias("m")).first()
     files.write_summary(t.spark, folder, {"n": r["n"]}, complete=False)
     early = files.exists(t.spark, f"{folder}/DONE")
     files.write_summary(t.spark, folder, {"n": r["n"], "mean_price": r["m"]}, complete=True)
@@ -375,7 +375,7 @@ def exported_tracks(t: Tables):
     out = t.embeddings.select("vec_id", sequences.exported(F.slice(v, 2, 63), F.get(v, F.lit(0)), start).alias("track"))
     out.write.json(folder)
     back = t.spark.read.schema("vec_id long, track array<double>").json(folder)
-    return back.select("vec_id", F.transform(F.array(*[F.get("track", F.lit(i)) for i in (0, 2, 4)]), lambda x: F.round(x, 4)).alias("track"))
+    return back.select("vec_id", F.transform(F.array(*[F.get("track", F.lit(i)) for i in (0, 2, 4)]), lambda x: rounded(x, 4)).alias("track"))
 
 
 @query("""select 'p' || cast(vec_id as varchar) || '.npy' as file, [case when vec_id % 4 = 0 then 16 else 15 end, 4] as shape, round(list_sum([x::double for x in embedding]) - case when vec_id % 4 = 0 then 0 else list_sum([x::double for x in embedding[:4]]) end, 4) as total from embeddings""")
@@ -384,7 +384,7 @@ def exported_arrays(t: Tables):
     v, start = F.transform("embedding", lambda x: x.cast("double")), F.col("vec_id") % 4 == 0
     out = t.embeddings.select(F.format_string("p%d.npy", "vec_id").alias("name"), F.when(start, v).otherwise(F.slice(v, 5, 60)).alias("v"))
     back = tracks.read_arrays(t.spark, tracks.write_arrays(out, new_folder(t.spark, "npy"), "name", "v", 4))
-    return back.select("file", F.transform("shape", lambda n: n.cast("int")).alias("shape"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return back.select("file", F.transform("shape", lambda n: n.cast("int")).alias("shape"), rounded(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("""with n as (select n_name, n_regionkey, n_nationkey / 3.0::double as share from nation), w as (select max(length(n_name)) as a, greatest(max(length(cast(n_regionkey as varchar))), length('n_regionkey')) as b from n)

@@ -31,6 +31,7 @@ NAMES = [
     "array_shapes",
     "depth_resize",
     "clean_coordinates",
+    "exported_tracks",
 ]
 
 
