@@ -9,7 +9,7 @@ from ..operators import assignment, clusters, metrics, packing
 from ..sources.files import write_files
 from ..storage import new_folder
 from ..streaming import events, polling
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 
 def _policy(rows: str, shards: str, then: str) -> str:
@@ -86,7 +86,7 @@ def assignment_cost(t: Tables):
     j = a.join(p.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "said_id"), "grp").withColumn("d", g.l2(F.col("p"), F.col("q")))
     whole = j.groupBy("grp").count().where("count = 9").select("grp")
     best = metrics.least_cost(j.join(whole, "grp", "left_semi"), ["grp"], "true_id", "said_id", "d")
-    return best.select("grp", F.round("cost", 6).alias("cost"))
+    return best.select("grp", rounded("cost", 6).alias("cost"))
 
 
 @query("""with e as (select user_id, row_number() over (partition by user_id order by ts, event_id) as f, event_type as t, coalesce(lead(event_type) over (partition by user_id order by ts, event_id), event_type) as p, 1 / (1 + abs(value - coalesce(lead(value) over (partition by user_id order by ts, event_id), value))) as s from events),
@@ -103,7 +103,7 @@ def hota_single(t: Tables):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = t.events.select("user_id", F.row_number().over(w).alias("f"), F.col("event_type").alias("t"), F.coalesce(F.lead("event_type").over(w), "event_type").alias("p"), (1 / (1 + F.abs(F.col("value") - F.coalesce(F.lead("value").over(w), "value")))).alias("s"))
     r = metrics.hota(e, "user_id", "f", "t", "p", "s")
-    return r.select("user_id", *[F.round(c, 5).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
+    return r.select("user_id", *[rounded(c, 5).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
 
 
 @query(f"""with recursive {_FRAMES}, {_matchings("c.d", "r.held + (c.d <= 1.3)::int", "0")},
@@ -111,7 +111,7 @@ def hota_single(t: Tables):
     select label, frame, hits, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / (precision + recall + 1e-10), 6) as f1 from f""")
 def hungarian_f1(t: Tables):
     f = metrics.matched_f1(_pairs(t), ["label", "frame"], "true_id", "said_id", "d", 1.3)
-    return f.select("label", "frame", "hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return f.select("label", "frame", "hits", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(f"""with recursive {_FRAMES}, {_matchings("c.d", "0", "0")}
@@ -121,7 +121,7 @@ def assignment_certificate(t: Tables):
     engine tries all matchings and has to find the same cost, and prices that add up to it."""
     by = ["label", "frame"]
     c = assignment.certificate(assignment.assigned(_pairs(t), by, "true_id", "said_id", "d"), by)
-    return c.withColumns({x: F.round(x, 6) for x in ("cost", "price")})
+    return c.withColumns({x: rounded(x, 6) for x in ("cost", "price")})
 
 
 @query(f"""with recursive {_FRAMES}, x as (select label, frame, i, j, t % 120 as t, s % 120 as s, 1 - d / 2 as x from c),
@@ -145,7 +145,7 @@ def hota(t: Tables):
     """HOTA of frames with several true and said objects."""
     near = _pairs(t).withColumn("similarity", 1 - F.col("d") / 2)
     h = metrics.hota(near.withColumn("true_id", F.col("true_id") % 120).withColumn("said_id", F.col("said_id") % 120), "label", "frame", "true_id", "said_id", "similarity")
-    return h.select("label", *[F.round(c, 6).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
+    return h.select("label", *[rounded(c, 6).alias(c) for c in ("hota", "det_a", "ass_a", "loc_a", "det_re", "det_pr")])
 
 
 def _clusters(k: int, rounds: int, passes: int, share: float) -> str:
@@ -172,7 +172,7 @@ def kmeans_points(t: Tables):
     rows = [(k, axis, float(x)) for k, c in enumerate(centres) for axis, x in enumerate(c)]  # a hundred times the vector's length
     own = t.spark.createDataFrame(rows, "cluster long, axis long, centre double")
     near = clusters.representatives(points).withColumnRenamed("id", "point_id")
-    return own.join(near, "cluster").select("cluster", "n", "point_id", "axis", F.round("centre", 5).alias("centre"))
+    return own.join(near, "cluster").select("cluster", "n", "point_id", "axis", rounded("centre", 5).alias("centre"))
 
 
 @query("""select time_bucket(interval '1 hour', ts) as "start", event_type, count(*) as n from events group by 1, 2""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import joins, metrics, sampling, schedule, sequences
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 ORDER = ["ts", "event_id"]
 _F = """f as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as frame,
@@ -73,7 +73,7 @@ def similarity_matrix(t: Tables):
     p = t.embeddings.select("label", F.floor(F.col("vec_id") / 120).cast("long").alias("frame"), "vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("p"))
     a = p.where("vec_id % 2 = 0").withColumnsRenamed({"vec_id": "true_id", "p": "q"})
     j = a.join(p.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "said_id"), ["label", "frame"])
-    return j.select("label", "frame", "true_id", "said_id", F.round(F.greatest(F.lit(0.0), 1 - g.l2(F.col("p"), F.col("q"))), 6).alias("similarity"))
+    return j.select("label", "frame", "true_id", "said_id", rounded(F.greatest(F.lit(0.0), 1 - g.l2(F.col("p"), F.col("q"))), 6).alias("similarity"))
 
 
 @query("select l_orderkey, l_linenumber, o_custkey from lineitem join orders on l_orderkey = o_orderkey")
@@ -117,7 +117,7 @@ def rollout_macro(t: Tables):
     mae = F.aggregate(diff, F.lit(0.0), lambda a, x: a + x) / F.size("embedding")
     e = e.select("label", g.l2(F.col("embedding"), F.col("other")).alias("l2"), mae.alias("mae"))
     r = metrics.record_then_macro(e, "label", ["l2", "mae"])
-    return r.select("label", F.round("l2", 6).alias("l2"), F.round("mae", 6).alias("mae"), "n")
+    return r.select("label", rounded("l2", 6).alias("l2"), rounded("mae", 6).alias("mae"), "n")
 
 
 @query("""with r as (select user_id, cast(ts as date) as d, count(*) as a from events where event_type = 'view' group by 1, 2),
@@ -131,7 +131,7 @@ def video_score(t: Tables):
     n = lambda k, c: day.where(F.col("event_type") == k).groupBy("user_id", "d").agg(F.count("*").alias(c))
     f = n("view", "n_true").join(n("click", "n_said"), ["user_id", "d"], "full").na.fill(0, ["n_true", "n_said"])
     s = metrics.video_score(f.withColumn("hit", F.least("n_true", "n_said")), ["user_id"], "hit", "n_said", "n_true")
-    return s.select("user_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], *[c for c in s.columns if "frames" in c])
+    return s.select("user_id", *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1")], *[c for c in s.columns if "frames" in c])
 
 
 @query("""with c as (select source, count(*) as n_rows from documents group by source)
@@ -140,14 +140,14 @@ def video_score(t: Tables):
 def mixture_kinds(t: Tables):
     out = None
     for kind in ("naive", "uniform", "manual"):
-        m = sampling.mixture(t.documents, "source", kind, {"src0": 3.0, "src1": 0.0}, default=1.0).select("source", F.round("weight", 9).alias(kind))
+        m = sampling.mixture(t.documents, "source", kind, {"src0": 3.0, "src1": 0.0}, default=1.0).select("source", rounded("weight", 9).alias(kind))
         out = m if out is None else out.join(m, "source")
     return out
 
 
 @query("select p_brand, round(avg(p_retailprice), 6) as mean_price, round(sum(p_retailprice), 4) as sum_price from part group by p_brand")
 def checked_metrics(t: Tables):
-    return t.part.groupBy("p_brand").agg(F.round(metrics.checked(F.avg("p_retailprice"), "mean_price"), 6).alias("mean_price"), F.round(metrics.checked(F.sum("p_retailprice"), "sum_price"), 4).alias("sum_price"))
+    return t.part.groupBy("p_brand").agg(rounded(metrics.checked(F.avg("p_retailprice"), "mean_price"), 6).alias("mean_price"), rounded(metrics.checked(F.sum("p_retailprice"), "sum_price"), 4).alias("sum_price"))
 
 
 @query("""select lang, [max(n_chars), max(doc_id % 13), max(length(source))] as shape from documents group by lang""")
@@ -162,21 +162,21 @@ def batch_report(t: Tables):
     seg = F.when(F.col("p_size") % 7 == 0, -1).otherwise(F.col("p_size") % 5)
     m = (F.col("p_size") > 10).cast("double")
     return t.part.groupBy("p_brand").agg(
-        F.round(F.sum(F.col("p_size") * m) / (F.sum(m) + 1e-6), 6).alias("masked_size"), F.round(F.avg((F.col("p_size") >= 40).cast("double")), 6).alias("share_truncated"), F.count_distinct(F.when(seg > 0, seg)).alias("n_segments")
+        rounded(F.sum(F.col("p_size") * m) / (F.sum(m) + 1e-6), 6).alias("masked_size"), rounded(F.avg((F.col("p_size") >= 40).cast("double")), 6).alias("share_truncated"), F.count_distinct(F.when(seg > 0, seg)).alias("n_segments")
     )
 
 
 @query("""with l as (select event_id, value, lag(value) over (partition by user_id order by ts, event_id) as before from events)
     select event_id, round(value - before, 6) as step from l where value <= 60 and before <= 60""")
 def visible_steps(t: Tables):
-    return sequences.visible_difference(t.events, ["user_id"], ORDER, "value", F.col("value") <= 60, "step").select("event_id", F.round("step", 6).alias("step"))
+    return sequences.visible_difference(t.events, ["user_id"], ORDER, "value", F.col("value") <= 60, "step").select("event_id", rounded("step", 6).alias("step"))
 
 
 @query(f"""with {_F} select event_id, round(coalesce(lag(value, 4) over w, first_value(value) over w), 6) as h3, round(coalesce(lag(value, 2) over w, first_value(value) over w), 6) as h2, round(value, 6) as h1,
       round(coalesce(lead(value, 2) over w, last_value(value) over (partition by user_id order by frame rows between unbounded preceding and unbounded following)), 6) as f1 from f window w as (partition by user_id order by frame)""")
 def strided_window(t: Tables):
     e = sequences.history_and_future(frames(t), ["user_id"], "frame", "value", history=3, future=1, stride=2)
-    return e.select("event_id", *[F.round(F.col("history")[k], 6).alias(f"h{3 - k}") for k in range(3)], F.round(F.col("future")[0], 6).alias("f1"))
+    return e.select("event_id", *[rounded(F.col("history")[k], 6).alias(f"h{3 - k}") for k in range(3)], rounded(F.col("future")[0], 6).alias("f1"))
 
 
 @query("select o_custkey, min(o_orderkey) + 2 as t from orders group by o_custkey having count(*) >= 5")
@@ -231,7 +231,7 @@ def range_union_pick(t: Tables):
       [frame + 1 >= n, frame + 2 >= n] as is_pad from f window w as (partition by user_id order by frame), x as (partition by user_id order by frame rows between unbounded preceding and unbounded following)""")
 def action_chunk(t: Tables):
     e = sequences.history_and_future(frames(t), ["user_id"], "frame", "value", history=1, future=2)
-    return e.select("event_id", F.transform("future", lambda x: F.round(x, 6)).alias("chunk"), F.array(F.col("frame") + 1 >= F.col("n"), F.col("frame") + 2 >= F.col("n")).alias("is_pad"))
+    return e.select("event_id", F.transform("future", lambda x: rounded(x, 6)).alias("chunk"), F.array(F.col("frame") + 1 >= F.col("n"), F.col("frame") + 2 >= F.col("n")).alias("is_pad"))
 
 
 @query("""select vec_id as key, list_transform([1, 2, 3], lambda k: round(cast(embedding[2] as double) + k * (cast(embedding[2] as double) - cast(embedding[1] as double)), 5)) as kept from embeddings""")
@@ -241,7 +241,7 @@ def rolling_forecast(t: Tables):
         return df.select("key", F.array(2 * b - a, 3 * b - 2 * a).alias("future"))
 
     start = t.embeddings.select(F.col("vec_id").alias("key"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("history"))
-    return schedule.rollout(start, step, rounds=3, keep=1, history=2).select("key", F.transform("kept", lambda x: F.round(x, 5)).alias("kept"))
+    return schedule.rollout(start, step, rounds=3, keep=1, history=2).select("key", F.transform("kept", lambda x: rounded(x, 5)).alias("kept"))
 
 
 @query("""with s as (select conv_id, turn, cast(length(text) as double) as v, lead(turn) over (partition by conv_id order by turn) as t2, lead(cast(length(text) as double)) over (partition by conv_id order by turn) as v2 from conversations),
@@ -250,14 +250,14 @@ def rolling_forecast(t: Tables):
 def resampled(t: Tables):
     c = t.conversations.select("conv_id", F.col("turn").cast("double").alias("turn"), F.length("text").cast("double").alias("v"))
     grid = c.select("conv_id", F.explode(F.array(F.col("turn"), F.col("turn") + 0.25)).alias("t"))
-    return schedule.resample(c, ["conv_id"], "turn", "v", grid, "t").select("conv_id", "t", F.round("v", 6).alias("v"))
+    return schedule.resample(c, ["conv_id"], "turn", "v", grid, "t").select("conv_id", "t", rounded("v", 6).alias("v"))
 
 
 @query(f"""with {_F}, m as (select frame, avg(value) over (partition by user_id order by frame rows between 4 preceding and current row) as m from f)
     select frame, round(avg(m), 6) as node_mean, count(*) as n_nodes from m group by frame""")
 def node_mean(t: Tables):
     m = sequences.trailing_mean(frames(t), ["user_id"], ["frame"], "value", 5, "m")
-    return m.groupBy("frame").agg(F.round(F.avg("m"), 6).alias("node_mean"), F.count("*").alias("n_nodes"))
+    return m.groupBy("frame").agg(rounded(F.avg("m"), 6).alias("node_mean"), F.count("*").alias("n_nodes"))
 
 
 @query("""select doc_id, text from (select doc_id, source as text from documents where lang = 'fr') order by doc_id limit 25""")

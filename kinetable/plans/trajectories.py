@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import joins, metrics, sequences
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 ORDER = ["ts", "event_id"]
 _E = """e as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as frame,
@@ -28,7 +28,7 @@ def errors(t: Tables):
       count(distinct user_id) as n_clips from l""")
 def traj_score(t: Tables):
     s = metrics.trajectory_scores(errors(t), ["user_id"], "frame", "err", ["user_id"], [1, 2, 5, 10, 20])
-    return s.select(*[F.round(c, 6).alias(c) for c in ("ade", "fde", "pwt")], "n_clips")
+    return s.select(*[rounded(c, 6).alias(c) for c in ("ade", "fde", "pwt")], "n_clips")
 
 
 @query(f"""with {_E}, i as (select user_id, event_type, sum(err * (value + 1)) / sum(value + 1) as m from e
@@ -36,14 +36,14 @@ def traj_score(t: Tables):
     select event_type, round(avg(m), 6) as mean_value, count(*) as n_items from i group by grouping sets ((event_type), ())""")
 def traj_score_by_type(t: Tables):
     e = errors(t).where("err is not null").withColumn("w", F.col("value") + 1)
-    return metrics.rollup_weighted(e, ["user_id"], "event_type", "err", "w").withColumn("mean_value", F.round("mean_value", 6))
+    return metrics.rollup_weighted(e, ["user_id"], "event_type", "err", "w").withColumn("mean_value", rounded("mean_value", 6))
 
 
 @query(f"""with {_E}, r as (select user_id, avg(err) as l2, sum(err * err) / count(*) as mse, count(*) as n from e where err is not null group by user_id)
     select user_id, round(l2, 6) as l2, round(mse, 6) as mse, n as n_visible from r""")
 def record_errors(t: Tables):
     e = errors(t).where("err is not null")
-    return e.groupBy("user_id").agg(F.round(F.avg("err"), 6).alias("l2"), F.round(F.sum(F.col("err") * F.col("err")) / F.count("*"), 6).alias("mse"), F.count("*").alias("n_visible"))
+    return e.groupBy("user_id").agg(rounded(F.avg("err"), 6).alias("l2"), rounded(F.sum(F.col("err") * F.col("err")) / F.count("*"), 6).alias("mse"), F.count("*").alias("n_visible"))
 
 
 @query("""with d as (select *, date_trunc('hour', ts) as h from events),
@@ -51,7 +51,7 @@ def record_errors(t: Tables):
     select d.h as hour, round(coalesce(avg(case when n < 5 or value <= p then value end), 0), 6) as trimmed from d join p using (h) group by d.h""")
 def trimmed_motion(t: Tables):
     e = t.events.withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return metrics.trimmed_mean(e, ["hour"], "value").withColumn("trimmed", F.round("trimmed", 6))
+    return metrics.trimmed_mean(e, ["hour"], "value").withColumn("trimmed", rounded("trimmed", 6))
 
 
 @query(f"""with {_E}, a as (select user_id, frame, frame - row_number() over (partition by user_id order by frame) as g from e where value >= 10),
@@ -70,7 +70,7 @@ def motion_segments(t: Tables):
 def frame_window(t: Tables):
     e = sequences.frame_index(t.events, ["user_id"], ORDER)
     e = sequences.history_and_future(e, ["user_id"], "frame", "value", history=3, future=1)
-    return e.select("event_id", F.round(F.col("history")[0], 6).alias("h2"), F.round(F.col("history")[1], 6).alias("h1"), F.round(F.col("future")[0], 6).alias("f1"))
+    return e.select("event_id", rounded(F.col("history")[0], 6).alias("h2"), rounded(F.col("history")[1], 6).alias("h1"), rounded(F.col("future")[0], 6).alias("f1"))
 
 
 @query("""with c as (select o_custkey, count(*) as n from orders group by o_custkey),
@@ -103,7 +103,7 @@ def asof_price(t: Tables):
 def nearest_event(t: Tables):
     s = t.events.withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     a, b = s.where("event_type = 'purchase'").select("event_id", "user_id", "s"), s.where("event_type = 'view'").select("user_id", "s", F.col("event_id").alias("o"))
-    return joins.nearest_join(a, b, ["user_id"], "s", "event_id", "o", 7200.0).select("event_id", "near_o", F.round("gap", 3).alias("gap"))
+    return joins.nearest_join(a, b, ["user_id"], "s", "event_id", "o", 7200.0).select("event_id", "near_o", rounded("gap", 3).alias("gap"))
 
 
 @query("""with s as (select user_id, min(ts) as a, max(ts) as b from events where event_type = 'view' group by user_id)
@@ -121,7 +121,7 @@ def trailing_mean(t: Tables):
     w = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(-4, 0)
     s = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     rate = F.sum("value").over(w) / F.greatest(F.lit(1e-3), s(F.col("ts")) - s(F.first("ts").over(w)))
-    return e.select("event_id", F.round("mean5", 6).alias("mean5"), F.round(rate, 6).alias("rate5"))
+    return e.select("event_id", rounded("mean5", 6).alias("mean5"), rounded(rate, 6).alias("rate5"))
 
 
 @query("""with f as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as a,
@@ -148,13 +148,13 @@ def reindex_first_seen(t: Tables):
 
 @query("""select event_id, round(value - first_value(value) over (partition by user_id order by ts, event_id), 6) as delta from events""")
 def anchor_delta(t: Tables):
-    return sequences.from_anchor(t.events, ["user_id"], ORDER, "value", "delta").select("event_id", F.round("delta", 6).alias("delta"))
+    return sequences.from_anchor(t.events, ["user_id"], ORDER, "value", "delta").select("event_id", rounded("delta", 6).alias("delta"))
 
 
 @query("""select event_id, round(last_value(case when value >= 20 then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 6) as filled from events""")
 def forward_fill(t: Tables):
     w = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", F.round(F.last(F.when(F.col("value") >= 20, F.col("value")), ignorenulls=True).over(w), 6).alias("filled"))
+    return t.events.select("event_id", rounded(F.last(F.when(F.col("value") >= 20, F.col("value")), ignorenulls=True).over(w), 6).alias("filled"))
 
 
 _TRACKS = """q as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as f, cast(round_even(value * 10, 0) as bigint) as x from events),
@@ -210,7 +210,7 @@ _ROUNDED = ", ".join(f"round(w{k}, 6) as within_{k}, round(j{k}, 6) as jaccard_{
     select user_id, round(oa, 6) as occlusion_accuracy, {_ROUNDED}, round((w1 + w2 + w4 + w8 + w16) / 5, 6) as within_average, round((j1 + j2 + j4 + j8 + j16) / 5, 6) as jaccard_average from k""")
 def tapvid(t: Tables):
     r = _tap(t)
-    return r.select("user_id", *[F.round(c, 6).alias(c) for c in r.columns if c != "user_id"])
+    return r.select("user_id", *[rounded(c, 6).alias(c) for c in r.columns if c != "user_id"])
 
 
 @query("""with r as (select user_id, cast(ts as date) as d, count(*) as a from events where event_type = 'view' group by 1, 2),
@@ -224,7 +224,7 @@ def frame_full_outer(t: Tables):
 
 @query("""select time_bucket(interval '1 hour', ts) as "start", event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2""")
 def tumbling(t: Tables):
-    w = t.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    w = t.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), rounded(F.sum("value"), 6).alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 

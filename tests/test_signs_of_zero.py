@@ -32,6 +32,7 @@ NAMES = [
     "depth_resize",
     "clean_coordinates",
     "exported_tracks",
+    "rolling_forecast",
 ]
 
 
