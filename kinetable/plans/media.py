@@ -16,7 +16,7 @@ from ..operators import joins
 from ..sources import exr, hdf5, pictures, video
 from ..sources.files import write_files
 from ..storage import new_folder
-from .registry import Tables, query
+from .registry import Tables, query, rounded
 
 #: A file for each user, a sample for each event: every second and third sample of three are shown in
 #: the other order, every fifth can be decoded alone, and sizes follow from the event's id.
@@ -76,7 +76,7 @@ def video_trims(t: Tables):
     n = t.events.groupBy("user_id").count().where("count >= 6")
     name = F.format_string("u%d.mp4", "user_id")
     cut = video.trim_videos(t.spark, folder, n.select(name.alias("file"), F.lit(2).alias("first"), (F.col("count") - 3).alias("last"), name.alias("path")), new_folder(t.spark, "trims"))
-    return video.read_videos(t.spark, cut).select("file", "frame", F.round("begin", 6).alias("begin"), F.round("end", 6).alias("end"), "size")
+    return video.read_videos(t.spark, cut).select("file", "frame", rounded("begin", 6).alias("begin"), rounded("end", 6).alias("end"), "size")
 
 
 @query("""select 'label' || cast(label as varchar) || '.zip' as file, vec_id as frame, 8 as height, 8 as width, round(list_sum([x::double for x in embedding]), 4) as total, round(embedding[9]::double, 6) as second_line from embeddings where vec_id % 3 = 0""")
@@ -96,7 +96,7 @@ def exr_depth(t: Tables):
     wanted = t.embeddings.where("vec_id % 3 = 0").select(F.format_string("label%d.zip", "label").alias("file"), F.explode(F.array("vec_id", F.col("vec_id") + 40_000_000)).alias("frame"))
     d = exr.read_depth(t.spark, folder, wanted)
     total = F.aggregate("depth", F.lit(0.0), lambda a, x: a + x)
-    return d.select("file", "frame", "height", "width", F.round(total, 4).alias("total"), F.round(F.get("depth", F.lit(8)).cast("double"), 6).alias("second_line"))
+    return d.select("file", "frame", "height", "width", rounded(total, 4).alias("total"), rounded(F.get("depth", F.lit(8)).cast("double"), 6).alias("second_line"))
 
 
 @query("""with r as (select label, vec_id, embedding, vec_id % 2 as cam, row_number() over (partition by label, vec_id % 2 order by vec_id) - 1 as row from embeddings)

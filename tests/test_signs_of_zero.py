@@ -21,7 +21,7 @@ def signed(x):
 def folder(tmp_path_factory):
     """Vectors with places just below and above zero."""
     out = tmp_path_factory.mktemp("signs")
-    values = [[(-1) ** (i + j) * (1e-8 if (i + j) % 3 else 0.25) * (1 + j % 5) for j in range(64)] for i in range(40)]
+    values = [[(-1 if i % 4 == 0 else (-1) ** (i + j)) * (1e-8 if i % 4 == 0 or (i + j) % 3 else 0.25) * (1 + j % 5) for j in range(64)] for i in range(40)]
     t = pa.table({"vec_id": pa.array(range(40)), "embedding": pa.array(values, pa.list_(pa.float32())), "label": pa.array([i % 3 for i in range(40)], pa.int32())})
     pq.write_table(t, f"{out}/embeddings.parquet")
     return str(out)
