@@ -107,7 +107,8 @@ def hdf5_depth(t: Tables):
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         w, cams = hdf5.Writer(), {}
         for cam, g in pdf.sort_values("vec_id").groupby("cam"):
-            mm = np.round(np.abs(np.stack(g["embedding"].to_numpy()).astype(float)) * 1000).astype(np.uint16).reshape(-1, 8, 8)
+            mm = np.abs(np.stack(g["embedding"].to_numpy()).astype(float)) * 1000
+            mm = (np.floor(mm) + (mm % 1 >= 0.5)).astype(np.uint16).reshape(-1, 8, 8)  # halves up
             cams[f"cam{cam}+ext"] = w.group({"depth": w.array(mm, (3, 5, 8), bool(cam))})
         return pd.DataFrame({"path": [f"ep{key[0]}.h5"], "content": [w.finish(w.group(cams))]})
 
