@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows whose tokens a task has as values at once; an Arrow batch may hold 10,000.
+FEW = 64
+
+
 @dataclass(frozen=True)
 class Marks:
     """Ids of the picture's place in a text, and of the tokens that a picture is made of."""
@@ -70,14 +74,17 @@ def interleaved(df: DataFrame, key: str, ids: str, loss: str, grids: str, pool:
     patches. ``grids``: array of structs of height and width, in patches; null is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, x, g in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True):
-                t, loss_, index = sequence(np.array(i or [], np.int64), np.array(x or [], np.int64), [tuple(v.values()) for v in g or []], pool, marks)
-                out.append((t[:-1], t[1:], loss_[1:], np.arange(max(0, len(t) - 1)), index.tolist()))
-            flat = pa.list_(pa.int64())
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, [flat] * 4 + [pa.list_(flat)], strict=True)]], ["key", "input_tokens", "target_tokens", "loss_masks", "position_ids", "pooled"])
+        flat, numbers = pa.list_(pa.int64()), lambda v: v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, np.int64)
+        for whole in batches:
+            for k in range(0, whole.num_rows, FEW):
+                b, out = whole.slice(k, FEW), []
+                for i, x, g in zip(b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
+                    t, loss_, index = sequence(numbers(i), numbers(x), [tuple(v.values()) for v in g or []], pool, marks)
+                    out.append((t[:-1], t[1:], loss_[1:], np.arange(max(0, len(t) - 1)), index))
+                cols = [pa.array(c, flat) for c in list(zip(*out, strict=True))[:4]]
+                each = pa.ListArray.from_arrays(np.cumsum([0, *[n for o in out for n in [o[4].shape[1]] * len(o[4])]]).astype(np.int32), pa.array(np.concatenate([o[4].ravel() for o in out]).astype(np.int64)))
+                cols.append(pa.ListArray.from_arrays(np.cumsum([0, *[len(o[4]) for o in out]]).astype(np.int32), each))
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["key", "input_tokens", "target_tokens", "loss_masks", "position_ids", "pooled"])
 
     x = df.select(F.col(key).alias("key"), F.col(ids).cast("array<long>"), F.col(loss).cast("array<long>"), grids)
     schema = f"key {df.schema[key].dataType.simpleString()}, input_tokens array<long>, target_tokens array<long>, loss_masks array<long>, position_ids array<long>, pooled array<array<long>>"
