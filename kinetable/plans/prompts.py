@@ -65,10 +65,10 @@ def frame_rate(t: Tables):
     select p_partkey, r as tile_rows, c as tile_columns from k where k = 1""")
 def tiling(t: Tables):
     cells = [(r, c) for r in range(1, 7) for c in range(1, 7) if r * c <= 8]
-    options = F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(c).cast("long").alias("c")) for r, c in cells])).alias("o")
-    scale = F.least(F.lit(1.0), F.col("o.c") * 336.0 / (200 + F.col("p_size") * 40), F.col("o.r") * 336.0 / (150 + F.col("p_partkey") % 900))
-    best = F.max_by("o", F.struct(scale, -(F.col("o.r") * F.col("o.c")), -F.col("o.r")))
-    return t.part.select("p_partkey", "p_size", options).groupBy("p_partkey").agg(best.alias("o")).select("p_partkey", F.col("o.r").alias("tile_rows"), F.col("o.c").alias("tile_columns"))
+    options = F.array(*[F.struct(F.lit(r).cast("long").alias("r"), F.lit(c).cast("long").alias("c")) for r, c in cells])
+    scale = lambda o: F.least(F.lit(1.0), o["c"] * 336.0 / (200 + F.col("p_size") * 40), o["r"] * 336.0 / (150 + F.col("p_partkey") % 900))
+    best = F.array_max(F.transform(options, lambda o: F.struct(scale(o).alias("scale"), (-o["r"] * o["c"]).alias("few"), (-o["r"]).alias("flat"), o.alias("o"))))["o"]
+    return t.part.select("p_partkey", best.alias("o")).select("p_partkey", F.col("o.r").alias("tile_rows"), F.col("o.c").alias("tile_columns"))
 
 
 @query(f"""with c as (select s_nationkey, list(s_suppkey order by s_suppkey) as x from supplier group by s_nationkey)
