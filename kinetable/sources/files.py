@@ -9,6 +9,8 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -54,6 +56,37 @@ def write_files(df: DataFrame, folder: str) -> str:
     return folder
 
 
+def file_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """(file, its rows) of batches that are in order of their column ``file``."""
+    name, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        runs = pc.run_end_encode(b.column("file"))
+        begin = 0
+        for own, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if held and own != name:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = own
+            held.append(b.slice(begin, end - begin))
+            begin = end
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
+def write_grouped(rows: DataFrame, folder: str, build: Callable[[pa.Table], bytes]) -> str:
+    """Write what ``build`` makes of the rows of each ``file``, a file each. Rows meet by a sort, so a
+    task has a batch and one file's rows at a time, and many small files cost no group each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, group in file_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([build(group)], pa.binary())], ["path", "content"])
+
+    sorted_ = rows.repartition("file").sortWithinPartitions("file")
+    return write_files(sorted_.mapInArrow(run, "path string, content binary"), folder)
+
+
 def retried(call: Callable, attempts: int = 3, wait: float = 0.2):
     """The result of a call that may fail and is then tried again, after a longer wait each time."""
     for k in range(attempts):

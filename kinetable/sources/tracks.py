@@ -22,7 +22,7 @@ from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from .files import BlobWriter, write_files
+from .files import BlobWriter, write_files, write_grouped
 from .stores import store
 
 SCHEMA = "file string, obj string, point_id int, frame int, x float, y float, z float, visible boolean, object_id int"
@@ -149,17 +149,16 @@ def write_tracks(df: DataFrame, folder: str, points: str = "points_3d", visible:
     ``extra``: further arrays, the same in each."""
     names = [c for c in (*_NAMES,) if c in df.columns]
 
-    def build(key, group):
-        cols = {c: group[c].to_numpy(zero_copy_only=False) for c in names if c not in ("file", "obj")}
+    def build(group: pa.Table) -> bytes:
+        cols = {c: group[c].to_numpy() for c in names if c not in ("file", "obj")}
         for c in ("x", "y", "z"):
             if c in cols:
                 cols[c] = cols[c].astype(float)
         obj = np.array(group["obj"].to_pylist(), object)
         objects = {o: {c: v[obj == o] for c, v in cols.items()} for o in sorted(set(obj.tolist()))}
-        content = archive_bytes(objects, points, visible, layout, dims, extra)
-        return pa.table({"path": pa.array([key[0].as_py()]), "content": pa.array([content], pa.binary())})
+        return archive_bytes(objects, points, visible, layout, dims, extra)
 
-    return write_files(df.select(*names).groupBy("file").applyInArrow(build, "path string, content binary"), folder)
+    return write_grouped(df.select(*names), folder, build)
 
 
 class Archive(InputPartition):
