@@ -26,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -152,19 +153,47 @@ class _Entries(dict):
         return k
 
 
-def _contexts(m: Model, of: _Entries, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Classes of the two words before, entry, and number of tokens of each text; the end mark is
-    a token, and a text starts with two of them as context."""
+class _Places(dict):
+    """Place of a word in the arrays ``entry`` (of the vocabulary), ``log`` (of its count and one) and
+    ``inside`` (its part of a tail): first the ``heads``, then the end mark if it is none of them,
+    and from ``known`` on a place a tail for all other words."""
+
+    def __init__(self, m: Model):
+        super().__init__((w, i) for i, w in enumerate(m.head))
+        self.heads = len(self)
+        self.setdefault(END.encode(), self.heads)
+        self.known, self.tails, self.bound = len(self), m.tails, len(self) + 200_000
+        own, tails = {w: i for i, w in enumerate(m.words)}, len(m.words)
+        entry = [own[w] if w in own else tails + tail_of(w, m.tails) for w in self]
+        self.entry = np.array([*entry, *range(tails, tails + m.tails)], np.int32)
+        self.log = np.zeros(len(self.entry))
+        self.log[: self.heads] = np.log10(np.fromiter(m.head.values(), float, self.heads) + 1)
+        self.inside = np.where(self.entry < tails, 0.0, self.log - np.r_[np.zeros(tails), np.log10(m.tail_total + 1)][self.entry])
+
+    def __missing__(self, word: bytes) -> int:
+        k = self.known + tail_of(word, self.tails)
+        if len(self) < self.bound:  # words met later are looked up each time
+            self[word] = k
+        return k
+
+
+def _numbers(get, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``get`` says of each word and of the end mark of each text, and how many these are."""
     n = np.array([len(w) + 1 for w in texts], np.int64)
-    get = of.__getitem__
-    entry = np.fromiter((k for w in texts for k in (*map(get, w), 0)), np.int32, int(n.sum()))
+    ends = itertools.repeat((END.encode(),))
+    return np.fromiter(map(get, itertools.chain.from_iterable(itertools.chain.from_iterable(zip(texts, ends)))), np.int32, int(n.sum())), n
+
+
+def _contexts(m: Model, entry: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Classes of the two words before, and entry, of each token, with the number of tokens of each
+    text; the end mark is a token, and a text starts with two of them as context."""
     start = np.cumsum(n) - n
     cls = m.class_of[entry]
     two = np.r_[np.int32(0), cls[:-1]]
     two[start] = 0
     one = np.r_[np.int32(0), two[:-1]]
     one[start] = 0
-    return one, two, entry, n
+    return one, two, entry
 
 
 class Learner:
@@ -178,38 +207,47 @@ class Learner:
         self.log_noise = np.log(ODDS * m.noise).astype(np.float32)
         self.cum, self.steps = np.cumsum(m.noise), 0
 
-    def _move(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        """One step of the rows, which may repeat, against their gradients."""
-        order = np.argsort(rows.astype(np.uint16) if len(self.met[name]) <= 1 << 16 else rows, kind="stable")  # of 16 bits by radix
+    def _sums(self, rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that occur (of ``n``), how often, and the sums of their values."""
+        order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")  # of 16 bits by radix
         r = rows[order]
         edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        own, g = r[edge], np.add.reduceat(grad[order], edge, axis=0)
-        self.speed[name][own] += (g * g).mean(1)
-        self.met[name][own] += np.diff(np.r_[edge, len(r)])
+        return r[edge], np.diff(np.r_[edge, len(r)]), np.add.reduceat(values[order], edge, axis=0)
+
+    def _move(self, name: str, own: np.ndarray, times: np.ndarray, g: np.ndarray) -> None:
+        """One step of the rows against their gradients."""
+        self.speed[name][own] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.met[name][own] += times
         self.p[name][own] += self.rate * g / np.sqrt(self.speed[name][own])[:, None]
 
     def step(self, one: np.ndarray, two: np.ndarray, entry: np.ndarray) -> None:
         p, n = self.p, len(entry)
         fake = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
-        a, b = p["context"][one], p["context"][two]
-        at = p["positions"]
-        h = a @ at[:DIM] + b @ at[DIM:]
-        t, f = p["target"][entry], p["target"][fake]
-        true = np.einsum("ij,ij->i", h, t) + p["bias"][entry, 0] - self.log_noise[entry]
+        context, at = p["context"], p["positions"]
+        # few classes stand for many tokens: what is linear is done once a class
+        h = np.ones((n, DIM + 1), np.float32)
+        np.add((context @ at[:DIM])[one], (context @ at[DIM:])[two], out=h[:, :DIM])
+        t, f = (np.concatenate([p["target"][i], p["bias"][i] - self.log_noise[i, None]], 1) for i in (entry, fake))
+        true = np.einsum("ij,ij->i", h, t)
         up = (1 / (n + n * np.exp(np.clip(true, -30, 30)))).astype(np.float32)
-        down = h @ f.T  # the one large matrix: worked on in place
-        down += p["bias"][fake, 0] - self.log_noise[fake]
-        np.negative(down, out=down)
-        np.exp(np.minimum(down, 80, out=down), out=down)
+        with np.errstate(over="ignore"):  # where the exponential overflows, the inverse is zero
+            down = np.exp(h @ -f.T)  # the one large matrix: worked on in place
         down += 1
         np.divide(np.float32(-ODDS / NOISE / n), down, out=down)
-        back = up[:, None] * t + down @ f
-        rows = np.r_[entry, fake]
-        self._move("target", rows, np.concatenate([up[:, None] * h, down.T @ h]))
-        self._move("bias", rows, np.r_[up, down.sum(0)][:, None])
-        grad = np.concatenate([a.T @ back, b.T @ back])
-        self._move("context", np.r_[one, two], np.concatenate([back @ at[:DIM].T, back @ at[DIM:].T]))
-        self._move("positions", np.arange(2 * DIM), grad)
+        back = up[:, None] * t[:, :DIM] + down @ f[:, :DIM]
+        # the last column of h is one, so that of the gradients is the bias's
+        own, times, g = self._sums(np.r_[entry, fake], np.concatenate([up[:, None] * h, down.T @ h]), len(self.log_noise))
+        self._move("target", own, times, g[:, :DIM])
+        self._move("bias", own, times, g[:, DIM:])
+        first, second = (np.zeros_like(context) for _ in range(2))
+        for rows, out in ((one, first), (two, second)):
+            own, times, g = self._sums(rows, back, len(context))
+            out[own] = g
+            self.met["context"][own] += times
+        grad = np.concatenate([context.T @ first, context.T @ second])
+        own = np.flatnonzero(np.bincount(one, minlength=len(context)) + np.bincount(two, minlength=len(context)))
+        self._move("context", own, 0, first[own] @ at[:DIM].T + second[own] @ at[DIM:].T)
+        self._move("positions", np.arange(2 * DIM), 1, grad)
         self.steps += 1
 
     def run(self, one: np.ndarray, two: np.ndarray, entry: np.ndarray) -> None:
@@ -227,7 +265,7 @@ def _learn(shared, round_: int, rate: float):
         of, task = _Entries(m), TaskContext.get().partitionId()
         learner, first = Learner(m, rate, 1000 * round_ + task % 997), None
         for b in text_groups(batches):
-            held = _contexts(m, of, [words_of(t) for t in texts_of(b)])[:3]
+            held = _contexts(m, *_numbers(of.__getitem__, [words_of(t) for t in texts_of(b)]))
             first = held if first is None else first
             learner.run(*held)
         while first is not None and learner.steps < LEAST_STEPS:
@@ -344,36 +382,25 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        head = m.head if m else {}
-        of = _Entries(m) if m else None
-        own = of.own if m else {}
-        known = {w: float(np.log10(n + 1)) for w, n in head.items()}
-        tail_cost = np.r_[np.zeros(len(m.words)), np.log10(m.tail_total + 1)] if m else None
-        end = known.get(END.encode(), 0.0)
+        of = _Places(m) if m else None
         for b in text_groups(batches):
             texts = [words_of(t) for t in texts_of(b)]
-            by_entry = np.zeros(len(texts))
-            if m:
-                one, two, entry, n = _contexts(m, of, texts)
-                by_entry = np.add.reduceat(m.log_probability(one, two, entry) - tail_cost[entry], np.cumsum(n) - n)
-            rows = []
-            for words in texts:
-                inside = outside = 0.0
-                rare, n_head = {}, 1 if END.encode() in head else 0
-                for w, n in Counter(words).items():
-                    v = known.get(w)
-                    if v is None:
-                        rare[w] = n
-                        continue
-                    n_head += n
-                    if w in own:
-                        outside += n * v
-                    else:
-                        inside += n * v
-                rows.append((len(words) + 1, n_head, inside + outside + end, inside, [w.decode() for w in rare], list(rare.values())))
+            if not m:
+                rows = [(len(w) + 1, 0, 0.0, 0.0, list(c), list(c.values())) for w in texts for c in (Counter(x.decode() for x in w),)]
+            else:
+                place, n = _numbers(of.__getitem__, texts)
+                start = np.cumsum(n) - n
+                entry, rare = of.entry[place], np.flatnonzero(place >= of.known)
+                gained = m.log_probability(*_contexts(m, entry, n)) + of.inside[place]
+                total, log, found = (np.add.reduceat(v, start) for v in (of.log[place], gained, (place < of.heads).astype(np.int64)))
+                cut, rows = np.searchsorted(rare, np.r_[start, len(place)]).tolist(), []
+                rare = (rare - np.repeat(start, np.diff(cut))).tolist()
+                for i, words in enumerate(texts):
+                    c = Counter([words[k] for k in rare[cut[i] : cut[i + 1]]])
+                    rows.append((n[i], found[i], total[i], log[i], [w.decode() for w in c], list(c.values())))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(by_entry + np.array(cols[3])), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.list_(pa.int64()))],
                 ["doc_id", "held_out", "n_tokens", "n_head", "all_log", "model_log", "words", "times"],
             )
 

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from kinetable.llm import langid
+from kinetable.llm import langid, lbl
 
 TEXTS = ["Das ist ein Haus, 1 von 20!", "a", "", "ÀÉî  ß\n", "the THE the", "x" * 3000]
 
@@ -89,3 +89,42 @@ def test_held_out_rows_are_never_learnt_from(spark):
     wrong = spark.createDataFrame([(i, t, "xx" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows], plain.schema)
     a, b = langid.train(plain), langid.train(wrong)
     assert a.languages == b.languages == ["de", "en"] and np.allclose(a.weights, b.weights)
+
+
+def test_a_step_does_linear_work_once_a_class_and_is_the_plain_step():
+    r = np.random.default_rng(4)
+    words = [b"\n", *[b"w%d" % i for i in range(60)]]
+    m = lbl.Model(words, 20, 4, np.r_[1000 / np.arange(1, 62), [5.0, 3, 2, 1]], 5000, 90, np.ones(4), {})
+    m.start()
+    one, two, entry = (r.integers(0, n, 500).astype(np.int32) for n in (24, 24, 65))
+    learner = lbl.Learner(m, 0.1, 7)
+    seen = []
+
+    class Seen(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *args, **kw):
+            if ufunc is np.matmul:
+                seen.append(len(args[0]))
+            return getattr(ufunc, method)(*[np.asarray(a) for a in args], **{k: v for k, v in kw.items() if k != "out"})
+
+    learner.p["positions"] = learner.p["positions"].view(Seen)
+    fake = np.minimum(np.searchsorted(np.cumsum(m.noise), np.random.default_rng(7).random(lbl.NOISE)), 64)
+    p, at = m.params, m.params["positions"]
+    h = p["context"][one] @ at[:32] + p["context"][two] @ at[32:]
+    score = lambda e, x: 1 / (1 + np.exp(-x - p["bias"][e, 0] + np.log(lbl.ODDS * m.noise[e])))
+    up = (1 - score(entry, np.einsum("ij,ij->i", h, p["target"][entry]))) / 500
+    down = -lbl.ODDS / lbl.NOISE / 500 * score(fake, h @ p["target"][fake].T)
+    back = up[:, None] * p["target"][entry] + down @ p["target"][fake]
+    grad = {k: np.zeros(v.shape) for k, v in p.items()}
+    np.add.at(grad["target"], entry, up[:, None] * h)
+    np.add.at(grad["target"], fake, down.T @ h)
+    np.add.at(grad["bias"][:, 0], entry, up)
+    np.add.at(grad["bias"][:, 0], fake, down.sum(0))
+    np.add.at(grad["context"], one, back @ at[:32].T)
+    np.add.at(grad["context"], two, back @ at[32:].T)
+    grad["positions"] = np.concatenate([p["context"][one].T @ back, p["context"][two].T @ back])
+    learner.step(one, two, entry)
+    for k, g in grad.items():
+        want = p[k] + 0.1 * g / np.sqrt(1e-8 + (g * g).mean(1))[:, None]
+        assert np.allclose(np.asarray(learner.p[k]), want, atol=2e-4), k
+    assert (learner.met["context"] == np.bincount(one, minlength=24) + np.bincount(two, minlength=24)).all()
+    assert seen and max(seen) <= 24  # products with the positions have a row a class, not a token
