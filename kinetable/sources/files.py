@@ -75,16 +75,27 @@ def file_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Tab
         yield name, pa.Table.from_batches(held)
 
 
-def write_grouped(rows: DataFrame, folder: str, build: Callable[[pa.Table], bytes]) -> str:
-    """Write what ``build`` makes of the rows of each ``file``, a file each. Rows meet by a sort, so a
-    task has a batch and one file's rows at a time, and many small files cost no group each."""
+def write_made(rows: DataFrame, folder: str, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, bytes]]]) -> str:
+    """Write the files (path, content) that ``make`` gives of the rows, one at a time in the task that
+    makes them: contents go to no other process, and a task holds one, however many it makes."""
+    store(folder)  # an unknown store is an error before any row is made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, group in file_groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([build(group)], pa.binary())], ["path", "content"])
+        n = 0
+        for path, content in make(batches):
+            put(inside(folder, path), content)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows.mapInArrow(run, "n long").write.format("noop").mode("append").save()
+    return folder
 
+
+def write_grouped(rows: DataFrame, folder: str, build: Callable[[pa.Table], bytes]) -> str:
+    """Write what ``build`` makes of the rows of each ``file``, a file each. Rows meet by a sort, so a
+    task has a batch and one file's rows at a time, and many small files cost no group each."""
     sorted_ = rows.repartition("file").sortWithinPartitions("file")
-    return write_files(sorted_.mapInArrow(run, "path string, content binary"), folder)
+    return write_made(sorted_, folder, lambda batches: ((name, build(group)) for name, group in file_groups(batches)))
 
 
 def retried(call: Callable, attempts: int = 3, wait: float = 0.2):
