@@ -71,8 +71,8 @@ def track_batch(file: str, obj: str, p: np.ndarray, seen: np.ndarray | None, lay
     n, t = ok.shape
     xyz = [pa.array(p[..., k].ravel(), mask=~np.isfinite(p[..., k].ravel())) if k < p.shape[2] else pa.nulls(n * t, pa.float32()) for k in range(3)]
     ids = pa.array(np.repeat(np.asarray(object_ids, np.int32), t)) if object_ids is not None else pa.nulls(n * t, pa.int32())
-    cols = [[file] * (n * t), [obj] * (n * t), np.repeat(np.arange(n), t), np.tile(np.arange(t), n)]
-    cols = [pa.array(c, k) for c, k in zip(cols, _KINDS, strict=False)] + xyz + [pa.array(ok.ravel()), ids]
+    cols = [pa.repeat(pa.scalar(v, pa.string()), n * t) for v in (file, obj)] + [pa.array(v.astype(np.int32)) for v in (np.repeat(np.arange(n), t), np.tile(np.arange(t), n))]
+    cols += [*xyz, pa.array(ok.ravel()), ids]
     return pa.RecordBatch.from_arrays(cols, _NAMES)
 
 
@@ -89,13 +89,29 @@ def archive_batches(file: str, content: bytes, points: str = "points_3d", visibl
         yield track_batch(file, obj, p[obj], seen.get(obj), layout, stride, ids if len(p) == 1 else None)
 
 
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, but for the last: small archives cost no batch each."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def read_tracks(spark: SparkSession, folder: str, pattern: str = "*.npz", **options) -> DataFrame:
     """Rows of all archives of a folder; options as of ``archive_batches``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield from archive_batches(path.rpartition("/")[2], content, **options)
+            for path, content in zip(b.column(0), b.column(1), strict=True):  # a content at a time
+                yield from archive_batches(path.as_py().rpartition("/")[2], content.as_py(), **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from joined(every(batches))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return files.select("path", "content").mapInArrow(run, SCHEMA)
