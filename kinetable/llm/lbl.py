@@ -197,57 +197,84 @@ def _contexts(m: Model, entry: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, .
 
 
 class Learner:
-    """Mini-batch steps of noise-contrastive estimation on a copy of the model's vectors."""
+    """Mini-batch steps of noise-contrastive estimation on a copy of the model's vectors. What a
+    step fills is allocated once: fresh arrays of this size cost more in page faults than the sums
+    in them."""
 
     def __init__(self, m: Model, rate: float, seed: int):
         self.m, self.rate, self.rng = m, rate, np.random.default_rng(seed)
-        self.p = {k: v.copy() for k, v in m.params.items()}
+        # an entry's vector and bias lie in one row, so that they are gathered and moved at once
+        self.joint = np.concatenate([m.params["target"], m.params["bias"]], 1)
+        self.p = {k: m.params[k].copy() for k in ("context", "positions")} | {"target": self.joint[:, :DIM], "bias": self.joint[:, DIM:]}
         self.speed = {k: np.full(len(v), 1e-8, np.float32) for k, v in self.p.items()}
         self.met = {k: np.zeros(len(v), np.float32) for k, v in self.p.items()}
         self.log_noise = np.log(ODDS * m.noise).astype(np.float32)
         self.cum, self.steps = np.cumsum(m.noise), 0
-
-    def _sums(self, rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows that occur (of ``n``), how often, and the sums of their values."""
+        c, new = len(self.p["context"]), lambda *shape: np.empty(shape, np.float32)
+        self.first, self.second = np.zeros((c, DIM + 1), np.float32), np.ones((c, DIM + 1), np.float32)  # last columns add up to one
+        self.h, self.other, self.t, self.f = (new(k, DIM + 1) for k in (BATCH, BATCH, BATCH, NOISE))
+        self.down, self.back, self.part = new(BATCH, NOISE), new(BATCH, DIM), new(BATCH, DIM)
+        self.values, self.sorted = new(BATCH + NOISE, DIM + 1), new(BATCH + NOISE, DIM + 1)
+        self.sorted_back = new(BATCH, DIM)
+
+    @staticmethod
+    def _sums(rows: np.ndarray, values: np.ndarray, n: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that occur (of ``n``), how often, and the sums of their values, sorted into ``held``."""
         order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")  # of 16 bits by radix
         r = rows[order]
         edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        return r[edge], np.diff(np.r_[edge, len(r)]), np.add.reduceat(values[order], edge, axis=0)
+        held = np.take(values, order, 0, out=held[: len(r)], mode="clip")  # with another mode a copy is made
+        return r[edge], np.diff(np.r_[edge, len(r)]), np.add.reduceat(held, edge, axis=0)
 
-    def _move(self, name: str, own: np.ndarray, times: np.ndarray, g: np.ndarray) -> None:
-        """One step of the rows against their gradients."""
-        self.speed[name][own] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+    def _pace(self, name: str, own: np.ndarray, times: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """How far rows move for each unit of their gradients."""
+        speed = self.speed[name][own] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self.speed[name][own] = speed
         self.met[name][own] += times
-        self.p[name][own] += self.rate * g / np.sqrt(self.speed[name][own])[:, None]
+        return np.sqrt(speed)[:, None]
 
     def step(self, one: np.ndarray, two: np.ndarray, entry: np.ndarray) -> None:
         p, n = self.p, len(entry)
         fake = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
         context, at = p["context"], p["positions"]
         # few classes stand for many tokens: what is linear is done once a class
-        h = np.ones((n, DIM + 1), np.float32)
-        np.add((context @ at[:DIM])[one], (context @ at[DIM:])[two], out=h[:, :DIM])
-        t, f = (np.concatenate([p["target"][i], p["bias"][i] - self.log_noise[i, None]], 1) for i in (entry, fake))
+        self.first[:, :DIM], self.second[:, :DIM] = context @ at[:DIM], context @ at[DIM:]
+        h, t, f, down, back, values = self.h[:n], self.t[:n], self.f, self.down[:n], self.back[:n], self.values[: n + NOISE]
+        np.take(self.first, one, 0, out=h, mode="clip")
+        h += np.take(self.second, two, 0, out=self.other[:n], mode="clip")
+        for i, out in ((entry, t), (fake, f)):
+            np.take(self.joint, i, 0, out=out, mode="clip")
+            out[:, DIM] -= self.log_noise[i]
         true = np.einsum("ij,ij->i", h, t)
-        up = (1 / (n + n * np.exp(np.clip(true, -30, 30)))).astype(np.float32)
+        up = (1 / (n + n * np.exp(np.clip(true, -30, 30)))).astype(np.float32)[:, None]
+        against, scale = -f.T, np.float32(-ODDS / NOISE / n)
         with np.errstate(over="ignore"):  # where the exponential overflows, the inverse is zero
-            down = np.exp(h @ -f.T)  # the one large matrix: worked on in place
-        down += 1
-        np.divide(np.float32(-ODDS / NOISE / n), down, out=down)
-        back = up[:, None] * t[:, :DIM] + down @ f[:, :DIM]
+            for k in range(0, n, 256):  # the one large matrix, in parts that stay in a core's cache
+                x = np.matmul(h[k : k + 256], against, out=down[k : k + 256])
+                np.exp(x, out=x)
+                x += 1
+                np.divide(scale, x, out=x)
+                np.matmul(x, f[:, :DIM], out=back[k : k + 256])
+        back += np.multiply(up, t[:, :DIM], out=self.part[:n])
         # the last column of h is one, so that of the gradients is the bias's
-        own, times, g = self._sums(np.r_[entry, fake], np.concatenate([up[:, None] * h, down.T @ h]), len(self.log_noise))
-        self._move("target", own, times, g[:, :DIM])
-        self._move("bias", own, times, g[:, DIM:])
+        np.multiply(up, h, out=values[:n])
+        np.matmul(down.T, h, out=values[n:])
+        own, times, g = self._sums(np.concatenate([entry, fake]), values, len(self.log_noise), self.sorted)
+        pace = [self._pace("target", own, times, g[:, :DIM]), self._pace("bias", own, times, g[:, DIM:])]
+        g *= self.rate
+        g[:, :DIM] /= pace[0]
+        g[:, DIM:] /= pace[1]
+        self.joint[own] += g
         first, second = (np.zeros_like(context) for _ in range(2))
+        seen = np.zeros(len(context), bool)
         for rows, out in ((one, first), (two, second)):
-            own, times, g = self._sums(rows, back, len(context))
-            out[own] = g
+            own, times, g = self._sums(rows, back, len(context), self.sorted_back)
+            out[own], seen[own] = g, True
             self.met["context"][own] += times
         grad = np.concatenate([context.T @ first, context.T @ second])
-        own = np.flatnonzero(np.bincount(one, minlength=len(context)) + np.bincount(two, minlength=len(context)))
-        self._move("context", own, 0, first[own] @ at[:DIM].T + second[own] @ at[DIM:].T)
-        self._move("positions", np.arange(2 * DIM), 1, grad)
+        own = np.flatnonzero(seen)
+        for name, rows, times, g in (("context", own, 0, first[own] @ at[:DIM].T + second[own] @ at[DIM:].T), ("positions", np.arange(2 * DIM), 1, grad)):
+            p[name][rows] += self.rate * g / self._pace(name, rows, times, g)
         self.steps += 1
 
     def run(self, one: np.ndarray, two: np.ndarray, entry: np.ndarray) -> None:

@@ -1,6 +1,7 @@
 """The language model step by step in plain Python: features, losses, gradient steps."""
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -128,3 +129,17 @@ def test_a_step_does_linear_work_once_a_class_and_is_the_plain_step():
         assert np.allclose(np.asarray(learner.p[k]), want, atol=2e-4), k
     assert (learner.met["context"] == np.bincount(one, minlength=24) + np.bincount(two, minlength=24)).all()
     assert seen and max(seen) <= 24  # products with the positions have a row a class, not a token
+
+
+def test_a_step_uses_its_large_arrays_again():
+    r = np.random.default_rng(5)
+    m = lbl.Model([b"\n", *[b"w%d" % i for i in range(60)]], 20, 4, np.r_[1000 / np.arange(1, 62), [5.0, 3, 2, 1]], 5000, 90, np.ones(4), {})
+    m.start()
+    learner, batch = lbl.Learner(m, 0.1, 7), [r.integers(0, n, lbl.BATCH).astype(np.int32) for n in (24, 24, 65)]
+    learner.step(*batch)
+    tracemalloc.start()
+    try:
+        learner.step(*batch)
+        assert tracemalloc.get_traced_memory()[1] < lbl.BATCH * lbl.NOISE * 4  # less than the one large matrix
+    finally:
+        tracemalloc.stop()
