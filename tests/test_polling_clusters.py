@@ -57,6 +57,22 @@ def test_units_come_out_once_when_they_rest(spark, tmp_path, monkeypatch):
     assert sorted(handled) == ["step1", "step2", "step3", "step4"]
 
 
+def test_many_files_are_looked_up_in_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(polling, "keeping_lists", one_partition(polling.keeping_lists))
+    folder, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for k in range(200):
+        put(folder, f"step{k % 2}/{k}.bin")
+    q = polling.poll(spark, folder, log, str(tmp_path / "marks"), 300, every="300 milliseconds", pattern="*.bin", depth=1)
+    try:
+        polling.wait(q, log, 2, 60)
+    finally:
+        polling.stop(q)
+    assert {r["unit"]: r["n_files"] for r in polling.done(spark, log).collect()} == {"step0": 100, "step1": 100}
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup(str(q.runId)) for s in told.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def steps(ids, x, k, passes, rounds):
     u = lambda i, r: (int(hashlib.sha256(f"{i}:{r}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
     c = x[[min(range(len(ids)), key=lambda i: (u(ids[i], 0), ids[i]))]]
