@@ -36,6 +36,8 @@ LEAF, CACHE_ENTRIES, CACHE_BYTES = 2048, 300_000, 32 << 20
 
 #: The tokenizer's word pattern (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Marks that are words of their own behind a word, whatever the word is.
+MARKS = frozenset(".,;:!?)")
 #: Byte values that stand for themselves as letters in byte-level vocabularies (fixed values).
 PRINTED = (range(33, 127), range(161, 173), range(174, 256))
 #: Characters whose class, lower case and composition are the same in Python and in the
@@ -105,17 +107,22 @@ class Codec:
 
     def _chunk(self, s: str) -> bytes:
         """Ids of a text without ASCII white space."""
+        if s.isascii():  # most are a word, or one with a mark behind it, which need no pattern
+            if s.isalpha():
+                return self._word(s.lower())
+            if s[-1] in MARKS and s[:-1].isalpha():
+                return self._word(s[:-1].lower()) + self._word(s[-1])
         if UNSURE.search(s) or "<|" in s:
             return b"".join([_pack([w]) if isinstance(w, int) else self._merge(w) for w in self._exact(s)])
-        out = []
-        for w in WORDS.findall(s.lower()):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self._merge(self._spell(w))
-                if len(w) <= self.leaf:
-                    self.words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._word, WORDS.findall(s.lower())))
+
+    def _word(self, w: str) -> bytes:
+        ids = self.words.get(w)
+        if ids is None:
+            ids = self._merge(self._spell(w))
+            if len(w) <= self.leaf:
+                self.words[w] = ids
+        return ids
 
     def _merge(self, spelled: str) -> bytes:
         """Ids of one spelled word."""
@@ -124,6 +131,8 @@ class Codec:
         return _pack([t.id for t in self.model.tokenize(spelled)])
 
     def _spell(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word  # each byte stands for itself
         return "".join([self.letters[b] for b in word.encode()])
 
     def _exact(self, s: str) -> list:
