@@ -113,8 +113,9 @@ def hota(pairs: DataFrame, video: str, frame: str, true_id: str, said_id: str, s
         for part in frames:
             part = part if held is None else pd.concat([held, part], ignore_index=True)
             new = np.flatnonzero(((part["v"] != part["v"].shift()) | (part["f"] != part["f"].shift())).to_numpy())
-            if len(new):
+            if len(new) > 1:
                 yield _assigned(part.iloc[: new[-1]], new[:-1])
+            if len(new):
                 held = part.iloc[new[-1] :]  # the last frame may go on in the next batch
         if held is not None and len(held):
             yield _assigned(held, np.zeros(1, np.int64))
